@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import quality, sentencepieces, simhash
-from marketloom.llm.common import read
+from marketloom.llm import packing, quality, sentencepieces, simhash, toxicity
+from marketloom.llm.common import bucket_of, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -25,6 +25,14 @@ def tokenizer(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"), ~bucket_of("doc_id", 2, 4))
+    scored = toxicity.score(docs, model, ["doc_id"])
+    return scored.select("doc_id", bucket_of("doc_id", 2, 4).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @query
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode(read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), ["doc_id"], digest=True)
@@ -36,6 +44,12 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = packing.pack(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+    return found.withColumn("length", F.col("length").cast("long"))
+
+
 @query
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
