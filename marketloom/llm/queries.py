@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import packing, quality, sentencepieces, simhash, suffix_arrays, suffix_trees, toxicity
+from marketloom.llm import katz, packing, quality, sentencepieces, simhash, suffix_arrays, suffix_trees, toxicity
 from marketloom.llm.common import bucket_of, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,8 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_trees.repeated_words(read(spark, sf_dir, "documents"))
+
+
+@query
+def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(read(spark, sf_dir, "documents"), bucket_of("doc_id", 2, 7))
