@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import katz, packing, quality, sentencepieces, simhash, suffix_arrays, suffix_trees, toxicity
+from marketloom.llm import caps, katz, licenses, packing, quality, sentencepieces, simhash, suffix_arrays, suffix_trees, toxicity
 from marketloom.llm.common import bucket_of, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,15 @@ def op10_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score(read(spark, sf_dir, "documents"), bucket_of("doc_id", 2, 7))
+
+
+@query
+def op7_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caps.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+@query
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The path of a document is source/lang/doc_id."""
+    docs = read(spark, sf_dir, "documents").withColumn("path", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")))
+    return licenses.licenses(docs, "doc_id")
