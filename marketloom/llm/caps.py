@@ -4,7 +4,7 @@ Filter directions are products: the (rotated) space is cut into BLOCKS blocks, e
 and every choice of one per block is a direction. A vector is decoded to the list of all directions that it exceeds the
 threshold for, by sums over halves of the blocks with the rest bounded by its best. Vectors are joined on (label,
 filter) and verified in double precision. The code grows with the number of vectors, so a filter holds a bounded number of
-unrelated ones, and the threshold is set so that a list has LISTED filters on average; a vector without any takes its best.
+unrelated ones, and the threshold is set so that a list has LISTED filters on average; a vector with fewer than FLOOR takes its best FLOOR.
 
 Equal vectors are one from the start. A pair is counted in the least filter that its lists share. A filter with more than
 TILE vectors is dealt out in tiles, each pair of which is one group. Links inside a group leave it as a forest.
@@ -29,6 +29,7 @@ from marketloom.llm.components import connected_components
 
 BLOCKS = 4
 LISTED = 24
+FLOOR = 20
 TILE = 2048
 SEED = 7
 LAST = (1 << 63) - 1
@@ -57,7 +58,11 @@ class Caps:
             i, j = np.flatnonzero(a >= threshold - b.max()), np.flatnonzero(b >= threshold - a.max())
             u, v = np.nonzero(a[i][:, None] + b[j] >= threshold)
             found = i[u] * (self.size * self.size) + j[v]
-            out.append(np.sort(found) if len(found) else np.array([int(a.argmax()) * self.size * self.size + int(b.argmax())]))
+            if len(found) < FLOOR:  # the best sums are among sums of the best
+                i, j = np.argsort(-a, kind="stable")[:FLOOR], np.argsort(-b, kind="stable")[:FLOOR]
+                top = np.argsort(-(a[i][:, None] + b[j]).ravel(), kind="stable")[:FLOOR]
+                found = i[top // len(j)] * (self.size * self.size) + j[top % len(j)]
+            out.append(np.sort(found))
         return out
 
 
@@ -66,7 +71,6 @@ def _caps(dim: int, size: int, listed: int) -> tuple[np.ndarray, list[np.ndarray
     rng = np.random.default_rng(SEED)
     width = -(-dim // BLOCKS)
     rotation = np.linalg.qr(rng.standard_normal((width * BLOCKS, width * BLOCKS)))[0][:dim]
-    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
     codes = [unit(rng.standard_normal((size, width))) for _ in range(BLOCKS)]
     y = unit(rng.standard_normal((400, dim))) @ rotation
     pick = rng.integers(0, size, (20_000, BLOCKS))
@@ -85,14 +89,20 @@ def forest(near: np.ndarray) -> np.ndarray:
         name = new
 
 
-def links(groups: DataFrame, least: float) -> DataFrame:
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to length one, by the largest component first, so squares neither overflow nor vanish."""
+    x = x / np.abs(x).max(axis=1, keepdims=True, initial=1e-300)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def links(groups: DataFrame, least: float, dim: int) -> DataFrame:
     """Rows (u, v, n): v null and n the links that rep u has in a group, or an edge of the group's forest."""
 
     def run(own: pa.Table) -> pa.Table:
         own = own.sort_by([("label", "ascending"), ("f", "ascending"), ("ta", "ascending"), ("tb", "ascending"), ("rep", "ascending")])
         key = np.stack([own.column(c).to_numpy() for c in ("label", "f", "ta", "tb")])
         rep, mult, tile = (own.column(c).to_numpy() for c in ("rep", "mult", "tile"))
-        x = np.array([np.frombuffer(b, np.float64) for b in own.column("x").to_pylist()])
+        x = unit(np.array([np.frombuffer(b, np.float32 if len(b) == 4 * dim else np.float64) for b in own.column("x").to_pylist()], np.float64))
         lists = [np.frombuffer(b, np.int64) for b in own.column("list").to_pylist()]
         start = np.flatnonzero(np.concatenate(([True], (key[:, 1:] != key[:, :-1]).any(axis=0))))
         out = [[], [], []]
@@ -135,7 +145,6 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, key: str = "vec_id"
     spark = vectors.sparkSession
     rows = vectors.select(F.col(key).alias("id"), F.col(label).cast("long").alias("label"), F.col(vector).cast("array<double>").alias("e"))
     finite = F.forall("e", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
-    # Components are scaled by the largest first, so squares neither overflow nor vanish.
     most = F.array_max(F.transform("e", lambda c: F.abs(c)))
     usable = F.coalesce(F.col("label").isNotNull() & F.col("id").isNotNull() & (F.size("e") > 0) & finite & (most > 0), F.lit(False))
     rows = rows.withColumn("ok", usable)
@@ -149,10 +158,9 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, key: str = "vec_id"
             x = np.zeros((batch.num_rows, dim))
             for i, e in enumerate(batch.column("e").to_pylist()):
                 x[i, : len(e)] = e
-            x /= np.abs(x).max(axis=1, keepdims=True) if len(x) else 1
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            lists = caps.decode(x)
-            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("rep"), batch.column("mult"), pa.array([v.tobytes() for v in x], pa.binary()), pa.array([s.astype(np.int64).tobytes() for s in lists], pa.binary()), pa.array([s.astype(np.int64) for s in lists], pa.list_(pa.int64()))], ["label", "rep", "mult", "x", "list", "fs"])
+            raw = x.astype(np.float32) if (x.astype(np.float32) == x).all() else x
+            lists = caps.decode(unit(x))
+            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("rep"), batch.column("mult"), pa.array([v.tobytes() for v in raw], pa.binary()), pa.array([s.astype(np.int64).tobytes() for s in lists], pa.binary()), pa.array([s.astype(np.int64) for s in lists], pa.list_(pa.int64()))], ["label", "rep", "mult", "x", "list", "fs"])
 
     decoded = table(reps.mapInArrow(decode, "label long, rep long, mult long, x binary, list binary, fs array<long>"), "filters")
     keyed = decoded.withColumn("f", F.explode("fs")).drop("fs")
@@ -162,7 +170,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, key: str = "vec_id"
     total = sizes.agg(F.sum("n")).first()[0] or 0
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // 20_000))
     groups = live.withColumn("shard", F.pmod(F.xxhash64("label", "f", "ta", "tb"), F.lit(shards))).select("shard", "label", "f", "ta", "tb", "tile", "rep", "mult", "x", "list")
-    found = table(links(groups, least), "links")
+    found = table(links(groups, least, dim), "links")
     counts = found.where(F.col("v") == LAST).groupBy("u").agg(F.sum("n").alias("n"))
     components = connected_components(found.where(F.col("v") != LAST).select("u", "v"))
     named = reps.join(counts, F.col("rep") == F.col("u"), "left").join(components, F.col("rep") == F.col("node"), "left")
