@@ -21,7 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import table
+from marketloom.llm.caps import forest
+from marketloom.llm.common import mix, parts, table
 from marketloom.llm.components import connected_components
 
 BLOCKS = 5
@@ -114,3 +115,86 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 2, key: str
     names = named.groupBy("component").agg(F.min("least").alias("component_id"))
     lookup = named.join(names, "component").select("fp", "component_id")
     return prints.join(lookup, "fp").select(key, "fp", "component_id")
+
+
+#: Wide fingerprints for similarities well below one: 64-bit words, blocks of sampled bits.
+WORDS, SAMPLES, BITS = 8, 64, 20
+TILE = 2048
+
+
+def wide_fingerprint(text: str | None, width: int = 5) -> bytes:
+    """WORDS * 64 bits, each set if set in over half of the shingles' hashes, mixed anew for each word."""
+    h = shingles(text_words(text), width)
+    if not h:
+        return bytes(8 * WORDS)
+    count = np.zeros((WORDS, 64), np.int64)
+    for i in range(0, len(h), 1 << 14):
+        own = np.array([xxhash.xxh64_intdigest(x, SEED) for x in h[i : i + (1 << 14)]], np.uint64)
+        for k in range(WORDS):
+            raw = mix(own + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64)))
+            count[k] += np.unpackbits(raw.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * count > len(h)).tobytes()
+
+
+def similar_texts(docs: DataFrame, width: int = 5, least: float = 0.8, key: str = "doc_id") -> DataFrame:
+    """Rows (key, t, component_id): texts whose shingles have a similarity (Jaccard) of least or more are linked.
+
+    Such texts differ in a share of acos(2s / (1 + s)) / pi of a fingerprint's bits. A pair is sought in SAMPLES blocks of
+    BITS sampled bits, which miss one pair of similarity 0.8 in a hundred and fewer above, and verified by its Hamming
+    distance over all bits. Blocks over TILE rows are dealt in tiles; links leave a block as a forest, not as pairs.
+    t is a hash of the text, so that (key, t) names a row up to exact repeats.
+    """
+    spark = docs.sparkSession
+    most = int(np.arccos(2 * least / (1 + least)) / np.pi * 64 * WORDS)
+    rng = np.random.default_rng(SEED)
+    picks = np.array([rng.choice(64 * WORDS, BITS, replace=False) for _ in range(SAMPLES)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([wide_fingerprint(t, width) for t in batch.column(2).to_pylist()], pa.binary())], ["doc", "t", "fp"])
+
+    last = F.lit((1 << 63) - 1)
+    prints = table(docs.select(F.coalesce(F.col(key).cast("long"), last).alias("doc"), F.xxhash64("text").alias("t"), "text").mapInArrow(run, "doc long, t long, fp binary"), "prints")
+    distinct = table(prints.groupBy("fp").agg(F.min(F.struct("doc", "t")).alias("x")).select("fp", F.xxhash64("fp").alias("node"), F.col("x.doc").alias("doc")), "distinct")
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight = 1 << np.arange(BITS, dtype=np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                bits = np.unpackbits(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(batch.num_rows, -1), axis=1)
+                keys = np.stack([bits[:, p].astype(np.int64) @ weight + (k << BITS) for k, p in enumerate(picks)], axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(list(keys), pa.list_(pa.int64()))], ["node", "ks"])
+
+    keyed = distinct.select("fp", "node").mapInArrow(blocks, "node long, ks array<long>").select("node", F.explode("ks").alias("k"))
+    sizes = keyed.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
+    live = keyed.join(sizes, "k").withColumn("tiles", F.ceil(F.col("n") / TILE)).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")))
+    live = live.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).withColumns({"ta": F.least("tile", "other"), "tb": F.greatest("tile", "other")})
+    live = live.join(distinct.select("node", "fp"), "node").withColumn("shard", F.pmod(F.xxhash64("k", "ta", "tb"), F.lit(4 * parts(spark))))
+
+    def links(own: pa.Table) -> pa.Table:
+        own = own.sort_by([("k", "ascending"), ("ta", "ascending"), ("tb", "ascending"), ("node", "ascending")])
+        key3 = np.stack([own.column(c).to_numpy() for c in ("k", "ta", "tb")])
+        node = own.column("node").to_numpy()
+        words = np.frombuffer(b"".join(own.column("fp").to_pylist()), np.uint64).reshape(len(node), WORDS)
+        start = np.flatnonzero(np.concatenate(([True], (key3[:, 1:] != key3[:, :-1]).any(axis=0))))
+        u, v = [], []
+        for a, b in zip(start, np.append(start[1:], len(node))):
+            if b - a == 2:
+                if np.bitwise_count(words[a] ^ words[a + 1]).sum() <= most:
+                    u.append(node[a : a + 1])
+                    v.append(node[a + 1 : b])
+            elif b - a > 2:
+                near = sum(np.bitwise_count(words[a:b, None, k] ^ words[None, a:b, k]).astype(np.uint16) for k in range(WORDS)) <= most
+                name = forest(near)
+                rows = np.flatnonzero(name != np.arange(len(name)))
+                u.append(node[a + rows])
+                v.append(node[a + name[rows]])
+        join = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))
+        return pa.Table.from_arrays([join(u), join(v)], ["u", "v"])
+
+    edges = live.select("shard", "k", "ta", "tb", "node", "fp").groupBy("shard").applyInArrow(links, "u long, v long")
+    components = connected_components(edges)
+    named = table(distinct.join(components, "node", "left").select("fp", "doc", F.coalesce("component", "node").alias("component")), "named")
+    names = named.groupBy("component").agg(F.min("doc").alias("component_id"))
+    lookup = named.join(names, "component").select("fp", "component_id")
+    return prints.join(lookup, "fp").select(F.when(F.col("doc") != last, F.col("doc")).alias(key), "t", "component_id")

@@ -69,16 +69,18 @@ def solver(x: list[np.ndarray], n: np.ndarray, doc: np.ndarray, m: np.ndarray, l
     return [found[s : s + k] for s, k in zip(starts.tolist(), n.tolist())], node
 
 
-def repeated_words(docs: DataFrame, key: str = "doc_id", length: int = LENGTH, gram: int = GRAM, texts: bool = False, **options) -> DataFrame:
-    """Rows (key, n_words, n_removed, kept_sha256) for each row of docs; with texts also t, a hash of the text, and kept, the text without the removed words."""
+def repeated_words(docs: DataFrame, key: str = "doc_id", length: int = LENGTH, gram: int = GRAM, carry: list[str] | None = None, **options) -> DataFrame:
+    """Rows (key, n_words, n_removed, kept_sha256) for each row of docs; with carry also kept, the text without the removed words, and a struct `row` of these columns."""
+    texts = carry is not None
     kind = Kind("words", length, gram)
     found = matched(docs, kind, lambda *a: solver(*a, length=length), True, key, **options)
-    out = f"doc long, t long, n_words long, n_removed long, kept_sha256 string{', kept string' if texts else ''}"
+    rows_in = with_row(docs, key) if not texts else docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("t"), F.col("text"), F.struct(*carry).alias("row"))
+    out = "doc long, n_words long, n_removed long, kept_sha256 string" + (f", kept string, row {docs.select(F.struct(*carry).alias('row')).schema[0].dataType.simpleString()}" if texts else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [[] for _ in range(4)]
-            for text, spans in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 data = (text or "").encode()
                 words, kept, whole = data.split(), None, text
                 if spans:
@@ -92,9 +94,9 @@ def repeated_words(docs: DataFrame, key: str = "doc_id", length: int = LENGTH, g
                 kept = words if kept is None else kept
                 for column, v in zip(rows, (len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest(), whole), strict=True):
                     column.append(v)
-            names = ["doc", "t", "n_words", "n_removed", "kept_sha256", "kept"][: 6 if texts else 5]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(rows, (pa.int64(), pa.int64(), pa.string(), pa.string())))][: len(names)], names)
+            names = ["doc", "n_words", "n_removed", "kept_sha256", "kept", "row"][: 6 if texts else 4]
+            arrays = [batch.column(0), *(pa.array(c, k) for c, k in zip(rows, (pa.int64(), pa.int64(), pa.string(), pa.string())))][:5]
+            yield pa.RecordBatch.from_arrays([*arrays, batch.column(3)] if texts else arrays[:4], names)
 
-    joined = with_row(docs, key).join(found.hint("shuffle_hash"), ["doc", "t"], "left").select("doc", "t", "text", "spans")
-    ids = joined.mapInArrow(run, out).withColumn("doc", F.when(F.col("doc") != LAST, F.col("doc"))).withColumnRenamed("doc", key)
-    return ids if texts else ids.drop("t")
+    joined = rows_in.join(found.hint("shuffle_hash"), ["doc", "t"], "left").select("doc", "text", "spans", *["row"] * texts)
+    return joined.mapInArrow(run, out).withColumn("doc", F.when(F.col("doc") != LAST, F.col("doc"))).withColumnRenamed("doc", key)
