@@ -21,6 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -147,8 +148,11 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.flatnonzero(edge == -1) - start
 
 
-def solve(cuts: DataFrame, kind: Kind, solver: Solver) -> tuple[DataFrame, DataFrame]:
-    """(key, c, a, b): runs of matched windows in each region; and the windows of keys dealt over several shards, by digest."""
+def solve(cuts: DataFrame, kind: Kind, solver: Solver, smaller: bool, shards: int) -> tuple[DataFrame, DataFrame]:
+    """(key, c, a, b): runs of matched windows in each region; and of keys dealt over several shards the windows by digest.
+
+    A shard sends a window of such a key once, with its weight or least document, packed with others of a digest range.
+    """
 
     def run(own: pa.Table) -> pa.Table:
         dtype = np.uint8 if kind.unit == "bytes" else np.uint64
@@ -158,44 +162,65 @@ def solve(cuts: DataFrame, kind: Kind, solver: Solver) -> tuple[DataFrame, DataF
         n, doc, m = (own.column(c).to_numpy() for c in ("n", "doc", "m"))
         masks, _ = solver(x, n, doc, m)
         key, c, chunks = (own.column(k).to_numpy() for k in ("key", "c", "chunks"))
-        out = [[] for _ in range(7)]
+        out, sent = [[] for _ in range(4)], []
         for i, mask in enumerate(masks):
             a, b = runs(mask)
-            for column, v in zip(out, (np.full(len(a), key[i]), np.full(len(a), c[i]), a, b, np.zeros(len(a), np.int64), np.zeros(len(a), np.int64), np.full(len(a), doc[i])), strict=True):
+            for column, v in zip(out, (np.full(len(a), key[i]), np.full(len(a), c[i]), a, b), strict=True):
                 column.append(v)
             if chunks[i] > 1:  # every window, for the merge
                 raw, size, k = contents[i], kind.size, int(n[i])
-                ends = [(raw[size * j : size * (j + kind.length)]) for j in range(k)]
-                h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(e) for e in ends), ">i8").astype(np.int64).reshape(-1, 2)
-                for column, v in zip(out, (np.full(k, key[i]), np.full(k, c[i]), np.arange(k), np.full(k, -m[i]), h[:, 0], h[:, 1], np.full(k, doc[i])), strict=True):
-                    column.append(v)
-        join = lambda x: pa.array(np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64))
-        return pa.Table.from_arrays([join(c) for c in out], ["key", "c", "a", "b", "h1", "h2", "doc"])
+                h = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[size * j : size * (j + kind.length)]) for j in range(k)]), "<i8").reshape(-1, 2)
+                sent.append(np.stack([np.full(k, v) for v in (key[i], c[i], m[i], doc[i])] + [np.arange(k), h[:, 0], h[:, 1]]))
+        join = lambda x: np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)
+        columns = [pa.array(join(v)) for v in out]
+        made = pa.Table.from_arrays([*columns, pa.nulls(len(columns[0]), pa.int64()), pa.nulls(len(columns[0]), pa.binary())], ["key", "c", "a", "b", "range", "windows"])
+        if not sent:
+            return made
+        w = np.concatenate(sent, axis=1)
+        w = w[:, np.lexsort((w[3], w[6], w[5]))]
+        first = np.flatnonzero(np.concatenate(([True], (w[5:, 1:] != w[5:, :-1]).any(axis=0))))
+        group = np.cumsum(np.isin(np.arange(w.shape[1]), first)) - 1
+        if smaller:
+            w = w[:, w[3] == w[3][first][group]]
+        else:
+            total = np.add.reduceat(w[2], first)
+            w = w[:, first]
+            w[2] = total
+        of = np.mod(w[5], shards)
+        order = np.argsort(of, kind="stable")
+        cut = np.flatnonzero(np.diff(of[order], prepend=-1))
+        pieces = np.split(w[:, order], cut[1:], axis=1)
+        empty = pa.nulls(len(pieces), pa.int64())
+        packs = pa.Table.from_arrays([empty, empty, empty, empty, pa.array(of[order][cut]), pa.array([zstandard.compress(np.ascontiguousarray(v).tobytes(), 1) for v in pieces], pa.binary())], made.column_names)
+        return pa.concat_tables([made, packs])
 
-    both = table(cuts.groupBy("shard").applyInArrow(run, "key long, c long, a long, b long, h1 long, h2 long, doc long"), "solved")
-    return both.where("b > 0").select("key", "c", "a", "b"), both.where("b < 0").select("key", "c", "a", (-F.col("b")).alias("m"), "h1", "h2", "doc")
+    both = table(cuts.groupBy("shard").applyInArrow(run, "key long, c long, a long, b long, range long, windows binary"), "solved")
+    return both.where("range IS NULL").select("key", "c", "a", "b"), both.where("range IS NOT NULL").select("range", "windows")
 
 
-def merge(windows: DataFrame, smaller: bool, shards: int) -> DataFrame:
-    """Matched windows of keys dealt over several shards: each shard's sorted digests are searched in those of all."""
+def merge(windows: DataFrame, smaller: bool) -> DataFrame:
+    """Matched windows of keys dealt over several shards: the shards' sorted digests are searched in those of all."""
 
     def run(own: pa.Table) -> pa.Table:
-        h1, h2, doc, m = (own.column(k).to_numpy() for k in ("h1", "h2", "doc", "m"))
-        order = np.lexsort((doc, h2, h1))
-        pair = np.empty(len(order), [("a", np.int64), ("b", np.int64)])
-        pair["a"], pair["b"] = h1[order], h2[order]
-        first, last = np.searchsorted(pair, pair, "left"), np.searchsorted(pair, pair, "right")
-        if smaller:  # the least document of the class stands first
-            hit = doc[order] > doc[order][first]
+        w = np.concatenate([np.frombuffer(zstandard.decompress(b), np.int64).reshape(7, -1) for b in own.column("windows").to_pylist()], axis=1)
+        w = w[:, np.lexsort((w[3], w[6], w[5]))]
+        pair = np.empty(w.shape[1], [("a", np.int64), ("b", np.int64)])
+        pair["a"], pair["b"] = w[5], w[6]
+        new = np.concatenate(([True], pair[1:] != pair[:-1]))
+        first = np.flatnonzero(new)
+        at = np.searchsorted(first, np.arange(len(pair)), "right") - 1
+        if smaller:  # the least document of a class stands first
+            hit = w[3] > w[3][first][at]
         else:
-            total = np.concatenate(([0], np.cumsum(m[order])))
-            hit = total[last] - total[first] > 1
-        rows = order[hit]
-        return pa.Table.from_arrays([own.column("key").take(pa.array(rows)).combine_chunks(), own.column("c").take(pa.array(rows)).combine_chunks(), pa.array(own.column("a").to_numpy()[rows]), pa.array(np.ones(len(rows), np.int64))], ["key", "c", "a", "b"])
+            hit = (np.add.reduceat(w[2], first)[at] > 1) & (w[2] == 1)
+        w = w[:, hit]
+        w = w[:, np.lexsort((w[4], w[1], w[0]))]
+        edge = np.ones(w.shape[1], bool)
+        edge[1:] = (w[0, 1:] != w[0, :-1]) | (w[1, 1:] != w[1, :-1]) | (w[4, 1:] != w[4, :-1] + 1)
+        at = np.flatnonzero(edge)
+        return pa.Table.from_arrays([pa.array(v) for v in (w[0, at], w[1, at], w[4, at], np.diff(np.append(at, w.shape[1])))], ["key", "c", "a", "b"])
 
-    # Within a shard, equal windows of one key are one row, with the sum of their weights and their least document.
-    slim = windows.withColumn("range", F.pmod(F.xxhash64("h1", "h2"), F.lit(shards)))
-    return slim.groupBy("range").applyInArrow(run, "key long, c long, a long, b long")
+    return windows.groupBy("range").applyInArrow(run, "key long, c long, a long, b long")
 
 
 def matched(docs: DataFrame, kind: Kind, solver: Solver, smaller: bool, key: str = "doc_id", shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -216,10 +241,10 @@ def matched(docs: DataFrame, kind: Kind, solver: Solver, smaller: bool, key: str
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * total // shard_bytes))
     shard = F.pmod(F.xxhash64("key", F.pmod("c", "chunks")), F.lit(shards))
     wanted = sought.select("rep.doc", "rep.t", F.struct(shard.alias("shard"), "key", "c", F.col("rep.doc").alias("doc"), "m", "chunks", F.col("rep.s").alias("s"), "n").alias("x")).groupBy("doc", "t").agg(F.collect_set("x").alias("own"))
-    in_shard, dealt = solve(cut_out(rows, wanted, kind), kind, solver)
+    in_shard, dealt = solve(cut_out(rows, wanted, kind), kind, solver, smaller, shards)
     some = in_shard
     if live.where("chunks > 1").limit(1).count():
-        some = in_shard.unionByName(merge(dealt, smaller, shards))
+        some = in_shard.unionByName(merge(dealt, smaller))
     some = some.groupBy("key", "c").agg(F.collect_set(F.struct("a", "b")).alias("part"))
     whole = F.col("rep.doc") < F.col("doc") if smaller else F.col("m") > 1
     told = found.join(live.select("key", "c", "m", "rep").join(some, ["key", "c"], "left").where("m > 1 OR part IS NOT NULL"), ["key", "c"])
