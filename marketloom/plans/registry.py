@@ -9,3 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from marketloom.plans import catalog  # noqa: F401
