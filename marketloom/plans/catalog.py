@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from marketloom.plans import price  # noqa: F401
+from marketloom.plans import company, price  # noqa: F401
