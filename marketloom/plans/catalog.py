@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from marketloom.plans import company, price, shapes  # noqa: F401
+from marketloom.plans import company, documents, price, shapes, streams  # noqa: F401
