@@ -43,6 +43,15 @@ def op3_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_arrays.repeated_bytes(read(spark, sf_dir, "documents"))
 
 
+ORACLE["op3_suffix_arrays"] = """WITH b AS (SELECT doc_id, row_number() OVER () AS r, encode(coalesce(text, '')) AS x FROM documents),
+ w AS (SELECT r, i, md5(x[i:i + 399]) AS h FROM (SELECT r, x, unnest(range(1, CAST(octet_length(x) AS BIGINT) - 398)) AS i FROM b WHERE octet_length(x) >= 400)),
+ hit AS (SELECT r, i FROM w WHERE h IN (SELECT h FROM w GROUP BY 1 HAVING count(*) > 1)),
+ runs AS (SELECT r, min(i) AS a, max(i) + 399 AS z FROM (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS g FROM (SELECT r, i, CASE WHEN i - 400 <= lag(i) OVER (PARTITION BY r ORDER BY i) THEN 0 ELSE 1 END AS new FROM hit)) GROUP BY r, g),
+ gaps AS (SELECT r, a, z, lag(z) OVER (PARTITION BY r ORDER BY a) AS before FROM runs),
+ kept AS (SELECT b.r, count(*) AS n, sum(z - a + 1) AS gone, string_agg(hex(x[coalesce(before, 0) + 1:a - 1]), '' ORDER BY a) || hex(any_value(x)[max(z) + 1:]) AS k FROM gaps JOIN b ON gaps.r = b.r GROUP BY b.r)
+ SELECT doc_id, CAST(octet_length(x) AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans, sha256(CASE WHEN n IS NULL THEN x ELSE unhex(k) END) AS kept_sha256 FROM b LEFT JOIN kept ON b.r = kept.r"""
+
+
 @query
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
@@ -81,3 +90,11 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The path of a document is source/lang/doc_id."""
     docs = read(spark, sf_dir, "documents").withColumn("path", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")))
     return licenses.licenses(docs, "doc_id")
+
+
+ORACLE["op10_suffix_trees"] = r"""WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+ w AS (SELECT doc_id, r, i, md5(array_to_string(list_slice(ws, i, i + 49), ' ')) AS h FROM (SELECT doc_id, r, ws, unnest(range(1, len(ws) - 48)) AS i FROM d WHERE len(ws) >= 50)),
+ hit AS (SELECT r, i FROM w JOIN (SELECT h, min(doc_id) AS least FROM w GROUP BY 1) USING (h) WHERE doc_id > least),
+ gone AS (SELECT DISTINCT r, i + k AS p FROM hit, range(50) t(k)),
+ kept AS (SELECT x.r, count(gone.p) AS n, string_agg(x.word, ' ' ORDER BY x.p) FILTER (gone.p IS NULL) AS k FROM (SELECT r, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM d) x LEFT JOIN gone ON gone.r = x.r AND gone.p = x.p GROUP BY x.r)
+ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM d LEFT JOIN kept ON d.r = kept.r"""
