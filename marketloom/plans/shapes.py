@@ -11,7 +11,7 @@ from marketloom.plans.views import nation_bars, query, read, view
 M, FWD, K = 20, 5, 10
 WEIGHTS = H.recency_weights(M)
 PART = "PARTITION BY sym ORDER BY d"
-view("q", "SELECT " + ", ".join(f"list({c} ORDER BY d) AS q{c}, avg({c}) AS m{c}, stddev_pop({c}) AS s{c}" for c in H.CHANNELS) + f", arg_max(isodow(d), d) AS wd FROM (SELECT * FROM nbars WHERE sym = 0 ORDER BY d DESC LIMIT {M})", ("nbars",))
+view("q", "SELECT " + ", ".join(f"list({c} ORDER BY d) AS q{c}, avg({c}) AS m{c}, stddev_pop({c}) AS s{c}" for c in H.CHANNELS) + f", arg_max(isodow(d), d) AS wd FROM (SELECT * FROM nbars WHERE sym = (SELECT min(sym) FROM nbars) ORDER BY d DESC LIMIT {M})", ("nbars",))
 SNAP = "CASE WHEN stddev_pop({c}) OVER f ^ 2 < (1e-5 * abs(avg({c}) OVER f)) ^ 2 THEN 0 ELSE stddev_pop({c}) OVER f END"
 view("stats", "SELECT *, " + ", ".join(f"CASE WHEN row_number() OVER w >= {M} THEN avg({c}) OVER f END AS mean_{c}, CASE WHEN row_number() OVER w >= {M} THEN {SNAP.format(c=c)} END AS std_{c}" for c in "cv") + ", row_number() OVER w AS bar_no, lead(c, 5) OVER w AS nxt, " + ", ".join(f"list({c}) OVER f AS x{c}" for c in H.CHANNELS) + f" FROM nbars WINDOW w AS ({PART}), f AS ({PART} ROWS {M - 1} PRECEDING)", ("nbars",))
 
@@ -29,7 +29,7 @@ view("pool", f"SELECT t.sym, p.pos, n.c, (n.c - t.mean_c) * (t.sc / nullif(t.std
 
 def base(spark, sf_dir, weighted=True):
     own = nation_bars(spark, sf_dir)
-    return own, H.Query.last(own.where("sym = 0"), M, weights=WEIGHTS if weighted else None)
+    return own, H.Query.last(own.join(own.agg(F.min("sym").alias("sym")), "sym"), M, weights=WEIGHTS if weighted else None)
 
 
 def matches(spark, sf_dir):

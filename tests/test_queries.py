@@ -9,7 +9,6 @@ import pytest
 from marketloom.plans import registry
 
 registry.load()
-EMPTY_IS_FINE = {"guidance_fy_accuracy"}
 
 
 @pytest.fixture(scope="module")
