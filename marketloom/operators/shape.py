@@ -1,6 +1,6 @@
 """Chart-shape search: z-normalised distances of every window to a query window, best window of a series, global top-k.
 
-A window's values are lags over one window specification, so the whole profile is one sort and one pass of generated
+A window's bars are one array over one window specification, so the whole profile is one sort and one pass of generated
 code; the query is a few literals.
 """
 
@@ -50,33 +50,29 @@ class Query:
 
 
 def with_stats(bars: DataFrame, channel: str, m: int, by: str = "sym", at: str = "d") -> DataFrame:
-    """mean_<channel> and std_<channel> of the m bars that end here, null for fewer; noise-level deviations are zero."""
+    """mean_<channel> and std_<channel> of the m bars that end here, null for fewer, and the bars (window); noise-level deviations are zero."""
     order = Window.partitionBy(by).orderBy(at)
     frame = order.rowsBetween(1 - m, 0)
     mean, std = F.avg(channel).over(frame), F.stddev_pop(channel).over(frame)
     full = F.row_number().over(order) >= m
     snapped = F.when(std * std < F.pow(1e-5 * F.abs(mean), F.lit(2)), 0.0).otherwise(std)
-    return bars.withColumns({f"mean_{channel}": F.when(full, mean), f"std_{channel}": F.when(full, snapped)})
+    more = {} if "window" in bars.columns else {"window": F.when(full, F.collect_list(F.struct(*CHANNELS)).over(frame))}
+    return bars.withColumns({f"mean_{channel}": F.when(full, mean), f"std_{channel}": F.when(full, snapped)} | more)
 
 
-def distance(channel: str, scale: str, query: Query, min_cv: float = 0.0, by: str = "sym", at: str = "d") -> Column:
+def distance(channel: str, scale: str, query: Query, min_cv: float = 0.0) -> Column:
     """Weighted distance of the window that ends here to the query's channel; both sides are normalised by channel scale.
 
-    Zero everywhere for a flat query; null for a flat window (or one under min_cv of its level) and for too few bars.
+    Zero everywhere for a flat query; null for a flat window (or one under min_cv of its level) and for too few bars. One
+    SQL text, as building a sum of many terms from columns takes longer than running it.
     """
     m, own, base = query.size, query.values[channel], query.values[scale]
     mean, std = fmean(base), pstdev(base)
     if std < 1e-10:
         return F.when(F.col(f"mean_{scale}").isNotNull(), F.lit(0.0))
-    order = Window.partitionBy(by).orderBy(at)
     weights = query.weights or [1.0] * m
-    total = F.lit(0.0)
-    for j in range(m):
-        x = F.lag(channel, m - 1 - j).over(order) if j < m - 1 else F.col(channel)
-        gap = F.lit((own[j] - mean) / std) - (x - F.col(f"mean_{scale}")) / F.nullif(F.col(f"std_{scale}"), F.lit(0.0))
-        total = total + F.lit(weights[j]) * gap * gap
-    flat = F.col(f"std_{scale}") < F.greatest(F.lit(1e-10), min_cv * F.abs(f"mean_{scale}"))
-    return F.when(~flat, F.sqrt(total))
+    terms = (f"{weights[j]!r}D * pow({(own[j] - mean) / std!r}D - (get(window, {j}).{channel} - mean_{scale}) / nullif(std_{scale}, 0D), 2D)" for j in range(m))
+    return F.expr(f"CASE WHEN NOT std_{scale} < greatest(1e-10D, {min_cv!r}D * abs(mean_{scale})) THEN sqrt({' + '.join(terms)}) END")
 
 
 def scale_rejected(channel: str, query: Query, ratio: float) -> Column:
@@ -91,8 +87,8 @@ def scale_rejected(channel: str, query: Query, ratio: float) -> Column:
 def profile(bars: DataFrame, query: Query, price_weight: float = 0.6, min_cv: float = 0.005, max_scale_ratio: float = 100.0, by: str = "sym", at: str = "d") -> DataFrame:
     """score of each window by its last bar: the candle's four distances on the close's scale, and the volume's on its own."""
     own = with_stats(with_stats(bars, "c", query.size, by, at), "v", query.size, by, at)
-    price = [distance(c, "c", query, min_cv if c == "c" else 0.0, by, at) for c in "ohlc"]
-    score = price_weight * (price[0] + price[1] + price[2] + price[3]) / 4.0 + (1.0 - price_weight) * distance("v", "v", query, 0.0, by, at)
+    price = [distance(c, "c", query, min_cv if c == "c" else 0.0) for c in "ohlc"]
+    score = price_weight * (price[0] + price[1] + price[2] + price[3]) / 4.0 + (1.0 - price_weight) * distance("v", "v", query)
     bad = scale_rejected("c", query, max_scale_ratio) | scale_rejected("v", query, max_scale_ratio)
     return own.withColumn("score", F.when(~bad, score))
 
