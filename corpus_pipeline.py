@@ -18,14 +18,19 @@ from marketloom.llm.queries import tokenizer
 TOXIC = 0.5
 
 
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """The text, and all columns as a struct, so that no column's name can clash with an operator's."""
+    return docs.select(F.struct(*docs.columns).alias("__row"), "text")
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bands = quality.learn_bands(docs, read(spark, sf_dir, "labels"))
-    return quality.judge(quality.measures(docs, docs.columns), bands).where("kept").select(*docs.columns)
+    return quality.judge(quality.measures(whole_rows(docs), ["__row"]), bands).where("kept").select("__row.*")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"), ~bucket_of("doc_id", 2, 4))
-    return toxicity.score(docs, model, docs.columns).where(F.col("score") < TOXIC).select(*docs.columns)
+    return toxicity.score(whole_rows(docs), model, ["__row"]).where(F.col("score") < TOXIC).select("__row.*")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

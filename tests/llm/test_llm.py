@@ -381,6 +381,7 @@ def test_pipeline(spark, tables):
     import corpus_pipeline as P
 
     docs = spark.read.parquet(f"{tables}/documents.parquet")
+    docs = docs.withColumns({c: F.lit(1) for c in ("kept", "score", "n_words", "row", "t", "ratio", "fp", "component_id")})
     columns = docs.columns
     kept = docs
     for _, stage in P.STAGES[:-1]:
@@ -388,4 +389,20 @@ def test_pipeline(spark, tables):
         kept = stage(spark, before, tables)
         assert kept.columns == columns
         assert kept.select("doc_id").exceptAll(before.select("doc_id")).count() == 0
-    assert P.run(spark, tables).select("doc_id").distinct().count() == kept.select("doc_id").distinct().count()
+    packed = P.STAGES[-1][1](spark, kept, tables)
+    assert packed.select("doc_id").distinct().count() == kept.select("doc_id").distinct().count()
+    assert P.run(spark, tables).columns == packed.columns
+
+
+def test_pipeline_edges(spark, tables):
+    import corpus_pipeline as P
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    good = " ".join(words(200, 31, 3000))
+    for rows in ([], [(None, None, None, None, None), (1, "", None, None, 0), (2, good, "en", "s", 5), (2, good, "en", "s", 5), (3, good, None, "s", None)]):
+        kept = spark.createDataFrame(rows, schema)
+        for _, stage in P.STAGES[:-1]:
+            kept = stage(spark, kept, tables)
+            assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        assert kept.where("doc_id IS NULL OR doc_id = 1 OR doc_id = 3").count() == 0 and kept.count() <= 1
+        P.STAGES[-1][1](spark, kept, tables).count()
