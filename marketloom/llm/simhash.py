@@ -118,10 +118,20 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 2, key: str
 
 
 #: Wide fingerprints for similarities well below one: 64-bit words, blocks of sampled bits.
-WORDS, SAMPLES, BITS = 8, 64, 20
+WORDS = 8
+#: A block has so many bits more than the number of fingerprints has, so the unrelated ones in it don't grow in number.
+SPARE_BITS = 4
+#: Share of pairs at the least similarity that no block holds.
+MISSED = 0.02
 TILE = 2048
 
 
+def block_plan(n: int, share: float) -> tuple[int, int]:
+    """Bits of a block and number of blocks for n fingerprints, where share of the bits differ in the least similar pairs sought."""
+    bits = max(16, int(np.ceil(np.log2(max(n, 2)))) + SPARE_BITS)
+    return bits, int(np.ceil(np.log(MISSED) / np.log1p(-((1 - share) ** bits))))
+
+
 def wide_fingerprint(text: str | None, width: int = 5) -> bytes:
     """WORDS * 64 bits, each set if set in over half of the shingles' hashes, mixed anew for each word."""
     h = shingles(text_words(text), width)
@@ -139,15 +149,14 @@ def wide_fingerprint(text: str | None, width: int = 5) -> bytes:
 def similar_texts(docs: DataFrame, width: int = 5, least: float = 0.8, key: str = "doc_id") -> DataFrame:
     """Rows (key, t, component_id): texts whose shingles have a similarity (Jaccard) of least or more are linked.
 
-    Such texts differ in a share of acos(2s / (1 + s)) / pi of a fingerprint's bits. A pair is sought in SAMPLES blocks of
-    BITS sampled bits, which miss one pair of similarity 0.8 in a hundred and fewer above, and verified by its Hamming
-    distance over all bits. Blocks over TILE rows are dealt in tiles; links leave a block as a forest, not as pairs.
+    Such texts differ in a share of acos(2s / (1 + s)) / pi of a fingerprint's bits at most. A pair is sought in blocks of
+    sampled bits (block_plan), which miss a share MISSED of the least similar pairs and fewer above, and verified by its
+    Hamming distance over all bits. Blocks over TILE rows are dealt in tiles; links leave a block as a forest, not as pairs.
     t is a hash of the text, so that (key, t) names a row up to exact repeats.
     """
     spark = docs.sparkSession
-    most = int(np.arccos(2 * least / (1 + least)) / np.pi * 64 * WORDS)
-    rng = np.random.default_rng(SEED)
-    picks = np.array([rng.choice(64 * WORDS, BITS, replace=False) for _ in range(SAMPLES)])
+    share = float(np.arccos(2 * least / (1 + least)) / np.pi)
+    most = int(share * 64 * WORDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,12 +166,16 @@ def similar_texts(docs: DataFrame, width: int = 5, least: float = 0.8, key: str
     prints = table(docs.select(F.coalesce(F.col(key).cast("long"), last).alias("doc"), F.xxhash64("text").alias("t"), "text").mapInArrow(run, "doc long, t long, fp binary"), "prints")
     distinct = table(prints.groupBy("fp").agg(F.min(F.struct("doc", "t")).alias("x")).select("fp", F.xxhash64("fp").alias("node"), F.col("x.doc").alias("doc")), "distinct")
 
+    bits_each, samples = block_plan(distinct.count(), share)
+    rng = np.random.default_rng(SEED)
+    picks = np.array([rng.choice(64 * WORDS, bits_each, replace=False) for _ in range(samples)])
+
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = 1 << np.arange(BITS, dtype=np.int64)
+        weight = 1 << np.arange(bits_each, dtype=np.int64)
         for batch in batches:
             if batch.num_rows:
                 bits = np.unpackbits(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(batch.num_rows, -1), axis=1)
-                keys = np.stack([bits[:, p].astype(np.int64) @ weight + (k << BITS) for k, p in enumerate(picks)], axis=1)
+                keys = np.stack([bits[:, p].astype(np.int64) @ weight + (k << bits_each) for k, p in enumerate(picks)], axis=1)
                 yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(list(keys), pa.list_(pa.int64()))], ["node", "ks"])
 
     keyed = distinct.select("fp", "node").mapInArrow(blocks, "node long, ks array<long>").select("node", F.explode("ks").alias("k"))
