@@ -14,6 +14,7 @@ rows with a null id are packed like others; an empty table gives no rows.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,21 +30,37 @@ from marketloom.llm.sentencepieces import grouped
 CAPACITY = 2048
 CACHED = 500_000
 LONGEST_CACHED = 64
+CHECKED = 100
+
+
+def byte_symbols() -> dict[str, int]:
+    """The characters that stand for bytes in byte-level vocabularies: printable bytes for themselves, the others from 256 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
 class ByteEncoder:
-    """Ids by a tokenizers file of byte-level merges; words that recur are encoded once while they stay in a bounded cache."""
+    """Ids by a tokenizers file of byte-level merges; words that recur are encoded once while they stay in a bounded cache.
+
+    Words are merged by tiktoken from the file's own vocabulary, whose ids are the merges' ranks. The first CHECKED words of
+    each batch are compared with the tokenizers library; a difference is an error.
+    """
 
     def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.special = sorted(t.content for t in self.library.get_added_tokens_decoder().values())
+        symbols, vocabulary = byte_symbols(), self.library.get_vocab(with_added_tokens=False)
+        ranks = {bytes(symbols[c] for c in token): i for token, i in vocabulary.items() if token not in self.special}
+        self.merge = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         self.ids: dict[str, bytes] = {}
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
@@ -54,12 +71,13 @@ class ByteEncoder:
         if len(self.ids) + len(need) > CACHED:
             self.ids.clear()
             need = {w for own in parts for w in own}
-        need = list(need)
-        for i in range(0, len(need), 10_000):
-            group = need[i : i + 10_000]
-            for w, e in zip(group, self.library.encode_batch_fast(group, add_special_tokens=False), strict=True):
-                self.ids[w] = np.array(e.ids, "<u4").tobytes()
-        ids = self.ids
+        ids, merge = self.ids, self.merge
+        for w in need:
+            ids[w] = array("I", merge(w.encode())).tobytes()
+        some = [w for w, _ in zip(need, range(CHECKED))]
+        for w, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
+            if ids[w] != array("I", e.ids).tobytes():
+                raise ValueError("a word differs from the tokenizers library")
         out = [b"".join([ids[w] for w in own]) for own in parts]
         for i in whole:  # strings of special tokens are tokens to the library
             out[i] = np.array(self.library.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
