@@ -21,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marketloom.llm.common import table
+
 LEAST = 0.6
 #: A file is a license file where its whole text reaches this.
 LEAST_FILE = 0.5
-CUE = re.compile(r"licen[sc]e|copyright|spdx|permission|redistribut|public domain|all rights reserved", re.I)
+CUES = ("license", "licence", "copyright", "spdx", "permission", "redistribut", "public domain", "all rights reserved")
 TERM = re.compile(r"[a-z]+|\d+(?:\.\d+)*")
 TEMPLATES = {
     "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
@@ -79,7 +81,9 @@ class Templates:
 
 def scan_text(text: str, templates: Templates) -> tuple[str | None, float, bool]:
     """License, cosine, and whether the text is a license file."""
-    lines = [line for line in text.split("\n") if CUE.search(line)]
+    low = text.lower()
+    cues = [c for c in CUES if c in low]
+    lines = [line for line in low.split("\n") if any(c in line for c in cues)] if cues else []
     if not lines:
         return None, 0.0, False
     name, cosine = max((templates.best(line) for line in lines), key=lambda x: (x[1], [-ord(c) for c in x[0] or ""]))
@@ -109,7 +113,7 @@ def licenses(files: DataFrame, key: str, path: str = "path", texts: dict[str, st
     found = scan(files, [key, path], texts)
     parts = F.split(F.regexp_replace(F.col(path), "/[^/]*$", ""), "/")
     directory = F.when(F.instr(path, "/") > 0, F.regexp_replace(F.col(path), "/[^/]*$", "")).when(F.col(path).isNotNull(), F.lit(""))
-    found = found.withColumn("__dir", directory)
+    found = table(found.withColumn("__dir", directory), "scanned")
     holders = found.where("is_license_file AND __dir IS NOT NULL").groupBy(F.col("__dir").alias("above")).agg(F.min("license").alias("given"))
     # Each directory once, with itself and those above it, nearest last.
     steps = F.when(F.col("__dir") == "", F.array(F.lit(""))).otherwise(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))))
