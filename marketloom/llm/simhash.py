@@ -121,9 +121,13 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 2, key: str
 WORDS = 8
 #: A block has so many bits more than the number of fingerprints has, so the unrelated ones in it don't grow in number.
 SPARE_BITS = 4
-#: Share of pairs at the least similarity that no block holds.
+#: Share of pairs at the candidates' limit that no block holds.
 MISSED = 0.02
+#: Standard deviations of the Hamming distance that the candidates' limit lies above what the least similarity gives.
+DEVIATIONS = 3
 TILE = 2048
+#: Bytes of shingle hashes in a tile, as far as texts can be parted.
+TILE_BYTES = 1 << 25
 
 
 def block_plan(n: int, share: float) -> tuple[int, int]:
@@ -132,14 +136,31 @@ def block_plan(n: int, share: float) -> tuple[int, int]:
     return bits, int(np.ceil(np.log(MISSED) / np.log1p(-((1 - share) ** bits))))
 
 
+def candidate_limit(least: float) -> int:
+    """Bits in which texts of similarity least differ, and DEVIATIONS more: candidates differ in so many at most."""
+    n, share = 64 * WORDS, float(np.arccos(2 * least / (1 + least)) / np.pi)
+    return int(n * share + DEVIATIONS * np.sqrt(n * share * (1 - share)))
+
+
+def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct shingles."""
+    return np.unique(np.array([xxhash.xxh64_intdigest(x, SEED) for x in shingles(text_words(text), width)], np.uint64))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Similarity of two sets of shingles; that of two empty ones is one."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
+
+
 def wide_fingerprint(text: str | None, width: int = 5) -> bytes:
-    """WORDS * 64 bits, each set if set in over half of the shingles' hashes, mixed anew for each word."""
-    h = shingles(text_words(text), width)
-    if not h:
+    """WORDS * 64 bits, each set if set in over half of the distinct shingles' hashes, mixed anew for each word."""
+    h = shingle_set(text, width)
+    if not len(h):
         return bytes(8 * WORDS)
     count = np.zeros((WORDS, 64), np.int64)
     for i in range(0, len(h), 1 << 14):
-        own = np.array([xxhash.xxh64_intdigest(x, SEED) for x in h[i : i + (1 << 14)]], np.uint64)
+        own = h[i : i + (1 << 14)]
         for k in range(WORDS):
             raw = mix(own + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64)))
             count[k] += np.unpackbits(raw.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
@@ -149,22 +170,25 @@ def wide_fingerprint(text: str | None, width: int = 5) -> bytes:
 def similar_texts(docs: DataFrame, width: int = 5, least: float = 0.8, key: str = "doc_id") -> DataFrame:
     """Rows (key, t, component_id): texts whose shingles have a similarity (Jaccard) of least or more are linked.
 
-    Such texts differ in a share of acos(2s / (1 + s)) / pi of a fingerprint's bits at most. A pair is sought in blocks of
-    sampled bits (block_plan), which miss a share MISSED of the least similar pairs and fewer above, and verified by its
-    Hamming distance over all bits. Blocks over TILE rows are dealt in tiles; links leave a block as a forest, not as pairs.
-    t is a hash of the text, so that (key, t) names a row up to exact repeats.
+    Such texts differ in a share of acos(2s / (1 + s)) / pi of a fingerprint's bits on average. Pairs within candidate_limit
+    are sought in blocks of sampled bits (block_plan), which miss a share MISSED of the pairs at that limit and fewer below. Blocks
+    over TILE rows are dealt in tiles; candidates leave a block as a forest, not as pairs. The texts of each component of
+    candidates then meet once (in tiles where they are many), and a pair within the limit is a link only if the
+    Jaccard of its shingles, taken exactly over their hashes, is least or more. t is a hash of the text, so that (key, t) names
+    a row up to exact repeats.
     """
     spark = docs.sparkSession
-    share = float(np.arccos(2 * least / (1 + least)) / np.pi)
-    most = int(share * 64 * WORDS)
+    most = candidate_limit(least)
+    share = most / (64 * WORDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([wide_fingerprint(t, width) for t in batch.column(2).to_pylist()], pa.binary())], ["doc", "t", "fp"])
 
     last = F.lit((1 << 63) - 1)
-    prints = table(docs.select(F.coalesce(F.col(key).cast("long"), last).alias("doc"), F.xxhash64("text").alias("t"), "text").mapInArrow(run, "doc long, t long, fp binary"), "prints")
-    distinct = table(prints.groupBy("fp").agg(F.min(F.struct("doc", "t")).alias("x")).select("fp", F.xxhash64("fp").alias("node"), F.col("x.doc").alias("doc")), "distinct")
+    texts = docs.select(F.coalesce(F.col(key).cast("long"), last).alias("doc"), F.xxhash64("text").alias("t"), "text")
+    prints = table(texts.mapInArrow(run, "doc long, t long, fp binary"), "prints")
+    distinct = table(prints.groupBy("fp").agg(F.min(F.struct("doc", "t")).alias("x")).select("fp", F.xxhash64("fp").alias("node"), "x.doc", "x.t"), "distinct")
 
     bits_each, samples = block_plan(distinct.count(), share)
     rng = np.random.default_rng(SEED)
@@ -184,28 +208,64 @@ def similar_texts(docs: DataFrame, width: int = 5, least: float = 0.8, key: str
     live = live.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).withColumns({"ta": F.least("tile", "other"), "tb": F.greatest("tile", "other")})
     live = live.join(distinct.select("node", "fp"), "node").withColumn("shard", F.pmod(F.xxhash64("k", "ta", "tb"), F.lit(4 * parts(spark))))
 
+    def grouped(own: pa.Table, by: list[str]) -> tuple[pa.Table, np.ndarray, np.ndarray, Iterator[tuple[int, int]]]:
+        own = own.sort_by([(c, "ascending") for c in [*by, "node"]])
+        keys = np.stack([own.column(c).to_numpy() for c in by])
+        words = np.frombuffer(b"".join(own.column("fp").to_pylist()), np.uint64).reshape(own.num_rows, WORDS)
+        start = np.flatnonzero(np.concatenate(([True], (keys[:, 1:] != keys[:, :-1]).any(axis=0))))
+        return own, own.column("node").to_numpy(), words, zip(start.tolist(), [*start[1:].tolist(), own.num_rows])
+
+    def within(words: np.ndarray) -> np.ndarray:
+        return sum(np.bitwise_count(words[:, None, k] ^ words[None, :, k]).astype(np.uint16) for k in range(WORDS)) <= most
+
     def links(own: pa.Table) -> pa.Table:
-        own = own.sort_by([("k", "ascending"), ("ta", "ascending"), ("tb", "ascending"), ("node", "ascending")])
-        key3 = np.stack([own.column(c).to_numpy() for c in ("k", "ta", "tb")])
-        node = own.column("node").to_numpy()
-        words = np.frombuffer(b"".join(own.column("fp").to_pylist()), np.uint64).reshape(len(node), WORDS)
-        start = np.flatnonzero(np.concatenate(([True], (key3[:, 1:] != key3[:, :-1]).any(axis=0))))
+        _, node, words, groups = grouped(own, ["k", "ta", "tb"])
         u, v = [], []
-        for a, b in zip(start, np.append(start[1:], len(node))):
+        for a, b in groups:
             if b - a == 2:
                 if np.bitwise_count(words[a] ^ words[a + 1]).sum() <= most:
                     u.append(node[a : a + 1])
                     v.append(node[a + 1 : b])
             elif b - a > 2:
-                near = sum(np.bitwise_count(words[a:b, None, k] ^ words[None, a:b, k]).astype(np.uint16) for k in range(WORDS)) <= most
-                name = forest(near)
+                name = forest(within(words[a:b]))
                 rows = np.flatnonzero(name != np.arange(len(name)))
                 u.append(node[a + rows])
                 v.append(node[a + name[rows]])
         join = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))
         return pa.Table.from_arrays([join(u), join(v)], ["u", "v"])
 
-    edges = live.select("shard", "k", "ta", "tb", "node", "fp").groupBy("shard").applyInArrow(links, "u long, v long")
+    candidates = connected_components(live.select("shard", "k", "ta", "tb", "node", "fp").groupBy("shard").applyInArrow(links, "u long, v long"))
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([shingle_set(t, width).tobytes() for t in batch.column(3).to_pylist()], pa.binary())], ["node", "component", "fp", "h"])
+
+    sought = distinct.join(candidates, "node").select("doc", "t", "node", "component", "fp")
+    sets = texts.join(sought, ["doc", "t"]).select("node", "component", "fp", "text").mapInArrow(hashes, "node long, component long, fp binary, h binary")
+    sets = table(sets.dropDuplicates(["node"]), "shingles")
+    sizes = sets.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum(F.length("h")) / TILE_BYTES)).alias("tiles"))
+    dealt = sets.join(sizes, "component").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).withColumns({"ta": F.least("tile", "other"), "tb": F.greatest("tile", "other")})
+    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("component", "ta", "tb"), F.lit(4 * parts(spark))))
+
+    def verify(own: pa.Table) -> pa.Table:
+        own, node, words, groups = grouped(own, ["component", "ta", "tb"])
+        raw, u, v = own.column("h"), [], []
+        for a, b in groups:
+            own_sets = [np.frombuffer(x, np.uint64) for x in raw.slice(a, b - a).to_pylist()]
+            near, name = within(words[a:b]), np.arange(b - a)
+            for i in range(1, b - a):
+                rest = np.flatnonzero(near[i, :i] & (name[:i] != name[i]))
+                while len(rest):
+                    j, rest = rest[0], rest[1:]
+                    if jaccard(own_sets[i], own_sets[j]) >= least:
+                        u.append(node[a + i])
+                        v.append(node[a + j])
+                        name[name == name[j]] = name[i]
+                        rest = rest[name[rest] != name[i]]
+        return pa.Table.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    edges = dealt.select("shard", "component", "ta", "tb", "node", "fp", "h").groupBy("shard").applyInArrow(verify, "u long, v long")
     components = connected_components(edges)
     named = table(distinct.join(components, "node", "left").select("fp", "doc", F.coalesce("component", "node").alias("component")), "named")
     names = named.groupBy("component").agg(F.min("doc").alias("component_id"))

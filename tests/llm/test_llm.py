@@ -173,6 +173,34 @@ def test_similar_texts(spark, empty):
     assert simhash.similar_texts(empty).count() == 0
 
 
+def test_similar_texts_near_the_limit(spark):
+    """Pairs at 0.78 to 0.85, on both sides of 0.8, and a text that repeats a passage, against brute force."""
+    rows = []
+    for p in range(120):
+        base = words(320 + p, 1000 + p, 100_000)
+        other = base[:]
+        aim = (0.84, 0.82, 0.805, 0.79, 0.78)[p % 5]
+        changed = round((1 - aim) / (1 + aim) * len(base) / 5)
+        for k in range(changed):
+            other[20 + k * (len(base) - 40) // changed] = "changed"
+        rows += [(2 * p, " ".join(base)), (2 * p + 1, " ".join(other))]
+    passage = words(40, 5000, 100_000)
+    rows += [(1000, " ".join(passage * 20 + base)), (1001, " ".join(passage + base))]
+    grams = {d: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for d, w in ((d, t.split()) for d, t in rows)}
+    similarity = lambda a, b: len(grams[a] & grams[b]) / len(grams[a] | grams[b])
+    pairs = [similarity(2 * p, 2 * p + 1) for p in range(120)]
+    assert all(0.75 < s < 0.87 for s in pairs) and sum(0.8 <= s < 0.83 for s in pairs) > 20 and sum(0.77 < s < 0.8 for s in pairs) > 20
+    group = {d: d for d in grams}
+    for _ in range(3):
+        for a in grams:
+            for b in grams:
+                if a < b and similarity(a, b) >= 0.8:
+                    group[a] = group[b] = min(group[a], group[b])
+    assert group[1001] == group[1000]
+    got = {r.doc_id: r.component_id for r in simhash.similar_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == group
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 102), (100, 102), (7, 7), (None, 3)] + [(200, i) for i in range(201, 260)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
