@@ -34,7 +34,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    later = simhash.similar_texts(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"), F.col("t").alias("__t")).distinct()
+    later = simhash.similar_texts(docs).where("NOT first").select(F.col("doc_id").alias("__id"), F.col("t").alias("__t")).distinct()
     rows = docs.withColumn("__text", F.xxhash64("text"))
     first = rows.join(later, rows.doc_id.eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__t")), "left_anti")
     return first.dropDuplicates(["doc_id", "__text"]).select(*docs.columns)

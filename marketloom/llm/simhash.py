@@ -168,14 +168,14 @@ def wide_fingerprint(text: str | None, width: int = 5) -> bytes:
 
 
 def similar_texts(docs: DataFrame, width: int = 5, least: float = 0.8, key: str = "doc_id") -> DataFrame:
-    """Rows (key, t, component_id): texts whose shingles have a similarity (Jaccard) of least or more are linked.
+    """Rows (key, t, component_id, first): texts whose shingles have a similarity (Jaccard) of least or more are linked.
 
     Such texts differ in a share of acos(2s / (1 + s)) / pi of a fingerprint's bits on average. Pairs within candidate_limit
     are sought in blocks of sampled bits (block_plan), which miss a share MISSED of the pairs at that limit and fewer below. Blocks
     over TILE rows are dealt in tiles; candidates leave a block as a forest, not as pairs. The texts of each component of
     candidates then meet once (in tiles where they are many), and a pair within the limit is a link only if the
     Jaccard of its shingles, taken exactly over their hashes, is least or more. t is a hash of the text, so that (key, t) names
-    a row up to exact repeats.
+    a row up to exact repeats; first is true for the component's least (key, t) only, null keys being last.
     """
     spark = docs.sparkSession
     most = candidate_limit(least)
@@ -188,7 +188,7 @@ def similar_texts(docs: DataFrame, width: int = 5, least: float = 0.8, key: str
     last = F.lit((1 << 63) - 1)
     texts = docs.select(F.coalesce(F.col(key).cast("long"), last).alias("doc"), F.xxhash64("text").alias("t"), "text")
     prints = table(texts.mapInArrow(run, "doc long, t long, fp binary"), "prints")
-    distinct = table(prints.groupBy("fp").agg(F.min(F.struct("doc", "t")).alias("x")).select("fp", F.xxhash64("fp").alias("node"), "x.doc", "x.t"), "distinct")
+    distinct = table(prints.groupBy("fp").agg(F.min(F.struct("doc", "t")).alias("x")).select("fp", F.xxhash64("fp").alias("node"), "x.doc", "x.t", "x"), "distinct")
 
     bits_each, samples = block_plan(distinct.count(), share)
     rng = np.random.default_rng(SEED)
@@ -267,7 +267,8 @@ def similar_texts(docs: DataFrame, width: int = 5, least: float = 0.8, key: str
 
     edges = dealt.select("shard", "component", "ta", "tb", "node", "fp", "h").groupBy("shard").applyInArrow(verify, "u long, v long")
     components = connected_components(edges)
-    named = table(distinct.join(components, "node", "left").select("fp", "doc", F.coalesce("component", "node").alias("component")), "named")
-    names = named.groupBy("component").agg(F.min("doc").alias("component_id"))
-    lookup = named.join(names, "component").select("fp", "component_id")
-    return prints.join(lookup, "fp").select(F.when(F.col("doc") != last, F.col("doc")).alias(key), "t", "component_id")
+    named = table(distinct.join(components, "node", "left").select("fp", "x", F.coalesce("component", "node").alias("component")), "named")
+    names = named.groupBy("component").agg(F.min("x").alias("least"))
+    lookup = named.join(names, "component").select("fp", "least")
+    first = F.struct("doc", "t") == F.col("least")
+    return prints.join(lookup, "fp").select(F.when(F.col("doc") != last, F.col("doc")).alias(key), "t", F.col("least.doc").alias("component_id"), first.alias("first"))

@@ -434,3 +434,17 @@ def test_pipeline_edges(spark, tables):
             assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         assert kept.where("doc_id IS NULL OR doc_id = 1 OR doc_id = 3").count() == 0 and kept.count() <= 1
         P.STAGES[-1][1](spark, kept, tables).count()
+
+
+def test_near_copies_keeps_one_row(spark):
+    """Near copies whose ids are all null, and those whose smallest id is on several texts, leave one row each."""
+    import corpus_pipeline as P
+
+    def near(seed):
+        base = words(300, seed, 100_000)
+        return [" ".join(base[:k] + ["changed"] + base[k + 1 :]) for k in (50, 150, 250)]
+
+    rows = [(None, t) for t in near(61)] + [(7, t) for t in near(62)] + list(zip((8, 8, 9), near(63)))
+    for order in (rows, rows[::-1]):
+        kept = P.near_copies(spark, spark.createDataFrame(order, "doc_id long, text string"), "").collect()
+        assert sorted(str(r.doc_id) for r in kept) == ["7", "8", "None"]
