@@ -1,8 +1,10 @@
 """License scans: cosine of sparse TF-IDF vectors to templates, and inheritance from the nearest directory above.
 
-A file's header is each of its lines that names a license cue; a license file is a file whose whole text is close to a
-template. Terms are words and word pairs in lower case, weighted by log inverse frequency over the templates. The
-template with the best cosine wins where it reaches LEAST; equal cosines go to the first name. A file without a header
+A file's headers are its lines that name a license cue, each alone and joined over gaps of GAP lines at most; a license
+file is a file whose whole text is close to a template. A license has several templates: its text (license_texts/, where we
+have it), its standard header, its name and notices of one line. Terms are words but STOP and pairs of them in lower case,
+weighted by log inverse frequency over the templates. The template with the best cosine wins where it reaches LEAST; equal
+cosines go to the first name, and Proprietary gives way to any license that reaches LEAST. A file without a header
 of its own takes the license of the nearest license file in its directory or above, found by joining each file's
 ancestor directories with the directories that have license files.
 
@@ -16,6 +18,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,6 +31,12 @@ LEAST = 0.6
 LEAST_FILE = 0.5
 CUES = ("license", "licence", "copyright", "spdx", "permission", "redistribut", "public domain", "all rights reserved")
 TERM = re.compile(r"[a-z]+|\d+(?:\.\d+)*")
+#: Lines without a cue that may lie between two of a header, and lines after its last cue that it is tried with.
+GAP = 8
+TAILS = (0, 3, 16)
+STOP = frozenset("a an and any are as at be been for from has have if in is it its not of on or such that the their this to was were which will with you your".split())
+SPDX = re.compile(r"spdx-license-identifier:")
+#: Templates by license and, after a #, which of its templates it is.
 TEMPLATES = {
     "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -43,11 +52,42 @@ TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Proprietary": "Copyright. All rights reserved. No part may be reproduced without permission.",
+    "Proprietary#short": "All rights reserved.",
+    "Proprietary#copyright": "Copyright (c). All rights reserved.",
 }
+NAMES = {
+    "AGPL-3.0": "GNU Affero General Public License, version 3",
+    "Apache-2.0": "Apache License, Version 2.0",
+    "BSD-3-Clause": "BSD 3-Clause License",
+    "CC-BY-4.0": "Creative Commons Attribution 4.0 International License",
+    "CC-BY-NC-4.0": "Creative Commons Attribution-NonCommercial 4.0 International License",
+    "CC-BY-SA-4.0": "Creative Commons Attribution-ShareAlike 4.0 International License",
+    "CC0-1.0": "Creative Commons Zero 1.0 Universal, CC0, public domain dedication",
+    "GPL-2.0": "GNU General Public License, version 2",
+    "GPL-3.0": "GNU General Public License, version 3",
+    "ISC": "ISC License",
+    "LGPL-3.0": "GNU Lesser General Public License, version 3",
+    "MIT": "MIT License",
+    "MPL-2.0": "Mozilla Public License, version 2.0",
+}
+GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {} for more details. You should have received a copy of the {} along with this program. If not, see https://www.gnu.org/licenses/."
+for _name, _long in NAMES.items():
+    TEMPLATES[f"{_name}#name"] = _name
+    TEMPLATES[f"{_name}#long"] = f"Licensed under the {_long}."
+    TEMPLATES[f"{_name}#see"] = f"Licensed under the {_long} - see the LICENSE file for details."
+    if "GNU" in _long:
+        _kind, _version = _long.split(", version ")
+        TEMPLATES[f"{_name}#or-later"] = f"{_name}-or-later"
+        TEMPLATES[f"{_name}#only"] = f"{_name}-only"
+        TEMPLATES[f"{_name}#header"] = GNU.format(_kind, _version, _kind, _kind)
+TEMPLATES["Apache-2.0#header"] = "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."
+TEMPLATES["MPL-2.0#header"] = TEMPLATES["MPL-2.0"] + " If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+for _path in sorted(Path(__file__).with_name("license_texts").glob("*.txt")):
+    TEMPLATES[f"{_path.stem}#text"] = _path.read_text()
 
 
 def terms(text: str) -> Counter:
-    words = TERM.findall(text.lower())
+    words = [w for w in TERM.findall(text.lower()) if w not in STOP]
     return Counter(words) + Counter(f"{a} {b}" for a, b in zip(words, words[1:]))
 
 
@@ -83,13 +123,26 @@ def scan_text(text: str, templates: Templates) -> tuple[str | None, float, bool]
     """License, cosine, and whether the text is a license file."""
     low = text.lower()
     cues = [c for c in CUES if c in low]
-    lines = [line for line in low.split("\n") if any(c in line for c in cues)] if cues else []
-    if not lines:
+    split = low.split("\n") if cues else []
+    at = [i for i, line in enumerate(split) if any(c in line for c in cues)]
+    if not at:
         return None, 0.0, False
-    name, cosine = max((templates.best(line) for line in lines), key=lambda x: (x[1], [-ord(c) for c in x[0] or ""]))
+    lines, runs = [split[i] for i in at], [[at[0], at[0]]]
+    for i in at[1:]:
+        if i - runs[-1][1] <= GAP + 1:
+            runs[-1][1] = i
+        else:
+            runs.append([i, i])
+    joined = [" ".join(split[i : min(j + 1 + tail, len(split))]) for i, j in runs for tail in TAILS if j > i]
+    found = [templates.best(SPDX.sub("", header)) for header in dict.fromkeys(lines + joined)]
+    found = [((x or "").partition("#")[0] or None, y) for x, y in found]
+    name, cosine = max(found, key=lambda x: (x[1] >= LEAST and x[0] != "Proprietary", x[1], [-ord(c) for c in x[0] or ""]))
     if len(text) <= 20 * sum(map(len, lines)):  # cosines of much longer texts can't reach LEAST_FILE
         whole, close = templates.best(text)
         if close >= LEAST_FILE:
+            whole = whole.partition("#")[0]
+            if whole == "Proprietary" != name and cosine >= LEAST:
+                whole, close = name, cosine
             return whole, max(close, cosine if name == whole else close), True
     return (name, cosine, False) if cosine >= LEAST else (None, cosine, False)
 

@@ -390,6 +390,29 @@ def test_licenses(spark):
     assert got == {0: ("MIT", "file", None), 1: ("MIT", "inherited", "a"), 2: ("Apache-2.0", "header", None), 3: (None, "none", None), 4: (None, "none", None), 5: (None, "none", None), 6: (None, "none", None)}
 
 
+def test_license_texts_and_headers():
+    own = licenses.Templates(licenses.TEMPLATES)
+    name = lambda text: licenses.scan_text(text, own)[::2]
+    code = "\nx = compute(y)" * 300
+    for path in (licenses.Path(licenses.__file__).parent / "license_texts").glob("*.txt"):
+        assert name("Copyright (c) 2021 Some One\n\n" + path.read_text()) == (path.stem, True)
+        if path.stem in ("MIT", "ISC", "BSD-3-Clause"):
+            assert name("\n".join(f"# {x}" for x in path.read_text().split("\n")) + code * 8)[0] == path.stem
+    for known in licenses.NAMES:
+        assert name(f"// SPDX-License-Identifier: {known}\n{code}") == (known, False)
+    assert name(f"SPDX-License-Identifier: GPL-2.0-or-later{code}") == ("GPL-2.0", False)
+    assert name(f"SPDX-License-Identifier: Unlicense{code}") == (None, False)
+    assert name(f"This project is licensed under the MIT License - see the LICENSE file{code}") == ("MIT", False)
+    assert name(f"All rights reserved.{code}") == ("Proprietary", False)
+    assert name(f"licensed under the Example Foundation License{code}") == (None, False)
+    header = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU {}General Public License as published by
+# the Free Software Foundation, either version {} of the License, or
+# (at your option) any later version."""
+    for kind, version, known in (("", 2, "GPL-2.0"), ("", 3, "GPL-3.0"), ("Affero ", 3, "AGPL-3.0"), ("Lesser ", 3, "LGPL-3.0")):
+        assert name(header.format(kind, version) + code) == (known, False)
+
+
 def test_licenses_brute(spark):
     own = licenses.Templates(licenses.TEMPLATES)
     text = "Released under the MIT License, version 2."
