@@ -196,11 +196,12 @@ def similar_texts(docs: DataFrame, width: int = 5, least: float = 0.8, key: str
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = 1 << np.arange(bits_each, dtype=np.int64)
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for batch in (whole.slice(i, 512) for i in range(0, whole.num_rows, 512)):
                 bits = np.unpackbits(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(batch.num_rows, -1), axis=1)
                 keys = np.stack([bits[:, p].astype(np.int64) @ weight + (k << bits_each) for k, p in enumerate(picks)], axis=1)
-                yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(list(keys), pa.list_(pa.int64()))], ["node", "ks"])
+                ends = pa.array(np.arange(0, keys.size + 1, samples, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(1), pa.ListArray.from_arrays(ends, pa.array(keys.ravel()))], ["node", "ks"])
 
     keyed = distinct.select("fp", "node").mapInArrow(blocks, "node long, ks array<long>").select("node", F.explode("ks").alias("k"))
     sizes = keyed.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
