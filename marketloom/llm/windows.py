@@ -10,7 +10,7 @@ is a region, which holds all the run's content once. Regions are counted by (key
   suffix trees) finds the windows that they share.
 
 A key whose contents exceed SHARD_BYTES is dealt over several shards by content; their windows are merged afterwards by
-binary search in sorted digests, so no task holds an unbounded key.
+a sort by digest, so no task holds an unbounded key.
 """
 
 from __future__ import annotations
@@ -199,7 +199,7 @@ def solve(cuts: DataFrame, kind: Kind, solver: Solver, smaller: bool, shards: in
 
 
 def merge(windows: DataFrame, smaller: bool) -> DataFrame:
-    """Matched windows of keys dealt over several shards: the shards' sorted digests are searched in those of all."""
+    """Matched windows of keys dealt over several shards: the shards' packs of a digest range are sorted by digest."""
 
     def run(own: pa.Table) -> pa.Table:
         w = np.concatenate([np.frombuffer(zstandard.decompress(b), np.int64).reshape(7, -1) for b in own.column("windows").to_pylist()], axis=1)
