@@ -69,5 +69,22 @@ def short_lag(settled: Column, end: Column) -> Column:
     return F.date_diff(settled, end)
 
 
+def epoch_day(seconds: Column) -> Column:
+    """The UTC date of seconds since 1970."""
+    return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / 86400).cast("int"))
+
+
+def short_snapshot(payload: Column) -> Column:
+    """The newest short interest in a vendor's JSON: null without shares short.
+
+    pct_float is a fraction of the float, worked out from the float's shares where the vendor leaves it out; as_of is the settlement's UTC day.
+    """
+    j = F.from_json(payload, "sharesShort double, shortPercentOfFloat double, floatShares double, sharesShortPriorMonth double, shortRatio double, dateShortInterest long")
+    pct = F.coalesce(j.shortPercentOfFloat, ratio(j.sharesShort, j.floatShares))
+    as_of = epoch_day(F.nullif(j.dateShortInterest, F.lit(0)))
+    return F.when(F.coalesce(j.sharesShort, F.lit(0.0)) != 0, F.struct(pct.alias("pct_float"), j.sharesShort.alias("shares_short"), j.sharesShortPriorMonth.alias("prior_shares_short"), j.shortRatio.alias("days_to_cover"), as_of.alias("as_of")))
+
+
 def bar_move(open_: Column, close: Column) -> Column:
+    """By how much a bar's close lies over its open."""
     return close - open_

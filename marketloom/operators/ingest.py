@@ -47,10 +47,68 @@ def rows_of_arrays(feed: DataFrame, arrays: list[str], keep: list[str]) -> DataF
     return feed.select(*keep, F.posexplode(F.arrays_zip(*arrays)).alias("pos", "x")).select(*keep, "pos", *(F.col(f"x.{a}").alias(a) for a in arrays))
 
 
+#: Forms that report a period, in the order in which equally near ones are taken (fixed values).
+FORM_PRIORITY = {"10-Q": 0, "10-K": 1, "20-F": 2, "6-K": 3}
+#: Forms that a discovery lists (fixed values).
+QUARTERLY_FORMS = ["10-Q", "10-K", "20-F"]
+
+
 def wanted_filings(filings: DataFrame, forms: list[str], since: Column) -> DataFrame:
     return filings.where(F.col("form").isin(forms) & F.col("period").isNotNull() & (F.col("filed") >= since))
 
 
+def nearest_filing(targets: DataFrame, filings: DataFrame, day: str, by: str = "sym", days: int = 30) -> DataFrame:
+    """For each target the filing (filed, form, pos) closest to its day, within days; equally near ones by FORM_PRIORITY, then by place.
+
+    filings has by, form, filed, block (0 the recent one, then the older) and pos, its place in the feed; an older block counts only
+    where those before have none within days.
+    """
+    from marketloom.operators.series import nearest
+
+    rank = F.create_map(*(F.lit(x) for pair in FORM_PRIORITY.items() for x in pair))[F.col("form")]
+    own = filings.where(F.col("form").isin(*FORM_PRIORITY) & F.col("filed").isNotNull())
+    got = nearest(targets, own, by, day, "filed", ["form", "pos"], days, [rank, F.col("pos")], [F.col("block")])
+    return got.withColumnsRenamed({"near_filed": "filed", "near_form": "form", "near_pos": "pos"})
+
+
+def filings_since(filings: DataFrame, since: Column, by: str = "sym") -> DataFrame:
+    """Quarterly and annual filings of a period on or after a day, newest first; older blocks only where the recent one doesn't reach back beyond it."""
+    reach = filings.where("block = 0").groupBy(by).agg(F.min("filed").alias("__oldest"))
+    own = filings.join(reach, by, "left").where((F.col("block") == 0) | F.col("__oldest").isNull() | (F.col("__oldest") >= since)).drop("__oldest")
+    return wanted_filings(own, QUARTERLY_FORMS, since).orderBy(F.desc("filed"), by, "pos")
+
+
+def resolve_cik(tickers: DataFrame, listed: DataFrame) -> DataFrame:
+    """cik with ten digits of each ticker, in either case; listed has ticker, cik_str and pos, and its first entry of a ticker counts."""
+    first = listed.groupBy(F.upper("ticker").alias("__t")).agg(F.min_by("cik_str", "pos").alias("__c"))
+    return tickers.withColumn("__t", F.upper("ticker")).join(first, "__t", "left").withColumn("cik", F.lpad(F.col("__c").cast("string"), 10, "0")).drop("__t", "__c")
+
+
+def ordered_distinct(rows: DataFrame, by: list[str], value: str, order: str) -> DataFrame:
+    """Each value of by once, with its position in the order of its first row."""
+    from pyspark.sql import Window
+
+    first = rows.groupBy(*by, value).agg(F.min(order).alias("__first"))
+    return first.withColumn("position", F.row_number().over(Window.partitionBy(*by).orderBy("__first", value))).drop("__first")
+
+
+def heal_tail(bars: DataFrame, probes: DataFrame, by: str = "sym", at: str = "d") -> DataFrame:
+    """Bars with a close, and for each day after a symbol's last of these that came without one the bar that a probe of that day alone gave."""
+    kept = bars.where("c IS NOT NULL AND NOT isnan(c)")
+    last = kept.groupBy(by).agg(F.max(at).alias("__last"))
+    open_days = bars.where("c IS NULL OR isnan(c)").select(by, at).distinct().join(last, by).where(F.col(at) > F.col("__last")).select(by, at)
+    healed = probes.where("c IS NOT NULL AND NOT isnan(c)").join(open_days, [by, at], "left_semi").dropDuplicates([by, at])
+    return kept.unionByName(healed.select(*bars.columns))
+
+
+def vendor_row(vendor: DataFrame, key: str = "sym") -> DataFrame:
+    """A vendor's aggregates (price, market_cap, revenue, free_cash_flow) as one wide row with multiples; price to flow needs a positive flow."""
+    from marketloom.functions.columns import ratio
+
+    pfcf = F.when(F.col("free_cash_flow") > 0, ratio(F.col("market_cap"), F.col("free_cash_flow")))
+    return vendor.select(key, F.lit("vendor").alias("origin"), "price", F.col("market_cap").alias("cap"), F.col("revenue").alias("ttm_revenue"), F.col("free_cash_flow").alias("ttm_fcf"), ratio(F.col("market_cap"), F.col("revenue")).alias("ps"), pfcf.alias("pfcf"))
+
+
 def jobs_missing(manifest: DataFrame, outputs: DataFrame, kinds: list[str]) -> DataFrame:
     """(ticker, day, kind, url) of links in the manifest whose output (path) doesn't exist."""
     links = manifest.unpivot(["ticker", "day"], kinds, "kind", "url").where("url IS NOT NULL")

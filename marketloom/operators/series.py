@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,6 +68,13 @@ def relative_volume(bars: DataFrame, unit: str, periods: list[int], by: str = "s
     return got.withColumn("trend", arrows(*(F.col(f"mean_{p}") for p in sorted(periods))))
 
 
+def with_live(snapshots: DataFrame, live: DataFrame, by: str = "sym") -> DataFrame:
+    """Snapshots in which a live price (by, start, live) takes the place of a period's last close, and of its return."""
+    got = snapshots.join(live.select(by, "start", "live"), [by, "start"], "left")
+    ret = F.when(F.col("live").isNotNull(), ratio(F.col("live"), F.col("first_close")) - 1).otherwise(F.col("ret"))
+    return got.withColumn("ret", ret).withColumn("last_close", F.coalesce("live", "last_close")).drop("live")
+
+
 def heuristic_flags(returns: DataFrame) -> DataFrame:
     """Flags of a current column: ret, market_ret, small_cap, volume_trend and price_trend give the array flags."""
     flag = F.array_compact(F.array(
@@ -95,18 +100,20 @@ def asof(targets: DataFrame, bars: DataFrame, by: str, target: str, at: str, val
     return mine.select(*targets.columns, F.col(f"__got.{at}").alias(f"bar_{at}"), *(F.col(f"__got.{v}").alias(f"bar_{v}") for v in values))
 
 
-def nearest(targets: DataFrame, others: DataFrame, by: str, target: str, at: str, values: list[str], days: int, priority: list[Column] | None = None) -> DataFrame:
+def nearest(targets: DataFrame, others: DataFrame, by: str, target: str, at: str, values: list[str], days: int, priority: list[Column] | None = None, first: list[Column] | None = None) -> DataFrame:
     """For each target the closest other row within days; ties go to the first by priority, else to the earlier.
 
+    Columns of first count before closeness: a row of a later one is taken only where there is none of an earlier.
+
     Dates are dealt in buckets of `days`, and each target looks in its own and the two beside it: an equi join.
     """
     bucket = lambda c: F.floor(F.unix_date(F.col(c)) / max(days, 1))
     keyed = targets.withColumn("__id", F.monotonically_increasing_id())
     left = keyed.withColumn("__b", F.explode(F.array(*(bucket(target) + i for i in (-1, 0, 1)))))
-    right = others.select(F.col(by), F.col(at).alias("__at"), F.struct(*values).alias("__v"), F.struct(*(priority or [F.col(at)])).alias("__p"), bucket(at).alias("__b"))
+    right = others.select(F.col(by), F.col(at).alias("__at"), F.struct(*values).alias("__v"), F.struct(*(priority or [F.col(at)])).alias("__p"), F.struct(*(first or [F.lit(0)])).alias("__f"), bucket(at).alias("__b"))
     gap = F.abs(F.date_diff("__at", target))
     found = left.join(right, [by, "__b"], "left").where(F.col("__at").isNull() | (gap <= days))
-    best = found.where("__at IS NOT NULL").groupBy("__id").agg(F.min_by(F.struct("__at", "__v"), F.struct(gap, "__p")).alias("__m"))
+    best = found.where("__at IS NOT NULL").groupBy("__id").agg(F.min_by(F.struct("__at", "__v"), F.struct("__f", gap, "__p")).alias("__m"))
     return keyed.join(best, "__id", "left").select(*targets.columns, F.col("__m.__at").alias(f"near_{at}"), *(F.col(f"__m.__v.{v}").alias(f"near_{v}") for v in values))
 
 
@@ -165,6 +172,13 @@ def provisional(cells: DataFrame, row: str, is_open: Column, by: str = "sym") ->
     return cells.withColumn("provisional", is_open & (F.col(row) == newest) & F.coalesce(F.col("slot") == last, F.lit(False)))
 
 
+def provisional_day(cells: DataFrame, row: str, now: Column, by: str = "sym") -> DataFrame:
+    """Marks today's weekday in the newest row of a week grid while the market is open; now is a UTC timestamp without zone."""
+    local = F.convert_timezone(F.lit("UTC"), F.lit("America/New_York"), now)
+    newest = F.max(row).over(Window.partitionBy(by))
+    return cells.withColumn("provisional", market_open(now) & (F.col(row) == newest) & (F.col("slot") == F.weekday(local)))
+
+
 def market_open(now: Column) -> Column:
     """Monday to Friday, 09:30 to 16:00 in New York, for a UTC timestamp without zone."""
     local = F.convert_timezone(F.lit("UTC"), F.lit("America/New_York"), now)
@@ -172,11 +186,18 @@ def market_open(now: Column) -> Column:
     return (F.weekday(local) < 5) & (clock >= "09:30") & (clock < "16:00")
 
 
-def quality_flags(bars: DataFrame, by: str = "sym", at: str = "d") -> DataFrame:
-    """Volumes under a fifth or over five times the median of positive ones, and gaps over 40 % against the close before."""
-    typical = bars.where("v > 0").groupBy(by).agg(F.median("v").alias("typical"))
+def quality_flags(bars: DataFrame, length: int | None = None, by: str = "sym", at: str = "d") -> DataFrame:
+    """The newest length bars of each series (or all), with thin and heavy volumes and jumps of the close.
+
+    Thin is under a fifth, heavy over five times the median of these bars' positive volumes; a jump is over 40 % from one of
+    these closes to the next.
+    """
+    own = bars
+    if length is not None:
+        own = bars.withColumn("__n", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(at)))).where(F.col("__n") <= length).drop("__n")
+    typical = own.where("v > 0").groupBy(by).agg(F.median("v").alias("typical"))
     before = F.lag("c").over(Window.partitionBy(by).orderBy(at))
-    flagged = bars.withColumn("gap", ratio(F.col("o"), before) - 1).join(typical, by, "left")
+    flagged = own.withColumn("gap", F.when(before > 0, F.col("c") / before - 1)).join(typical, by, "left")
     return flagged.withColumns({"thin": F.coalesce(F.col("v") < 0.2 * F.col("typical"), F.lit(False)), "heavy": F.coalesce(F.col("v") > 5 * F.col("typical"), F.lit(False)), "jump": F.coalesce(F.abs("gap") > 0.4, F.lit(False))})
 
 
@@ -191,14 +212,8 @@ def point_of_control(bars: DataFrame, as_of: Column, days: int, buckets: int = 1
     return best.select(by, F.when(F.col("hi") > F.col("lo"), F.col("lo") + (F.col("bucket") + 0.5) * width).alias("poc"))
 
 
-def benchmark_returns(snapshots: DataFrame, bridge: DataFrame, by: str = "sym") -> DataFrame:
-    """Each symbol's benchmarks in their order, with their returns: bridge has by, benchmarks (array)."""
+def benchmark_returns(snapshots: DataFrame, bridge: DataFrame, markets: DataFrame | None = None, by: str = "sym") -> DataFrame:
+    """Each symbol's benchmarks in their order, with their returns: bridge has by, benchmarks (array); markets are other snapshots that hold these."""
     spread = bridge.select(by, F.posexplode("benchmarks").alias("pos", "benchmark"))
-    other = snapshots.select(F.col(by).alias("benchmark"), "start", F.col("ret").alias("benchmark_ret"))
+    other = (snapshots if markets is None else markets).select(F.col(by).alias("benchmark"), "start", F.col("ret").alias("benchmark_ret"))
     return snapshots.join(spread, by).join(other, ["benchmark", "start"], "left").withColumn("excess", F.col("ret") - F.col("benchmark_ret"))
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
-
-

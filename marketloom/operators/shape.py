@@ -111,10 +111,26 @@ def match_bars(matches: DataFrame, bars: DataFrame, m: int, forward: int, by: st
     return spread.join(numbered.select(by, "bar_no", at, *CHANNELS), [by, "bar_no"])
 
 
-def projected(rows: DataFrame, query: Query) -> DataFrame:
-    """proj_c: closes of a match on the query's scale; a flat match lies at the query's mean."""
-    mean, std = fmean(query.values["c"]), pstdev(query.values["c"])
-    return rows.withColumn("proj_c", F.coalesce((F.col("c") - F.col("mean_c")) * F.try_divide(F.lit(std), F.nullif(F.col("std_c"), F.lit(0.0))) + mean, F.lit(mean)))
+def channel_maps(rows: DataFrame, query: Query, keys: list[str], channels: tuple[str, ...] = ("c", "v")) -> DataFrame:
+    """gain_<channel> and offset_<channel>: value * gain + offset takes a match's channel onto the query's scale; null for a flat match.
+
+    rows are match_bars(); a channel's scale is that of its own window, positions up to 0.
+    """
+    over = Window.partitionBy(*keys)
+    inside = lambda c: F.when(F.col("pos") <= 0, F.col(c))
+    out = rows
+    for c in channels:
+        mean, std = fmean(query.values[c]), pstdev(query.values[c])
+        out = out.withColumns({f"__m_{c}": F.avg(inside(c)).over(over), f"__s_{c}": F.stddev_pop(inside(c)).over(over)})
+        gain = F.when(F.col(f"__s_{c}") >= 1e-10, F.lit(std) / F.col(f"__s_{c}"))
+        out = out.withColumn(f"gain_{c}", gain).withColumn(f"offset_{c}", F.lit(mean) - F.col(f"__m_{c}") * F.col(f"gain_{c}")).drop(f"__m_{c}", f"__s_{c}")
+    return out
+
+
+def projected(rows: DataFrame, query: Query, keys: list[str] | None = None, channels: tuple[str, ...] = ("c", "v")) -> DataFrame:
+    """proj_<channel>: a match's channels on the query's scale, with their maps; a flat match lies at the query's mean."""
+    mapped = channel_maps(rows, query, keys or ["sym"], channels)
+    return mapped.withColumns({f"proj_{c}": F.coalesce(F.col(c) * F.col(f"gain_{c}") + F.col(f"offset_{c}"), F.when(F.col(c).isNotNull(), F.lit(fmean(query.values[c])))) for c in channels})
 
 
 def forward_returns(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -123,10 +139,22 @@ def forward_returns(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn("ret", F.when(base != 0, F.col("c") / base - 1))
 
 
-def bar_stats(rows: DataFrame, value: str) -> DataFrame:
-    """Mean, population deviation and variation by position."""
+def bar_stats(rows: DataFrame, value: str, query: Query | None = None, channel: str = "c") -> DataFrame:
+    """Mean, population deviation and variation by position; with a query also its own bar and the mean's difference from it, up to position 0."""
     got = rows.groupBy("pos").agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.count(value).alias("n"))
-    return got.withColumn("cv", F.when(F.abs("mean") >= 1e-12, F.col("std") / F.abs("mean") * 100))
+    got = got.withColumn("cv", F.when(F.abs("mean") >= 1e-12, F.col("std") / F.abs("mean") * 100))
+    if query is None:
+        return got
+    own = F.array(*(F.lit(float(x)) for x in query.values[channel]))
+    actual = F.when(F.col("pos") <= 0, F.get(own, F.col("pos") + (query.size - 1)))
+    return got.withColumn("actual", actual).withColumn("deviation", F.col("mean") - F.col("actual"))
+
+
+def scan_stats(bars: DataFrame, query: Query, found: DataFrame, by: str = "sym") -> DataFrame:
+    """One row: how many series there are, how many are long enough to be scanned, and how many matches were found."""
+    sizes = bars.groupBy(by).agg(F.count("*").alias("n")).select("n", F.lit(0).alias("match"))
+    both = sizes.unionByName(found.select(F.lit(0).cast("long").alias("n"), F.lit(1).alias("match")))
+    return both.agg(F.count_if(F.col("match") == 0).alias("series"), F.count_if((F.col("match") == 0) & (F.col("n") >= query.size)).alias("scanned"), F.count_if(F.col("match") == 1).alias("matched"))
 
 
 def return_bands(rows: DataFrame, edge: float = 0.01) -> DataFrame:

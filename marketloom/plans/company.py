@@ -8,22 +8,30 @@ from marketloom.functions import columns as C
 from marketloom.operators import fundamentals as Q
 from marketloom.operators import ingest as I
 from marketloom.operators import series as S
-from marketloom.plans.price import TARGETS
-from marketloom.plans.views import bars, hour_bars, query, quarters, read, view
+from marketloom.plans.views import bars, nation_bars, query, quarters, read, view
 
 FLOWS = ["ytd_ocf", "ytd_ppe", "ytd_software", "ytd_sbc"]
 view("alone", "SELECT *, " + ", ".join(f"CASE WHEN qn = 1 THEN {c} WHEN lag(qn) OVER w = qn - 1 THEN {c} - lag({c}) OVER w END AS q_{c}" for c in FLOWS) + " FROM quarters WINDOW w AS (PARTITION BY sym, fy ORDER BY qn)", ("quarters",))
-view("capex", "SELECT *, CASE WHEN ytd_ppe IS NULL AND ytd_software IS NULL THEN NULL ELSE (CASE WHEN ytd_ppe IS NULL THEN 0 ELSE q_ytd_ppe END) + (CASE WHEN ytd_software IS NULL THEN 0 ELSE q_ytd_software END) END AS capex_total FROM alone", ("alone",))
+view("capex", "SELECT *, (CASE WHEN ytd_ppe IS NULL THEN 0 ELSE q_ytd_ppe END) + (CASE WHEN ytd_software IS NULL THEN 0 ELSE q_ytd_software END) AS capex_total FROM alone", ("alone",))
 view("flows", "SELECT *, q_ytd_ocf - q_ytd_ppe AS fcf, q_ytd_ocf - capex_total AS fcf_strict, q_ytd_ocf - q_ytd_ppe - q_ytd_sbc AS fcf_ex_sbc, q_ytd_ocf - capex_total - q_ytd_sbc AS fcf_strict_ex_sbc FROM capex", ("capex",))
-TTM = lambda c, n=4: f"CASE WHEN count({c}) OVER (PARTITION BY sym ORDER BY end_date ROWS {n - 1} PRECEDING) = {n} THEN sum({c}) OVER (PARTITION BY sym ORDER BY end_date ROWS {n - 1} PRECEDING) END AS ttm_{c}"
-view("ttm", "SELECT *, " + ", ".join(map(TTM, ("revenue", "fcf", "fcf_strict"))) + " FROM flows", ("flows",))
-view("years", """SELECT sym, fy, count(DISTINCT qn) = 4 AS complete, nullif(sum(revenue), 0) AS revenue, max(ytd_ocf) FILTER (qn = 4) AS ocf, max(ytd_ppe) FILTER (qn = 4) AS ppe, coalesce(max(ytd_ppe) FILTER (qn = 4), 0) + coalesce(max(ytd_software) FILTER (qn = 4), 0) AS capex_total,
- max(ytd_sbc) FILTER (qn = 4) AS sbc, max(cash) FILTER (qn = 4) AS cash, max(shares) FILTER (qn = 4) AS shares, arg_max(fy_low, qn) FILTER (qn < 4 AND fy_low IS NOT NULL) AS guide_low, arg_max(fy_high, qn) FILTER (qn < 4 AND fy_low IS NOT NULL) AS guide_high FROM quarters GROUP BY 1, 2""", ("quarters",))
+ROWS = lambda n: f"OVER (PARTITION BY sym ORDER BY end_date ROWS {n - 1} PRECEDING)"
+TTM = lambda c, n=4: f"CASE WHEN count({c}) {ROWS(n)} = {n} AND count(revenue) {ROWS(n)} = {n} THEN sum({c}) {ROWS(n)} END"
+FREE = ["fcf", "fcf_strict", "fcf_ex_sbc", "fcf_strict_ex_sbc"]
+view("ttm", "SELECT *, " + ", ".join(f"{TTM(c)} AS ttm_{c}" for c in ["revenue", *FREE]) + f", {TTM('revenue', 3)} AS rev3 FROM flows", ("flows",))
+view("years", """SELECT sym, fy, count(DISTINCT qn) = 4 AS complete, nullif(sum(revenue), 0) AS revenue, max(ytd_ocf) FILTER (qn = 4) AS ocf, max(ytd_ppe) FILTER (qn = 4) AS ppe, CASE WHEN max(ytd_ppe) FILTER (qn = 4) IS NOT NULL OR max(ytd_software) FILTER (qn = 4) IS NOT NULL THEN coalesce(max(ytd_ppe) FILTER (qn = 4), 0) + coalesce(max(ytd_software) FILTER (qn = 4), 0) END AS capex_total,
+ max(ytd_sbc) FILTER (qn = 4) AS sbc, max(cash) FILTER (qn = 4) AS cash, max(shares) FILTER (qn = 4) AS shares, max(debt) FILTER (qn = 4) AS debt, max(shares_short) FILTER (qn = 4) AS shares_short, max(end_date) FILTER (qn = 4) AS end_date, max(report_date) FILTER (qn = 4) AS report_date, arg_max(est_low, qn) FILTER (qn < 4 AND est_low IS NOT NULL) AS est_low, arg_max(est_high, qn) FILTER (qn < 4 AND est_low IS NOT NULL) AS est_high, arg_max(fy_low, qn) FILTER (qn < 4 AND fy_low IS NOT NULL) AS guide_low, arg_max(fy_high, qn) FILTER (qn < 4 AND fy_low IS NOT NULL) AS guide_high FROM quarters GROUP BY 1, 2""", ("quarters",))
+
+
+LINES = {"ppe": "ytd_ppe", "software": "ytd_software"}
+
+
+def records(spark, sf_dir):
+    """Quarters with their capex lines as a map."""
+    return Q.family_of(quarters(spark, sf_dir), LINES)
 
 
 def flows(spark, sf_dir):
-    own = Q.standalone(quarters(spark, sf_dir), FLOWS)
-    return Q.free_cash_flow(Q.sum_present(own, {"ppe": "ytd_ppe", "software": "ytd_software"}))
+    return Q.quarter_flows(records(spark, sf_dir)).withColumn("q_ytd_software", F.col("q_ytd_capex")["software"])
 
 
 @query("standalone_quarter", "SELECT sym, fy, qn, " + ", ".join(f"q_{c}" for c in FLOWS) + " FROM alone", "alone")
@@ -36,19 +44,19 @@ def capex_family_sum(spark, sf_dir):
     return flows(spark, sf_dir).select("sym", "fy", "qn", "capex_lines", "capex_total")
 
 
-@query("ttm_window", "SELECT sym, fy, qn, ttm_revenue, ttm_fcf, ttm_fcf_strict FROM ttm", "ttm")
+@query("ttm_window", f"SELECT sym, fy, qn, ttm_revenue, {', '.join(f'ttm_{c}' for c in FREE)} FROM ttm", "ttm")
 def ttm_window(spark, sf_dir):
-    return Q.trailing(flows(spark, sf_dir), ["revenue", "fcf", "fcf_strict"]).select("sym", "fy", "qn", "ttm_revenue", "ttm_fcf", "ttm_fcf_strict")
+    return Q.trailing(flows(spark, sf_dir), ["revenue", *FREE]).select("sym", "fy", "qn", "ttm_revenue", *(f"ttm_{c}" for c in FREE))
 
 
-@query("fy_rollup", "SELECT sym, fy, complete, revenue, ocf, ppe, capex_total, sbc, cash, shares FROM years", "years")
+@query("fy_rollup", "SELECT sym, fy, complete, revenue, ocf, ppe, capex_total, sbc, cash, shares, debt, shares_short, end_date, report_date FROM years", "years")
 def fy_rollup(spark, sf_dir):
-    return Q.fiscal_years(quarters(spark, sf_dir)).drop("guide_low", "guide_high")
+    return Q.fiscal_years(records(spark, sf_dir)).drop("guide_low", "guide_high", "est_low", "est_high")
 
 
-@query("fy_guidance_last", "SELECT sym, fy, guide_low, guide_high FROM years", "years")
+@query("fy_guidance_last", "SELECT sym, fy, guide_low, guide_high, est_low, est_high FROM years", "years")
 def fy_guidance_last(spark, sf_dir):
-    return Q.fiscal_years(quarters(spark, sf_dir)).select("sym", "fy", "guide_low", "guide_high")
+    return Q.fiscal_years(records(spark, sf_dir)).select("sym", "fy", "guide_low", "guide_high", "est_low", "est_high")
 
 
 YOY = lambda c: f"(a.{c} - b.{c}) / nullif(abs(b.{c}), 0) AS {c}_yoy"
@@ -62,56 +70,72 @@ def yoy_growth(spark, sf_dir):
 MID = "((least({0}_low, {0}_high) + greatest({0}_low, {0}_high)) / 2)"
 
 
-@query("guidance_nq_accuracy", f"SELECT a.sym, a.fy, a.qn, b.revenue / {MID.format('a.nq')} - 1 AS accuracy FROM quarters a LEFT JOIN quarters b ON a.sym = b.sym AND a.fy * 4 + a.qn + 1 = b.fy * 4 + b.qn", "quarters")
+view("shown", """SELECT sym, fy, qn, is_fy, row_number() OVER (PARTITION BY sym ORDER BY fy DESC, is_fy DESC, qn DESC) AS position FROM (
+ SELECT q.sym, q.fy, q.qn, 0 AS is_fy FROM quarters q JOIN (SELECT sym, max(fy) AS last, list(fy) AS shown FROM top GROUP BY 1) t ON q.sym = t.sym AND (list_contains(shown, q.fy) OR q.fy > last) UNION ALL SELECT sym, fy, 0, 1 FROM top)""".replace("FROM top", "FROM (SELECT sym, fy FROM (SELECT sym, fy, row_number() OVER (PARTITION BY sym ORDER BY fy DESC) AS r FROM years WHERE complete) WHERE r <= 2)"), ("quarters", "years"))
+view("shownq", "SELECT q.* FROM quarters q SEMI JOIN shown s ON q.sym = s.sym AND q.fy = s.fy AND q.qn = s.qn", ("shown",))
+
+
+@query("guidance_nq_accuracy", f"SELECT a.sym, a.fy, a.qn, b.revenue / {MID.format('a.nq')} - 1 AS accuracy FROM shownq a LEFT JOIN shownq b ON a.sym = b.sym AND a.fy * 4 + a.qn + 1 = b.fy * 4 + b.qn", "shownq")
 def guidance_nq_accuracy(spark, sf_dir):
-    return Q.next_quarter_accuracy(quarters(spark, sf_dir)).select("sym", "fy", "qn", "accuracy")
+    own = quarters(spark, sf_dir)
+    return Q.next_quarter_accuracy(own, Q.display_columns(own)).select("sym", "fy", "qn", "accuracy")
 
 
 @query("guidance_fy_accuracy", f"SELECT a.sym, a.fy, a.qn, y.revenue / {MID.format('a.fy')} - 1 AS accuracy FROM quarters a LEFT JOIN years y ON a.sym = y.sym AND y.complete AND y.fy = a.fy + CASE WHEN a.qn = 4 THEN 1 ELSE 0 END", "quarters years")
 def guidance_fy_accuracy(spark, sf_dir):
-    return Q.year_accuracy(quarters(spark, sf_dir)).select("sym", "fy", "qn", "accuracy")
+    return Q.year_accuracy(records(spark, sf_dir)).select("sym", "fy", "qn", "accuracy")
 
 
-@query("display_columns", """SELECT sym, fy, qn, is_fy, row_number() OVER (PARTITION BY sym ORDER BY fy DESC, is_fy DESC, qn DESC) AS position FROM (
- SELECT q.sym, q.fy, q.qn, 0 AS is_fy FROM quarters q JOIN (SELECT sym, max(fy) AS last, list(fy) AS shown FROM top GROUP BY 1) t ON q.sym = t.sym AND (list_contains(shown, q.fy) OR q.fy > last) UNION ALL SELECT sym, fy, 0, 1 FROM top)""".replace("FROM top", "FROM (SELECT sym, fy FROM (SELECT sym, fy, row_number() OVER (PARTITION BY sym ORDER BY fy DESC) AS r FROM years WHERE complete) WHERE r <= 2)"), "quarters years")
+@query("display_columns", "SELECT * FROM shown", "shown")
 def display_columns(spark, sf_dir):
     return Q.display_columns(quarters(spark, sf_dir))
 
 
-FX = "CASE currency WHEN 'EUR' THEN 0.875 WHEN 'CNY' THEN 7.25 ELSE 1.0 END"
+FX = "CASE upper(currency) WHEN 'EUR' THEN 0.875 WHEN 'CNY' THEN 7.25 WHEN 'RMB' THEN 7.25 ELSE 1.0 END"
 MULT = "CASE unit WHEN 'millions' THEN 1e6 WHEN 'units' THEN 1.0 ELSE 1e3 END"
-view("priced", f"SELECT t.*, b.c AS price, {MULT} AS mult, {FX} AS fx FROM ttm t ASOF LEFT JOIN bars b ON t.sym % 5 = b.sym AND t.end_date >= b.d", ("ttm", "bars"))
+CAP = "nullif(price * shares * mult, 0)"
+view("priced", f"SELECT *, {CAP} AS cap, mult / fx AS factor FROM (SELECT t.*, b.c AS price, {MULT} AS mult, CAST({FX} AS DOUBLE) AS fx FROM ttm t ASOF LEFT JOIN nbars b ON t.sym = b.sym AND t.report_date >= b.d)", ("ttm", "nbars"))
+PFCF = lambda c, n: f"CASE WHEN ttm_fcf IS NOT NULL AND ttm_{c} * factor > 0 THEN cap / (ttm_{c} * factor) END AS {n}"
+MULTIPLES = "cap / nullif(ttm_revenue * factor, 0) AS ps, " + ", ".join(PFCF(c, n) for c, n in zip(FREE, ("pfcf", "pfcf_strict", "pfcf_ex_sbc", "pfcf_strict_ex_sbc")))
+RANGE = lambda p, n, base="0.0": f"cap / nullif(({base} + greatest({p}_low, {p}_high)) * factor, 0) AS {n}_low, cap / nullif(({base} + least({p}_low, {p}_high)) * factor, 0) AS {n}_high"
+RANGES = ", ".join((RANGE("nq", "nq_ps", "rev3"), RANGE("fy", "fy_ps"), RANGE("est", "est_ps")))
+FORWARD = [f"{n}_{end}" for n in ("nq_ps", "fy_ps", "est_ps") for end in ("low", "high")]
 
 
 def with_fx(df):
     rates = df.sparkSession.createDataFrame([("EUR", 0.875), ("CNY", 7.25)], "currency string, rate double")
-    return df.join(F.broadcast(rates), "currency", "left").withColumns({"fx": F.coalesce("rate", F.lit(1.0)), "mult": Q.money_factor(F.col("unit"))}).drop("rate")
+    return Q.with_fx(df, rates)
 
 
 def priced(spark, sf_dir):
-    own = with_fx(Q.trailing(flows(spark, sf_dir), ["revenue", "fcf", "fcf_strict"])).withColumn("market", F.col("sym") % 5)
-    return S.asof(own, bars(spark, sf_dir).withColumnRenamed("sym", "market"), "market", "end_date", "d", ["c"]).withColumnRenamed("bar_c", "price")
+    return Q.priced_quarters(with_fx(records(spark, sf_dir)), nation_bars(spark, sf_dir))
 
 
-@query("fx_unit_normalize", "SELECT sym, fy, qn, revenue * mult / fx AS revenue_usd, price * shares * mult AS cap FROM priced", "priced")
+@query("fx_unit_normalize", "SELECT sym, fy, qn, fx, mult, cash * factor AS cash_value, debt * factor AS debt_value, cap, price IS NOT NULL AS show_val FROM priced", "priced")
 def fx_unit_normalize(spark, sf_dir):
-    return priced(spark, sf_dir).select("sym", "fy", "qn", (F.col("revenue") * F.col("mult") / F.col("fx")).alias("revenue_usd"), (F.col("price") * F.col("shares") * F.col("mult")).alias("cap"))
+    return priced(spark, sf_dir).select("sym", "fy", "qn", "fx", "mult", "cash_value", "debt_value", "cap", "show_val")
 
 
-@query("valuation_multiples", "SELECT sym, fy, qn, price * shares / nullif(ttm_revenue / fx, 0) AS ps, CASE WHEN ttm_fcf / fx > 0 THEN price * shares / (ttm_fcf / fx) END AS pfcf, CASE WHEN ttm_fcf_strict / fx > 0 THEN price * shares / (ttm_fcf_strict / fx) END AS pfcf_strict FROM priced", "priced")
+@query("valuation_multiples", f"SELECT sym, fy, qn, {MULTIPLES} FROM priced", "priced")
 def valuation_multiples(spark, sf_dir):
-    cap, usd = F.col("price") * F.col("shares"), lambda c: F.col(c) / F.col("fx")
-    return priced(spark, sf_dir).select("sym", "fy", "qn", C.ratio(cap, usd("ttm_revenue")).alias("ps"), Q.multiple(cap, usd("ttm_fcf")).alias("pfcf"), Q.multiple(cap, usd("ttm_fcf_strict")).alias("pfcf_strict"))
+    return priced(spark, sf_dir).select("sym", "fy", "qn", "ps", "pfcf", "pfcf_strict", "pfcf_ex_sbc", "pfcf_strict_ex_sbc")
 
 
-REV3 = TTM("revenue", 3).rsplit(" AS ", 1)[0]
+@query("forward_ps_range", f"SELECT sym, fy, qn, {RANGES} FROM priced", "priced")
+def forward_ps_range(spark, sf_dir):
+    return priced(spark, sf_dir).select("sym", "fy", "qn", *FORWARD)
 
 
-@query("forward_ps_range", f"SELECT sym, fy, qn, price * shares / nullif((rev3 + nq_high) / fx, 0) AS ps_low, price * shares / nullif((rev3 + nq_low) / fx, 0) AS ps_high FROM (SELECT *, {REV3} AS rev3 FROM priced)", "priced")
-def forward_ps_range(spark, sf_dir):
-    own = Q.trailing(priced(spark, sf_dir).drop("ttm_revenue"), ["revenue"], 3)
-    cap, at = F.col("price") * F.col("shares"), lambda c: (F.col("ttm_revenue") + F.col(c)) / F.col("fx")
-    return own.select("sym", "fy", "qn", C.ratio(cap, at("nq_high")).alias("ps_low"), C.ratio(cap, at("nq_low")).alias("ps_high"))
+LAST4 = "SELECT * FROM priced QUALIFY row_number() OVER (PARTITION BY sym ORDER BY end_date DESC) <= 4"
+SUMS = {"ttm_" + c: c for c in ["revenue", "q_ytd_ocf", "q_ytd_ppe", "q_ytd_sbc", *FREE]}
+view("today", f"SELECT *, nullif(price * shares * mult, 0) AS cap FROM (SELECT sym, {', '.join(f'CASE WHEN count({c}) = 4 THEN sum({c}) END AS {n}' for n, c in SUMS.items())} FROM ({LAST4}) GROUP BY 1) JOIN (SELECT sym, id, shares, rev3, nq_low, nq_high, fy_low, fy_high, est_low, est_high, mult, factor FROM priced QUALIFY row_number() OVER (PARTITION BY sym ORDER BY end_date DESC) = 1) USING (sym) LEFT JOIN (SELECT sym, arg_max(c, d) AS price FROM nbars GROUP BY 1) USING (sym)", ("priced",))
+
+
+@query("valuation_today", f"SELECT sym, id, cap, {', '.join(SUMS)}, {MULTIPLES}, {RANGES} FROM today", "today")
+def valuation_today(spark, sf_dir):
+    prices = nation_bars(spark, sf_dir).groupBy("sym").agg(F.max_by("c", "d").alias("price"))
+    got = Q.priced_today(with_fx(records(spark, sf_dir)), prices)
+    return got.select("sym", "id", "cap", *SUMS, "ps", "pfcf", "pfcf_strict", "pfcf_ex_sbc", "pfcf_strict_ex_sbc", *FORWARD)
 
 
 @query("fcf_margin", "SELECT sym, fy, qn, fcf, fcf_strict, fcf_ex_sbc, fcf_strict_ex_sbc, fcf / nullif(revenue, 0) AS fcf_margin FROM flows", "flows")
@@ -119,11 +143,11 @@ def fcf_margin(spark, sf_dir):
     return flows(spark, sf_dir).select("sym", "fy", "qn", "fcf", "fcf_strict", "fcf_ex_sbc", "fcf_strict_ex_sbc", "fcf_margin")
 
 
-view("settle", "SELECT c_nationkey AS sym, CAST(o_orderdate AS DATE) AS day, count(*) AS qty FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_custkey % 7 = 0 GROUP BY 1, 2")
+view("settle", "SELECT c_nationkey AS sym, CAST(o_orderdate AS DATE) AS day, count(*) AS qty FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2")
 
 
 def settlements(spark, sf_dir):
-    own = read(spark, sf_dir, "orders").where("o_custkey % 7 = 0").join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    own = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     return own.groupBy(F.col("c_nationkey").alias("sym"), F.col("o_orderdate").cast("date").alias("day")).agg(F.count("*").alias("qty"))
 
 
@@ -142,7 +166,7 @@ def nearest_settlement(spark, sf_dir):
 
 @query("short_pct_lag", "SELECT sym, fy, qn, shares_short / nullif(shares, 0) * 100 AS pct, CAST(settled - end_date AS INT) AS lag FROM short", "short")
 def short_pct_lag(spark, sf_dir):
-    return shorts(spark, sf_dir).select("sym", "fy", "qn", (C.ratio(F.col("shares_short"), F.col("shares")) * 100).alias("pct"), C.short_lag(F.col("settled"), F.col("end_date")).alias("lag"))
+    return shorts(spark, sf_dir).select("sym", "fy", "qn", Q.short_share(F.col("shares_short"), F.col("shares")).alias("pct"), C.short_lag(F.col("settled"), F.col("end_date")).alias("lag"))
 
 
 SPLITS = [(0, "1995-06-30", 2.0), (0, "1996-03-01", 0.05), (1, "1994-01-15", 3.0), (2, "1997-07-01", 4.0), (2, "1997-07-02", 0.5)]
@@ -153,26 +177,60 @@ def splits(spark):
     return spark.createDataFrame(SPLITS, "sym int, effective string, split double").withColumn("effective", F.to_date("effective"))
 
 
-@query("split_adjust_short", "SELECT s.sym, s.fy, s.qn, coalesce(r.ratio, 1.0) AS ratio, s.qty * coalesce(r.ratio, 1.0) AS adjusted FROM short s LEFT JOIN (SELECT a.sym, fy, qn, product(split) AS ratio FROM short a JOIN splits p ON a.sym = p.sym AND p.effective > a.settled GROUP BY 1, 2, 3) r ON s.sym = r.sym AND s.fy = r.fy AND s.qn = r.qn", "short splits")
+view("adjusted", f"""SELECT *, CASE WHEN {MULT} > 1 THEN round_even(qty * ratio / ({MULT}), 3) ELSE round_even(qty * ratio, 0) END AS adjusted FROM (SELECT s.*, coalesce(r.ratio, 1.0) AS ratio FROM short s
+ LEFT JOIN (SELECT a.sym, fy, qn, product(split) AS ratio FROM short a JOIN splits p ON a.sym = p.sym AND p.effective > a.settled GROUP BY 1, 2, 3) r ON s.sym = r.sym AND s.fy = r.fy AND s.qn = r.qn)""", ("short", "splits"))
+
+
+def adjusted(spark, sf_dir):
+    """Quantities are scaled up, so that they count in thousands and millions."""
+    return Q.adjusted_short(Q.split_ratio(shorts(spark, sf_dir), splits(spark), "settled"))
+
+
+@query("split_adjust_short", "SELECT sym, fy, qn, ratio, adjusted FROM adjusted", "adjusted")
 def split_adjust_short(spark, sf_dir):
-    got = Q.split_ratio(shorts(spark, sf_dir), F.broadcast(splits(spark)), "settled")
-    return got.select("sym", "fy", "qn", "ratio", (F.col("qty") * F.col("ratio")).alias("adjusted"))
+    return adjusted(spark, sf_dir).select("sym", "fy", "qn", "ratio", "adjusted")
 
 
-@query("short_status", "SELECT sym, fy, qn, CASE WHEN sym % 6 = 0 THEN 'kept' WHEN end_date > DATE '1998-06-01' THEN 'pending' WHEN end_date < DATE '1993-01-01' THEN 'pre-listing' WHEN settled IS NULL THEN 'no settlement' ELSE 'add' END AS status, coalesce(shares_short / shares > 0.5, false) AS implausible FROM short", "short")
+@query("short_status", "SELECT sym, fy, qn, CASE WHEN sym % 6 = 0 THEN 'kept' WHEN settled IS NOT NULL THEN 'add' WHEN end_date > DATE '1998-06-01' THEN 'pending' WHEN end_date < DATE '1993-01-01' THEN 'pre-listing' ELSE 'no settlement' END AS status, coalesce(ratio = 1.0 AND adjusted / shares > 0.5, false) AS implausible FROM adjusted", "adjusted")
 def short_status(spark, sf_dir):
     day = lambda s: F.lit(s).cast("date")
     status = Q.short_status(F.col("end_date"), day("1998-06-01"), day("1993-01-01"), F.col("settled"), F.when(F.col("sym") % 6 == 0, 1))
-    return shorts(spark, sf_dir).select("sym", "fy", "qn", status.alias("status"), F.coalesce(C.ratio(F.col("shares_short"), F.col("shares")) > 0.5, F.lit(False)).alias("implausible"))
+    return adjusted(spark, sf_dir).select("sym", "fy", "qn", status.alias("status"), Q.implausible_short(F.col("adjusted"), F.col("shares"), F.col("ratio")).alias("implausible"))
+
+
+FORM = "CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN '10-Q' WHEN '2' THEN '10-K' WHEN '3' THEN '20-F' WHEN '4' THEN '6-K' ELSE '8-K' END"
+view("feed", f"SELECT c_nationkey AS sym, {FORM} AS form, CAST(o_orderdate AS DATE) AS filed, CASE WHEN year(o_orderdate) % 2 = 0 THEN 0 ELSE 1 END AS block, o_orderkey AS pos FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_custkey % 2 = year(o_orderdate) % 2 OR month(o_orderdate) % 4 > 0")
+
+
+def feed(spark, sf_dir):
+    """Orders as filings: odd years lie in the older block; some months are filed by half of the customers only."""
+    own = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).where("c_custkey % 2 = year(o_orderdate) % 2 OR month(o_orderdate) % 4 > 0")
+    return own.select(F.col("c_nationkey").alias("sym"), F.expr(FORM).alias("form"), F.col("o_orderdate").cast("date").alias("filed"), F.when(F.year("o_orderdate") % 2 == 0, 0).otherwise(1).alias("block"), F.col("o_orderkey").alias("pos"))
 
 
-@query("nearest_filing_priority", """SELECT q.sym, q.fy, q.qn, x.r[1] AS filed, x.r[2] AS form FROM quarters q LEFT JOIN (SELECT q.sym, fy, qn, arg_min(row(f.day, f.form), row(abs(f.day - q.end_date), f.form, f.day)) AS r FROM quarters q JOIN (SELECT DISTINCT c_nationkey AS sym, CAST(o_orderdate AS DATE) AS day, o_orderpriority AS form FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_custkey % 31 = 0) f
- ON q.sym = f.sym AND abs(f.day - q.end_date) <= 30 GROUP BY 1, 2, 3) x ON q.sym = x.sym AND q.fy = x.fy AND q.qn = x.qn""", "quarters")
+@query("nearest_filing_priority", """SELECT q.sym, q.fy, q.qn, x.r[1] AS filed, x.r[2] AS form, x.r[3] AS pos FROM quarters q LEFT JOIN (SELECT q.sym, fy, qn, arg_min(row(f.filed, f.form, f.pos), row(f.block, abs(f.filed - q.end_date), CASE form WHEN '10-Q' THEN 0 WHEN '10-K' THEN 1 WHEN '20-F' THEN 2 ELSE 3 END, f.pos)) AS r FROM quarters q JOIN feed f
+ ON q.sym = f.sym AND f.form <> '8-K' AND abs(f.filed - q.end_date) <= 30 GROUP BY 1, 2, 3) x ON q.sym = x.sym AND q.fy = x.fy AND q.qn = x.qn""", "quarters feed")
 def nearest_filing_priority(spark, sf_dir):
-    feed = read(spark, sf_dir, "orders").where("o_custkey % 31 = 0").join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    feed = feed.select(F.col("c_nationkey").alias("sym"), F.col("o_orderdate").cast("date").alias("day"), F.col("o_orderpriority").alias("form")).distinct()
-    got = S.nearest(quarters(spark, sf_dir), feed, "sym", "end_date", "day", ["form"], 30, [F.col("form"), F.col("day")])
-    return got.select("sym", "fy", "qn", F.col("near_day").alias("filed"), F.col("near_form").alias("form"))
+    return I.nearest_filing(quarters(spark, sf_dir), feed(spark, sf_dir), "end_date").select("sym", "fy", "qn", "filed", "form", "pos")
+
+
+@query("filings_newest", "SELECT sym, form, filed, pos FROM feed f WHERE form IN ('10-Q', '10-K', '20-F') AND filed >= DATE '1994-06-01' AND (block = 0 OR sym IN (SELECT sym FROM feed WHERE block = 0 GROUP BY 1 HAVING min(filed) >= DATE '1994-06-01'))", "feed")
+def filings_newest(spark, sf_dir):
+    """Filings since a day; the older block counts only where the recent one ends after that day."""
+    return I.filings_since(feed(spark, sf_dir).withColumn("period", F.col("filed")), F.lit("1994-06-01").cast("date")).select("sym", "form", "filed", "pos")
+
+
+@query("cik_lookup", "SELECT c_custkey, lpad(CAST(k AS VARCHAR), 10, '0') AS cik FROM customer LEFT JOIN (SELECT c_mktsegment AS s, min(c_custkey) AS k FROM customer WHERE c_custkey % 5 > 0 GROUP BY 1) ON s = c_mktsegment")
+def cik_lookup(spark, sf_dir):
+    own = read(spark, sf_dir, "customer")
+    listed = own.where("c_custkey % 5 > 0").select(F.initcap("c_mktsegment").alias("ticker"), F.col("c_custkey").alias("cik_str"), F.col("c_custkey").alias("pos"))
+    return I.resolve_cik(own.select("c_custkey", F.lower("c_mktsegment").alias("ticker")), listed).select("c_custkey", "cik")
+
+
+@query("ordered_distinct", "SELECT c_nationkey, string_agg(c_mktsegment, ',' ORDER BY k) AS segments FROM (SELECT c_nationkey, c_mktsegment, min(c_custkey) AS k FROM customer GROUP BY 1, 2) GROUP BY 1")
+def ordered_distinct(spark, sf_dir):
+    got = I.ordered_distinct(read(spark, sf_dir, "customer"), ["c_nationkey"], "c_mktsegment", "c_custkey")
+    return got.groupBy("c_nationkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "c_mktsegment"))), lambda x: x.c_mktsegment), ",").alias("segments"))
 
 
 view("chain", "SELECT p_brand AS sym, DATE '2024-01-01' + CAST(p_partkey % 5 * 4 AS INT) AS expiry, CASE WHEN p_partkey % 2 = 0 THEN 'call' ELSE 'put' END AS side, p_size AS strike, max(p_retailprice / 10000) AS iv FROM part GROUP BY 1, 2, 3, 4")
@@ -211,10 +269,10 @@ def tail_equality(spark, sf_dir):
     return I.tails_differ(own, new, ["c"])
 
 
-@query("ledger_antijoin", "SELECT user_id, max(event_id) AS event_id FROM events WHERE event_id % 2 = 1 AND user_id NOT IN (SELECT user_id FROM events WHERE event_id % 499 = 0) GROUP BY 1")
+@query("ledger_antijoin", "SELECT user_id, max(event_id) AS event_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 90) GROUP BY 1")
 def ledger_antijoin(spark, sf_dir):
-    events = read(spark, sf_dir, "events").select("user_id", "event_id")
-    return I.unseen(events.where("event_id % 2 = 1"), events.where("event_id % 499 = 0"), "user_id", [F.col("event_id")])
+    events = read(spark, sf_dir, "events")
+    return I.unseen(events.select("user_id", "event_id"), events.where("event_type = 'purchase' AND value > 90"), "user_id", [F.col("event_id")])
 
 
 @query("merge_existing_wins", "SELECT coalesce(a.sym, b.sym) AS sym, coalesce(a.fy, b.fy) AS fy, coalesce(a.qn, b.qn) AS qn, coalesce(a.nq_low, b.nq_low) AS nq_low FROM (SELECT * FROM quarters WHERE fy < 1997) a FULL JOIN (SELECT sym, fy, qn, revenue AS nq_low FROM quarters WHERE fy > 1994) b ON a.sym = b.sym AND a.fy = b.fy AND a.qn = b.qn", "quarters")

@@ -71,19 +71,19 @@ for unit, back in (("week", "INTERVAL 7 DAY"), ("month", "INTERVAL 1 MONTH")):
         return last.select("sym", F.explode(S.recent_periods(F.col("last"), unit)).alias("start"))
 
 
-TARGETS = "(SELECT DISTINCT sym, CAST(end_date AS DATE) AS day FROM quarters WHERE sym < 5)"
+TARGETS = "(SELECT DISTINCT sym, CAST(end_date AS DATE) AS day FROM quarters)"
 
 
-@query("asof_backward_close", f"SELECT t.sym, t.day, b.d AS bar_d, b.c AS bar_c FROM {TARGETS} t ASOF LEFT JOIN bars b ON t.sym = b.sym AND t.day >= b.d", "bars quarters")
+@query("asof_backward_close", f"SELECT t.sym, t.day, b.d AS bar_d, b.c AS bar_c FROM {TARGETS} t ASOF LEFT JOIN nbars b ON t.sym = b.sym AND t.day >= b.d", "nbars quarters")
 def asof_backward_close(spark, sf_dir):
-    targets = quarters(spark, sf_dir).where("sym < 5").select("sym", F.col("end_date").alias("day")).distinct()
-    return S.asof(targets, bars(spark, sf_dir), "sym", "day", "d", ["c"])
+    targets = quarters(spark, sf_dir).select("sym", F.col("end_date").alias("day")).distinct()
+    return S.asof(targets, nation_bars(spark, sf_dir), "sym", "day", "d", ["c"])
 
 
 @query("asof_forward_bar", f"SELECT t.sym, t.day, b.d AS bar_d, b.bar_no AS bar_bar_no FROM {TARGETS} t ASOF LEFT JOIN numbered b ON t.sym = b.sym AND t.day <= b.d", "numbered quarters")
 def asof_forward_bar(spark, sf_dir):
-    targets = quarters(spark, sf_dir).where("sym < 5").select("sym", F.col("end_date").alias("day")).distinct()
-    return S.asof(targets, S.number_bars(bars(spark, sf_dir)), "sym", "day", "d", ["bar_no"], forward=True)
+    targets = quarters(spark, sf_dir).select("sym", F.col("end_date").alias("day")).distinct()
+    return S.asof(targets, S.number_bars(nation_bars(spark, sf_dir)), "sym", "day", "d", ["bar_no"], forward=True)
 
 
 view("windows", """SELECT e.sym, fy, qn, day, session, off, b.d AS bar_day, b.c, b.v FROM (SELECT a.*, n.bar_no + off AS want, off FROM announce a ASOF JOIN numbered n ON a.sym = n.sym AND a.day <= n.d, (SELECT CAST(unnest(range(-4, 6)) AS INT) AS off)) e
@@ -91,7 +91,7 @@ view("windows", """SELECT e.sym, fy, qn, day, session, off, b.d AS bar_day, b.c,
 
 
 def event_windows(spark, sf_dir):
-    return S.event_window(announcements(spark, sf_dir), bars(spark, sf_dir), 4, 5)
+    return S.event_window(announcements(spark, sf_dir), nation_bars(spark, sf_dir), 4, 5)
 
 
 @query("event_window_offsets", "SELECT sym, fy, qn, off, bar_day, c, v FROM windows", "windows")
@@ -126,12 +126,11 @@ def rvol(spark, sf_dir):
     return rounded(got.select("sym", "start", "rvol_5", "rvol_10", "rvol_20", "trend"), "rvol_5", "rvol_10", "rvol_20")
 
 
-@query("live_override", "SELECT m.sym, m.start, coalesce(x.live, m.last_close) AS price, round(coalesce(x.live, m.last_close) / m.first_close - 1, 9) AS ret FROM months m LEFT JOIN (SELECT sym, max(start) AS start, CAST(1000 + sym AS DOUBLE) AS live FROM months WHERE sym % 2 = 0 GROUP BY sym) x ON m.sym = x.sym AND m.start = x.start", "months")
+@query("live_override", "SELECT m.sym, m.start, coalesce(x.live, m.last_close) AS price, round(CASE WHEN x.live IS NOT NULL THEN x.live / m.first_close - 1 ELSE m.ret END, 9) AS ret FROM months m LEFT JOIN (SELECT sym, max(start) AS start, CAST(1000 + sym AS DOUBLE) AS live FROM months WHERE sym % 2 = 0 GROUP BY sym) x ON m.sym = x.sym AND m.start = x.start", "months")
 def live_override(spark, sf_dir):
     months = S.period_snapshot(bars(spark, sf_dir), "month")
     live = months.where("sym % 2 = 0").groupBy("sym").agg(F.max("start").alias("start")).withColumn("live", (F.col("sym") + 1000).cast("double"))
-    price = F.coalesce("live", "last_close")
-    return months.join(live, ["sym", "start"], "left").select("sym", "start", price.alias("price"), F.round(C.ratio(price, F.col("first_close")) - 1, 9).alias("ret"))
+    return S.with_live(months, live).select("sym", "start", F.col("last_close").alias("price"), F.round("ret", 9).alias("ret"))
 
 
 @query("trend_arrows", f"SELECT sym, d, {PAIR('o', 'c', 'h')} AS pair, CASE WHEN {PAIR('o', 'c', 'h')} = '↑↑' THEN 'green' WHEN {PAIR('o', 'c', 'h')} = '↓↓' THEN 'red' ELSE 'yellow' END AS colour FROM bars", "bars")
@@ -149,8 +148,7 @@ def benchmark_returns(spark, sf_dir):
     own = nation_bars(spark, sf_dir)
     bridge = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("sym"), F.array("n_regionkey", (F.col("n_regionkey") + 1) % 5).alias("benchmarks"))
     market = S.period_snapshot(bars(spark, sf_dir), "week")
-    got = S.period_snapshot(own, "week").join(bridge, "sym").select("sym", "start", "ret", F.posexplode("benchmarks").alias("pos", "benchmark"))
-    got = got.join(market.select(F.col("sym").alias("benchmark"), "start", F.col("ret").alias("benchmark_ret")), ["benchmark", "start"], "left").withColumn("excess", F.col("ret") - F.col("benchmark_ret"))
+    got = S.benchmark_returns(S.period_snapshot(own, "week"), bridge, market)
     return rounded(got.select("sym", "start", "pos", "benchmark", "ret", "benchmark_ret", "excess"), "ret", "benchmark_ret", "excess", digits=9)
 
 
@@ -195,7 +193,14 @@ def provisional_mask(spark, sf_dir):
     return S.provisional(cells, "day", S.market_open(F.lit("2024-01-30 15:00:00").cast("timestamp_ntz"))).select("sym", "day", "slot", "provisional")
 
 
-@query("quality_flags", """SELECT sym, d, coalesce(v < 0.2 * t, false) AS thin, coalesce(v > 5 * t, false) AS heavy, coalesce(abs(o / nullif(lag(c) OVER (PARTITION BY sym ORDER BY d), 0) - 1) > 0.4, false) AS jump
- FROM bars JOIN (SELECT sym, median(v) AS t FROM bars WHERE v > 0 GROUP BY 1) USING (sym)""", "bars")
+@query("provisional_week", "SELECT sym, week, CAST(slot AS INT) AS slot, week = max(week) OVER (PARTITION BY sym) AND slot = 1 AS provisional FROM wcells", "wcells")
+def provisional_week(spark, sf_dir):
+    now = F.lit("2024-01-30 15:00:00").cast("timestamp_ntz")
+    return S.provisional_day(S.grid_changes(week_grid(spark, sf_dir), "week", ["0", "1", "2", "3", "4"]), "week", now).select("sym", "week", "slot", "provisional")
+
+
+@query("quality_flags", """SELECT sym, d, coalesce(v < 0.2 * t, false) AS thin, coalesce(v > 5 * t, false) AS heavy, coalesce(abs(c / nullif(lag(c) OVER (PARTITION BY sym ORDER BY d), 0) - 1) > 0.4, false) AS jump
+ FROM (SELECT * FROM numbered QUALIFY row_number() OVER (PARTITION BY sym ORDER BY d DESC) <= 60) JOIN (SELECT sym, median(v) AS t FROM (SELECT * FROM numbered QUALIFY row_number() OVER (PARTITION BY sym ORDER BY d DESC) <= 60) WHERE v > 0 GROUP BY 1) USING (sym)""", "numbered")
 def quality_flags(spark, sf_dir):
-    return S.quality_flags(bars(spark, sf_dir)).select("sym", "d", "thin", "heavy", "jump")
+    """The newest 60 bars of each nation, as one would query them."""
+    return S.quality_flags(nation_bars(spark, sf_dir), 60).select("sym", "d", "thin", "heavy", "jump")

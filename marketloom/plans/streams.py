@@ -11,7 +11,7 @@ from marketloom.streaming import stores
 @query("stream_dedup", "SELECT DISTINCT user_id FROM events")
 def stream_dedup(spark, sf_dir):
     rows = stores.stream_of(spark, f"{sf_dir}/events.parquet").select("user_id", "ts")
-    return stores.ledger(rows, "user_id", "ts").select("user_id")
+    return stores.ledger(rows, "user_id").select("user_id")
 
 
 @query("stream_upsert", "SELECT event_type, user_id, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2")

@@ -6,15 +6,15 @@ import io
 import json
 import zipfile
 from collections.abc import Iterator
-from datetime import date, datetime
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-BAR = "o double, h double, l double, c double, v double"
+from marketloom.functions import columns as C
+
 LEDGER = "tweet_id string, timestamp string, screen_name string, name string, text string, likes long, retweets long, comments long, tweet_url string"
-MEMBER = "country string, segment string, ticker string, member string, d date, " + BAR
 #: Endings that exchanges add to a symbol (fixed values).
 SUFFIXES = (".us", ".jp", ".uk", ".hk", ".v", ".b")
 #: Path parts of the equity segments that a search covers by default (fixed values).
@@ -22,31 +22,35 @@ SEGMENTS = ("nasdaq stocks", "nyse stocks", "nysemkt stocks", "lse stocks", "lse
 
 
 def _file_symbol() -> Column:
-    return F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]+)", 1)
+    """A file's name without its ending; a symbol may hold dots."""
+    return F.regexp_replace(F.col("_metadata.file_name"), r"(?i)\.csv(\.gz)?$", "")
 
 
 def _last_row(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The physically last row of each key: the place in a file is the block's start, then the row's number within its partition."""
-    placed = rows.withColumn("__row", F.monotonically_increasing_id())
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("__row")))
-    return placed.withColumn("__n", n).where("__n = 1").drop("__n", "__row")
+    """The physically last row of each key in rows with _place(): by file, block and number within the partition, where a block's rows stand in order."""
+    n = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("__file"), F.desc("__block"), F.desc("__row")))
+    return rows.withColumn("__n", n).where("__n = 1").drop("__n", "__file", "__block", "__row")
+
+
+def _place() -> list[Column]:
+    return [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__row")]
 
 
 def daily_bars(spark: SparkSession, path: str) -> DataFrame:
     """<symbol>.csv files of Date,Open,High,Low,Close,Volume: (sym, d, o, h, l, c, v), the last row of a day; bad rows are left out whole."""
-    raw = spark.read.csv(path, header=True, schema="Date string, Open string, High string, Low string, Close string, Volume string").select("*", _file_symbol().alias("sym"))
+    raw = spark.read.csv(path, header=True, schema="Date string, Open string, High string, Low string, Close string, Volume string").select("*", _file_symbol().alias("sym"), *_place())
     number = lambda c: F.col(c).try_cast("double")
-    rows = raw.select("sym", F.try_to_date(F.substring("Date", 1, 10), "yyyy-MM-dd").alias("d"), *(number(a).alias(b) for a, b in zip(("Open", "High", "Low", "Close", "Volume"), "ohlcv")))
+    rows = raw.select("__file", "__block", "__row", "sym", F.try_to_date(F.substring("Date", 1, 10), "yyyy-MM-dd").alias("d"), *(number(a).alias(b) for a, b in zip(("Open", "High", "Low", "Close", "Volume"), "ohlcv")))
     return _last_row(rows.where("d IS NOT NULL AND c IS NOT NULL AND NOT isnan(c)"), ["sym", "d"])
 
 
 def hourly_bars(spark: SparkSession, path: str) -> DataFrame:
     """The same with Datetime in UTC in place of Date: (sym, ts, o, h, l, c, v)."""
-    raw = spark.read.csv(path, header=True, schema="Datetime string, Open string, High string, Low string, Close string, Volume string").select("*", _file_symbol().alias("sym"))
+    raw = spark.read.csv(path, header=True, schema="Datetime string, Open string, High string, Low string, Close string, Volume string").select("*", _file_symbol().alias("sym"), *_place())
     stamp = F.try_to_timestamp(F.concat(F.regexp_replace(F.substring("Datetime", 1, 19), "T", " "), F.lit(" UTC")), F.lit("yyyy-MM-dd HH:mm:ss z"))
     utc = F.convert_timezone(F.lit("UTC"), F.to_timestamp_ntz(F.regexp_replace(F.substring("Datetime", 1, 19), "T", " ")))
     number = lambda c: F.col(c).try_cast("double")
-    rows = raw.where(stamp.isNotNull()).select("sym", utc.alias("ts"), *(number(a).alias(b) for a, b in zip(("Open", "High", "Low", "Close", "Volume"), "ohlcv")))
+    rows = raw.where(stamp.isNotNull()).select("__file", "__block", "__row", "sym", utc.alias("ts"), *(number(a).alias(b) for a, b in zip(("Open", "High", "Low", "Close", "Volume"), "ohlcv")))
     return _last_row(rows.where("c IS NOT NULL AND v IS NOT NULL"), ["sym", "ts"])
 
 
@@ -65,19 +69,12 @@ def member_meta(name: str) -> tuple[str | None, str | None, str]:
     return (rest[0] if rest else None), (rest[1] if len(rest) > 1 else None), stem.upper()
 
 
-def _lines(data: bytes) -> Iterator[tuple[date, list[float]]]:
-    for line in data.decode("utf-8", errors="replace").splitlines():
-        cells = line.strip().split(",")
-        if len(cells) < 9 or line.startswith("<"):
-            continue
-        try:
-            yield datetime.strptime(cells[2], "%Y%m%d").date(), [float(x) for x in cells[4:9]]
-        except ValueError:
-            continue
-
+def archive_bars(spark: SparkSession, path: str, segments: tuple[str, ...] | None = SEGMENTS, countries: tuple[str, ...] | None = None, lines: int = 50_000) -> DataFrame:
+    """Bars of the text members of zip archives; country and segment are tested on a member's path before it is unpacked.
 
-def archive_bars(spark: SparkSession, path: str, segments: tuple[str, ...] | None = SEGMENTS, countries: tuple[str, ...] | None = None) -> DataFrame:
-    """Bars of the text members of zip archives; country and segment are tested on a member's path before it is unpacked."""
+    Members are streamed, so many lines at a time, and their lines are parsed by Spark; short, broken and header lines are left out. An
+    archive is one row of at most 2 GB, the most that a binary file may have.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,13 +87,16 @@ def archive_bars(spark: SparkSession, path: str, segments: tuple[str, ...] | Non
                         country, segment, ticker = member_meta(name)
                         if (segments and segment not in segments) or (countries and country not in countries):
                             continue
-                        rows = list(_lines(z.read(name)))
-                        if rows:
-                            n = len(rows)
-                            values = list(zip(*(v for _, v in rows)))
-                            yield pa.RecordBatch.from_arrays([pa.array([country] * n, pa.string()), pa.array([segment] * n, pa.string()), pa.array([ticker] * n), pa.array([name] * n), pa.array([d for d, _ in rows], pa.date32()), *(pa.array(v, pa.float64()) for v in values)], ["country", "segment", "ticker", "member", "d", *"ohlcv"])
+                        with io.TextIOWrapper(z.open(name), "utf-8", errors="replace") as text:
+                            while own := list(islice(text, lines)):
+                                n = len(own)
+                                yield pa.RecordBatch.from_arrays([pa.array([x] * n, pa.string()) for x in (country, segment, ticker, name)] + [pa.array(own)], ["country", "segment", "ticker", "member", "line"])
 
-    return files.mapInArrow(run, MEMBER)
+    rows = files.mapInArrow(run, "country string, segment string, ticker string, member string, line string")
+    cells = rows.where("line NOT LIKE '<%'").withColumn("x", F.split(F.trim(F.regexp_replace("line", r"[\r\n]+$", "")), ",")).where(F.size("x") >= 9)
+    number = lambda i: F.get("x", F.lit(i)).try_cast("double")
+    got = cells.select("country", "segment", "ticker", "member", F.try_to_date(F.get("x", F.lit(2)), "yyyyMMdd").alias("d"), *(number(i).alias(c) for i, c in zip(range(4, 9), "ohlcv")))
+    return got.where("d IS NOT NULL AND o IS NOT NULL AND h IS NOT NULL AND l IS NOT NULL AND c IS NOT NULL AND v IS NOT NULL")
 
 
 def yaml_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -113,10 +113,6 @@ def yaml_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return files.mapInArrow(run, "path string, json string").select("path", F.from_json("json", schema).alias("value"))
 
 
-SOURCES = "_meta struct<cik:string,home_exchange:string,home_ticker:string>"
-LINKS = "map<string,struct<quarter:string,period_end:string,report:string,report_type:string,letter:string,letter_type:string,transcript:string>>"
-
-
 def manifests(spark: SparkSession, path: str) -> DataFrame:
     """Source manifests: (path, cik with ten digits, day, and a struct of links)."""
     got = yaml_rows(spark, path, "map<string,string>").select("path", F.map_filter("value", lambda k, _: k != "_meta").alias("days"), F.from_json(F.col("value")["_meta"], "cik string").alias("meta"))
@@ -141,12 +137,42 @@ def capex_lines(records: DataFrame) -> DataFrame:
 
 
 def announcements(records: DataFrame) -> DataFrame:
-    """(path, id, day, session) of dated records in order; records with one of the two, or a bad one, are an error that names them."""
+    """(path, id, day, session) of dated records by day; records with one of the two, or a bad one, are an error that names all of a file's."""
     day = F.try_to_date(F.substring(F.col("record")["announce_date"], 1, 10), "yyyy-MM-dd")
     session = F.col("record")["announce_session"]
-    dated = records.where(F.col("record")["announce_date"].isNotNull()).select("path", F.col("record")["id"].alias("id"), day.alias("day"), session.alias("session"))
+    dated = records.where(F.col("record")["announce_date"].isNotNull() | session.isNotNull()).select("path", F.col("record")["id"].alias("id"), day.alias("day"), session.alias("session"))
     fine = F.coalesce(F.col("day").isNotNull() & F.col("session").isin("pre-open", "intraday", "after-close"), F.lit(False))
-    return dated.withColumn("day", F.when(fine, F.col("day")).otherwise(F.raise_error(F.concat(F.lit("no valid announcement: "), F.coalesce("id", F.lit("?")))).cast("date")))
+    bad = F.array_join(F.array_sort(F.collect_list(F.when(~fine, F.coalesce("id", F.lit("?")))).over(Window.partitionBy("path"))), ", ")
+    told = dated.withColumn("__bad", bad)
+    return told.withColumn("day", F.when(F.col("__bad") == "", F.col("day")).otherwise(F.raise_error(F.concat(F.lit("no valid announcement: "), "__bad")).cast("date"))).drop("__bad").orderBy("path", "day")
+
+
+#: Columns of the quarter table, their key in a record, and their type.
+RECORD = {
+    "id": ("id", "string"), "end_date": ("end_date", "date"), "report_date": ("report_date", "date"), "announce_date": ("announce_date", "date"), "announce_session": ("announce_session", "string"),
+    "revenue": ("revenue", "double"), "ytd_ocf": ("ytd_operating_cf", "double"), "ytd_sbc": ("ytd_sbc", "double"), "shares": ("shares_outstanding", "double"), "cash": ("cash", "double"), "debt": ("total_debt", "double"),
+    "shares_short": ("shares_short", "double"), "settled": ("short_settlement_date", "date"), "nq_low": ("guidance_nq_revenue_low", "double"), "nq_high": ("guidance_nq_revenue_high", "double"),
+    "fy_low": ("guidance_fy_revenue_low", "double"), "fy_high": ("guidance_fy_revenue_high", "double"), "nq_hint": ("guidance_nq_hint", "string"), "fy_hint": ("guidance_fy_hint", "string"),
+    "est_low": ("est_fy_revenue_low", "double"), "est_high": ("est_fy_revenue_high", "double"),
+}
+
+
+def quarter_table(spark: SparkSession, path: str) -> DataFrame:
+    """Quarter records as a typed table: sym (the file's folder), unit, currency, fy, qn, the columns of RECORD and ytd_capex, a map of lines.
+
+    A value that isn't of its type is null; a capex line with no value stays a line without value.
+    """
+    rows = capex_lines(quarters(spark, path)).withColumn("sym", F.regexp_extract(F.url_decode("path"), r"([^/]+)/[^/]+$", 1))
+    typed = [(F.try_to_date(F.substring(F.col("record")[k], 1, 10), "yyyy-MM-dd") if t == "date" else F.col("record")[k].try_cast(t)).alias(c) for c, (k, t) in RECORD.items()]
+    got = rows.select("sym", "unit", F.upper("currency").alias("currency"), *typed, "ytd_capex")
+    return got.withColumns({"fy": C.fiscal_year(F.col("id")), "qn": C.quarter_number(F.lower("id"))})
+
+
+def capex_names(quarters: DataFrame) -> DataFrame:
+    """(sym, lines): each symbol's distinct capex lines, plant first, then by name."""
+    names = quarters.select("sym", F.explode(F.map_keys("ytd_capex")).alias("line")).distinct()
+    own = names.groupBy("sym").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    return own.withColumn("lines", F.concat(F.filter("lines", lambda x: x == "ppe"), F.filter("lines", lambda x: x != "ppe")))
 
 
 def ledger(spark: SparkSession, path: str) -> DataFrame:

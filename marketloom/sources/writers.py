@@ -1,13 +1,48 @@
-"""DataFrames into stores: bar partitions, ledgers, documents, cached results."""
+"""DataFrames into stores: bar partitions, ledgers, documents, cached results; and small YAML files by hand."""
 
 from __future__ import annotations
 
+import re
+import time
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketloom.operators.ingest import tails_differ, upsert_bars
 
 
+def _file_system(spark: SparkSession, path: str):
+    """The file system of a path and the path, as the JVM has them."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def age(spark: SparkSession, path: str, now: float | None = None) -> float | None:
+    """Seconds since a file or folder, or the newest file in it, was written; None where there is none."""
+    fs, where = _file_system(spark, path)
+    if not fs.exists(where):
+        return None
+    newest, left = 0, [fs.getFileStatus(where)]
+    while left:
+        status = left.pop()
+        if status.isDirectory():
+            left.extend(fs.listStatus(status.getPath()))
+        newest = max(newest, status.getModificationTime())
+    return (time.time() if now is None else now) - newest / 1000
+
+
+def cooling(spark: SparkSession, path: str, minutes: float = 60, now: float | None = None) -> bool:
+    """Whether a ledger was refreshed less than so many minutes ago; never with zero minutes."""
+    old = age(spark, path, now) if minutes > 0 else None
+    return old is not None and old < 60 * minutes
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, where = _file_system(spark, path)
+    fs.delete(where, True)
+
+
 def write_bars(bars: DataFrame, path: str) -> None:
     """Bars in one folder a symbol; only the symbols that are written are replaced."""
     bars.repartition("sym").sortWithinPartitions("sym", "d").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sym").parquet(path)
@@ -22,13 +57,18 @@ def refresh_bars(spark: SparkSession, new: DataFrame, path: str, splits: DataFra
             raise
         write_bars(new, path)
         return new.select("sym").distinct().count()
-    changed = tails_differ(old, new, ["o", "h", "l", "c", "v"]).where("differences > 0").select("sym").cache()
+    changed = tails_differ(old, new, ["o", "h", "l", "c", "v"]).where("differences > 0").select("sym")
+    listed = f"{path.rstrip('/')}_changed"
+    changed.write.mode("overwrite").parquet(listed)
+    changed = spark.read.parquet(listed)
     count = changed.count()
     if count:
         merged = upsert_bars(old.join(changed, "sym", "left_semi").select(*new.columns), new.join(changed, "sym", "left_semi"), splits)
         staged = f"{path.rstrip('/')}_next"
         merged.write.mode("overwrite").parquet(staged)
         write_bars(spark.read.parquet(staged), path)
+        remove(spark, staged)
+    remove(spark, listed)
     return count
 
 
@@ -37,19 +77,53 @@ def append_ledger(records: DataFrame, path: str) -> None:
 
 
 def write_documents(docs: DataFrame, path: str) -> None:
-    """docs has name, title, source and body: one Markdown file row a document, a header block before its body."""
-    page = F.concat(F.lit("# "), F.col("title"), F.lit("\n\nSource: "), F.col("source"), F.lit("\n\n---\n\n"), F.col("body"))
-    docs.select("name", page.alias("value")).write.mode("overwrite").partitionBy("name").option("lineSep", "\n").text(path)
+    """docs has name and page (text.letter_file, report_file, transcript_file): one Markdown text a document, in a folder of its name."""
+    docs.select("name", F.regexp_replace("page", "\n$", "").alias("value")).write.mode("overwrite").partitionBy("name").option("lineSep", "\n").text(path)
 
 
-def cached(spark: SparkSession, path: str, key: str, make, refresh: bool = False) -> DataFrame:
-    """The result stored under key, or make()'s, which is then stored there."""
+def cached(spark: SparkSession, path: str, key: str, make: Callable[[], DataFrame], ttl: float | None = 3600, refresh: bool = False, now: float | None = None) -> DataFrame:
+    """The result stored under key, or make()'s, which is then stored there; entries older than ttl seconds (None: for ever) are removed first."""
     where = f"{path.rstrip('/')}/{key}"
-    if not refresh:
-        try:
-            return spark.read.parquet(where)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-    make().write.mode("overwrite").parquet(where)
+    prune(spark, path, ttl, now)
+    if refresh or age(spark, f"{where}/_SUCCESS", now) is None:
+        make().write.mode("overwrite").parquet(where)
     return spark.read.parquet(where)
+
+
+def prune(spark: SparkSession, path: str, ttl: float | None, now: float | None = None) -> int:
+    """Remove the entries of a cache that are older than ttl seconds; returns how many."""
+    fs, where = _file_system(spark, path)
+    if ttl is None or not fs.exists(where):
+        return 0
+    stale = [str(s.getPath()) for s in fs.listStatus(where) if (age(spark, str(s.getPath()), now) or 0) > ttl]
+    for p in stale:
+        remove(spark, p)
+    return len(stale)
+
+
+def write_yaml(path: str, value: dict) -> None:
+    """A mapping as block YAML, keys in their order; a small file of the driver."""
+    import yaml
+
+    with open(path, "w", encoding="utf-8") as f:
+        yaml.safe_dump(value, f, default_flow_style=False, sort_keys=False, allow_unicode=True)
+
+
+#: Fields after which a record's short interest stands, the first that it has (fixed values).
+SHORT_AFTER = ("shares_outstanding", "end_date")
+
+
+def insert_short(text: str, updates: dict[str, tuple[float, str]]) -> str:
+    """A YAML text with shares_short and short_settlement_date added to the records that updates names by id; all other lines stay as they are."""
+    lines = text.split("\n")
+    records = [(i, m.group(1)) for i, line in enumerate(lines) if (m := re.match(r"\s*-\s+id:\s*(\S+)", line))]
+    added: dict[int, list[str]] = {}
+    for (start, name), (end, _) in zip(records, [*records[1:], (len(lines), "")]):
+        if name not in updates:
+            continue
+        fields = {m.group(2): (i, m.group(1)) for i in range(start + 1, end) if (m := re.match(r"(\s*)(\w+):", lines[i]))}
+        place = next((fields[f] for f in SHORT_AFTER if f in fields), None)
+        if place is not None:
+            short, settled = updates[name]
+            added[place[0]] = [f"{place[1]}shares_short: {short}", f"{place[1]}short_settlement_date: {settled}"]
+    return "\n".join(x for i, line in enumerate(lines) for x in [line, *added.get(i, [])])

@@ -11,11 +11,13 @@ from marketloom.operators.series import keep_last
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, or under a temporary one where that is unset."""
+    """A new folder under spark.checkpoint.dir; where that is unset, under a temporary one, which only a local master can share."""
     import tempfile
 
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="marketloom-")
         spark.conf.set("spark.checkpoint.dir", where)
     return f"{where.rstrip('/')}/stream-{uuid.uuid4().hex}"
@@ -33,28 +35,59 @@ def _is_file(spark: SparkSession, path: str) -> bool:
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(jvm_path).isFile()
 
 
-def ledger(rows: DataFrame, key: str, at: str, late: str = "30 days") -> DataFrame:
-    """The first row of each key within the watermark, run to the end of what is there."""
-    spark, where = rows.sparkSession, shared_dir(rows.sparkSession)
-    kept = rows.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late).dropDuplicatesWithinWatermark([key])
-    run = kept.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.read.schema(kept.schema).parquet(f"{where}/out")
+def ledger(rows: DataFrame, key: str, store: str | None = None) -> DataFrame:
+    """A ledger for ever: the stream's rows whose key isn't in the store yet, one of each key, are appended to it; returns the store.
 
+    The store (a folder; a new one where none is given) outlives the run: a second run, of the same or another stream, adds only
+    new keys. Each batch is written as the store's part of its number, so a batch that is run again replaces itself.
+    """
+    spark = rows.sparkSession
+    where = (store or shared_dir(spark)).rstrip("/")
+    run_id = uuid.uuid4().hex
 
-def upserted(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """A keyed store in which the latest arrival of a key wins: each batch merges into a new version of the store."""
-    spark, where = rows.sparkSession, shared_dir(rows.sparkSession)
+    def add(batch: DataFrame, n: int) -> None:
+        known = _stored(batch.sparkSession, f"{where}/rows", rows.schema, f"run={run_id}-{n}")
+        fresh = batch.where(F.col(key).isNotNull()).dropDuplicates([key]).join(known.select(key), key, "left_anti")
+        fresh.select(*rows.columns).write.mode("overwrite").parquet(f"{where}/rows/run={run_id}-{n}")
 
-    def version(n: int) -> str:
-        return f"{where}/v{n}"
+    rows.writeStream.foreachBatch(add).option("checkpointLocation", f"{where}/state/{run_id}").trigger(availableNow=True).start().awaitTermination()
+    return _stored(spark, f"{where}/rows", rows.schema)
+
+
+def _stored(spark: SparkSession, path: str, schema, but: str | None = None) -> DataFrame:
+    """The rows of a store's parts, without the part named but."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = [str(s.getPath()) for s in fs.listStatus(where) if s.getPath().getName() != but] if fs.exists(where) else []
+    return spark.read.schema(schema).parquet(*parts) if parts else spark.createDataFrame([], schema)
+
+
+def upserted(rows: DataFrame, keys: list[str], order: list[str], store: str | None = None, buckets: int = 16) -> DataFrame:
+    """A keyed store in which the latest arrival of a key wins, dealt over buckets by a hash of the key.
+
+    A batch rewrites only the buckets that it touches: the merged rows are staged beside the store, then take the buckets' place. The
+    store outlives the run where its folder is given.
+    """
+    spark = rows.sparkSession
+    where = (store or shared_dir(spark)).rstrip("/")
+    dealt = lambda df: df.withColumn("__bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+    schema = dealt(spark.createDataFrame([], rows.schema)).schema
 
     def merge(batch: DataFrame, n: int) -> None:
-        both = batch if n == 0 else batch.unionByName(batch.sparkSession.read.parquet(version(n - 1)))
-        keep_last(both, keys, [F.col(c) for c in order]).write.mode("overwrite").parquet(version(n))
-        last.append(n)
-
-    last: list[int] = []
-    run = rows.writeStream.foreachBatch(merge).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.read.parquet(version(last[-1])) if last else spark.createDataFrame([], rows.schema)
+        session = batch.sparkSession
+        new = dealt(batch)
+        touched = [r[0] for r in new.select("__bucket").distinct().collect()]  # at most buckets
+        if not touched:
+            return
+        old = session.read.schema(schema).parquet(f"{where}/rows").where(F.col("__bucket").isin(touched)) if _exists(session, f"{where}/rows") else session.createDataFrame([], schema)
+        keep_last(new.unionByName(old), keys, [F.col(c) for c in order]).write.mode("overwrite").parquet(f"{where}/staged")
+        staged = session.read.schema(schema).parquet(f"{where}/staged")
+        staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("__bucket").parquet(f"{where}/rows")
+
+    rows.writeStream.foreachBatch(merge).option("checkpointLocation", f"{where}/state/{uuid.uuid4().hex}").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(schema).parquet(f"{where}/rows").drop("__bucket") if _exists(spark, f"{where}/rows") else spark.createDataFrame([], rows.schema)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marketloom.functions import columns as C
+from marketloom.functions import formats as X
 from marketloom.operators import fundamentals as Q
 from marketloom.operators import series as S
 from marketloom.operators import shape as H
+from marketloom.operators import text as T
 
 PERIODS = {"week": [5, 10, 20], "month": [20, 50, 200]}
 
@@ -28,14 +31,13 @@ def price(bars: DataFrame, bridge: DataFrame | None = None, unit: str = "week",
     last = own.groupBy("sym").agg(F.coalesce(day, F.max("d")).alias("day")).select("sym", F.explode(S.recent_periods(F.col("day"), unit, columns)).alias("start"))
     got = got.join(last, ["sym", "start"])
     if live is not None:
-        newest = last.groupBy("sym").agg(F.max("start").alias("start")).join(live, "sym")
-        got = got.join(newest, ["sym", "start"], "left").withColumn("last_close", F.coalesce("live", "last_close")).withColumn("ret", F.when(F.col("live").isNotNull(), F.col("live") / F.col("first_close") - 1).otherwise(F.col("ret")))
+        got = S.with_live(got, last.groupBy("sym").agg(F.max("start").alias("start")).join(live, "sym"))
     if bridge is not None:
-        listed = bridge.select(F.col("sym").alias("stock"), F.explode(F.concat(F.array("sym"), "benchmarks")).alias("sym")).distinct()
+        listed = bridge.select(F.col("sym").alias("stock"), F.posexplode(F.concat(F.array("sym"), "benchmarks")).alias("place", "sym")).groupBy("stock", "sym").agg(F.min("place").alias("place"))
         got = got.join(listed, "sym")
     else:
-        got = got.withColumn("stock", F.col("sym"))
-    return _long(got, ["stock", "sym"], ["last_close", "ret", "sma_trend", "rvol_trend", *(f"mean_{p}" for p in periods), *(f"rvol_{p}" for p in periods)], F.col("start"))
+        got = got.withColumns({"stock": F.col("sym"), "place": F.lit(0)})
+    return _long(got, ["stock", "place", "sym"], ["last_close", "ret", "sma_trend", "rvol_trend", *(f"mean_{p}" for p in periods), *(f"rvol_{p}" for p in periods)], F.col("start"))
 
 
 def flow(grid: DataFrame, row: str, slots: list[str], show: int = 4, now: Column | None = None) -> DataFrame:
@@ -63,20 +65,99 @@ def shape(bars: DataFrame, symbol, query_len: int = 20, forward: int = 5, top_k:
     query = H.Query.last(bars.where(F.col("sym") == symbol), query_len, weights=H.recency_weights(query_len, recency_bucket, recency_floor))
     found = H.search(bars, query, top_k, forward, min_distance, any_weekday, price_weight=price_weight, min_cv=min_cv, max_scale_ratio=max_scale_ratio)
     rows = H.forward_returns(H.projected(H.match_bars(found, bars, query_len, forward), query), ["sym"])
-    return {"matches": found, "bars": rows, "stats": H.bar_stats(rows, "proj_c"), "bands": H.return_bands(rows)}
-
-
-def valuation(quarters: DataFrame, closes: DataFrame, years: int = 2) -> DataFrame:
-    """Revenue, flows, growth, guidance accuracy and multiples of the displayed quarters. quarters has fx and mult besides its records."""
-    own = Q.standalone(quarters, ["ytd_ocf", "ytd_ppe", "ytd_software", "ytd_sbc"])
-    own = Q.free_cash_flow(Q.sum_present(own, {"ppe": "ytd_ppe", "software": "ytd_software"}))
-    own = Q.trailing(own, ["revenue", "fcf", "fcf_strict"])
-    own = S.asof(own, closes, "sym", "end_date", "d", ["c"]).withColumnRenamed("bar_c", "price")
-    cap, usd = F.col("price") * F.col("shares"), lambda c: F.col(c) / F.col("fx")
-    own = own.withColumns({"ps": S.ratio(cap, usd("ttm_revenue")), "pfcf": Q.multiple(cap, usd("ttm_fcf")), "pfcf_strict": Q.multiple(cap, usd("ttm_fcf_strict"))})
-    growth = Q.year_over_year(own, ["revenue", "fcf"]).select("sym", "fy", "qn", "revenue_yoy", "fcf_yoy")
-    ahead = Q.next_quarter_accuracy(quarters).select("sym", "fy", "qn", F.col("accuracy").alias("nq_accuracy"))
-    year = Q.year_accuracy(quarters).select("sym", "fy", "qn", F.col("accuracy").alias("fy_accuracy"))
-    shown = Q.display_columns(quarters, years).where("is_fy = 0").select("sym", "fy", "qn", "position")
-    got = own.join(growth, ["sym", "fy", "qn"]).join(ahead, ["sym", "fy", "qn"]).join(year, ["sym", "fy", "qn"]).join(shown, ["sym", "fy", "qn"])
-    return _long(got, ["sym", "position"], ["revenue", "q_ytd_ocf", "q_ytd_ppe", "fcf", "fcf_strict", "fcf_ex_sbc", "fcf_margin", "revenue_yoy", "fcf_yoy", "nq_accuracy", "fy_accuracy", "ps", "pfcf", "pfcf_strict"], F.col("id"))
+    return {"matches": found, "bars": rows, "stats": H.bar_stats(rows, "proj_c", query), "volume_stats": H.bar_stats(rows, "proj_v", query, "v"), "bands": H.return_bands(rows), "scan": H.scan_stats(bars, query, found)}
+
+
+def valuation_columns(quarters: DataFrame, closes: DataFrame, years: int = 2) -> DataFrame:
+    """The displayed columns of each symbol: quarters and, before its own, each complete fiscal year, with position and is_fy.
+
+    quarters as for Q.priced_quarters, with shares_short and settled; money is in the unit reported.
+    """
+    priced = Q.priced_quarters(quarters, closes)
+    growth = Q.year_over_year(priced, ["revenue", "fcf"]).select("sym", "fy", "qn", "revenue_yoy", "fcf_yoy")
+    shown = Q.display_columns(quarters, years)
+    ahead = Q.next_quarter_accuracy(quarters, shown).select("sym", "fy", "qn", F.col("accuracy").alias("nq_accuracy"))
+    whole = Q.year_accuracy(quarters).select("sym", "fy", "qn", F.col("accuracy").alias("fy_accuracy"))
+    keys = ["sym", "fy", "qn"]
+    own = priced.join(growth, keys).join(ahead, keys, "left").join(whole, keys, "left").join(shown.where("is_fy = 0"), keys).withColumn("lag", F.date_diff("settled", "end_date"))
+    years_ = Q.fiscal_years(quarters)
+    flows = years_.withColumns(Q.flow_columns(F.col("ocf"), F.col("ppe"), F.col("capex_total"), F.col("sbc"), F.col("revenue")))
+    before = flows.where("complete").select("sym", (F.col("fy") + 1).alias("fy"), F.col("revenue").alias("__r"), F.col("fcf").alias("__f"))
+    flows = flows.join(before, ["sym", "fy"], "left").withColumns({"revenue_yoy": C.growth(F.col("revenue"), F.col("__r")), "fcf_yoy": C.growth(F.col("fcf"), F.col("__f"))})
+    units = quarters.groupBy("sym").agg(F.first("fx").alias("fx"), F.first("mult").alias("mult"))
+    annual = flows.join(units, "sym").join(shown.where("is_fy = 1"), ["sym", "fy"]).withColumnsRenamed({"ocf": "q_ytd_ocf", "ppe": "q_ytd_ppe", "sbc": "q_ytd_sbc"})
+    annual = annual.select("sym", "fy", "qn", "is_fy", "position", "fx", "mult", F.concat(F.lit("FY-"), F.col("fy").cast("string")).alias("id"), "revenue", "q_ytd_ocf", "q_ytd_ppe", "q_ytd_sbc", "capex_total", "fcf", "fcf_strict", "fcf_ex_sbc", "fcf_strict_ex_sbc", "fcf_margin", "revenue_yoy", "fcf_yoy")
+    return own.unionByName(annual, allowMissingColumns=True)
+
+
+def valuation(quarters: DataFrame, closes: DataFrame, prices: DataFrame | None = None, years: int = 2) -> DataFrame:
+    """The valuation as a long table of text: the trailing column (at prices: sym, price), then the displayed quarters and years.
+
+    Rows that no column has anything for are left out, and so are a year's point-in-time and valuation cells.
+    """
+    own = valuation_columns(quarters, closes, years)
+    seen = Q.visible_rows(own.where("is_fy = 0"))
+    factor, alone = F.col("mult") / F.col("fx"), F.col("is_fy") == 0
+    strict = F.col("has_sbc") | F.col("two_fcf")
+    flow = F.when(F.col("has_sbc"), F.col("fcf_strict_ex_sbc")).otherwise(F.col("fcf_strict"))
+    price_to = F.when(F.col("has_sbc"), F.col("pfcf_strict_ex_sbc")).otherwise(F.col("pfcf_strict"))
+    cells: list[tuple[str, Column, Column]] = []  # label, whether the row is shown, text
+
+    def row(label: str, text: Column, when: Column | None = None) -> None:
+        cells.append((label, F.lit(True) if when is None else when, text))
+
+    quarterly = lambda text: F.when(alone, text).otherwise("")
+    valued = lambda text: F.when(F.col("show_val"), text).otherwise("")
+    row("Period end date", quarterly(X.day(F.col("end_date"))))
+    row("Revenue ($M)", X.millions(F.col("revenue") * factor))
+    row("  Rev Y/Y", X.percent(F.col("revenue_yoy")))
+    row("Operating CF ($M)", X.millions(F.col("q_ytd_ocf") * factor))
+    row("CapEx PP&E ($M)", X.millions(F.col("q_ytd_ppe") * factor))
+    row("FCF company ($M)", X.millions(F.col("fcf") * factor))
+    row("  FCF Y/Y", X.percent(F.col("fcf_yoy")))
+    row("SBC ($M)", X.millions(F.col("q_ytd_sbc") * factor), F.col("has_sbc"))
+    row("FCF strict ($M)", X.millions(flow * factor), strict)
+    row("Shares out (M)", quarterly(X.millions(F.col("shares") * F.col("mult"))))
+    row("Shares short (M)", quarterly(X.short_interest(F.col("shares_short") * F.col("mult"), F.col("lag"))), F.col("has_short"))
+    row("  % of shares out", quarterly(F.coalesce(F.format_string("%.1f%%", Q.short_share(F.col("shares_short"), F.col("shares"))), F.lit(X.MISSING))), F.col("has_short"))
+    row("FCF company margin", X.percent(F.col("fcf_margin")))
+    row("FCF strict margin", X.percent(C.ratio(flow, F.col("revenue"))), strict)
+    row("NQ Rev guidance ($M)", quarterly(X.money_range(F.col("nq_low") * factor, F.col("nq_high") * factor, F.col("nq_hint"))))
+    row("  NQ actual/guide", quarterly(X.percent(F.col("nq_accuracy"))), F.col("has_nq_guide"))
+    row("FY Rev guidance ($M)", quarterly(X.money_range(F.col("fy_low") * factor, F.col("fy_high") * factor, F.col("fy_hint"))))
+    row("  FY actual/guide", quarterly(X.percent(F.col("fy_accuracy"))), F.col("has_fy_guide"))
+    row("FY Rev estimate ($M)", quarterly(X.money_range(F.col("est_low") * factor, F.col("est_high") * factor)), F.col("has_est"))
+    row("Ref date", valued(X.day(F.col("report_date"))))
+    row("Ref price ($)", valued(X.price(F.col("price"))))
+    row("Market cap", valued(X.money(F.col("cap"))))
+    row("Cash", valued(X.money(F.col("cash_value"))))
+    row("Debt", valued(X.money(F.col("debt_value"))))
+    row("P / S", valued(X.multiple(F.col("ps"))))
+    row("P / FCF company", valued(X.multiple(F.col("pfcf"))))
+    row("P / FCF strict", valued(X.multiple(price_to)), strict)
+    row("FW P/S NQ guidance", valued(X.multiple_range(F.col("nq_ps_low"), F.col("nq_ps_high"))))
+    row("FW P/S FY guidance", valued(X.multiple_range(F.col("fy_ps_low"), F.col("fy_ps_high"))))
+    row("FW P/S FY estimate", valued(X.multiple_range(F.col("est_ps_low"), F.col("est_ps_high"))), F.col("has_est"))
+    joined = own.join(seen, "sym")
+    if prices is not None:
+        blank = {c: None for c in ("revenue_yoy", "fcf_yoy", "nq_accuracy", "fy_accuracy", "end_date", "shares", "shares_short", "report_date")}
+        today = Q.priced_today(quarters, prices).withColumnsRenamed({"ttm_revenue": "revenue", **{f"ttm_{c}": c for c in ("q_ytd_ocf", "q_ytd_ppe", "q_ytd_sbc", "fcf", "fcf_strict", "fcf_ex_sbc", "fcf_strict_ex_sbc")}})
+        today = today.withColumns({c: F.lit(None).cast(own.schema[c].dataType) for c in blank}).withColumns({"id": F.lit("TTM"), "position": F.lit(0), "is_fy": F.lit(2), "show_val": F.lit(True), "fcf_margin": C.ratio(F.col("fcf"), F.col("revenue"))})
+        joined = joined.unionByName(today.join(seen, "sym"), allowMissingColumns=True)
+    told = F.array(*(F.struct(F.lit(i).alias("row"), F.lit(label).alias("row_label"), F.when(when, text).alias("value")) for i, (label, when, text) in enumerate(cells)))
+    return joined.select("sym", "position", F.col("id").alias("column_label"), F.explode(told).alias("x")).select("sym", "position", "column_label", "x.*").where("value IS NOT NULL")
+
+
+def posts(ledger: DataFrame, show: int = 5, by: list[str] | None = None) -> DataFrame:
+    """The newest posts with who wrote them and their counts as text."""
+    handle = F.when(F.col("screen_name") != "", F.concat(F.lit("@"), "screen_name")).otherwise("?")
+    who = F.when(F.col("name") != "", F.concat("name", F.lit(" ("), handle, F.lit(")"))).otherwise(handle)
+    stats = F.format_string("♥ %d  ↻ %d  💬 %d", "likes", "retweets", "comments")
+    keyed = ledger if by else ledger.withColumn("__all", F.lit(0))
+    got = T.newest_posts(keyed, show, by or ["__all"])
+    return got.select(*(by or []), "position", F.coalesce(F.nullif("timestamp", F.lit("")), F.lit("?")).alias("stamp"), who.alias("who"), T.squeeze(F.col("text")).alias("text"), stats.alias("stats"), "tweet_url")
+
+
+def success(results: DataFrame, ok: str, by: list[str] | None = None) -> DataFrame:
+    """How many of the results succeeded, and how many there are."""
+    return results.groupBy(*(by or [])).agg(F.count_if(F.col(ok)).alias("ok"), F.count("*").alias("total"))
