@@ -59,6 +59,13 @@ def latest_trailing(quarters: DataFrame, columns: list[str], count: int = 4) ->
     return newest.groupBy(*KEY).agg(*(whole(c).alias(f"ttm_{c}") for c in columns))
 
 
+def latest_lines(quarters: DataFrame, count: int = 4, family: str = "q_ytd_capex") -> DataFrame:
+    """(symbol, line, value): each capex line over the newest count quarters, null where one lacks it."""
+    newest = quarters.withColumn("__n", F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("end_date")))).where(F.col("__n") <= count)
+    own = newest.select(*KEY, F.explode(family).alias("line", "x"))
+    return own.groupBy(*KEY, "line").agg(F.when(F.count("x") == count, F.sum("x")).alias("value"))
+
+
 def fiscal_years(quarters: DataFrame, family: str = "ytd_capex") -> DataFrame:
     """One row a fiscal year: revenue of the quarters, flows and levels of the fourth, the last guidance and estimate of the first three.
 
@@ -74,7 +81,7 @@ def fiscal_years(quarters: DataFrame, family: str = "ytd_capex") -> DataFrame:
         (F.count_distinct("qn") == 4).alias("complete"), F.nullif(F.sum("revenue"), F.lit(0.0)).alias("revenue"), fourth("ytd_ocf").alias("ocf"), lines.alias("__lines"), fourth("ytd_sbc").alias("sbc"), *levels, *ranges)
     values = F.filter(F.map_values("__lines"), lambda x: x.isNotNull())
     total = F.when(F.size("__lines") > 0, F.aggregate(values, F.lit(0.0), lambda a, x: a + x))
-    return got.withColumns({"ppe": F.col("__lines")["ppe"], "capex_total": total}).drop("__lines")
+    return got.withColumns({"ppe": F.col("__lines")["ppe"], "capex_total": total}).withColumnRenamed("__lines", "lines")
 
 
 def self_match(rows: DataFrame, keys: dict[str, Column], columns: list[str], prefix: str) -> DataFrame:

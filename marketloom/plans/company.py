@@ -51,7 +51,7 @@ def ttm_window(spark, sf_dir):
 
 @query("fy_rollup", "SELECT sym, fy, complete, revenue, ocf, ppe, capex_total, sbc, cash, shares, debt, shares_short, end_date, report_date FROM years", "years")
 def fy_rollup(spark, sf_dir):
-    return Q.fiscal_years(records(spark, sf_dir)).drop("guide_low", "guide_high", "est_low", "est_high")
+    return Q.fiscal_years(records(spark, sf_dir)).drop("guide_low", "guide_high", "est_low", "est_high", "lines")
 
 
 @query("fy_guidance_last", "SELECT sym, fy, guide_low, guide_high, est_low, est_high FROM years", "years")

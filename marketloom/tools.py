@@ -86,14 +86,14 @@ def valuation_columns(quarters: DataFrame, closes: DataFrame, years: int = 2) ->
     flows = flows.join(before, ["sym", "fy"], "left").withColumns({"revenue_yoy": C.growth(F.col("revenue"), F.col("__r")), "fcf_yoy": C.growth(F.col("fcf"), F.col("__f"))})
     units = quarters.groupBy("sym").agg(F.first("fx").alias("fx"), F.first("mult").alias("mult"))
     annual = flows.join(units, "sym").join(shown.where("is_fy = 1"), ["sym", "fy"]).withColumnsRenamed({"ocf": "q_ytd_ocf", "ppe": "q_ytd_ppe", "sbc": "q_ytd_sbc"})
-    annual = annual.select("sym", "fy", "qn", "is_fy", "position", "fx", "mult", F.concat(F.lit("FY-"), F.col("fy").cast("string")).alias("id"), "revenue", "q_ytd_ocf", "q_ytd_ppe", "q_ytd_sbc", "capex_total", "fcf", "fcf_strict", "fcf_ex_sbc", "fcf_strict_ex_sbc", "fcf_margin", "revenue_yoy", "fcf_yoy")
+    annual = annual.select("sym", "fy", "qn", "is_fy", "position", "fx", "mult", F.concat(F.lit("FY-"), F.col("fy").cast("string")).alias("id"), "revenue", "q_ytd_ocf", "q_ytd_ppe", "q_ytd_sbc", "capex_total", F.col("lines").alias("q_ytd_capex"), "fcf", "fcf_strict", "fcf_ex_sbc", "fcf_strict_ex_sbc", "fcf_margin", "revenue_yoy", "fcf_yoy")
     return own.unionByName(annual, allowMissingColumns=True)
 
 
 def valuation(quarters: DataFrame, closes: DataFrame, prices: DataFrame | None = None, years: int = 2) -> DataFrame:
     """The valuation as a long table of text: the trailing column (at prices: sym, price), then the displayed quarters and years.
 
-    Rows that no column has anything for are left out, and so are a year's point-in-time and valuation cells.
+    row orders the rows. Rows that no column has anything for are left out, and so are a year's point-in-time and valuation cells.
     """
     own = valuation_columns(quarters, closes, years)
     seen = Q.visible_rows(own.where("is_fy = 0"))
@@ -144,8 +144,14 @@ def valuation(quarters: DataFrame, closes: DataFrame, prices: DataFrame | None =
         today = Q.priced_today(quarters, prices).withColumnsRenamed({"ttm_revenue": "revenue", **{f"ttm_{c}": c for c in ("q_ytd_ocf", "q_ytd_ppe", "q_ytd_sbc", "fcf", "fcf_strict", "fcf_ex_sbc", "fcf_strict_ex_sbc")}})
         today = today.withColumns({c: F.lit(None).cast(own.schema[c].dataType) for c in blank}).withColumns({"id": F.lit("TTM"), "position": F.lit(0), "is_fy": F.lit(2), "show_val": F.lit(True), "fcf_margin": C.ratio(F.col("fcf"), F.col("revenue"))})
         joined = joined.unionByName(today.join(seen, "sym"), allowMissingColumns=True)
-    told = F.array(*(F.struct(F.lit(i).alias("row"), F.lit(label).alias("row_label"), F.when(when, text).alias("value")) for i, (label, when, text) in enumerate(cells)))
-    return joined.select("sym", "position", F.col("id").alias("column_label"), F.explode(told).alias("x")).select("sym", "position", "column_label", "x.*").where("value IS NOT NULL")
+    place = [label for label, _, _ in cells].index("SBC ($M)") - 0.5
+    lines = own.select("sym", "position", F.col("id").alias("column_label"), factor.alias("factor"), F.explode("q_ytd_capex").alias("line", "value"))
+    if prices is not None:
+        whole = Q.latest_lines(Q.quarter_flows(quarters)).join(quarters.groupBy("sym").agg(F.first(factor).alias("factor")), "sym")
+        lines = lines.unionByName(whole.select("sym", F.lit(0).alias("position"), F.lit("TTM").alias("column_label"), "factor", "line", "value"))
+    lines = lines.where("line <> 'ppe'").select("sym", "position", "column_label", F.lit(place).alias("row"), F.concat(F.lit("CapEx "), Q.line_label(F.col("line")), F.lit(" ($M)")).alias("row_label"), X.millions(F.col("value") * F.col("factor")).alias("value"))
+    told = F.array(*(F.struct(F.lit(float(i)).alias("row"), F.lit(label).alias("row_label"), F.when(when, text).alias("value")) for i, (label, when, text) in enumerate(cells)))
+    return joined.select("sym", "position", F.col("id").alias("column_label"), F.explode(told).alias("x")).select("sym", "position", "column_label", "x.*").where("value IS NOT NULL").unionByName(lines)
 
 
 def posts(ledger: DataFrame, show: int = 5, by: list[str] | None = None) -> DataFrame:
