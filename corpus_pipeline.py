@@ -14,8 +14,8 @@ from marketloom.llm import packing, quality, simhash, suffix_trees, toxicity
 from marketloom.llm.common import bucket_of, read, table
 from marketloom.llm.queries import tokenizer
 
-#: A text goes at this score; op1 predicts from 0.3, a filter should be surer.
-TOXIC = 0.5
+#: A text goes at the score from which op1 calls it toxic.
+TOXIC = 0.3
 
 
 def whole_rows(docs: DataFrame) -> DataFrame:
@@ -24,8 +24,8 @@ def whole_rows(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    bands = quality.learn_bands(docs, read(spark, sf_dir, "labels"))
-    return quality.judge(quality.measures(whole_rows(docs), ["__row"]), bands).where("kept").select("__row.*")
+    limits = quality.learn_limits(docs, read(spark, sf_dir, "labels"))
+    return quality.judge(quality.measures(whole_rows(docs), ["__row"]), limits).where("kept").select("__row.*")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
