@@ -1,17 +1,17 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Each word of a clause is read by small transducers and becomes a symbol: an insult or threat with a weight, a target,
-a negation, a reporting verb or a quotation mark, or other. The composed grammar walks the symbols once per clause,
-keeping negation, report and target states, and gives the clause's matches: plain, aimed (a target near the insult),
-negated (a negation up to SCOPE words before), reported (in quotes or after a reporting verb) and threat (a threat
-verb and a target). A text's score is a logistic function of its clauses' matches, not of words alone.
-
-The insult transducer is a trie of words and word beginnings. Its weights are smoothed log odds learned from labelled
-rows: at most MAX_LABELLED of them, chosen by a hash of doc_id; two thirds give the trie, the rest the logistic weights.
-Fixed seed words for each language hold where no labels are given.
-
-Null and empty texts have no clauses and get the score of a text without matches; texts of any length are read whole;
-words over LONGEST characters are read by their beginning and end state only in the trie; repeated rows get equal scores.
+Each word or quotation mark of a clause is read by a lexicon and becomes a symbol: an insult, a threat verb, a target, a
+negation, a reporting verb, a mark or other. Five small transducers rewrite the symbols: quotes (a mark opens one only where
+another closes it in the clause), reports, negations (SCOPE words), targets (before an insult, or guessed and then required after
+it) and threats (a threat verb and a target). They are composed into one machine, whose best path gives the clause's matches: plain,
+aimed, negated, reported insults and threats. A text's score is a logistic function of its clauses' matches, not of words alone.
+
+The lexicon is a trie of words and word beginnings, its states being named by their prefixes. Its weights are smoothed log odds
+learned from labelled rows: at most MAX_LABELLED documents, chosen by a hash of doc_id; two thirds give the trie, the rest the
+logistic weights. Fixed seed words for each language hold where no labels are given.
+
+Null and empty texts have no clauses and get the score of a text without matches; texts and words of any length are read whole;
+repeated rows get equal scores, and of rows with one doc_id the least text is learned from; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,18 +19,19 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketloom.llm.transducers import Transducer
+
 MAX_LABELLED = 20_000
-MAX_ENTRIES = 20_000
 MIN_SUPPORT = 4
 MIN_WEIGHT = 1.5
 SCOPE = 3
-LONGEST = 64
 STEMS = range(3, 9)
 WORD = re.compile(r"[^\W\d_]+")
 CLAUSE = re.compile(r"[.!?;:\n|]+")
@@ -39,7 +40,7 @@ THREATS = frozenset("kill hurt destroy punch beat stab shoot töten umbringen sc
 TARGETS = frozenset("you your he him she her they them this these those people du dich dein ihr euch sie tu te toi vous vos ils elles tú ti usted ustedes ellos ellas".split())
 NEGATIONS = frozenset("not no never nobody isn't nicht kein keine nie niemals pas jamais aucun nunca jamás ningún".split())
 REPORTS = frozenset("said says called quoted reported wrote claimed sagte sagt nannte schrieb dit disait appelé écrit dijo dice llamó escribió".split())
-QUOTES = re.compile(r'["“”«»„]')
+TOKEN = re.compile(r'[^\W\d_]+|["“”«»„]')
 FEATURES = ["plain", "aimed", "negated", "reported", "threat", "best", "density"]
 
 
@@ -65,41 +66,97 @@ class Lexicon:
         return best
 
 
+#: Symbols: other, negation, report, quotation mark, target, threat verb, insult; and what becomes of insults and targets.
+OTHER, NEGATION, REPORT, QUOTE, TARGET, THREAT, INSULT = "ONRQTHI"
+KINDS = {"p": "plain", "a": "aimed", "n": "negated", "r": "reported", "h": "threat"}
+
+
+def copied(machine: Transducer, state: object, to: object, symbols: str) -> None:
+    for x in symbols:
+        machine.add(state, x, x, to)
+
+
+def quotes() -> Transducer:
+    """Insults between two marks are reported; a mark without another is other."""
+    m = Transducer("out", finals={"out": 0.0})
+    copied(m, "out", "out", "ONRTHI")
+    m.add("out", QUOTE, OTHER, "out")
+    m.add("out", QUOTE, OTHER, "in", 0.1)
+    copied(m, "in", "in", "ONRTH")
+    m.add("in", INSULT, "r", "in")
+    m.add("in", QUOTE, OTHER, "out")
+    return m
+
+
+def scope(opens: str, kind: str, length: int, rest: str) -> Transducer:
+    """Insults up to length symbols after one that opens are of the kind."""
+    m = Transducer(0, finals=dict.fromkeys(range(length + 1), 0.0))
+    for k in range(length + 1):
+        after = max(k - 1, 0)
+        m.add(k, opens, OTHER, length)
+        copied(m, k, after, rest)
+        m.add(k, INSULT, kind if k else INSULT, after)
+    return m
+
+
+def targets() -> Transducer:
+    """Insults are aimed up to SCOPE symbols after a target, or before one: that is guessed, and a path without the target ends."""
+    m = Transducer((0, 0), finals={(k, 0): 0.0 for k in range(SCOPE + 1)})
+    for k in range(SCOPE + 1):
+        for due in range(SCOPE + 1):
+            m.add((k, due), TARGET, TARGET, (SCOPE, 0))
+            if due == 1:  # the guess was wrong
+                continue
+            after, still = max(k - 1, 0), max(due - 1, 0)
+            copied(m, (k, due), (after, still), "OHrn")
+            if k:
+                m.add((k, due), INSULT, "a", (after, still))
+            else:
+                m.add((k, due), INSULT, "p", (after, still))
+                m.add((k, due), INSULT, "a", (after, still or SCOPE), 1.0)
+    return m
+
+
+def threats() -> Transducer:
+    """A target up to SCOPE symbols after a threat verb makes a threat."""
+    m = Transducer(0, finals=dict.fromkeys(range(SCOPE + 1), 0.0))
+    for k in range(SCOPE + 1):
+        m.add(k, THREAT, OTHER, SCOPE)
+        copied(m, k, max(k - 1, 0), "Ornap")
+        m.add(k, TARGET, "h" if k else OTHER, 0)
+    return m
+
+
+@lru_cache
+def grammar() -> Transducer:
+    """The composed machine."""
+    return quotes().compose(scope(REPORT, "r", 2 * SCOPE, "ONTHr")).compose(scope(NEGATION, "n", SCOPE, "OTHr")).compose(targets()).compose(threats())
+
+
+#: All scopes have ended after so many other symbols.
+LONGEST_RUN = 2 * SCOPE + 1
+RUN = re.compile(f"{OTHER}{{{LONGEST_RUN + 1},}}")
+
+
+@lru_cache(maxsize=100_000)
+def rewritten(symbols: str) -> str:
+    """The best path's output without other symbols; the paths don't depend on the insults' weights."""
+    return grammar().best(symbols)[1].replace(OTHER, "")
+
+
+ROLES = {w: x for x, own in ((REPORT, REPORTS), (NEGATION, NEGATIONS), (THREAT, THREATS), (TARGET, TARGETS)) for w in own} | dict.fromkeys('"“”«»„', QUOTE)
+
+
 def clause_matches(clause: str, lexicon: Lexicon) -> list[tuple[str, float]]:
-    """Walk one lower-case clause through the composed transducers."""
-    out: list[tuple[str, float]] = []
+    """Kinds and weights of a lower-case clause's matches, in order."""
     words = WORD.findall(clause)
     weights = {w: x for w in set(words) if w[:3] in lexicon.first3 and (x := lexicon.weight(w))}
-    threat = any(w in THREATS for w in words)
-    if not weights and not threat:
-        return out
-    quoted = len(QUOTES.findall(clause)) >= 2
-    negated = reported = target = -(10**9)
-    threatened = -(10**9)
-    for i, w in enumerate(words):
-        if w in NEGATIONS:
-            negated = i
-        elif w in REPORTS:
-            reported = i
-        elif w in THREATS:
-            threatened = i
-        if w in TARGETS:
-            target = i
-            if i - threatened <= SCOPE:
-                out.append(("threat", 1.0))
-                threatened = -(10**9)
-        x = weights.get(w)
-        if x:
-            if quoted or i - reported <= 2 * SCOPE:
-                kind = "reported"
-            elif i - negated <= SCOPE:
-                kind = "negated"
-            elif i - target <= SCOPE or any(v in TARGETS for v in words[i + 1 : i + 1 + SCOPE]):
-                kind = "aimed"
-            else:
-                kind = "plain"
-            out.append((kind, x))
-    return out
+    if not weights and THREATS.isdisjoint(words):
+        return []
+    tokens = TOKEN.findall(clause)
+    symbols = "".join([INSULT if t in weights else ROLES.get(t, OTHER) for t in tokens])
+    own = iter([weights[t] for t in tokens if t in weights])
+    return [(KINDS[x], 1.0 if x == "h" else next(own)) for x in rewritten(RUN.sub(OTHER * LONGEST_RUN, symbols))]
 
 
 def text_features(text: str, lexicon: Lexicon) -> list[float]:
@@ -137,11 +194,12 @@ def labelled(docs: DataFrame, labels: DataFrame, train=None) -> DataFrame:
     few = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL")
     few = few if train is None else few.where(train)
     few = few.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
-    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(3)))
+    texts = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    return texts.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(3)))
 
 
 def learn_lexicon(rows: DataFrame) -> Lexicon:
-    """Smoothed log odds of words and word beginnings; those with MIN_SUPPORT toxic texts and MIN_WEIGHT stay, at most MAX_ENTRIES by weight and support."""
+    """Smoothed log odds of words and word beginnings; those with MIN_SUPPORT toxic texts and MIN_WEIGHT stay. The labelled rows, at most MAX_LABELLED, bound their number."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, list[int]] = {}
@@ -158,7 +216,7 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
         return Lexicon(dict.fromkeys(SEEDS, 4.0), {})
     weight = F.log((F.col("pos") + 0.25) / (pos + 0.5)) - F.log((F.col("neg") + 0.75) / (neg + 1.5))
     found = rows.select("text", "toxic").mapInArrow(count, "entry string, pos long, neg long").groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    best = found.where(F.col("pos") >= MIN_SUPPORT).withColumn("weight", weight).where(F.col("weight") >= MIN_WEIGHT).orderBy(F.desc("weight"), F.desc("pos"), "entry").limit(MAX_ENTRIES).collect()
+    best = found.where(F.col("pos") >= MIN_SUPPORT).withColumn("weight", weight).where(F.col("weight") >= MIN_WEIGHT).collect()
     return Lexicon({r.entry: r.weight for r in best if r.entry[-1] != "*"} | {}, {r.entry[:-1]: r.weight for r in best if r.entry[-1] == "*"})
 
 
