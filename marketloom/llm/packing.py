@@ -13,6 +13,7 @@ rows with a null id are packed like others; an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -28,23 +29,29 @@ from marketloom.llm.common import table
 from marketloom.llm.sentencepieces import grouped
 
 CAPACITY = 2048
+#: Pieces of texts in the younger generation of one worker's cache at which it becomes the older; it costs time only.
 CACHED = 500_000
 LONGEST_CACHED = 64
-CHECKED = 100
+#: One text in so many, by a hash of it, is also given to the library whole, and the ids compared.
+WHOLE = 64
+#: White space but the space and the line feed.
+OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
-def byte_symbols() -> dict[str, int]:
+def byte_characters() -> dict[int, str]:
     """The characters that stand for bytes in byte-level vocabularies: printable bytes for themselves, the others from 256 on."""
     plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+    rest = sorted(set(range(256)) - set(plain))
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 class ByteEncoder:
-    """Ids by a tokenizers file of byte-level merges; words that recur are encoded once while they stay in a bounded cache.
+    """Ids by a tokenizers file of byte-level merges; pieces that recur are encoded once while they stay in a bounded cache.
 
-    Words are merged by tiktoken from the file's own vocabulary, whose ids are the merges' ranks. The first CHECKED words of
-    each batch are compared with the tokenizers library; a difference is an error.
+    A text in which a space has no other white space beside it is cut before each space: the file's pattern starts a word there,
+    and none of its words goes on beyond the next space. New pieces are parted into words by the pattern, and every new word is
+    merged by the tokenizers library's model. Other texts, and those with strings of special tokens, go to the library whole, and
+    so does one text in WHOLE besides, whose ids are compared; a difference is an error.
     """
 
     def __init__(self, path: str):
@@ -52,38 +59,63 @@ class ByteEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
-        import tiktoken
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.model, self.characters = self.library.model, byte_characters()
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.special = sorted(t.content for t in self.library.get_added_tokens_decoder().values())
-        symbols, vocabulary = byte_symbols(), self.library.get_vocab(with_added_tokens=False)
-        ranks = {bytes(symbols[c] for c in token): i for token, i in vocabulary.items() if token not in self.special}
-        self.merge = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         self.ids: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def pieces(self, text: str) -> list[str] | None:
+        """The text cut before its spaces; None where that may cut a word or a special token."""
+        if "  " in text or " \n" in text or "\n " in text or OTHER_SPACE.search(text) or any(s in text for s in self.special):
+            return None
+        return text.replace(" ", "\0 ").split("\0") if "\0" not in text else None
+
+    def merge(self, word: str) -> bytes:
+        tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.characters))
+        return array("I", [t.id for t in tokens]).tobytes()
+
+    def fetch(self, wanted: set[str]) -> None:
+        """Have all wanted pieces in the younger generation."""
+        if len(self.ids) > CACHED:
+            self.older, self.ids = self.ids, {}
+        ids, older, merge = self.ids, self.older, self.merge
+        missing = wanted - ids.keys()
+        known = missing & older.keys()
+        for p in known:
+            ids[p] = older[p]
+        for p in missing - known:
+            words = self.split(p)
+            if len(words) == 1:
+                ids[p] = merge(p)
+                continue
+            for w in words:
+                if w not in ids:
+                    ids[w] = older[w] if w in older else merge(w)
+            ids[p] = b"".join([ids[w] for w in words])
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        whole = {i for i, t in enumerate(texts) if any(s in t for s in self.special)}
-        parts = [[] if i in whole else self.split(t) for i, t in enumerate(texts)]
-        need = {w for own in parts for w in own if w not in self.ids}
-        if len(self.ids) + len(need) > CACHED:
-            self.ids.clear()
-            need = {w for own in parts for w in own}
-        ids, merge = self.ids, self.merge
-        for w in need:
-            ids[w] = array("I", merge(w.encode())).tobytes()
-        some = [w for w, _ in zip(need, range(CHECKED))]
-        for w, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
-            if ids[w] != array("I", e.ids).tobytes():
-                raise ValueError("a word differs from the tokenizers library")
-        out = [b"".join([ids[w] for w in own]) for own in parts]
-        for i in whole:  # strings of special tokens are tokens to the library
-            out[i] = np.array(self.library.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
-        for w in need:
-            if len(w) > LONGEST_CACHED:
-                del ids[w]
+        parts = [self.pieces(t) for t in texts]
+        wanted = set().union(*(p for p in parts if p is not None))
+        self.fetch(wanted)
+        get, out = self.ids.__getitem__, []
+        for text, own in zip(texts, parts):
+            if own is None:
+                out.append(self.whole(text))
+                continue
+            out.append(b"".join(map(get, own)))
+            if zlib.crc32(text.encode()) % WHOLE == 0 and out[-1] != self.whole(text):
+                raise ValueError("a text's ids differ from the tokenizers library's")
+        for p in wanted:
+            if len(p) > LONGEST_CACHED:
+                self.ids.pop(p, None)
         return out
 
 
@@ -218,6 +250,6 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", capacity: int = CAPACI
     earlier = by_task.withColumn("earlier", F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n"))
     earlier = table(earlier, "counts")
     counts = {r.length: r.n for r in earlier.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    numbered = own.join(earlier.select("length", "task", "earlier"), ["length", "task"]).withColumn("number", F.col("number") + F.col("earlier")).drop("earlier", "task")
+    numbered = own.join(earlier.select("length", "task", "earlier").hint("shuffle_hash"), ["length", "task"]).withColumn("number", F.col("number") + F.col("earlier")).drop("earlier", "task")
     names = [key, "piece", "start", "length", "ids_crc32", *["ids"] * with_ids, "sequence_id", "offset"]
     return place(numbered, plan(counts, capacity)).select(*names)
