@@ -9,7 +9,7 @@ of its own takes the license of the nearest license file in its directory or abo
 ancestor directories with the directories that have license files.
 
 Null and empty texts have no license of their own; a null path has no directory and inherits nothing; texts of any length are
-scanned whole; several license files in a directory give the first name; repeated rows get equal results.
+scanned whole, a text with a cue also against the templates as one; several license files in a directory give the first name; repeated rows get equal results.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from marketloom.llm.common import table
 
 LEAST = 0.6
+#: So many directories at most are sent to every task; more are joined, where a directory of very many files is split by AQE.
+BROADCAST_DIRECTORIES = 20_000
 #: A file is a license file where its whole text reaches this.
 LEAST_FILE = 0.5
 CUES = ("license", "licence", "copyright", "spdx", "permission", "redistribut", "public domain", "all rights reserved")
@@ -137,13 +139,12 @@ def scan_text(text: str, templates: Templates) -> tuple[str | None, float, bool]
     found = [templates.best(SPDX.sub("", header)) for header in dict.fromkeys(lines + joined)]
     found = [((x or "").partition("#")[0] or None, y) for x, y in found]
     name, cosine = max(found, key=lambda x: (x[1] >= LEAST and x[0] != "Proprietary", x[1], [-ord(c) for c in x[0] or ""]))
-    if len(text) <= 20 * sum(map(len, lines)):  # cosines of much longer texts can't reach LEAST_FILE
-        whole, close = templates.best(text)
-        if close >= LEAST_FILE:
-            whole = whole.partition("#")[0]
-            if whole == "Proprietary" != name and cosine >= LEAST:
-                whole, close = name, cosine
-            return whole, max(close, cosine if name == whole else close), True
+    whole, close = templates.best(text)
+    if close >= LEAST_FILE:
+        whole = whole.partition("#")[0]
+        if whole == "Proprietary" != name and cosine >= LEAST:
+            whole, close = name, cosine
+        return whole, max(close, cosine if name == whole else close), True
     return (name, cosine, False) if cosine >= LEAST else (None, cosine, False)
 
 
@@ -171,6 +172,8 @@ def licenses(files: DataFrame, key: str, path: str = "path", texts: dict[str, st
     # Each directory once, with itself and those above it, nearest last.
     steps = F.when(F.col("__dir") == "", F.array(F.lit(""))).otherwise(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))))
     above = found.where("__dir IS NOT NULL").groupBy("__dir").agg(F.first(path).alias(path)).select("__dir", F.posexplode(steps).alias("depth", "above"))
-    nearest = above.join(holders, "above").groupBy("__dir").agg(F.max_by(F.struct("given", "above"), "depth").alias("near"))
+    nearest = table(above.join(holders, "above").groupBy("__dir").agg(F.max_by(F.struct("given", "above"), "depth").alias("near")), "nearest")
+    if nearest.count() <= BROADCAST_DIRECTORIES:
+        nearest = F.broadcast(nearest)
     own = F.when(F.col("is_license_file"), "file").when(F.col("license").isNotNull(), "header").when(F.col("near").isNotNull(), "inherited").otherwise("none")
     return found.join(nearest, "__dir", "left").select(key, path, F.coalesce("license", "near.given").alias("license"), "cosine", "is_license_file", own.alias("origin"), F.when(own == "inherited", F.col("near.above")).alias("from_directory"))

@@ -87,9 +87,9 @@ def op7_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The path of a document is source/lang/doc_id."""
-    docs = read(spark, sf_dir, "documents").withColumn("path", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")))
-    return licenses.licenses(docs, "doc_id")
+    """The path of a document is source/lang/doc_id, - for a null."""
+    path = F.concat_ws("/", *(F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ("source", "lang", "doc_id")))
+    return licenses.licenses(read(spark, sf_dir, "documents").select("doc_id", "text", path.alias("path")), "doc_id")
 
 
 ORACLE["op10_suffix_trees"] = r"""WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
