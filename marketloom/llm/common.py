@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,9 +19,11 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, one of our own, which only a local master can share."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="marketloom-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
@@ -90,8 +93,15 @@ def word_spans(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
 
 
+#: Words over this many bytes get XXH3: polynomial hashes modulo 2**64 are equal for some pairs of long repetitive words.
+LONG_WORD = 64
+
+
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A 64-bit hash of each word, with the words' starts and ends."""
     b = np.frombuffer(data, np.uint8)
     start, end = word_spans(b)
-    return span_hashes(prefix_sums(b.astype(np.uint64) + np.uint64(1)), start, end), start, end
+    out = span_hashes(prefix_sums(b.astype(np.uint64) + np.uint64(1)), start, end)
+    for i in np.flatnonzero(end - start > LONG_WORD).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]])
+    return out, start, end

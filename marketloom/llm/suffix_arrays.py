@@ -4,7 +4,7 @@ Shards get suffix arrays by Larsson-Sadakane refinement: suffixes sorted by thei
 ranks of the suffixes h later, h doubling, and only groups that are still equal are sorted again. Common prefixes of
 neighbours come from Kasai's lemma in its permuted form: a suffix whose neighbour is that of the suffix before, moved
 by one, has a common prefix shorter by one, so only the others are compared. Shards of a key that is dealt over several
-are merged by a sort by digest (see windows).
+are merged by binary search in sorted digests (see windows).
 
 Null and empty texts have no bytes and nothing removed; texts shorter than the length keep all; texts of any length are
 read whole; a repeated row is a copy, so it and its twin lose all their windows; rows with a null id take part and keep it.

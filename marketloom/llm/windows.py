@@ -10,7 +10,11 @@ is a region, which holds all the run's content once. Regions are counted by (key
   suffix trees) finds the windows that they share.
 
 A key whose contents exceed SHARD_BYTES is dealt over several shards by content; their windows are merged afterwards by
-a sort by digest, so no task holds an unbounded key.
+binary search of one shard's sorted digests in another's, so no task holds an unbounded key.
+
+Equality of contents is decided by 64 bits beside the key's 64, that of a dealt key's windows by 128, that of words by 64.
+Ids are integers. Null and empty sequences have no window, and one shorter than a window none either; ties and repeated rows are told
+apart by (id, hash of the text), and exact repeats share their spans; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ from pyspark.sql import functions as F
 from marketloom.llm.common import mix, prefix_sums, powers, table, word_hashes
 
 SHARD_BYTES = 2_000_000
+#: A region with more windows (periodic text) is cut into pieces of so many, most of which are equal.
+PIECE = 1 << 13
 LAST = (1 << 63) - 1
 
 
@@ -66,7 +72,14 @@ def regions(x: np.ndarray, kind: Kind) -> tuple[np.ndarray, np.ndarray, np.ndarr
         least = np.minimum(least[:-step], least[step:])
         have += step
     start = np.concatenate(([0], np.flatnonzero(least[1:] != least[:-1]) + 1))
-    key, count = least[start], np.diff(np.append(start, windows))
+    count = np.diff(np.append(start, windows))
+    if count.max() > PIECE:
+        pieces = -(-count // PIECE)
+        nth = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        end = np.repeat(start + count, pieces)
+        start = np.repeat(start, pieces) + nth * PIECE
+        count = np.minimum(end - start, PIECE)
+    key = least[start]
     # Keys are minima, so only small hashes can be occurrences of one.
     at = np.flatnonzero(gram <= key.max())
     order = np.argsort(gram[at], kind="stable")
@@ -148,6 +161,48 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.flatnonzero(edge == -1) - start
 
 
+DIGEST = np.dtype("S16")
+
+
+@dataclass
+class Windows:
+    """Windows by their 128-bit digests; rows are key, content, weight, document and place in the content."""
+
+    digest: np.ndarray
+    rows: np.ndarray
+
+    def take(self, at: np.ndarray) -> Windows:
+        return Windows(self.digest[at], self.rows[:, at])
+
+    def sorted(self) -> Windows:
+        return self.take(np.argsort(self.digest, kind="stable"))
+
+    def classes(self) -> tuple[np.ndarray, np.ndarray]:
+        """For sorted digests the class of each window, and where the classes begin."""
+        new = np.concatenate(([True], self.digest[1:] != self.digest[:-1]))
+        return np.cumsum(new) - 1, np.flatnonzero(new)
+
+    def merged(self, other: Windows) -> Windows:
+        """Both, sorted, of two that are: the other's places are found by binary search."""
+        at = np.searchsorted(self.digest, other.digest, "right") + np.arange(len(other.digest))
+        n = len(self.digest) + len(other.digest)
+        mine = np.ones(n, bool)
+        mine[at] = False
+        digest, rows = np.empty(n, DIGEST), np.empty((len(self.rows), n), np.int64)
+        digest[at], rows[:, at] = other.digest, other.rows
+        digest[mine], rows[:, mine] = self.digest, self.rows
+        return Windows(digest, rows)
+
+    def packed(self) -> bytes:
+        return zstandard.compress(self.digest.tobytes() + np.ascontiguousarray(self.rows).tobytes(), 1)
+
+    @classmethod
+    def unpacked(cls, b: bytes) -> Windows:
+        raw = zstandard.decompress(b)
+        n = len(raw) // 56
+        return cls(np.frombuffer(raw[: 16 * n], DIGEST), np.frombuffer(raw[16 * n :], np.int64).reshape(5, n))
+
+
 def solve(cuts: DataFrame, kind: Kind, solver: Solver, smaller: bool, shards: int) -> tuple[DataFrame, DataFrame]:
     """(key, c, a, b): runs of matched windows in each region; and of keys dealt over several shards the windows by digest.
 
@@ -162,36 +217,35 @@ def solve(cuts: DataFrame, kind: Kind, solver: Solver, smaller: bool, shards: in
         n, doc, m = (own.column(c).to_numpy() for c in ("n", "doc", "m"))
         masks, _ = solver(x, n, doc, m)
         key, c, chunks = (own.column(k).to_numpy() for k in ("key", "c", "chunks"))
-        out, sent = [[] for _ in range(4)], []
+        out, sent, digests = [[] for _ in range(4)], [], []
         for i, mask in enumerate(masks):
             a, b = runs(mask)
             for column, v in zip(out, (np.full(len(a), key[i]), np.full(len(a), c[i]), a, b), strict=True):
                 column.append(v)
             if chunks[i] > 1:  # every window, for the merge
                 raw, size, k = contents[i], kind.size, int(n[i])
-                h = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[size * j : size * (j + kind.length)]) for j in range(k)]), "<i8").reshape(-1, 2)
-                sent.append(np.stack([np.full(k, v) for v in (key[i], c[i], m[i], doc[i])] + [np.arange(k), h[:, 0], h[:, 1]]))
+                digests += [xxhash.xxh3_128_digest(raw[size * j : size * (j + kind.length)]) for j in range(k)]
+                sent.append(np.stack([np.full(k, v) for v in (key[i], c[i], m[i], doc[i])] + [np.arange(k)]))
         join = lambda x: np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)
         columns = [pa.array(join(v)) for v in out]
         made = pa.Table.from_arrays([*columns, pa.nulls(len(columns[0]), pa.int64()), pa.nulls(len(columns[0]), pa.binary())], ["key", "c", "a", "b", "range", "windows"])
         if not sent:
             return made
-        w = np.concatenate(sent, axis=1)
-        w = w[:, np.lexsort((w[3], w[6], w[5]))]
-        first = np.flatnonzero(np.concatenate(([True], (w[5:, 1:] != w[5:, :-1]).any(axis=0))))
-        group = np.cumsum(np.isin(np.arange(w.shape[1]), first)) - 1
+        found = Windows(np.frombuffer(b"".join(digests), DIGEST), np.concatenate(sent, axis=1)).sorted()
+        group, first = found.classes()
         if smaller:
-            w = w[:, w[3] == w[3][first][group]]
-        else:
-            total = np.add.reduceat(w[2], first)
-            w = w[:, first]
-            w[2] = total
-        of = np.mod(w[5], shards)
+            least = np.minimum.reduceat(found.rows[3], first)
+            found = found.take(found.rows[3] == least[group])
+        else:  # one window of a class, with the weight of all
+            total = np.add.reduceat(found.rows[2], first)
+            found = found.take(first)
+            found.rows[2] = total
+        of = (found.digest.view(np.uint64).reshape(-1, 2)[:, 0] % np.uint64(shards)).astype(np.int64)
         order = np.argsort(of, kind="stable")
         cut = np.flatnonzero(np.diff(of[order], prepend=-1))
-        pieces = np.split(w[:, order], cut[1:], axis=1)
+        pieces = [found.take(x).packed() for x in np.split(order, cut[1:])]
         empty = pa.nulls(len(pieces), pa.int64())
-        packs = pa.Table.from_arrays([empty, empty, empty, empty, pa.array(of[order][cut]), pa.array([zstandard.compress(np.ascontiguousarray(v).tobytes(), 1) for v in pieces], pa.binary())], made.column_names)
+        packs = pa.Table.from_arrays([empty, empty, empty, empty, pa.array(of[order][cut]), pa.array(pieces, pa.binary())], made.column_names)
         return pa.concat_tables([made, packs])
 
     both = table(cuts.groupBy("shard").applyInArrow(run, "key long, c long, a long, b long, range long, windows binary"), "solved")
@@ -199,20 +253,19 @@ def solve(cuts: DataFrame, kind: Kind, solver: Solver, smaller: bool, shards: in
 
 
 def merge(windows: DataFrame, smaller: bool) -> DataFrame:
-    """Matched windows of keys dealt over several shards: the shards' packs of a digest range are sorted by digest."""
+    """Matched windows of keys dealt over several shards: each shard's sorted pack of a digest range is merged into the others' by binary search."""
 
     def run(own: pa.Table) -> pa.Table:
-        w = np.concatenate([np.frombuffer(zstandard.decompress(b), np.int64).reshape(7, -1) for b in own.column("windows").to_pylist()], axis=1)
-        w = w[:, np.lexsort((w[3], w[6], w[5]))]
-        pair = np.empty(w.shape[1], [("a", np.int64), ("b", np.int64)])
-        pair["a"], pair["b"] = w[5], w[6]
-        new = np.concatenate(([True], pair[1:] != pair[:-1]))
-        first = np.flatnonzero(new)
-        at = np.searchsorted(first, np.arange(len(pair)), "right") - 1
-        if smaller:  # the least document of a class stands first
-            hit = w[3] > w[3][first][at]
+        packs = [Windows.unpacked(b) for b in own.column("windows").to_pylist()]
+        while len(packs) > 1:
+            packs = [a.merged(b) for a, b in zip(packs[::2], packs[1::2])] + packs[len(packs) & ~1 :]
+        found = packs[0]
+        group, first = found.classes()
+        w = found.rows
+        if smaller:
+            hit = w[3] > np.minimum.reduceat(w[3], first)[group]
         else:
-            hit = (np.add.reduceat(w[2], first)[at] > 1) & (w[2] == 1)
+            hit = (np.add.reduceat(w[2], first)[group] > 1) & (w[2] == 1)
         w = w[:, hit]
         w = w[:, np.lexsort((w[4], w[1], w[0]))]
         edge = np.ones(w.shape[1], bool)
