@@ -109,6 +109,18 @@ def vendor_row(vendor: DataFrame, key: str = "sym") -> DataFrame:
     return vendor.select(key, F.lit("vendor").alias("origin"), "price", F.col("market_cap").alias("cap"), F.col("revenue").alias("ttm_revenue"), F.col("free_cash_flow").alias("ttm_fcf"), ratio(F.col("market_cap"), F.col("revenue")).alias("ps"), pfcf.alias("pfcf"))
 
 
+#: Kinds of documents that a manifest links to (fixed values).
+SOURCE_KINDS = ["report", "letter", "transcript"]
+
+
+def source_jobs(manifests: DataFrame, kinds: list[str] | None = None) -> DataFrame:
+    """(ticker, day, quarter, kind, url, path) of the links in manifests (ticker, day, links) whose entry has a quarter."""
+    pairs = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(f"links.{k}").alias("url")) for k in kinds or SOURCE_KINDS))
+    own = manifests.where(F.coalesce(F.col("links.quarter"), F.lit("")) != "").select("ticker", "day", F.col("links.quarter").alias("quarter"), F.explode(pairs).alias("x"))
+    path = F.concat("ticker", F.lit("/quarters/"), "day", F.lit("_"), "quarter", F.lit("-"), "kind", F.lit(".md"))
+    return own.select("ticker", "day", "quarter", "x.*").where(F.coalesce("url", F.lit("")) != "").withColumn("path", path)
+
+
 def jobs_missing(manifest: DataFrame, outputs: DataFrame, kinds: list[str]) -> DataFrame:
     """(ticker, day, kind, url) of links in the manifest whose output (path) doesn't exist."""
     links = manifest.unpivot(["ticker", "day"], kinds, "kind", "url").where("url IS NOT NULL")

@@ -49,14 +49,14 @@ class Query:
         return cls({c: [float(r[c]) for r in rows] for c in CHANNELS}, rows[-1].wd, weights)
 
 
-def with_stats(bars: DataFrame, channel: str, m: int, by: str = "sym", at: str = "d") -> DataFrame:
-    """mean_<channel> and std_<channel> of the m bars that end here, null for fewer, and the bars (window); noise-level deviations are zero."""
+def with_stats(bars: DataFrame, channel: str, m: int, by: str = "sym", at: str = "d", held: str = "ohlcv") -> DataFrame:
+    """mean_<channel> and std_<channel> of the m bars that end here, null for fewer, and these bars' held channels (window); noise-level deviations are zero."""
     order = Window.partitionBy(by).orderBy(at)
     frame = order.rowsBetween(1 - m, 0)
     mean, std = F.avg(channel).over(frame), F.stddev_pop(channel).over(frame)
     full = F.row_number().over(order) >= m
     snapped = F.when(std * std < F.pow(1e-5 * F.abs(mean), F.lit(2)), 0.0).otherwise(std)
-    more = {} if "window" in bars.columns else {"window": F.when(full, F.collect_list(F.struct(*CHANNELS)).over(frame))}
+    more = {} if "window" in bars.columns or not held else {"window": F.when(full, F.collect_list(F.struct(*held)).over(frame))}
     return bars.withColumns({f"mean_{channel}": F.when(full, mean), f"std_{channel}": F.when(full, snapped)} | more)
 
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from marketloom import tools
 from marketloom.functions import columns as C
 from marketloom.operators import fundamentals as Q
 from marketloom.operators import ingest as I
 from marketloom.operators import series as S
+from marketloom.sources import readers
 from marketloom.plans.views import bars, nation_bars, query, quarters, read, view
 
 FLOWS = ["ytd_ocf", "ytd_ppe", "ytd_software", "ytd_sbc"]
@@ -303,3 +305,56 @@ def feed_arrays_inline(spark, sf_dir):
     feed = packed.select("o_custkey", F.transform("x", lambda r: r.o_orderpriority).alias("form"), F.transform("x", lambda r: r.o_orderdate.cast("date")).alias("filed"))
     got = I.rows_of_arrays(feed, ["form", "filed"], ["o_custkey"])
     return I.wanted_filings(got.withColumn("period", F.col("filed")), ["1-URGENT", "2-HIGH"], F.lit("1995-01-01").cast("date")).select("o_custkey", F.col("pos").cast("long").alias("pos"), "form", "filed")
+
+
+@query("capex_names", "SELECT sym, concat_ws(',', CASE WHEN count(ytd_ppe) > 0 THEN 'ppe' END, CASE WHEN count(ytd_software) > 0 THEN 'software' END) AS lines FROM quarters GROUP BY 1 HAVING count(ytd_ppe) + count(ytd_software) > 0", "quarters")
+def capex_names(spark, sf_dir):
+    return readers.capex_names(records(spark, sf_dir)).select("sym", F.array_join("lines", ",").alias("lines"))
+
+
+@query("visible_rows", "SELECT sym, count(q_ytd_sbc) > 0 AS has_sbc, count(ytd_software) > 0 AS two_fcf, count(coalesce(est_low, est_high)) > 0 AS has_est, count(coalesce(nq_low, nq_high)) > 0 AS has_nq_guide, count(coalesce(fy_low, fy_high)) > 0 AS has_fy_guide, count(shares_short) > 0 AS has_short FROM alone SEMI JOIN shown s ON alone.sym = s.sym AND alone.fy = s.fy AND alone.qn = s.qn GROUP BY 1", "alone shown")
+def visible_rows(spark, sf_dir):
+    own = flows(spark, sf_dir)
+    return Q.visible_rows(own.join(Q.display_columns(quarters(spark, sf_dir)).where("is_fy = 0").select("sym", "fy", "qn"), ["sym", "fy", "qn"], "left_semi"))
+
+
+@query("label_parts", "SELECT o_orderkey, CAST((month(o_orderdate) - 1) // 3 + 1 AS INT) AS qn, CAST(year(o_orderdate) AS INT) AS fy FROM orders")
+def label_parts(spark, sf_dir):
+    label = F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "'q'q-yyyy")).otherwise(F.date_format("o_orderdate", "'q'q'-fy'yyyy"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", C.quarter_number(label).alias("qn"), C.fiscal_year(label).alias("fy"))
+
+
+@query("day_parse", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 > 0 THEN CAST(o_orderdate AS DATE) END AS day, CAST(o_orderdate AS DATE) AS from_epoch FROM orders")
+def day_parse(spark, sf_dir):
+    text = F.when(F.col("o_orderkey") % 4 > 0, F.date_format("o_orderdate", "yyyy-MM-dd HH:mm")).otherwise("2024-02-30")
+    seconds = F.unix_date(F.col("o_orderdate").cast("date")) * 86400 + F.col("o_orderkey") % 86400
+    return read(spark, sf_dir, "orders").select("o_orderkey", C.iso_date(text).alias("day"), C.epoch_day(seconds).alias("from_epoch"))
+
+
+@query("short_snapshot", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 0.25 WHEN c_custkey % 3 = 1 THEN CAST(c_custkey AS DOUBLE) / 2000 END AS pct_float, CAST(c_custkey AS DOUBLE) AS shares_short, DATE '2024-10-31' AS as_of FROM customer WHERE c_custkey % 10 > 0")
+def short_snapshot(spark, sf_dir):
+    """Payloads with the vendor's fraction, with the float's shares only, with neither, and without shares short."""
+    key = F.col("c_custkey").cast("string")
+    more = F.when(F.col("c_custkey") % 3 == 0, ', "shortPercentOfFloat": 0.25').when(F.col("c_custkey") % 3 == 1, ', "floatShares": 2000').otherwise("")
+    payload = F.concat(F.lit('{"sharesShort": '), F.when(F.col("c_custkey") % 10 > 0, key).otherwise("0"), more, F.lit(', "dateShortInterest": 1730332800}'))
+    return read(spark, sf_dir, "customer").select("c_custkey", C.short_snapshot(payload).alias("x")).where("x IS NOT NULL").select("c_custkey", "x.pct_float", "x.shares_short", "x.as_of")
+
+
+@query("vendor_row", "SELECT s_suppkey AS sym, 'vendor' AS origin, 2.0 AS price, s_acctbal AS cap, CAST(s_nationkey AS DOUBLE) AS ttm_revenue, CAST(s_nationkey - 12 AS DOUBLE) AS ttm_fcf, s_acctbal / nullif(CAST(s_nationkey AS DOUBLE), 0) AS ps, CASE WHEN s_nationkey > 12 THEN s_acctbal / CAST(s_nationkey - 12 AS DOUBLE) END AS pfcf FROM supplier")
+def vendor_row(spark, sf_dir):
+    own = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("sym"), F.lit(2.0).alias("price"), F.col("s_acctbal").alias("market_cap"), F.col("s_nationkey").cast("double").alias("revenue"), (F.col("s_nationkey") - 12).cast("double").alias("free_cash_flow"))
+    return I.vendor_row(own)
+
+
+@query("success_counts", "SELECT o_orderstatus, count(*) FILTER (o_totalprice > 100000) AS ok, count(*) AS total FROM orders GROUP BY 1")
+def success_counts(spark, sf_dir):
+    return tools.success(read(spark, sf_dir, "orders").withColumn("fine", F.col("o_totalprice") > 100000), "fine", ["o_orderstatus"])
+
+
+@query("source_jobs", "SELECT c_mktsegment AS ticker, CAST(c_custkey AS VARCHAR) AS day, 'q1-2024' AS quarter, kind, kind || c_custkey AS url, c_mktsegment || '/quarters/' || c_custkey || '_q1-2024-' || kind || '.md' AS path FROM customer, (VALUES ('report'), ('letter'), ('transcript')) k(kind) WHERE c_custkey % 5 > 0 AND (kind <> 'letter' OR c_custkey % 2 = 0)")
+def source_jobs(spark, sf_dir):
+    """Manifest entries without a quarter (every fifth), and some without a letter."""
+    link = lambda kind: F.concat(F.lit(kind), F.col("c_custkey").cast("string")).alias(kind)
+    links = F.struct(F.when(F.col("c_custkey") % 5 > 0, "q1-2024").alias("quarter"), link("report"), F.when(F.col("c_custkey") % 2 == 0, link("letter")).alias("letter"), link("transcript"))
+    own = read(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("ticker"), F.col("c_custkey").cast("string").alias("day"), links.alias("links"))
+    return I.source_jobs(own)

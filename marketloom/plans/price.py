@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marketloom.functions import columns as C
+from marketloom.operators import ingest as I
 from marketloom.operators import series as S
 from marketloom.plans.views import announcements, bars, hour_bars, nation_bars, query, quarters, read, view
+from marketloom.sources import readers
 
 ARROW = "CASE WHEN {x} IS NULL OR {y} IS NULL THEN NULL WHEN coalesce(abs({x} - {y}) / nullif(greatest(abs({x}), abs({y})), 0), 0) < 0.005 THEN '→' WHEN {x} > {y} THEN '↑' ELSE '↓' END"
 PAIR = lambda a, b, c: ARROW.format(x=a, y=b) + " || " + ARROW.format(x=b, y=c)
@@ -204,3 +206,29 @@ def provisional_week(spark, sf_dir):
 def quality_flags(spark, sf_dir):
     """The newest 60 bars of each nation, as one would query them."""
     return S.quality_flags(nation_bars(spark, sf_dir), 60).select("sym", "d", "thin", "heavy", "jump")
+
+
+@query("bar_moves", "SELECT sym, d, c - o AS move FROM nbars", "nbars")
+def bar_moves(spark, sf_dir):
+    return nation_bars(spark, sf_dir).select("sym", "d", C.bar_move(F.col("o"), F.col("c")).alias("move"))
+
+
+@query("market_hours", """SELECT event_id, isodow(t) < 6 AND strftime(t, '%H:%M') >= '09:30' AND strftime(t, '%H:%M') < '16:00' AS is_open FROM (SELECT event_id, (ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS t FROM events)""")
+def market_hours(spark, sf_dir):
+    return read(spark, sf_dir, "events").select("event_id", S.market_open(F.col("ts").cast("timestamp_ntz")).alias("is_open"))
+
+
+HOLES = "CASE WHEN sym % 3 = 0 AND d >= DATE '1998-06-01' OR (sym + day(d)) % 7 = 0 THEN NULL ELSE c END AS c"
+view("holes", f"SELECT sym, d, {HOLES}, v FROM nbars", ("nbars",))
+
+
+@query("healed_tail", """SELECT sym, d, c, v FROM holes WHERE c IS NOT NULL UNION ALL SELECT b.sym, b.d, b.c, b.v FROM nbars b JOIN holes h ON b.sym = h.sym AND b.d = h.d AND h.c IS NULL JOIN (SELECT sym, max(d) AS last FROM holes WHERE c IS NOT NULL GROUP BY 1) l ON l.sym = b.sym AND b.d > l.last WHERE day(b.d) % 2 = 0""", "holes")
+def healed_tail(spark, sf_dir):
+    """Bars with missing closes, and probes of every second day."""
+    own = nation_bars(spark, sf_dir).select("sym", "d", "c", "v")
+    return I.heal_tail(own.withColumn("c", F.expr(HOLES.removesuffix(" AS c"))), own.where("day(d) % 2 = 0"))
+
+
+@query("last_dates", "SELECT sym, max(d) AS last FROM nbars GROUP BY 1", "nbars")
+def last_dates(spark, sf_dir):
+    return readers.last_dates(nation_bars(spark, sf_dir))

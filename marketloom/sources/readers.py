@@ -114,9 +114,10 @@ def yaml_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def manifests(spark: SparkSession, path: str) -> DataFrame:
-    """Source manifests: (path, cik with ten digits, day, and a struct of links)."""
+    """Source manifests: (path, ticker (the file's folder), cik with ten digits, day, and a struct of links)."""
     got = yaml_rows(spark, path, "map<string,string>").select("path", F.map_filter("value", lambda k, _: k != "_meta").alias("days"), F.from_json(F.col("value")["_meta"], "cik string").alias("meta"))
-    return got.select("path", F.lpad("meta.cik", 10, "0").alias("cik"), F.explode("days").alias("day", "json")).select("path", "cik", "day", F.from_json("json", "quarter string, period_end string, report string, report_type string, letter string, letter_type string, transcript string").alias("links"))
+    ticker = F.regexp_extract(F.url_decode("path"), r"([^/]+)/[^/]+$", 1).alias("ticker")
+    return got.select("path", ticker, F.lpad("meta.cik", 10, "0").alias("cik"), F.explode("days").alias("day", "json")).select("path", "ticker", "cik", "day", F.from_json("json", "quarter string, period_end string, report string, report_type string, letter string, letter_type string, transcript string").alias("links"))
 
 
 def universe(spark: SparkSession, path: str) -> DataFrame:

@@ -17,6 +17,7 @@ from marketloom.operators import ingest as I
 from marketloom.operators import series as S
 from marketloom.operators import shape as H
 from marketloom.operators import text as X
+from marketloom.operators import vectors as V
 from marketloom.sources import readers, remote, writers
 from marketloom.streaming import stores
 
@@ -478,3 +479,17 @@ def test_tools(spark):
     assert set(tools.shape(own, 0, query_len=5, any_weekday=True)) == {"matches", "bars", "stats", "volume_stats", "bands", "scan"}
     with pytest.raises(ValueError):
         tools.reaction(own, events, before=-1)
+
+
+def test_nearest_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [1.0, 0.0]), (4, [0.0, 1.0]), (5, None), (6, [0.0, 0.0]), (7, [float("nan"), 1.0]), (8, [None, 1.0]), (9, [3.0]), (None, [1.0, 0.0]), (2, [0.0, 5.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.query, r.vec_id, round(r.cosine, 6)) for r in V.nearest_vectors(frame, frame.where("vec_id IN (1, 5, 6)"), 4).orderBy("query", "rank").collect()]
+    assert got == [(1, 2, 1.0), (1, 3, 1.0), (1, 9, 1.0), (1, 2, 0.0)]
+    assert V.nearest_vectors(frame.limit(0), frame, 3).count() == 0
+
+
+def test_corpus_queries_are_added_only_where_they_are():
+    import __spark_entry__ as entry
+
+    assert entry._there("marketloom.plans.registry") and not entry._there("marketloom.nothing") and not entry._there("nothing.at.all")
