@@ -3,6 +3,10 @@
 Quality rules and toxicity drop the documents that they reject, SimHash keeps the first document of each group of near
 copies (five-word shingles, similarity 0.8), substring dedup takes repeated passages out of later documents (and drops
 those that have no word left), and packing lays the rest out in sequences.
+
+Ids are integers. Null and empty texts have no words, so the quality rules drop them; texts of any length are read whole; of ties
+among near copies the row with the least (id, hash of the text) stays, a null id being the last, and of exact repeats one row; an
+empty table passes through empty. Extra columns are carried through all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
