@@ -7,11 +7,20 @@ unigram mass of the words not seen after h, so each history's probabilities sum
 
 Texts are dealt into chunks of word numbers. Each chunk sends the words, then the bigrams that it holds, once each, to
 the bucket that owns them; buckets count them, keep their part of the model, and answer each chunk in its own order.
-Nothing passes through the driver but counts of counts and the sums of words that make up a 1/HOT of all tokens, at most
-HOT of them, whose bigrams are dealt over all buckets. The bigrams are kept as a table partitioned by kind.
+Nothing passes through the driver but counts of counts and the sums of hot words, those that make up a 1/HOT of all tokens and a
+quarter of a bucket: at most HOT of them, whose bigrams are dealt over all buckets, so no bucket holds a whole hot history. Words'
+and bigrams' counts and the histories' sums are kept as tables partitioned by kind, which scoring reads: a token takes the
+discounted bigram, or else the history's weight and the word's discounted unigram, or else the unknown word's share.
+
+Each chunk sends a row to each bucket of which it has anything: their number grows with the square of the tokens over
+CHUNK_TOKENS * BUCKET_ENTRIES until a row holds a single bigram, and no further; the two are to be raised with the executors' memory
+for corpora of terabytes.
+
+fit() leaves the same model as tables, partitioned by history, from which evaluate() scores texts that were not there when it was
+counted: a token's history is looked up, else the word with the history's weight, else the unknown word.
 
 Null and empty texts have one token, the end; texts of any length are one row of a chunk; repeated rows count as often
-as they stand; without training texts every token has probability one half of itself unknown (N = 0); an empty table
+as they stand; ids are integers; without training texts every token has probability one half of itself unknown (N = 0); an empty table
 gives no rows.
 """
 
@@ -30,7 +39,7 @@ from marketloom.llm.common import mix, table, word_hashes
 
 CHUNK_TOKENS = 2_000_000
 BUCKET_ENTRIES = 1_000_000
-HOT = 1024
+HOT = 65_536
 CUT = 5
 BEGIN, END = np.uint64(0), np.uint64(1)
 
@@ -167,8 +176,8 @@ def word_messages(chunks: DataFrame, buckets: int) -> DataFrame:
             for row in batch.to_pylist():
                 c = Chunk.of(row)
                 count = np.bincount(c.tokens[c.trains], minlength=len(c.words))
-                own = split((c.words % np.uint64(buckets)).astype(np.int64), buckets)
-                yield pa.RecordBatch.from_arrays([pa.array(range(buckets), pa.int64()), pa.array([row["chunk"]] * buckets, pa.int64()), pa.array([pack(c.words[i]) for i in own], pa.binary()), pa.array([pack(count[i].astype(np.uint32)) for i in own], pa.binary())], ["bucket", "chunk", "a", "b"])
+                own = [(b, i) for b, i in enumerate(split((c.words % np.uint64(buckets)).astype(np.int64), buckets)) if len(i)]
+                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in own], pa.int64()), pa.array([row["chunk"]] * len(own), pa.int64()), pa.array([pack(c.words[i]) for _, i in own], pa.binary()), pa.array([pack(count[i].astype(np.uint32)) for _, i in own], pa.binary())], ["bucket", "chunk", "a", "b"])
 
     return chunks.select("chunk", "docs", "held", "ends", "tokens", "words").mapInArrow(run, "bucket long, chunk long, a binary, b binary")
 
@@ -228,7 +237,7 @@ def pairs_of(c: Chunk, answers: list[dict], word_buckets: int, buckets: int, tot
     key = (number[before].astype(np.uint64) << np.uint64(32)) | number[c.tokens].astype(np.uint64)
     _, first, at = np.unique(key, return_index=True, return_inverse=True)
     history, word = before[first], c.tokens[first]
-    hot = count * HOT >= max(total, 1)
+    hot = count >= max(BUCKET_ENTRIES // 4, total / HOT)
     hot[-1] = True
     spread = np.where(hot[history], key[first], number[history].astype(np.uint64))
     owner = (mix(spread + np.uint64(0x51ED27)) % np.uint64(buckets)).astype(np.int64)
@@ -243,6 +252,8 @@ def pair_messages(chunks: DataFrame, answers: DataFrame, word_buckets: int, buck
         count = np.bincount(p.at, c.trains.astype(np.float64), len(p.history)).astype(np.uint32)
         out = []
         for b, i in enumerate(p.owned):
+            if not len(i):
+                continue
             h, w = p.number[p.history[i]], p.number[p.word[i]]
             flags = p.hot[p.history[i]]
             out.append((b, row["chunk"], pack(np.diff(h, prepend=0).astype(np.int64)), pack(w.astype(np.uint32)), pack(count[i]), pack(p.count[p.word[i]]), pack(flags.astype(np.uint8))))
@@ -264,7 +275,7 @@ def history_sums(h: np.ndarray, r: np.ndarray, p: np.ndarray) -> tuple[np.ndarra
 
 
 def pair_replies(messages: DataFrame, unigrams: Unigrams) -> DataFrame:
-    """For each message its bigrams' counts and, for each history that isn't hot, its sums; the bucket's part of the model; hot histories' sums."""
+    """For each message its bigrams' counts and, for each history that isn't hot, its sums; counts of counts; hot histories' sums."""
 
     def run(own: pa.Table) -> pa.Table:
         bucket, chunk = own.column("bucket")[0].as_py(), own.column("chunk").to_pylist()
@@ -281,7 +292,6 @@ def pair_replies(messages: DataFrame, unigrams: Unigrams) -> DataFrame:
             asked = np.unique(own_h[own_hot == 0])
             rows.append(("pair", bucket, c, pack(r[i].astype(np.uint32)), pack(sums[np.searchsorted(names, asked)].ravel()), None, None, None))
         seen = r > 0
-        rows.append(("model", bucket, None, pack(pair[seen]), pack(r[seen]), None, None, None))
         rows.append(("counts", bucket, None, None, None, counts_of_counts(r[seen]), None, None))
         rows += [("hot", bucket, None, None, None, None, int(x), s.tolist()) for x, s in zip(*history_sums(h[hot], r[hot], p[hot]))]
         return reply_table(rows)
@@ -357,3 +367,70 @@ def score(docs: DataFrame, held, key: str = "doc_id") -> DataFrame:
     hot = {r.h: list(r[1:]) for r in pairs.where("kind = 'hot'").groupBy("h").agg(*(F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(CUT + 2))).collect()}
     answers = told.unionByName(pairs.where("kind = 'pair'"))
     return scored(slim, answers, word_buckets, buckets, unigrams, Discounts.good_turing([x or 0 for x in seen]), trained, hot, key)
+
+
+@dataclass(frozen=True)
+class Model:
+    """A model's tables: unigrams (word, p), bigrams (history, word, p) and weights (history, a), all log10, and the unknown word's p."""
+
+    unigrams: DataFrame
+    bigrams: DataFrame
+    weights: DataFrame
+    unknown: float
+
+
+def token_pairs(docs: DataFrame, key: str) -> DataFrame:
+    """Rows (key, history, word, n): how often each bigram, by hashes, stands in each text."""
+    kept = docs.select(F.col(key), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                words = word_hashes((text or "").encode().lower())[0]
+                words[words < 2] += np.uint64(2)
+                words = np.append(words, END)
+                pair = np.stack([np.append(BEGIN, words[:-1]), words])
+                own, n = np.unique(pair, axis=1, return_counts=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(n), i))), *(pa.array(x.view(np.int64)) for x in np.ascontiguousarray(own)), pa.array(n)], [key, "history", "word", "n"])
+
+    return kept.mapInArrow(run, f"`{key}` {kept.schema[0].dataType.simpleString()}, history long, word long, n long")
+
+
+def fit(docs: DataFrame, key: str = "doc_id", parts: int | None = None) -> Model:
+    """Count all texts of docs and write the model's tables in the shared folder."""
+    spark = docs.sparkSession
+    pairs = table(token_pairs(docs, key).groupBy("history", "word").agg(F.sum("n").alias("r")), "pairs")
+    words = table(pairs.groupBy("word").agg(F.sum("r").alias("c")), "words")
+
+    def tails(df: DataFrame, c: str) -> list[int]:
+        got = df.agg(*(F.count_if(F.col(c) == r).alias(f"n{r}") for r in range(CUT + 2))).first()
+        return [got[f"n{r}"] for r in range(CUT + 2)]
+
+    size = words.agg(F.sum("c").alias("total"), F.count("*").alias("kinds")).first()
+    unigrams, d = Unigrams.fit(tails(words, "c"), size.total or 0, size.kinds), Discounts.good_turing(tails(pairs, "r"))
+    discounted = lambda c, own: F.element_at(F.array(*(F.lit(float(x)) for x in (*own.d, 1.0))), F.least(c, F.lit(CUT + 1)).cast("int") + 1) * c
+    p = F.lit(unigrams.scale) * discounted(F.col("c"), unigrams.discounts) / F.lit(float(max(unigrams.total, 1)))
+    known = words.withColumn("p", p)
+    both = pairs.join(known.select("word", "p"), "word").withColumn("seen", discounted(F.col("r"), d))
+    sums = both.groupBy("history").agg(F.sum("r").alias("n"), F.sum("seen").alias("seen"), F.sum("p").alias("mass"))
+    n, none = F.col("n").cast("double"), F.col("seen") >= F.col("n") * (1 - 1e-12)
+    rest = 1 - F.least(F.col("mass"), F.lit(1.0))
+    full = rest < 1e-12
+    sums = sums.withColumn("scale", F.when(full, n / F.col("seen")).when(none, n / (n + 1)).otherwise(1.0))
+    a = F.when(full, -300.0).otherwise(F.log10(F.greatest(1 - F.col("scale") * F.col("seen") / n, F.lit(1e-300))) - F.log10(rest))
+    sums = table(sums.select("history", "n", "scale", a.alias("a")), "sums")
+    dealt = lambda df, by: df.withColumn("part", F.pmod(by, F.lit(parts or int(spark.conf.get("spark.sql.shuffle.partitions")))).cast("int"))
+    given = pairs.join(sums, "history").select("history", "word", F.log10(F.col("scale") * discounted(F.col("r"), d) / F.col("n")).alias("p"))
+    return Model(
+        table(dealt(known.select("word", F.log10("p").alias("p")), F.col("word")), "unigrams", "part"), table(dealt(given, F.col("history")), "bigrams", "part"),
+        table(dealt(sums.select("history", "a"), F.col("history")), "weights", "part"), float(np.log10(unigrams.unknown)))
+
+
+def evaluate(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
+    """Rows (key, score): the log10 probability of each key's texts by the model's tables."""
+    pairs = token_pairs(docs, key)
+    higher = model.bigrams.select("history", "word", F.col("p").alias("high"))
+    lower = model.unigrams.select("word", F.col("p").alias("low"))
+    told = pairs.join(higher, ["history", "word"], "left").join(model.weights.select("history", "a"), "history", "left").join(lower, "word", "left")
+    each = F.coalesce("high", F.coalesce("a", F.lit(0.0)) + F.coalesce("low", F.lit(model.unknown)))
+    return told.groupBy(key).agg(F.sum(F.col("n") * each).alias("score"))
