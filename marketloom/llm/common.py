@@ -29,10 +29,25 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+_made: list[str] = []
+
+
+def drop_tables(spark: SparkSession) -> int:
+    """Remove the working tables that this process has made; results that read them must have been written. Returns how many."""
+    for path in _made:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    gone = len(_made)
+    _made.clear()
+    return gone
+
+
 def table(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write df as a working table in the shared folder and read it back: it cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/work-{uuid.uuid4().hex}/{name}"
+    folder = f"{shared_dir(spark).rstrip('/')}/work-{uuid.uuid4().hex}"
+    _made.append(folder)
+    path = f"{folder}/{name}"
     writer = df.write.mode("overwrite").option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(partition_by)
@@ -44,6 +59,17 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a batch that Python gets at once in the pipeline: whole rows with their texts, twice over.
+BATCH_ROWS = 2_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let this session's Arrow batches have BATCH_ROWS rows at most, so that workers hold few long texts at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
