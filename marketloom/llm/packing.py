@@ -30,7 +30,7 @@ from marketloom.llm.sentencepieces import grouped
 
 CAPACITY = 2048
 #: Pieces of texts in the younger generation of one worker's cache at which it becomes the older; it costs time only.
-CACHED = 500_000
+CACHED = 250_000
 LONGEST_CACHED = 64
 #: One text in so many, by a hash of it, is also given to the library whole, and the ids compared.
 WHOLE = 64

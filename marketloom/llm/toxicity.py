@@ -11,7 +11,7 @@ learned from labelled rows: at most MAX_LABELLED documents, chosen by a hash of
 logistic weights. Fixed seed words for each language hold where no labels are given.
 
 Null and empty texts have no clauses and get the score of a text without matches; texts and words of any length are read whole;
-repeated rows get equal scores, and of rows with one doc_id the least text is learned from; an empty table gives no rows.
+repeated rows get equal scores, and rows with one doc_id count each in the lexicon, once for the logistic weights; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ MIN_SUPPORT = 4
 MIN_WEIGHT = 1.5
 SCOPE = 3
 STEMS = range(3, 9)
+#: Words and beginnings that a task counts before it hands the counts on.
+ENTRIES_HELD = 200_000
 WORD = re.compile(r"[^\W\d_]+")
 CLAUSE = re.compile(r"[.!?;:\n|]+")
 SEEDS = "idiot idiots moron morons stupid dumb scum trash loser losers pathetic worthless disgusting clown clowns imbecile cretin vermin filth dummkopf trottel abschaum arschloch ordure connard imbécile crétin raclure idiota estúpido escoria imbécil".split()
@@ -190,12 +192,11 @@ def _over_texts(docs: DataFrame, keys: list[str], out: str, each) -> DataFrame:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, train=None) -> DataFrame:
-    """Rows (doc_id, text, toxic, fold) of at most MAX_LABELLED labelled documents that train allows; fold 2 of 0..2 is for the logistic weights."""
+    """Rows (doc_id, text, toxic, fold) of at most MAX_LABELLED labelled documents that train allows, all rows of a doc_id; fold 2 of 0..2 is for the logistic weights."""
     few = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL")
     few = few if train is None else few.where(train)
     few = few.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
-    texts = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    return texts.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(3)))
+    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(3)))
 
 
 def learn_lexicon(rows: DataFrame) -> Lexicon:
@@ -203,12 +204,20 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, list[int]] = {}
+
+        def told() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([x[1] for x in found.values()], pa.int64()), pa.array([x[0] for x in found.values()], pa.int64())], ["entry", "pos", "neg"])
+            found.clear()
+            return out
+
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = {w for w in WORD.findall((text or "").lower()) if len(w) > 2}
                 for x in words | {f"{w[:n]}*" for w in words for n in STEMS if len(w) > n}:
                     found.setdefault(x, [0, 0])[1 if toxic else 0] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([x[1] for x in found.values()], pa.int64()), pa.array([x[0] for x in found.values()], pa.int64())], ["entry", "pos", "neg"])
+                if len(found) > ENTRIES_HELD:
+                    yield told()
+        yield told()
 
     totals = rows.groupBy("toxic").count().collect()
     pos, neg = (sum(r["count"] for r in totals if bool(r.toxic) is k) for k in (True, False))
@@ -253,7 +262,8 @@ def fit(docs: DataFrame, labels: DataFrame, train=None) -> Model:
     """Learn the grammar's weights from labelled rows."""
     rows = labelled(docs, labels, train)
     lexicon = learn_lexicon(rows.where("fold < 2"))
-    got = _over_texts(rows.where("fold = 2"), ["toxic"], "features array<double>", lambda t: text_features(t, lexicon)).collect()
+    got = _over_texts(rows.where("fold = 2"), ["doc_id", "toxic"], "features array<double>", lambda t: text_features(t, lexicon))
+    got = got.groupBy("doc_id").agg(F.min(F.struct("toxic", "features")).alias("x")).select("x.*").collect()
     if len({bool(r.toxic) for r in got}) < 2:
         return Model(lexicon, np.array(DEFAULT.weights))
     return Model(lexicon, fit_logistic(np.array([r.features for r in got]), np.array([float(bool(r.toxic)) for r in got])))
