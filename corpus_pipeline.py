@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketloom.llm import packing, quality, simhash, suffix_trees, toxicity
-from marketloom.llm.common import bucket_of, read, table
+from marketloom.llm.common import bucket_of, read, small_batches, table
 from marketloom.llm.queries import tokenizer
 
 #: A text goes at the score from which op1 calls it toxic.
@@ -28,16 +28,19 @@ def whole_rows(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     limits = quality.learn_limits(docs, read(spark, sf_dir, "labels"))
     return quality.judge(quality.measures(whole_rows(docs), ["__row"]), limits).where("kept").select("__row.*")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"), ~bucket_of("doc_id", 2, 4))
     return toxicity.score(whole_rows(docs), model, ["__row"]).where(F.col("score") < TOXIC).select("__row.*")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     later = simhash.similar_texts(docs).where("NOT first").select(F.col("doc_id").alias("__id"), F.col("t").alias("__t")).distinct()
     rows = docs.withColumn("__text", F.xxhash64("text"))
     first = rows.join(later, rows.doc_id.eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__t")), "left_anti")
@@ -45,6 +48,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     rest = [c for c in docs.columns if c != "text"]
     found = suffix_trees.repeated_words(docs, carry=rest).where("n_words = 0 OR n_removed < n_words")
     columns = {c: F.col(f"row.{c}") for c in rest} | {"text": F.col("kept")}
@@ -54,6 +58,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return packing.pack(docs, tokenizer("byte_bpe_50k.json"))
 
 
