@@ -73,7 +73,8 @@ def _edges(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[tupl
         yield tuple(np.concatenate(x) for x in zip(*waiting))
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (u, v) as forests of PART of them at a time."""
     for u, v in _edges(batches, PART):
         nodes, least = least_reached(u, v)
         own = nodes != least
@@ -86,15 +87,16 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(least)], ["node", "component"])
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, most_rounds: int = 60, contract: bool = True) -> DataFrame:
     """Rows (node, component) for every node of edges (u, v), component being the smallest node reached.
 
     Self-loops, repeated edges and either direction are fine; nulls are left out; no edges give no rows.
     A star with very many leaves stays a set of rows: minima are taken before rows are joined, nothing is collected but
-    the last FEW edges, by one task.
+    the last FEW edges, by one task. Without contract the tasks make no forests first: edges that Python makes are forests
+    already, and a second Python worker a task would hold memory for nothing.
     """
     own = edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"))
-    now, before = table(own.mapInArrow(_forest, "u long, v long").distinct(), "edges"), None
+    now, before = table((own.mapInArrow(forests, "u long, v long") if contract else own).distinct(), "edges"), None
     for _ in range(most_rounds):
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark[0] <= FEW:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from marketloom.llm.caps import forest
 from marketloom.llm.common import mix, parts, table
-from marketloom.llm.components import connected_components
+from marketloom.llm.components import connected_components, forests
 
 BLOCKS = 5
 PAIRS = 64
@@ -121,25 +121,30 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 2, key: str
 WORDS = 8
 #: A block has so many bits more than the number of fingerprints has, so the unrelated ones in it don't grow in number.
 SPARE_BITS = 4
-#: Share of pairs at the candidates' limit that no block holds.
-MISSED = 0.02
+#: Share of pairs that no block holds, where they differ by BLOCK_DEVIATIONS more bits than the least similar do on average.
+MISSED, BLOCK_DEVIATIONS = 0.02, 1
 #: Standard deviations of the Hamming distance that the candidates' limit lies above what the least similarity gives.
-DEVIATIONS = 3
-TILE = 2048
-#: Bytes of shingle hashes in a tile, as far as texts can be parted.
-TILE_BYTES = 1 << 25
+DEVIATIONS = 5
+#: Rows of a block, or of a component of candidates, that are compared with each other at once.
+TILE = 1024
+#: Rows of each larger component that all of its tiles get.
+PIVOTS = 64
+#: Bytes of shingle hashes in a tile, as far as texts can be parted, and in a task.
+TILE_BYTES = 1 << 23
+#: Rows of blocks in a partition.
+BLOCK_ROWS = 4_000_000
 
 
 def block_plan(n: int, share: float) -> tuple[int, int]:
-    """Bits of a block and number of blocks for n fingerprints, where share of the bits differ in the least similar pairs sought."""
+    """Bits of a block and number of blocks for n fingerprints, so that MISSED of the pairs that differ in share of their bits meet in none."""
     bits = max(16, int(np.ceil(np.log2(max(n, 2)))) + SPARE_BITS)
     return bits, int(np.ceil(np.log(MISSED) / np.log1p(-((1 - share) ** bits))))
 
 
-def candidate_limit(least: float) -> int:
-    """Bits in which texts of similarity least differ, and DEVIATIONS more: candidates differ in so many at most."""
-    n, share = 64 * WORDS, float(np.arccos(2 * least / (1 + least)) / np.pi)
-    return int(n * share + DEVIATIONS * np.sqrt(n * share * (1 - share)))
+def differing(least: float, deviations: float, bits: int = 64 * WORDS) -> int:
+    """Of so many bits, those in which texts of similarity least differ on average, and deviations more."""
+    share = float(np.arccos(2 * least / (1 + least)) / np.pi)
+    return int(bits * share + deviations * np.sqrt(bits * share * (1 - share)))
 
 
 def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
@@ -167,20 +172,190 @@ def wide_fingerprint(text: str | None, width: int = 5) -> bytes:
     return np.packbits(2 * count > len(h)).tobytes()
 
 
+def block_edges(k: np.ndarray, node: np.ndarray, sketch: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidate edges (u, v) of rows sorted by block: in a block of up to TILE rows a forest of those whose sketches differ in most bits at most, in a larger one a star."""
+    start = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, np.int64)
+    size = np.diff(np.append(start, len(k)))
+    two = start[size == 2]
+    near = two[np.bitwise_count(sketch[two] ^ sketch[two + 1]) <= most]
+    yield node[near], node[near + 1]
+    for a, n in zip(start[size > 2].tolist(), size[size > 2].tolist()):
+        own = node[a : a + n]
+        if n > TILE:
+            yield own[1:], np.full(n - 1, own[0])
+        else:
+            x = sketch[a : a + n]
+            name = forest(np.bitwise_count(x[:, None] ^ x[None, :]) <= most)
+            rows = np.flatnonzero(name != np.arange(n))
+            yield own[rows], own[name[rows]]
+
+
+def candidate_edges(prints: DataFrame, least: float, count: int) -> DataFrame:
+    """Edges (u, v) between fingerprints (node, fp) that meet in a block of sampled bits and whose first words are close.
+
+    Rows (block, node, first word) are sorted by block once; a task streams over its blocks and holds no more than TILE rows
+    of one. Blocks are so long that unrelated fingerprints fill none, so a block over TILE rows is a family of copies: its rows
+    are all candidates, joined to one of them without comparing.
+    """
+    share = differing(least, BLOCK_DEVIATIONS) / (64 * WORDS)
+    bits_each, samples = block_plan(count, share)
+    rng = np.random.default_rng(SEED)
+    picks = np.array([rng.choice(64 * WORDS, bits_each, replace=False) for _ in range(samples)])
+    most = differing(least, DEVIATIONS, 64)
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight = 1 << np.arange(bits_each, dtype=np.int64)
+        for whole in batches:
+            for batch in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
+                raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+                bits = np.unpackbits(raw, axis=1)
+                k = np.concatenate([bits[:, p].astype(np.int64) @ weight + (i << bits_each) for i, p in enumerate(picks)])
+                first = np.ascontiguousarray(raw[:, :8]).view(np.int64).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.tile(batch.column(0).to_numpy(), samples)), pa.array(np.tile(first, samples))], ["k", "node", "sketch"])
+
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = [np.zeros(0, np.int64)] * 3
+        for batch in batches:
+            left = [np.concatenate((x, batch.column(i).to_numpy())) for i, x in enumerate(left)]
+            k = left[0]
+            last = int(np.searchsorted(k, k[-1])) if len(k) else 0  # the last block may go on in the next batch
+            yield from out(*(x[:last] for x in left))
+            left = [x[last:] for x in left]
+            if len(left[0]) > 2 * TILE:  # a star from its first row; the others are done with
+                yield pa.RecordBatch.from_arrays([pa.array(left[1][TILE + 1 :]), pa.array(np.full(len(left[0]) - TILE - 1, left[1][0]))], ["u", "v"])
+                left = [x[: TILE + 1] for x in left]
+        yield from out(*left)
+
+    def out(k: np.ndarray, node: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
+        found = list(block_edges(k, node, sketch.view(np.uint64), most))
+        u, v = (np.concatenate(x) for x in zip(*found))
+        if len(u):
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    keyed = prints.select("node", "fp").mapInArrow(keys, "k long, node long, sketch long")
+    shards = max(parts(prints.sparkSession), -(-count * samples // BLOCK_ROWS))
+    return keyed.repartition(shards, "k").sortWithinPartitions("k").mapInArrow(lambda batches: forests(edges(batches)), "u long, v long")
+
+
+#: Shingles that more rows of a group have are multiplied as columns of a matrix, others give their pairs.
+FEW = 12
+
+
+def shared(sets: list[np.ndarray], left: int) -> np.ndarray:
+    """How many elements each of the first left sets has in common with every later set."""
+    n = len(sets)
+    row = np.repeat(np.arange(n), [len(x) for x in sets])
+    element = np.concatenate(sets)
+    order = np.argsort(element, kind="stable")
+    row, element = row[order], element[order]
+    start = np.flatnonzero(np.concatenate(([True], element[1:] != element[:-1]))) if len(element) else np.zeros(0, np.int64)
+    size = np.diff(np.append(start, len(element)))
+    pairs = []
+    for c in range(2, FEW + 1):
+        members = row[start[size == c][:, None] + np.arange(c)]
+        for i, j in combinations(range(c), 2):  # rows are ascending
+            pairs.append((members[:, i] * n + members[:, j])[members[:, i] < left])
+    out = np.bincount(np.concatenate(pairs), minlength=left * n).reshape(left, n).astype(np.float32)
+    many = np.flatnonzero(size > FEW)
+    for at in range(0, len(many), 2048):
+        own = many[at : at + 2048]
+        has = np.zeros((n, len(own)), np.float32)
+        column = np.repeat(np.arange(len(own)), size[own])
+        has[row[np.repeat(start[own], size[own]) + np.arange(len(column)) - np.repeat(np.cumsum(size[own]) - size[own], size[own])], column] = 1
+        out += has[:left] @ has.T
+    return out
+
+
+def verified(words: np.ndarray, sets: list[np.ndarray], most: int, least: float, left: int) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of the pairs within most bits whose sets have a Jaccard of least or more; of the first left rows with all, the others not among themselves."""
+    n = len(words)
+    if n == 2:
+        near = np.bitwise_count(words[0] ^ words[1]).sum() <= most and jaccard(sets[0], sets[1]) >= least
+        return np.arange(near), np.arange(1, 1 + near)
+    size = np.array([len(x) for x in sets], np.float64)
+    both, near = shared(sets, left), np.zeros((n, n), bool)
+    for i in range(0, left, 256):  # few rows at a time, for the sake of memory
+        rows = slice(i, min(i + 256, left))
+        near[rows] = both[rows] >= least * (size[rows, None] + size[None, :] - both[rows])
+        bits = np.zeros(near[rows].shape, np.uint16)
+        for k in range(WORDS):
+            bits += np.bitwise_count(words[rows, None, k] ^ words[None, :, k])
+        near[rows] &= bits <= most
+    near |= near.T
+    np.fill_diagonal(near, False)
+    name = forest(near)
+    u = np.flatnonzero(name != np.arange(n))
+    return u, name[u]
+
+
+def meet(rows: DataFrame, most: int, least: float) -> DataFrame:
+    """Edges (u, v) within each group (component, a, b) of rows (.., side, node, fp, h): side 0 with all, side 1 not with side 1."""
+    spark = rows.sparkSession
+    total = rows.agg(F.sum(F.length("h") + 100)).first()[0] or 0
+    shards = max(4 * parts(spark), -(-total // TILE_BYTES))
+
+    def run(own: pa.Table) -> pa.Table:
+        own = own.sort_by([(c, "ascending") for c in ("component", "a", "b", "side", "node")])
+        key = np.stack([own.column(c).to_numpy() for c in ("component", "a", "b")])
+        node, side = own.column("node").to_numpy(), own.column("side").to_numpy()
+        start = np.flatnonzero(np.concatenate(([True], (key[:, 1:] != key[:, :-1]).any(axis=0))))
+        u, v = [], []
+        for a, b in zip(start.tolist(), [*start[1:].tolist(), own.num_rows]):
+            words = np.frombuffer(b"".join(own.column("fp").slice(a, b - a).to_pylist()), np.uint64).reshape(-1, WORDS)
+            sets = [np.frombuffer(x, np.uint64) for x in own.column("h").slice(a, b - a).to_pylist()]
+            x, y = verified(words, sets, most, least, int((side[a:b] == 0).sum()))
+            u.append(node[a:b][x])
+            v.append(node[a:b][y])
+        return pa.Table.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (u, v)], ["u", "v"])
+
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("component", "a", "b"), F.lit(shards)))
+    return dealt.select("shard", "component", "a", "b", "side", "node", "fp", "h").groupBy("shard").applyInArrow(run, "u long, v long")
+
+
+def similar_links(sets: DataFrame, most: int, least: float) -> DataFrame:
+    """Edges (u, v) that join exactly the rows (node, component, fp, h) that similarity joins, within components of candidates.
+
+    A component of up to TILE rows (or TILE_BYTES) is one group. A larger one is dealt into tiles, each with the same PIVOTS rows
+    or so, which joins most of a family of copies. Only the rows that are not in the component's largest class then still
+    meet all rows of the component, tile by tile; so a component of n rows costs n, not n * n, as far as pivots join it.
+    """
+    sizes = sets.groupBy("component").agg(F.count("*").alias("n"), F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum(F.length("h")) / TILE_BYTES)).alias("tiles"))
+    dealt = table(sets.join(sizes, "component").withColumn("a", F.pmod(F.xxhash64("node"), F.col("tiles"))), "dealt")
+    zero = F.lit(0).cast("long")
+    groups = dealt.select("component", "a", zero.alias("b"), F.lit(0).alias("side"), "node", "fp", "h")
+    large = dealt.where("tiles > 1")
+    if not large.limit(1).count():
+        return meet(groups, most, least)
+    is_pivot = F.pmod(F.xxhash64(F.lit("pivot"), "node"), F.ceil(F.col("n") / PIVOTS)) == 0
+    pivots = large.where(is_pivot).withColumn("t", F.explode(F.sequence(zero, F.col("tiles") - 1))).where("t <> a")
+    first = table(meet(groups.unionByName(pivots.select("component", F.col("t").alias("a"), zero.alias("b"), F.lit(0).alias("side"), "node", "fp", "h")), most, least), "first")
+    classes = connected_components(first, contract=False)
+    named = large.join(classes.withColumnRenamed("component", "class"), "node", "left").withColumn("class", F.coalesce("class", "node"))
+    count = named.groupBy("component", "class").agg(F.count("*").alias("m"))
+    main = count.groupBy("component").agg(F.max_by("class", F.struct("m", "class")).alias("main"))
+    named = named.join(main, "component").withColumn("rest", F.col("class") != F.col("main"))
+    few = table(named.where("rest").groupBy("component").agg(F.ceil(F.count("*") / TILE).alias("others")), "rest")
+    if not few.limit(1).count():
+        return first
+    live = named.join(few, "component")
+    left = live.where("rest").withColumn("b", F.pmod(F.xxhash64(F.lit("rest"), "node"), F.col("others"))).withColumn("a", F.explode(F.sequence(zero, F.col("tiles") - 1)))
+    right = live.withColumn("c", F.explode(F.sequence(zero, F.col("others") - 1)))
+    both = left.select("component", "a", "b", F.lit(0).alias("side"), "node", "fp", "h").unionByName(right.select("component", "a", F.col("c").alias("b"), F.lit(1).alias("side"), "node", "fp", "h"))
+    return first.unionByName(meet(both, most, least))
+
+
 def similar_texts(docs: DataFrame, width: int = 5, least: float = 0.8, key: str = "doc_id") -> DataFrame:
     """Rows (key, t, component_id, first): texts whose shingles have a similarity (Jaccard) of least or more are linked.
 
-    Such texts differ in a share of acos(2s / (1 + s)) / pi of a fingerprint's bits on average. Pairs within candidate_limit
-    are sought in blocks of sampled bits (block_plan), which miss a share MISSED of the pairs at that limit and fewer below. Blocks
-    over TILE rows are dealt in tiles; candidates leave a block as a forest, not as pairs. The texts of each component of
-    candidates then meet once (in tiles where they are many), and a pair within the limit is a link only if the
-    Jaccard of its shingles, taken exactly over their hashes, is least or more. t is a hash of the text, so that (key, t) names
-    a row up to exact repeats; first is true for the component's least (key, t) only, null keys being last.
-    """
-    spark = docs.sparkSession
-    most = candidate_limit(least)
-    share = most / (64 * WORDS)
+    Such texts differ in a share of acos(2s / (1 + s)) / pi of a wide fingerprint's bits on average. Candidates meet in blocks of
+    sampled bits (block_plan): at the least similarity about 2 % of the pairs meet in none, above it fewer. The texts of each component of
+    candidates then meet (similar_links), and a pair whose fingerprints differ in DEVIATIONS standard deviations more than the
+    average at most is a link only if the Jaccard of its shingles, taken exactly over their hashes, is least or more. t is a hash of
+    the text, so that (key, t) names a row up to exact repeats; first is true for the component's least (key, t) only, null keys being last.
 
+    Null and empty texts have no shingles and are alike; a text of fewer words than a shingle has is one shingle; texts of any length are
+    read whole; repeated rows share a component, as do rows of one key with equal texts; an empty table gives no rows.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([wide_fingerprint(t, width) for t in batch.column(2).to_pylist()], pa.binary())], ["doc", "t", "fp"])
@@ -189,85 +364,17 @@ def similar_texts(docs: DataFrame, width: int = 5, least: float = 0.8, key: str
     texts = docs.select(F.coalesce(F.col(key).cast("long"), last).alias("doc"), F.xxhash64("text").alias("t"), "text")
     prints = table(texts.mapInArrow(run, "doc long, t long, fp binary"), "prints")
     distinct = table(prints.groupBy("fp").agg(F.min(F.struct("doc", "t")).alias("x")).select("fp", F.xxhash64("fp").alias("node"), "x.doc", "x.t", "x"), "distinct")
+    candidates = connected_components(candidate_edges(distinct, least, distinct.count()), contract=False)
 
-    bits_each, samples = block_plan(distinct.count(), share)
-    rng = np.random.default_rng(SEED)
-    picks = np.array([rng.choice(64 * WORDS, bits_each, replace=False) for _ in range(samples)])
-
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = 1 << np.arange(bits_each, dtype=np.int64)
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in (whole.slice(i, 512) for i in range(0, whole.num_rows, 512)):
-                bits = np.unpackbits(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(batch.num_rows, -1), axis=1)
-                keys = np.stack([bits[:, p].astype(np.int64) @ weight + (k << bits_each) for k, p in enumerate(picks)], axis=1)
-                ends = pa.array(np.arange(0, keys.size + 1, samples, dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(1), pa.ListArray.from_arrays(ends, pa.array(keys.ravel()))], ["node", "ks"])
-
-    keyed = distinct.select("fp", "node").mapInArrow(blocks, "node long, ks array<long>").select("node", F.explode("ks").alias("k"))
-    sizes = keyed.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
-    live = keyed.join(sizes, "k").withColumn("tiles", F.ceil(F.col("n") / TILE)).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")))
-    live = live.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).withColumns({"ta": F.least("tile", "other"), "tb": F.greatest("tile", "other")})
-    live = live.join(distinct.select("node", "fp"), "node").withColumn("shard", F.pmod(F.xxhash64("k", "ta", "tb"), F.lit(4 * parts(spark))))
-
-    def grouped(own: pa.Table, by: list[str]) -> tuple[pa.Table, np.ndarray, np.ndarray, Iterator[tuple[int, int]]]:
-        own = own.sort_by([(c, "ascending") for c in [*by, "node"]])
-        keys = np.stack([own.column(c).to_numpy() for c in by])
-        words = np.frombuffer(b"".join(own.column("fp").to_pylist()), np.uint64).reshape(own.num_rows, WORDS)
-        start = np.flatnonzero(np.concatenate(([True], (keys[:, 1:] != keys[:, :-1]).any(axis=0))))
-        return own, own.column("node").to_numpy(), words, zip(start.tolist(), [*start[1:].tolist(), own.num_rows])
-
-    def within(words: np.ndarray) -> np.ndarray:
-        return sum(np.bitwise_count(words[:, None, k] ^ words[None, :, k]).astype(np.uint16) for k in range(WORDS)) <= most
-
-    def links(own: pa.Table) -> pa.Table:
-        _, node, words, groups = grouped(own, ["k", "ta", "tb"])
-        u, v = [], []
-        for a, b in groups:
-            if b - a == 2:
-                if np.bitwise_count(words[a] ^ words[a + 1]).sum() <= most:
-                    u.append(node[a : a + 1])
-                    v.append(node[a + 1 : b])
-            elif b - a > 2:
-                name = forest(within(words[a:b]))
-                rows = np.flatnonzero(name != np.arange(len(name)))
-                u.append(node[a + rows])
-                v.append(node[a + name[rows]])
-        join = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))
-        return pa.Table.from_arrays([join(u), join(v)], ["u", "v"])
-
-    candidates = connected_components(live.select("shard", "k", "ta", "tb", "node", "fp").groupBy("shard").applyInArrow(links, "u long, v long"))
-
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([shingle_set(t, width).tobytes() for t in batch.column(3).to_pylist()], pa.binary())], ["node", "component", "fp", "h"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([shingle_set(t, width).tobytes() for t in batch.column(3).to_pylist()], pa.binary())], ["node", "component", "fp", "h"])
 
     sought = distinct.join(candidates, "node").select("doc", "t", "node", "component", "fp")
     sets = texts.join(sought, ["doc", "t"]).select("node", "component", "fp", "text").mapInArrow(hashes, "node long, component long, fp binary, h binary")
     sets = table(sets.dropDuplicates(["node"]), "shingles")
-    sizes = sets.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum(F.length("h")) / TILE_BYTES)).alias("tiles"))
-    dealt = sets.join(sizes, "component").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).withColumns({"ta": F.least("tile", "other"), "tb": F.greatest("tile", "other")})
-    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("component", "ta", "tb"), F.lit(4 * parts(spark))))
-
-    def verify(own: pa.Table) -> pa.Table:
-        own, node, words, groups = grouped(own, ["component", "ta", "tb"])
-        raw, u, v = own.column("h"), [], []
-        for a, b in groups:
-            own_sets = [np.frombuffer(x, np.uint64) for x in raw.slice(a, b - a).to_pylist()]
-            near, name = within(words[a:b]), np.arange(b - a)
-            for i in range(1, b - a):
-                rest = np.flatnonzero(near[i, :i] & (name[:i] != name[i]))
-                while len(rest):
-                    j, rest = rest[0], rest[1:]
-                    if jaccard(own_sets[i], own_sets[j]) >= least:
-                        u.append(node[a + i])
-                        v.append(node[a + j])
-                        name[name == name[j]] = name[i]
-                        rest = rest[name[rest] != name[i]]
-        return pa.Table.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
-
-    edges = dealt.select("shard", "component", "ta", "tb", "node", "fp", "h").groupBy("shard").applyInArrow(verify, "u long, v long")
-    components = connected_components(edges)
+    components = connected_components(similar_links(sets, differing(least, DEVIATIONS), least), contract=False)
     named = table(distinct.join(components, "node", "left").select("fp", "x", F.coalesce("component", "node").alias("component")), "named")
     names = named.groupBy("component").agg(F.min("x").alias("least"))
     lookup = named.join(names, "component").select("fp", "least")
