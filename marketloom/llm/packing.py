@@ -30,10 +30,10 @@ from marketloom.llm.sentencepieces import grouped
 
 CAPACITY = 2048
 #: Pieces of texts in the younger generation of one worker's cache at which it becomes the older; it costs time only.
-CACHED = 250_000
+CACHED = 350_000
 LONGEST_CACHED = 64
-#: One text in so many, by a hash of it, is also given to the library whole, and the ids compared.
-WHOLE = 64
+#: One text in so many, by its CRC-32, is also given to the library whole, and the ids compared.
+WHOLE = 256
 #: White space but the space and the line feed.
 OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
@@ -88,10 +88,10 @@ class ByteEncoder:
         for p in known:
             ids[p] = older[p]
         for p in missing - known:
-            words = self.split(p)
-            if len(words) == 1:
+            if (p[1:] if p[:1] == " " else p).isalpha():  # letters, after a space or not, are one word of the pattern
                 ids[p] = merge(p)
                 continue
+            words = self.split(p)
             for w in words:
                 if w not in ids:
                     ids[w] = older[w] if w in older else merge(w)
