@@ -42,12 +42,17 @@ def drop_tables(spark: SparkSession) -> int:
     return gone
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, which drop_tables removes."""
+    folder = f"{shared_dir(spark).rstrip('/')}/work-{uuid.uuid4().hex}"
+    _made.append(folder)
+    return f"{folder}/{name}"
+
+
 def table(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write df as a working table in the shared folder and read it back: it cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    folder = f"{shared_dir(spark).rstrip('/')}/work-{uuid.uuid4().hex}"
-    _made.append(folder)
-    path = f"{folder}/{name}"
+    path = new_path(spark, name)
     writer = df.write.mode("overwrite").option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(partition_by)

@@ -1,4 +1,4 @@
-"""Queries op1 to op10 and their SQL."""
+"""Queries op1 to op13 and their SQL."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import caps, katz, licenses, packing, quality, sentencepieces, simhash, suffix_arrays, suffix_trees, toxicity
+from marketloom.llm import caps, katz, licenses, merkle, negatives, packing, quality, sentencepieces, simhash, suffix_arrays, suffix_trees, toxicity
 from marketloom.llm.common import bucket_of, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,43 @@ ORACLE["op10_suffix_trees"] = r"""WITH d AS (SELECT doc_id, row_number() OVER ()
  gone AS (SELECT DISTINCT r, i + k AS p FROM hit, range(50) t(k)),
  kept AS (SELECT x.r, count(gone.p) AS n, string_agg(x.word, ' ' ORDER BY x.p) FILTER (gone.p IS NULL) AS k FROM (SELECT r, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM d) x LEFT JOIN gone ON gone.r = x.r AND gone.p = x.p GROUP BY x.r)
  SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM d LEFT JOIN kept ON d.r = kept.r"""
+
+
+@query
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(read(spark, sf_dir, "embeddings"), label, F.col("vec_id") % 50 == 0)
+
+
+ORACLE["op13_negatives"] = """WITH e AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ s AS (SELECT a.r, a.vec_id AS anchor_id, b.r AS other, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.r <> b.r),
+ p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) <= 5),
+ n AS (SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER (PARTITION BY p.r, p.other ORDER BY s.score DESC, s.vec_id) AS INT) AS rank, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+  FROM p JOIN s ON s.r = p.r AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+ SELECT * FROM n WHERE rank <= 3"""
+
+
+@query
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    changes = {"n_chars": F.when(F.coalesce(hit, F.lit(False)), F.col("n_chars") + 1).otherwise(F.col("n_chars"))}
+    return merkle.manifest(read(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], changes=changes)
+
+
+FIELD = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR), '-')"
+LEAF = lambda n_chars: "sha256(" + " || ".join(FIELD.format(c) for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+CRC32 = "xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: list_reduce(list_concat([xor(c, b)], [CAST(0 AS BIGINT)] || range(7)), lambda x, k: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"
+UP = "list_transform(range(0, (len(l) + 1) // 2), lambda i: sha256(l[2 * i + 1] || coalesce(l[2 * i + 2], '')))"
+STEP = "CASE WHEN (p >> level) & 1 = 1 THEN l[(p >> level)] || '|' ELSE '|' || coalesce(l[(p >> level) + 2], '') END"
+ORACLE["op11_merkle"] = f"""WITH RECURSIVE e AS (SELECT doc_id, lang, {LEAF('n_chars')} AS leaf, CASE WHEN coalesce({CRC32} % 7 = 0, false) THEN {LEAF('(n_chars + 1)')} END AS changed FROM documents),
+ n AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p FROM e),
+ levels AS (SELECT lang, 0 AS level, list(leaf ORDER BY p) AS l FROM n GROUP BY lang UNION ALL SELECT lang, level + 1, {UP} FROM levels WHERE len(l) > 1),
+ subroots AS (SELECT lang, l[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS p FROM levels WHERE len(l) = 1),
+ tops AS (SELECT 0 AS level, list(subroot ORDER BY p) AS l FROM subroots UNION ALL SELECT level + 1, {UP} FROM tops WHERE len(l) > 1),
+ above AS (SELECT p, list({STEP} ORDER BY level) AS steps FROM subroots, tops WHERE len(l) > 1 GROUP BY p),
+ inside AS (SELECT n.lang, n.p, list({STEP} ORDER BY level) AS steps FROM n JOIN levels ON n.lang IS NOT DISTINCT FROM levels.lang WHERE len(l) > 1 GROUP BY 1, 2),
+ w AS (SELECT n.doc_id, n.leaf, n.changed, s.subroot, list_concat(coalesce(i.steps, []), coalesce(a.steps, [])) AS steps FROM n JOIN subroots s ON n.lang IS NOT DISTINCT FROM s.lang LEFT JOIN inside i ON n.lang IS NOT DISTINCT FROM i.lang AND n.p = i.p LEFT JOIN above a ON a.p = s.p),
+ f AS (SELECT *, (SELECT l[1] FROM tops WHERE len(l) = 1) AS root, sha256(replace(array_to_string(steps, ''), '|', '')) AS proof_sha256,
+  list_reduce(list_concat([coalesce(changed, leaf)], steps), lambda x, s: sha256(split_part(s, '|', 1) || x || split_part(s, '|', 2))) AS folded_root FROM w)
+ SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM f"""
