@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import caps, katz, licenses, merkle, negatives, packing, quality, sentencepieces, simhash, suffix_arrays, suffix_trees, toxicity
+from marketloom.llm import caps, katz, licenses, merkle, negatives, packing, quality, sentencepieces, simhash, suffix_arrays, suffix_trees, toxicity, warc
 from marketloom.llm.common import bucket_of, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,3 +138,15 @@ ORACLE["op11_merkle"] = f"""WITH RECURSIVE e AS (SELECT doc_id, lang, {LEAF('n_c
  f AS (SELECT *, (SELECT l[1] FROM tops WHERE len(l) = 1) AS root, sha256(replace(array_to_string(steps, ''), '|', '')) AS proof_sha256,
   list_reduce(list_concat([coalesce(changed, leaf)], steps), lambda x, s: sha256(split_part(s, '|', 1) || x || split_part(s, '|', 2))) AS folded_root FROM w)
  SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM f"""
+
+
+@query
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read(spark, sf_dir, "pages"), least=0)
+
+
+DIGITS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
+ORACLE["op12_warc"] = f"""WITH p AS (SELECT page_id, row_number() OVER () AS r, coalesce(html, '') AS x, sha1(coalesce(html, '')) AS s FROM pages),
+ f AS (SELECT *, first_value(r) OVER w AS first_row, first_value(page_id) OVER w AS first_id FROM p WINDOW w AS (PARTITION BY x ORDER BY page_id NULLS LAST, r))
+ SELECT page_id, CAST(strlen(x) AS BIGINT) AS payload_bytes, array_to_string(list_transform(range(8), lambda i: array_to_string(list_transform([15, 10, 5, 0], lambda n: substr({DIGITS}, CAST(((CAST('0x' || substr(s, CAST(5 * i + 1 AS INT), 5) AS BIGINT) >> n) & 31) + 1 AS INT), 1)), '')), '') AS payload_digest,
+  CASE WHEN r = first_row THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN r <> first_row THEN first_id END AS refers_to FROM f"""
