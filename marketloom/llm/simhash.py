@@ -120,11 +120,12 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 2, key: str
 #: Wide fingerprints for similarities well below one: 64-bit words, blocks of sampled bits.
 WORDS = 8
 #: A block has so many bits more than the number of fingerprints has, so the unrelated ones in it don't grow in number.
-SPARE_BITS = 4
+SPARE_BITS = 2
 #: Share of pairs that no block holds, where they differ by BLOCK_DEVIATIONS more bits than the least similar do on average.
 MISSED, BLOCK_DEVIATIONS = 0.02, 1
-#: Standard deviations of the Hamming distance that the candidates' limit lies above what the least similarity gives.
-DEVIATIONS = 5
+#: Standard deviations of the Hamming distance that the candidates' limit lies above what the least similarity gives, over all words and over the one
+#: that a block compares: unrelated words pass that once in 15,000 times, while similar texts meet in several blocks, each with another word.
+DEVIATIONS, WORD_DEVIATIONS = 5, 2
 #: Rows of a block, or of a component of candidates, that are compared with each other at once.
 TILE = 1024
 #: Rows of each larger component that all of its tiles get.
@@ -190,28 +191,34 @@ def block_edges(k: np.ndarray, node: np.ndarray, sketch: np.ndarray, most: int)
             yield own[rows], own[name[rows]]
 
 
+def block_keys(raw: np.ndarray, picks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By sample, the blocks of fingerprints (rows of bytes) and the word that is compared there, sample by sample another one: (samples, rows) each."""
+    weight = 1 << np.arange(picks.shape[1], dtype=np.int64)
+    bits = np.unpackbits(raw, axis=1)
+    words = np.ascontiguousarray(raw).view(np.int64)
+    k = np.stack([bits[:, p].astype(np.int64) @ weight + (i << picks.shape[1]) for i, p in enumerate(picks)])
+    return k, np.stack([words[:, i % WORDS] for i in range(len(picks))])
+
+
 def candidate_edges(prints: DataFrame, least: float, count: int) -> DataFrame:
-    """Edges (u, v) between fingerprints (node, fp) that meet in a block of sampled bits and whose first words are close.
+    """Edges (u, v) between fingerprints (node, fp) that meet in a block of sampled bits and whose words there are close.
 
-    Rows (block, node, first word) are sorted by block once; a task streams over its blocks and holds no more than TILE rows
-    of one. Blocks are so long that unrelated fingerprints fill none, so a block over TILE rows is a family of copies: its rows
+    Rows (block, node, word) are sorted by block once; a task streams over its blocks and holds no more than TILE rows
+    of one. Unrelated fingerprints give far less than an edge each, so that these don't join the families of copies to each other. Blocks are so long that unrelated fingerprints fill none, so a block over TILE rows is a family of copies: its rows
     are all candidates, joined to one of them without comparing.
     """
     share = differing(least, BLOCK_DEVIATIONS) / (64 * WORDS)
     bits_each, samples = block_plan(count, share)
     rng = np.random.default_rng(SEED)
     picks = np.array([rng.choice(64 * WORDS, bits_each, replace=False) for _ in range(samples)])
-    most = differing(least, DEVIATIONS, 64)
+    most = differing(least, WORD_DEVIATIONS, 64)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = 1 << np.arange(bits_each, dtype=np.int64)
         for whole in batches:
             for batch in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
                 raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-                bits = np.unpackbits(raw, axis=1)
-                k = np.concatenate([bits[:, p].astype(np.int64) @ weight + (i << bits_each) for i, p in enumerate(picks)])
-                first = np.ascontiguousarray(raw[:, :8]).view(np.int64).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.tile(batch.column(0).to_numpy(), samples)), pa.array(np.tile(first, samples))], ["k", "node", "sketch"])
+                k, word = block_keys(raw, picks)
+                yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), pa.array(np.tile(batch.column(0).to_numpy(), samples)), pa.array(word.ravel())], ["k", "node", "sketch"])
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left = [np.zeros(0, np.int64)] * 3

@@ -484,3 +484,43 @@ def test_stored_katz_model(spark):
         assert h.seen + 10**h.a * rest == pytest.approx(1)
     nothing = katz.fit(frame.limit(0))
     assert katz.evaluate(frame.where("doc_id = 501"), nothing).first().score == pytest.approx(0.0)
+
+
+def test_unrelated_fingerprints_give_few_candidates():
+    """A million unrelated fingerprints: under a hundredth of an edge a text over all blocks, and no component of note from a share of them."""
+    import numpy as np
+
+    from marketloom.llm import simhash
+    from marketloom.llm.components import least_reached
+
+    n, rng = 1_000_000, np.random.default_rng(3)
+    raw = rng.integers(0, 256, (n, 8 * simhash.WORDS), np.uint8)
+    bits, samples = simhash.block_plan(n, simhash.differing(0.8, simhash.BLOCK_DEVIATIONS) / (64 * simhash.WORDS))
+    tried, found = 8, []
+    for i in range(tried):
+        picks = rng.choice(64 * simhash.WORDS, (1, bits), replace=False)
+        k, word = simhash.block_keys(raw, picks)
+        order = np.argsort(k[0], kind="stable")
+        found += list(simhash.block_edges(k[0][order], order, word[0].view(np.uint64)[order], simhash.differing(0.8, simhash.WORD_DEVIATIONS, 64)))
+    u, v = (np.concatenate(x) for x in zip(*found))
+    assert len(u) * samples / tried < 0.01 * n
+    assert len(u) == 0 or np.unique(least_reached(u, v)[1], return_counts=True)[1].max() < 10
+
+
+def test_related_fingerprints_meet(spark):
+    """At the least similarity the blocks and their words miss a few of a hundred pairs, and fewer above it."""
+    import numpy as np
+
+    from marketloom.llm import simhash
+
+    rng = np.random.default_rng(4)
+    for least, share in ((0.8, 0.95), (0.85, 0.99), (0.9, 0.999)):
+        n = 3000
+        raw = rng.integers(0, 256, (n, 8 * simhash.WORDS), np.uint8)
+        flip = rng.random((n, 64 * simhash.WORDS)) < np.arccos(2 * least / (1 + least)) / np.pi
+        other = raw ^ np.packbits(flip, axis=1)
+        bits, samples = simhash.block_plan(1_000_000, simhash.differing(0.8, simhash.BLOCK_DEVIATIONS) / (64 * simhash.WORDS))
+        picks = np.array([rng.choice(64 * simhash.WORDS, bits, replace=False) for _ in range(samples)])
+        (a, x), (b, y) = simhash.block_keys(raw, picks), simhash.block_keys(other, picks)
+        near = np.bitwise_count(x.view(np.uint64) ^ y.view(np.uint64)) <= simhash.differing(0.8, simhash.WORD_DEVIATIONS, 64)
+        assert ((a == b) & near).any(axis=0).mean() >= share
