@@ -1,12 +1,9 @@
-"""Files into DataFrames: CSV bars, archives of series, YAML manifests, JSON-lines ledgers, settlement files, HTML documents."""
+"""Files into DataFrames: CSV bars, YAML manifests, JSON-lines ledgers, settlement files, HTML documents."""
 
 from __future__ import annotations
 
-import io
 import json
-import zipfile
 from collections.abc import Iterator
-from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,10 +12,6 @@ from pyspark.sql import functions as F
 from marketloom.functions import columns as C
 
 LEDGER = "tweet_id string, timestamp string, screen_name string, name string, text string, likes long, retweets long, comments long, tweet_url string"
-#: Endings that exchanges add to a symbol (fixed values).
-SUFFIXES = (".us", ".jp", ".uk", ".hk", ".v", ".b")
-#: Path parts of the equity segments that a search covers by default (fixed values).
-SEGMENTS = ("nasdaq stocks", "nyse stocks", "nysemkt stocks", "lse stocks", "lse stocks intl", "tse stocks", "hkex stocks")
 
 
 def _file_symbol() -> Column:
@@ -58,47 +51,6 @@ def last_dates(bars: DataFrame, at: str = "d") -> DataFrame:
     return bars.groupBy("sym").agg(F.max(at).alias("last"))
 
 
-def member_meta(name: str) -> tuple[str | None, str | None, str]:
-    """Country, segment and symbol in a member's path .../daily/<country>/<segment>/[<n>/]<symbol>.txt."""
-    parts = [p for p in name.replace("\\", "/").split("/") if p]
-    stem = parts[-1].rsplit(".txt", 1)[0].lower()
-    for s in SUFFIXES:
-        stem = stem.removesuffix(s)
-    at = parts.index("daily") if "daily" in parts else -1
-    rest = parts[at + 1 : -1]
-    return (rest[0] if rest else None), (rest[1] if len(rest) > 1 else None), stem.upper()
-
-
-def archive_bars(spark: SparkSession, path: str, segments: tuple[str, ...] | None = SEGMENTS, countries: tuple[str, ...] | None = None, lines: int = 50_000) -> DataFrame:
-    """Bars of the text members of zip archives; country and segment are tested on a member's path before it is unpacked.
-
-    Members are streamed, so many lines at a time, and their lines are parsed by Spark; short, broken and header lines are left out. An
-    archive is one row of at most 2 GB, the most that a binary file may have.
-    """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("content")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column(0):
-                with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
-                    for name in z.namelist():
-                        if not name.lower().endswith(".txt"):
-                            continue
-                        country, segment, ticker = member_meta(name)
-                        if (segments and segment not in segments) or (countries and country not in countries):
-                            continue
-                        with io.TextIOWrapper(z.open(name), "utf-8", errors="replace") as text:
-                            while own := list(islice(text, lines)):
-                                n = len(own)
-                                yield pa.RecordBatch.from_arrays([pa.array([x] * n, pa.string()) for x in (country, segment, ticker, name)] + [pa.array(own)], ["country", "segment", "ticker", "member", "line"])
-
-    rows = files.mapInArrow(run, "country string, segment string, ticker string, member string, line string")
-    cells = rows.where("line NOT LIKE '<%'").withColumn("x", F.split(F.trim(F.regexp_replace("line", r"[\r\n]+$", "")), ",")).where(F.size("x") >= 9)
-    number = lambda i: F.get("x", F.lit(i)).try_cast("double")
-    got = cells.select("country", "segment", "ticker", "member", F.try_to_date(F.get("x", F.lit(2)), "yyyyMMdd").alias("d"), *(number(i).alias(c) for i, c in zip(range(4, 9), "ohlcv")))
-    return got.where("d IS NOT NULL AND o IS NOT NULL AND h IS NOT NULL AND l IS NOT NULL AND c IS NOT NULL AND v IS NOT NULL")
-
-
 def yaml_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """(path, value): each YAML file under path as a value of schema; an empty file is an empty record."""
     files = spark.read.format("binaryFile").load(path).select("path", F.col("content").cast("string").alias("text"))

@@ -18,7 +18,7 @@ from marketloom.operators import series as S
 from marketloom.operators import shape as H
 from marketloom.operators import text as X
 from marketloom.operators import vectors as V
-from marketloom.sources import readers, remote, writers
+from marketloom.sources import archives, readers, remote, writers
 from marketloom.streaming import stores
 
 D = dt.date
@@ -442,8 +442,8 @@ def test_readers(spark, tmp_path):
     (tmp_path / "zip").mkdir()
     with zipfile.ZipFile(tmp_path / "zip/d_us_txt.zip", "w") as z:
         z.writestr("data/daily/us/nyse stocks/1/abc.us.txt", "<TICKER>,<PER>,<DATE>\nABC.US,D,20240102,000000,1,2,0.5,1.5,100,0\nshort,line\n")
-        z.writestr("data/daily/us/nyse etfs/xyz.us.txt", "XYZ.US,D,20240102,000000,1,2,0.5,1.5,100,0\n")
-    rows = readers.archive_bars(spark, str(tmp_path / "zip")).collect()
+        z.writestr("data/daily/us/nyse etfs/xyz.us.txt", "<TICKER>\nXYZ.US,D,20240102,000000,1,2,0.5,1.5,100,0\n")
+    rows = archives.archive_bars(spark, str(tmp_path / "zip")).collect()
     assert [(r.country, r.segment, r.ticker, r.d, r.c) for r in rows] == [("us", "nyse stocks", "ABC", D(2024, 1, 2), 1.5)]
     (tmp_path / "l.jsonl").write_text('{"tweet_id": "1", "likes": 2}\n\nbroken\n')
     (tmp_path / "csv/BRK.B.csv").write_text("Date,Open,High,Low,Close,Volume\n2024-01-02,1,2,1,2,5\n")
