@@ -1,4 +1,4 @@
-"""Remote payloads: fetched by a function of the caller's, one request after another with a pause, and read as tables.
+"""Remote payloads: fetched by a function of the caller's, a host's one after another with a pause, and read as tables.
 
 There is no client for any service here: fetch takes a URL and returns text, or None where there is nothing. Failures of a single
 request leave a null payload, as a missing page would.
@@ -7,45 +7,47 @@ request leave a null payload, as a missing page would.
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.operators.text import post_record
+from marketloom.sources.connector import FILINGS_PAUSE
 
-#: Seconds between two requests to the filings' and to the transcripts' host (fixed values).
-FILINGS_PAUSE, TRANSCRIPTS_PAUSE = 0.6, 1.5
 #: Days of hourly bars that the vendor keeps (fixed value).
 HOURLY_DAYS = 729
 
 
 def payloads(urls: DataFrame, fetch: Callable[[str], str | None], pause: float = FILINGS_PAUSE, url: str = "url") -> DataFrame:
-    """urls with the payload of each: distinct URLs are requested once, by one task and in order, as the hosts ask for."""
-    asked = urls.select(F.col(url).alias("__u")).where(F.col(url).isNotNull()).distinct()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = 0.0
-        for batch in batches:
-            got = []
-            for u in batch.column(0).to_pylist():
-                time.sleep(max(0.0, last + pause - time.monotonic()))
-                last = time.monotonic()
-                try:
-                    got.append(fetch(u))
-                except OSError:
-                    got.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.string())], ["__u", "payload"])
-
-    told = asked.repartition(1).mapInArrow(run, "__u string, payload string")
+    """urls with the payload of each: distinct URLs are requested once, by one task a host and in order, as the hosts ask for.
+
+    For a crawl that goes on after a restart, and a store of its pages, see connector.crawl.
+    """
+    asked = urls.select(F.col(url).alias("__u")).where(F.col(url).isNotNull()).distinct().withColumn("__h", F.lower(F.regexp_extract("__u", "^[^:/]+://([^/?#]*)", 1)))
+
+    def run(own: pa.Table) -> pa.Table:
+        got, names = [], sorted(own.column("__u").to_pylist())
+        for u in names:
+            time.sleep(pause)
+            try:
+                got.append(fetch(u))
+            except OSError:
+                got.append(None)
+        return pa.Table.from_arrays([pa.array(names, pa.string()), pa.array(got, pa.string())], ["__u", "payload"])
+
+    told = asked.groupBy("__h").applyInArrow(run, "__u string, payload string")
     return urls.join(told, urls[url] == told["__u"], "left").drop("__u")
 
 
 def chart_bars(payload: Column, hourly: bool = False) -> Column:
-    """An array of bars (ts or d, o, h, l, c, v) of a chart's JSON: prices adjusted by adjclose where it has that, bars without a close left out."""
+    """An array of bars (ts or d, o, h, l, c, v) of a chart's JSON: prices adjusted by adjclose where it has that, bars without a close left out.
+
+    A daily bar's day is that of its stamp on the exchange's clock (meta.gmtoffset), as its session may begin on the evening before in UTC.
+    """
     quote = "struct<open:array<double>,high:array<double>,low:array<double>,close:array<double>,volume:array<double>>"
-    j = F.from_json(payload, f"chart struct<result:array<struct<timestamp:array<long>,indicators:struct<quote:array<{quote}>,adjclose:array<struct<adjclose:array<double>>>>>>>")
+    j = F.from_json(payload, f"chart struct<result:array<struct<meta:struct<gmtoffset:long>,timestamp:array<long>,indicators:struct<quote:array<{quote}>,adjclose:array<struct<adjclose:array<double>>>>>>>")
     r = F.get(j.chart.result, F.lit(0))
     q, adjusted = F.get(r.indicators.quote, F.lit(0)), F.get(r.indicators.adjclose, F.lit(0)).adjclose
 
@@ -53,7 +55,7 @@ def chart_bars(payload: Column, hourly: bool = False) -> Column:
         close = F.get(q.close, i)
         factor = F.coalesce(F.try_divide(F.get(adjusted, i), close), F.lit(1.0))
         stamp = F.timestamp_seconds(t)
-        at = F.to_timestamp_ntz(F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), stamp.cast("timestamp_ntz")), "yyyy-MM-dd HH:mm:ss")).alias("ts") if hourly else F.date_add(F.lit("1970-01-01").cast("date"), F.floor(t / 86400).cast("int")).alias("d")
+        at = F.to_timestamp_ntz(F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), stamp.cast("timestamp_ntz")), "yyyy-MM-dd HH:mm:ss")).alias("ts") if hourly else F.date_add(F.lit("1970-01-01").cast("date"), F.floor((t + F.coalesce(r.meta.gmtoffset, F.lit(0))) / 86400).cast("int")).alias("d")
         return F.struct(at, *((F.get(q[c], i) * factor).alias(c[0]) for c in ("open", "high", "low", "close")), F.get(q.volume, i).alias("v"))
 
     return F.filter(F.transform(r.timestamp, bar), lambda b: b.c.isNotNull() & ~F.isnan(b.c))

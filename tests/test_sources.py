@@ -67,3 +67,14 @@ def test_archives_edges(spark, tmp_path):
     assert [(r.ticker, r.d) for r in got] == [("ODD", D(2024, 1, 3))]
     archives.write_archives(bars(spark).where("false"), str(tmp_path / "empty"))
     assert archives.archive_bars(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_chart_days_are_the_exchange_s(spark):
+    """A session that opens at 23:00 UTC is the next day's on a clock ten hours ahead."""
+    from pyspark.sql import functions as F
+
+    from marketloom.sources import remote
+
+    chart = '{"chart": {"result": [{"meta": {"gmtoffset": %s}, "timestamp": [1704236400], "indicators": {"quote": [{"open": [1], "high": [1], "low": [1], "close": [2], "volume": [5]}]}}]}}'
+    day = lambda offset: spark.range(1).select(remote.chart_bars(F.lit(chart % offset)).alias("x")).first().x[0].d
+    assert (day("36000"), day("0"), day("null")) == (D(2024, 1, 3), D(2024, 1, 2), D(2024, 1, 2))
