@@ -6,10 +6,12 @@ code; the query is a few literals.
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from statistics import fmean
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 CHANNELS = ["o", "h", "l", "c", "v"]
@@ -93,10 +95,11 @@ def profile(bars: DataFrame, query: Query, price_weight: float = 0.6, min_cv: fl
     return own.withColumn("score", F.when(~bad, score))
 
 
-def search(bars: DataFrame, query: Query, k: int = 30, forward: int = 5, min_distance: float = 0.05, any_weekday: bool = False, by: str = "sym", at: str = "d", **options) -> DataFrame:
-    """The best admissible window of each series, and of these the k best: by score, then series."""
+def search(bars: DataFrame, query: Query, k: int = 30, forward: int = 5, min_distance: float = 0.05, any_weekday: bool = False, by: str = "sym", at: str = "d", watch: Callable[[DataFrame], DataFrame] | None = None, **options) -> DataFrame:
+    """The best admissible window of each series, and of these the k best: by score, then series. watch may observe all bars, with bar_no and score."""
     order = Window.partitionBy(by).orderBy(at)
     own = profile(bars, query, by=by, at=at, **options).withColumns({"bar_no": F.row_number().over(order), "__next": F.lead("c", forward).over(order)})
+    own = own if watch is None else watch(own)
     fit = own.where((F.col("score") >= min_distance) & F.col("__next").isNotNull())
     if not any_weekday:
         fit = fit.where(F.weekday(at) == query.weekday)
@@ -104,6 +107,83 @@ def search(bars: DataFrame, query: Query, k: int = 30, forward: int = 5, min_dis
     return best.orderBy("score", by).limit(k).select(by, at, "bar_no", "score", "mean_c", "std_c")
 
 
+#: Parts of a window whose means an index holds.
+SEGMENTS = 4
+
+
+def segments_of(m: int, count: int = SEGMENTS) -> list[tuple[int, int]]:
+    """Begin and end of the parts of a window, as equal as can be."""
+    edges = [i * m // count for i in range(count + 1)]
+    return [(a, b) for a, b in zip(edges, edges[1:]) if b > a]
+
+
+def window_index(bars: DataFrame, m: int, by: str = "sym", at: str = "d", count: int = SEGMENTS) -> DataFrame:
+    """A row a whole window of m bars, by its last: (by, at, bar_no, weekday, last_no, mean and std of close and volume, part_<channel>).
+
+    part_<channel> are the means of the window's parts, normalised as distance() does: the candle's on the close's scale, the volume's on its own; null
+    for a flat window. Any query of m bars can be answered from it (search_indexed), so it is a table worth keeping.
+    """
+    order = Window.partitionBy(by).orderBy(at)
+    own = with_stats(with_stats(bars, "c", m, by, at, held=""), "v", m, by, at, held="")
+    own = own.withColumns({"bar_no": F.row_number().over(order), "last_no": F.count("*").over(Window.partitionBy(by)), "holes": F.count_if(F.greatest(*(F.col(c).isNull() for c in CHANNELS))).over(order.rowsBetween(1 - m, 0))})
+
+    def parts(c: str) -> Column:
+        scale = "v" if c == "v" else "c"
+        means = (F.avg(c).over(order.rowsBetween(a - m + 1, b - m)) for a, b in segments_of(m, count))
+        return F.when((F.col(f"std_{scale}") >= 1e-10) & (F.col("holes") == 0), F.array(*((x - F.col(f"mean_{scale}")) / F.nullif(F.col(f"std_{scale}"), F.lit(0.0)) for x in means)))
+
+    found = own.withColumns({f"part_{c}": parts(c) for c in CHANNELS}).where(F.col("bar_no") >= m)
+    return found.select(by, at, "bar_no", F.weekday(at).alias("weekday"), "last_no", "mean_c", "std_c", "mean_v", "std_v", *(f"part_{c}" for c in CHANNELS))
+
+
+def least_distance(channel: str, scale: str, query: Query, count: int = SEGMENTS) -> Column:
+    """A lower bound of distance(): in each part no weighted sum of squares is below its size times its least weight times the square of the means' difference."""
+    own, base = query.values[channel], query.values[scale]
+    mean, std = fmean(base), pstdev(base)
+    if std < 1e-10:
+        return F.lit(0.0)
+    weights = query.weights or [1.0] * query.size
+    terms = (f"{(b - a) * min(weights[a:b])!r}D * pow({(fmean(own[a:b]) - mean) / std!r}D - get(part_{channel}, {i}), 2D)" for i, (a, b) in enumerate(segments_of(query.size, count)))
+    return F.expr(f"sqrt({' + '.join(terms)})")
+
+
+def scored(windows: DataFrame, bars: DataFrame, query: Query, price_weight: float, min_cv: float, by: str, at: str) -> DataFrame:
+    """windows (by, at, bar_no, mean and std of close and volume) with their bars joined by position, and their score."""
+    spread = windows.withColumn("__pos", F.explode(F.sequence(F.col("bar_no") - (query.size - 1), F.col("bar_no"))))
+    own = bars.select(by, F.col("bar_no").alias("__pos"), F.struct(*CHANNELS).alias("__bar"))
+    keys = [by, at, "bar_no", "mean_c", "std_c", "mean_v", "std_v"]
+    whole = spread.join(own, [by, "__pos"]).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("__pos", "__bar"))), lambda x: x["__bar"]).alias("window"))
+    price = [distance(c, "c", query, min_cv if c == "c" else 0.0) for c in "ohlc"]
+    return whole.withColumn("score", price_weight * (price[0] + price[1] + price[2] + price[3]) / 4.0 + (1.0 - price_weight) * distance("v", "v", query)).drop("window")
+
+
+def search_indexed(bars: DataFrame, index: DataFrame, query: Query, k: int = 30, forward: int = 5, min_distance: float = 0.05, any_weekday: bool = False, price_weight: float = 0.6, min_cv: float = 0.005, max_scale_ratio: float = 100.0, by: str = "sym", at: str = "d") -> tuple[DataFrame, DataFrame]:
+    """What search() finds, and (windows, expanded): how many windows there are and how many were compared bar by bar.
+
+    index is window_index(bars, query.size), best a written table; bars have a close. First the window with the least lower bound of each of a few series is
+    compared; as k series then have a match at least as good as the k-th of these, windows whose bound is beyond it can't be among the k
+    best and are never expanded. Bounds never exceed scores, so the rows are those of the full scan.
+    """
+    numbered = bars.withColumn("bar_no", F.row_number().over(Window.partitionBy(by).orderBy(at)))
+    bad = scale_rejected("c", query, max_scale_ratio) | scale_rejected("v", query, max_scale_ratio)
+    thin = F.lit(False) if pstdev(query.values["c"]) < 1e-10 else F.col("std_c") < F.greatest(F.lit(1e-10), F.lit(min_cv) * F.abs("mean_c"))
+    price = [least_distance(c, "c", query) for c in "ohlc"]
+    bound = price_weight * (price[0] + price[1] + price[2] + price[3]) / 4.0 + (1.0 - price_weight) * least_distance("v", "v", query)
+    fit = index.where(~bad & ~thin & (F.col("bar_no") + forward <= F.col("last_no")))
+    if not any_weekday:
+        fit = fit.where(F.col("weekday") == query.weekday)
+    fit = fit.select(by, at, "bar_no", "mean_c", "std_c", "mean_v", "std_v", bound.alias("__bound")).where("__bound IS NOT NULL")
+    first = fit.withColumn("__r", F.row_number().over(Window.partitionBy(by).orderBy("__bound", at))).where("__r <= 2").orderBy("__bound").limit(8 * k).drop("__r")
+    tried = scored(first, numbered, query, price_weight, min_cv, by, at).where(F.col("score") >= min_distance).groupBy(by).agg(F.min("score").alias("s"))
+    limits = [r.s for r in tried.orderBy("s").limit(k).collect()]
+    limit = limits[-1] * (1 + 1e-9) + 1e-12 if len(limits) == k else float("inf")
+    left = fit.where(F.col("__bound") <= F.lit(limit))
+    found = scored(left, numbered, query, price_weight, min_cv, by, at).where(F.col("score") >= min_distance)
+    best = found.withColumn("__r", F.row_number().over(Window.partitionBy(by).orderBy("score", at))).where("__r = 1")
+    share = index.agg(F.count("*").alias("windows")).crossJoin(left.agg(F.count("*").alias("expanded")))  # a row each
+    return best.orderBy("score", by).limit(k).select(by, at, "bar_no", "score", "mean_c", "std_c"), share
+
+
 def match_bars(matches: DataFrame, bars: DataFrame, m: int, forward: int, by: str = "sym", at: str = "d") -> DataFrame:
     """Bars of each match by position: 0 is the window's last, negative ones are before it."""
     numbered = bars.withColumn("bar_no", F.row_number().over(Window.partitionBy(by).orderBy(at)))
@@ -150,11 +230,44 @@ def bar_stats(rows: DataFrame, value: str, query: Query | None = None, channel:
     return got.withColumn("actual", actual).withColumn("deviation", F.col("mean") - F.col("actual"))
 
 
-def scan_stats(bars: DataFrame, query: Query, found: DataFrame, by: str = "sym") -> DataFrame:
-    """One row: how many series there are, how many are long enough to be scanned, and how many matches were found."""
-    sizes = bars.groupBy(by).agg(F.count("*").alias("n")).select("n", F.lit(0).alias("match"))
-    both = sizes.unionByName(found.select(F.lit(0).cast("long").alias("n"), F.lit(1).alias("match")))
-    return both.agg(F.count_if(F.col("match") == 0).alias("series"), F.count_if((F.col("match") == 0) & (F.col("n") >= query.size)).alias("scanned"), F.count_if(F.col("match") == 1).alias("matched"))
+@dataclass
+class Scan:
+    """What a search saw, known once its result has been computed: metrics of the same job."""
+
+    series: Observation
+    matches: Observation
+    began: float = field(default_factory=time.monotonic)
+
+    @property
+    def told(self) -> dict[str, float]:
+        """series, those long enough to be scanned, matched, and seconds since the search was planned; waits for the result to be computed."""
+        return {**self.series.get, **self.matches.get, "elapsed": time.monotonic() - self.began}
+
+
+def observed(profiled: DataFrame, m: int) -> tuple[DataFrame, Observation]:
+    """Bars with bar_no, which tell how many series there are and how many have m bars."""
+    seen = Observation()
+    return profiled.observe(seen, F.count_if(F.col("bar_no") == 1).alias("series"), F.count_if(F.col("bar_no") == m).alias("scanned")), seen
+
+
+def search_observed(bars: DataFrame, query: Query, **options) -> tuple[DataFrame, Scan]:
+    """search() and its Scan, whose figures come with the result, in one job."""
+    held: list[Observation] = []
+
+    def watch(rows: DataFrame) -> DataFrame:
+        rows, seen = observed(rows, query.size)
+        held.append(seen)
+        return rows
+
+    found, matches = search(bars, query, watch=watch, **options), Observation()
+    return found.observe(matches, F.count("*").alias("matched")), Scan(held[0], matches)
+
+
+def scan_stats(found: DataFrame, scan: Scan) -> DataFrame:
+    """One row (series, scanned, matched) of a search_observed(), after its result, a few rows, has been computed."""
+    found.collect()
+    told = scan.told
+    return found.sparkSession.createDataFrame([(told["series"], told["scanned"], told["matched"])], "series long, scanned long, matched long")
 
 
 def return_bands(rows: DataFrame, edge: float = 0.01) -> DataFrame:

@@ -109,5 +109,15 @@ def shape_volume_stats(spark, sf_dir):
 
 @query("shape_scan_stats", f"SELECT (SELECT count(DISTINCT sym) FROM nbars) AS series, (SELECT count(*) FROM (SELECT sym FROM nbars GROUP BY 1 HAVING count(*) >= {M})) AS scanned, (SELECT count(*) FROM top) AS matched", "top")
 def shape_scan_stats(spark, sf_dir):
-    own, q, top = matches(spark, sf_dir)
-    return H.scan_stats(own, q, top)
+    own, q = base(spark, sf_dir)
+    return H.scan_stats(*H.search_observed(own, q, k=K, forward=FWD))
+
+
+@query("shape_topk_indexed", "SELECT sym, d, bar_no, round(score, 6) AS score FROM top", "top")
+def shape_topk_indexed(spark, sf_dir):
+    """shape_topk by the lower bounds of an index of windows."""
+    own, q = base(spark, sf_dir)
+    where = f"{shared_dir(spark)}/index"
+    H.window_index(own, M).write.parquet(where)
+    found, _ = H.search_indexed(own, spark.read.parquet(where), q, K, FWD)
+    return found.select("sym", "d", F.col("bar_no").cast("long").alias("bar_no"), F.round("score", 6).alias("score"))

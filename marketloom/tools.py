@@ -58,14 +58,17 @@ def reaction(bars: DataFrame, announcements: DataFrame, before: int = 4, after:
     return _long(got, ["sym", "day", "session"], ["c", "v", "rel"], F.col("off"))
 
 
-def shape(bars: DataFrame, symbol, query_len: int = 20, forward: int = 5, top_k: int = 30, price_weight: float = 0.6, min_distance: float = 0.05, any_weekday: bool = False, recency_bucket: int = 5, recency_floor: float = 0.5, min_cv: float = 0.005, max_scale_ratio: float = 100.0) -> dict[str, DataFrame]:
-    """Matches of a symbol's last bars in all series, their bars on the query's scale, statistics and bands of what came after."""
+def shape(bars: DataFrame, symbol, query_len: int = 20, forward: int = 5, top_k: int = 30, price_weight: float = 0.6, min_distance: float = 0.05, any_weekday: bool = False, recency_bucket: int = 5, recency_floor: float = 0.5, min_cv: float = 0.005, max_scale_ratio: float = 100.0) -> dict[str, DataFrame | H.Scan]:
+    """Matches of a symbol's last bars in all series, their bars on the query's scale, statistics and bands of what came after.
+
+    scan.told has the metrics of the search once matches (or what is made of them) has been computed.
+    """
     if query_len < 2 or forward < 1 or top_k < 1 or not 0 <= price_weight <= 1:
         raise ValueError("query_len >= 2, forward >= 1, top_k >= 1 and price_weight in 0..1 are needed")
     query = H.Query.last(bars.where(F.col("sym") == symbol), query_len, weights=H.recency_weights(query_len, recency_bucket, recency_floor))
-    found = H.search(bars, query, top_k, forward, min_distance, any_weekday, price_weight=price_weight, min_cv=min_cv, max_scale_ratio=max_scale_ratio)
+    found, scan = H.search_observed(bars, query, k=top_k, forward=forward, min_distance=min_distance, any_weekday=any_weekday, price_weight=price_weight, min_cv=min_cv, max_scale_ratio=max_scale_ratio)
     rows = H.forward_returns(H.projected(H.match_bars(found, bars, query_len, forward), query), ["sym"])
-    return {"matches": found, "bars": rows, "stats": H.bar_stats(rows, "proj_c", query), "volume_stats": H.bar_stats(rows, "proj_v", query, "v"), "bands": H.return_bands(rows), "scan": H.scan_stats(bars, query, found)}
+    return {"matches": found, "bars": rows, "stats": H.bar_stats(rows, "proj_c", query), "volume_stats": H.bar_stats(rows, "proj_v", query, "v"), "bands": H.return_bands(rows), "scan": scan}
 
 
 def valuation_columns(quarters: DataFrame, closes: DataFrame, years: int = 2) -> DataFrame:
