@@ -118,12 +118,14 @@ def year_accuracy(quarters: DataFrame) -> DataFrame:
 
 
 def display_columns(quarters: DataFrame, years: int = 2) -> DataFrame:
-    """Columns in display order: the quarters after the last complete years, newest first, then each of these years before its quarters."""
+    """Columns in display order: the newest year's quarters where it isn't complete, newest first, then each of the last complete years before its quarters.
+
+    A symbol without a complete year shows its newest one; incomplete years but the newest aren't shown.
+    """
     counts = quarters.groupBy("sym", "fy").agg((F.count_distinct("qn") == 4).alias("complete"))
-    newest = counts.where("complete").withColumn("r", F.row_number().over(Window.partitionBy("sym").orderBy(F.desc("fy")))).where(F.col("r") <= years)
-    bounds = newest.groupBy("sym").agg(F.max("fy").alias("last"), F.collect_set("fy").alias("shown"))
-    own = quarters.join(bounds, "sym").where(F.array_contains("shown", F.col("fy")) | (F.col("fy") > F.col("last")))
-    cells = own.select("sym", "fy", "qn", F.lit(0).alias("is_fy")).unionByName(newest.select("sym", "fy", F.lit(0).alias("qn"), F.lit(1).alias("is_fy")))
+    newest = counts.where("complete").withColumn("r", F.row_number().over(Window.partitionBy("sym").orderBy(F.desc("fy")))).where(F.col("r") <= years).select("sym", "fy")
+    open_ = counts.groupBy("sym").agg(F.max("fy").alias("fy"), F.max_by("complete", "fy").alias("complete")).where("NOT complete").select("sym", "fy")
+    cells = quarters.join(newest.unionByName(open_), ["sym", "fy"]).select("sym", "fy", "qn", F.lit(0).alias("is_fy")).unionByName(newest.select("sym", "fy", F.lit(0).alias("qn"), F.lit(1).alias("is_fy")))
     return cells.withColumn("position", F.row_number().over(Window.partitionBy("sym").orderBy(F.desc("fy"), F.desc("is_fy"), F.desc("qn"))))
 
 
@@ -209,10 +211,11 @@ def multiple(cap: Column, flow: Column) -> Column:
 
 
 def split_ratio(rows: DataFrame, splits: DataFrame, settled: str) -> DataFrame:
-    """ratio: the product of the ratios of splits strictly after the settled day, one if there are none. splits is a small dimension of a symbol."""
-    keyed = rows.withColumn("__id", F.monotonically_increasing_id())
-    later = keyed.select("__id", "sym", settled).join(splits, "sym").where(F.col("effective") > F.col(settled)).groupBy("__id").agg(F.product("split").alias("__r"))
-    return keyed.join(later, "__id", "left").withColumn("ratio", F.coalesce("__r", F.lit(1.0))).drop("__id", "__r")
+    """ratio: the product of the ratios of splits strictly after the settled day, one if there are none. splits is a small dimension: a symbol's are one array."""
+    own = splits.groupBy("sym").agg(F.array_sort(F.collect_list(F.struct("effective", "split"))).alias("__splits"))
+    later = F.filter("__splits", lambda x: x.effective > F.col(settled))
+    ratio_ = F.aggregate(later, F.lit(1.0), lambda a, x: a * x.split)
+    return rows.join(own, "sym", "left").withColumn("ratio", F.coalesce(ratio_, F.lit(1.0))).drop("__splits")
 
 
 #: A short share of shares outstanding over this is not believed (fixed value).
@@ -254,8 +257,22 @@ def option_iv(chain: DataFrame, as_of: Column, price: Column, by: str = "sym") -
     return best.select(by, "expiry", "m.strike", ((F.col("m.call_iv") + F.col("m.put_iv")) / 2).alias("iv"))
 
 
-def visible_rows(columns: DataFrame) -> DataFrame:
-    """By symbol, which optional rows of a valuation have something to show in its columns."""
-    some = lambda *c: F.bool_or(F.coalesce(*c).isNotNull())
-    beyond = F.bool_or(F.exists(F.map_keys(F.coalesce("ytd_capex", F.create_map().cast("map<string,double>"))), lambda k: k != "ppe"))
-    return columns.groupBy(*KEY).agg(some("q_ytd_sbc").alias("has_sbc"), beyond.alias("two_fcf"), some("est_low", "est_high").alias("has_est"), some("nq_low", "nq_high").alias("has_nq_guide"), some("fy_low", "fy_high").alias("has_fy_guide"), some("shares_short").alias("has_short"))
+def year_columns(years: DataFrame) -> DataFrame:
+    """fiscal_years() under the names that quarters have: a year's stock compensation, guidance and short interest."""
+    return years.withColumnsRenamed({"sbc": "q_ytd_sbc", "guide_low": "fy_low", "guide_high": "fy_high"})
+
+
+def visible_rows(columns: DataFrame, quarters: DataFrame, trailing_sums: DataFrame | None = None) -> DataFrame:
+    """By symbol, which optional rows of a valuation have something to show.
+
+    columns are all displayed ones, years included (year_columns); trailing_sums (sym, ttm_q_ytd_sbc) is the trailing one. two_fcf asks
+    for a capex line beyond plant in any of the symbol's quarters, shown or not.
+    """
+    some = lambda *c: F.bool_or(F.coalesce(*(F.col(x) if x in columns.columns else F.lit(None) for x in c)).isNotNull())
+    lines = F.map_keys(F.coalesce("ytd_capex", F.create_map().cast("map<string,double>")))
+    beyond = quarters.groupBy(*KEY).agg(F.bool_or(F.exists(lines, lambda k: k != "ppe")).alias("two_fcf"))
+    seen = columns.groupBy(*KEY).agg(some("q_ytd_sbc").alias("has_sbc"), some("est_low", "est_high").alias("has_est"), some("nq_low", "nq_high").alias("has_nq_guide"), some("fy_low", "fy_high").alias("has_fy_guide"), some("shares_short").alias("has_short"))
+    got = seen.join(beyond, KEY, "left").withColumn("two_fcf", F.coalesce("two_fcf", F.lit(False)))
+    if trailing_sums is None:
+        return got
+    return got.join(trailing_sums.select(*KEY, "ttm_q_ytd_sbc"), KEY, "left").withColumn("has_sbc", F.col("has_sbc") | F.col("ttm_q_ytd_sbc").isNotNull()).drop("ttm_q_ytd_sbc")

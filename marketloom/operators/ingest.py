@@ -135,3 +135,20 @@ def with_fallback(tickers: DataFrame, official: DataFrame, vendor: DataFrame, pr
     got = tickers.join(o, key, "left").join(v, key, "left").join(price, key, "left")
     source = F.when(F.col("__o").isNotNull() & F.col("price").isNotNull(), "official").when(F.col("__o").isNotNull(), "skipped").when(F.col("__v").isNotNull(), "vendor").otherwise("none")
     return got.select(key, source.alias("origin"), F.when(source == "official", F.col("__o")).when(source == "vendor", F.col("__v")).alias("value"))
+
+
+def united_valuations(tickers: DataFrame, official: DataFrame, vendor: DataFrame, prices: DataFrame, key: str = "sym") -> DataFrame:
+    """One wide table of all tickers: official rows where there are figures and a price, else the vendor's; columns that a side lacks are null.
+
+    official is fundamentals.priced_today at these prices, vendor is vendor_row. A ticker with figures and no price (null or zero) is skipped, whatever the
+    vendor has: it has a row of origin skipped and nothing else; one that neither side has is of origin none.
+    """
+    live = prices.select(key, F.nullif(F.col("price"), F.lit(0.0)).alias("__live")).where("__live IS NOT NULL")
+    asked = tickers.select(key).distinct()
+    known = asked.join(official.select(key).distinct(), key, "left_semi")
+    priced = official.join(asked, key, "left_semi").join(live.select(key), key, "left_semi").withColumn("origin", F.lit("official"))
+    skipped = known.join(live, key, "left_anti").withColumn("origin", F.lit("skipped"))
+    rest = asked.join(known, key, "left_anti")
+    other = vendor.join(rest, key, "left_semi")
+    none = rest.join(vendor.select(key), key, "left_anti").withColumn("origin", F.lit("none"))
+    return priced.unionByName(other, allowMissingColumns=True).unionByName(skipped, allowMissingColumns=True).unionByName(none, allowMissingColumns=True)

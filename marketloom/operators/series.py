@@ -105,24 +105,33 @@ def nearest(targets: DataFrame, others: DataFrame, by: str, target: str, at: str
 
     Columns of first count before closeness: a row of a later one is taken only where there is none of an earlier.
 
-    Dates are dealt in buckets of `days`, and each target looks in its own and the two beside it: an equi join.
+    Dates are dealt in buckets of `days`, and each target looks in its own and the two beside it: an equi join. A target is known by its own
+    columns, exact repeats by their number, so nothing depends on the order in which rows come.
     """
     bucket = lambda c: F.floor(F.unix_date(F.col(c)) / max(days, 1))
-    keyed = targets.withColumn("__id", F.monotonically_increasing_id())
-    left = keyed.withColumn("__b", F.explode(F.array(*(bucket(target) + i for i in (-1, 0, 1)))))
+    keys = targets.columns
+    left = targets.groupBy(*keys).agg(F.count("*").alias("__n")).withColumn("__b", F.explode(F.array(*(bucket(target) + i for i in (-1, 0, 1)))))
     right = others.select(F.col(by), F.col(at).alias("__at"), F.struct(*values).alias("__v"), F.struct(*(priority or [F.col(at)])).alias("__p"), F.struct(*(first or [F.lit(0)])).alias("__f"), bucket(at).alias("__b"))
     gap = F.abs(F.date_diff("__at", target))
-    found = left.join(right, [by, "__b"], "left").where(F.col("__at").isNull() | (gap <= days))
-    best = found.where("__at IS NOT NULL").groupBy("__id").agg(F.min_by(F.struct("__at", "__v"), F.struct("__f", gap, "__p")).alias("__m"))
-    return keyed.join(best, "__id", "left").select(*targets.columns, F.col("__m.__at").alias(f"near_{at}"), *(F.col(f"__m.__v.{v}").alias(f"near_{v}") for v in values))
+    best = F.min_by(F.struct("__at", "__v"), F.when(gap <= days, F.struct("__f", gap, "__p"))).alias("__m")
+    found = left.join(right, [by, "__b"], "left").groupBy(*keys, "__n").agg(best)
+    got = found.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))))
+    return got.select(*keys, F.col("__m.__at").alias(f"near_{at}"), *(F.col(f"__m.__v.{v}").alias(f"near_{v}") for v in values))
 
 
 def event_window(events: DataFrame, bars: DataFrame, before: int, after: int, by: str = "sym", at: str = "d") -> DataFrame:
-    """Bars at offsets -before..after from each event's first bar on or after its day; places without a bar are null."""
-    numbered = number_bars(bars, by, at)
-    anchored = asof(events, numbered, by, "day", at, ["bar_no"], forward=True).where("bar_bar_no IS NOT NULL")
-    spread = anchored.withColumn("off", F.explode(F.sequence(F.lit(-before), F.lit(after)))).withColumn("bar_no", F.col("bar_bar_no") + F.col("off"))
-    return spread.join(numbered.select(by, "bar_no", F.col(at).alias("bar_day"), "c", "v"), [by, "bar_no"], "left").drop("bar_bar_no", f"bar_{at}")
+    """Bars at offsets -before..after from each event's first bar on or after its day; places without a bar are null.
+
+    Each bar carries those around it as an array, which the as-of join picks: bars are sorted, and read, once.
+    """
+    order = Window.partitionBy(by).orderBy(at)
+    around = F.collect_list(F.struct(F.col(at).alias("bar_day"), "c", "v")).over(order.rowsBetween(-before, after))
+    carried = bars.withColumns({"__around": around, "__no": F.row_number().over(order)})
+    anchored = asof(events, carried, by, "day", at, ["__around", "__no"], forward=True).where("bar___no IS NOT NULL")
+    spread = anchored.withColumn("off", F.explode(F.sequence(F.lit(-before), F.lit(after))))
+    own = F.get("bar___around", F.col("off") + F.least(F.col("bar___no") - 1, F.lit(before)))
+    placed = spread.withColumns({"bar_no": F.col("bar___no") + F.col("off"), "__bar": F.when(F.col("off") + F.col("bar___no") >= 1, own)})
+    return placed.select(by, "bar_no", *(c for c in events.columns if c != by), "off", "__bar.*")
 
 
 def reaction(windows: DataFrame, keys: list[str]) -> DataFrame:

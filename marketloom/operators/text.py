@@ -168,11 +168,21 @@ def transcript_file(ticker: Column, day: Column, quarter: Column, body: Column,
     return F.concat(F.lit("# "), ticker, F.lit(" "), quarter_title(quarter), title, F.lit("\n\n**Announcement date:** "), day, F.lit("  \n**Source:** "), url, F.lit("\n\n---\n\n"), body, F.lit("\n"))
 
 
+REPORT = "struct<LongName:string,ShortName:string,HtmlFileName:string>"
+#: A filing summary as a schema: its reports stand in a list of their own, or right in the document.
+SUMMARY = f"MyReports struct<Report:array<{REPORT}>>, Report array<{REPORT}>"
+
+
 def report_index(xml: Column) -> Column:
-    """Reports of a filing summary: an array of (long_name, short_name, file), a missing tag being empty."""
-    reports = F.regexp_extract_all(xml, F.lit(r"(?s)<Report(?:\s[^>]*)?>(.*?)</Report>"), F.lit(1))
-    tag = lambda r, name: unescape(F.regexp_extract(r, rf"(?s)<{name}(?:\s[^>]*)?>(.*?)</{name}>", 1), [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")])
-    return F.transform(reports, lambda r: F.struct(tag(r, "LongName").alias("long_name"), F.trim(tag(r, "ShortName")).alias("short_name"), tag(r, "HtmlFileName").alias("file")))
+    """Reports of a filing summary, read by a schema: an array of (long_name, short_name, file), a missing tag being empty.
+
+    Sections of character data and entities of any kind come out as their text; text that isn't well-formed has no reports.
+    """
+    read = F.from_xml(xml, SUMMARY, {"ignoreNamespace": "true", "ignoreSurroundingSpaces": "false", "mode": "PERMISSIVE"})
+    none = F.array().cast(f"array<{REPORT}>")
+    reports = F.concat(F.coalesce(read.MyReports.Report, none), F.coalesce(read.Report, none))
+    told = lambda x: F.coalesce(x, F.lit(""))
+    return F.transform(reports, lambda r: F.struct(told(r.LongName).alias("long_name"), F.trim(told(r.ShortName)).alias("short_name"), told(r.HtmlFileName).alias("file")))
 
 
 def statement_reports(index: Column) -> Column:

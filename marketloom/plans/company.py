@@ -72,8 +72,10 @@ def yoy_growth(spark, sf_dir):
 MID = "((least({0}_low, {0}_high) + greatest({0}_low, {0}_high)) / 2)"
 
 
+view("latest2", "SELECT sym, fy FROM (SELECT sym, fy, row_number() OVER (PARTITION BY sym ORDER BY fy DESC) AS r FROM years WHERE complete) WHERE r <= 2", ("years",))
+view("running", "SELECT sym, fy FROM (SELECT sym, max(fy) AS fy FROM years GROUP BY 1) JOIN years USING (sym, fy) WHERE NOT complete", ("years",))
 view("shown", """SELECT sym, fy, qn, is_fy, row_number() OVER (PARTITION BY sym ORDER BY fy DESC, is_fy DESC, qn DESC) AS position FROM (
- SELECT q.sym, q.fy, q.qn, 0 AS is_fy FROM quarters q JOIN (SELECT sym, max(fy) AS last, list(fy) AS shown FROM top GROUP BY 1) t ON q.sym = t.sym AND (list_contains(shown, q.fy) OR q.fy > last) UNION ALL SELECT sym, fy, 0, 1 FROM top)""".replace("FROM top", "FROM (SELECT sym, fy FROM (SELECT sym, fy, row_number() OVER (PARTITION BY sym ORDER BY fy DESC) AS r FROM years WHERE complete) WHERE r <= 2)"), ("quarters", "years"))
+ SELECT q.sym, q.fy, q.qn, 0 AS is_fy FROM quarters q JOIN (SELECT * FROM latest2 UNION ALL SELECT * FROM running) y ON q.sym = y.sym AND q.fy = y.fy UNION ALL SELECT sym, fy, 0, 1 FROM latest2)""", ("quarters", "latest2", "running"))
 view("shownq", "SELECT q.* FROM quarters q SEMI JOIN shown s ON q.sym = s.sym AND q.fy = s.fy AND q.qn = s.qn", ("shown",))
 
 
@@ -312,10 +314,17 @@ def capex_names(spark, sf_dir):
     return readers.capex_names(records(spark, sf_dir)).select("sym", F.array_join("lines", ",").alias("lines"))
 
 
-@query("visible_rows", "SELECT sym, count(q_ytd_sbc) > 0 AS has_sbc, count(ytd_software) > 0 AS two_fcf, count(coalesce(est_low, est_high)) > 0 AS has_est, count(coalesce(nq_low, nq_high)) > 0 AS has_nq_guide, count(coalesce(fy_low, fy_high)) > 0 AS has_fy_guide, count(shares_short) > 0 AS has_short FROM alone SEMI JOIN shown s ON alone.sym = s.sym AND alone.fy = s.fy AND alone.qn = s.qn GROUP BY 1", "alone shown")
+view("cells", """SELECT a.sym, q_ytd_sbc, coalesce(est_low, est_high) AS est, coalesce(nq_low, nq_high) AS nq, coalesce(fy_low, fy_high) AS guide, shares_short FROM alone a SEMI JOIN shown s ON a.sym = s.sym AND a.fy = s.fy AND a.qn = s.qn
+ UNION ALL SELECT sym, sbc, coalesce(est_low, est_high), NULL, coalesce(guide_low, guide_high), shares_short FROM years SEMI JOIN latest2 USING (sym, fy)
+ UNION ALL SELECT sym, CASE WHEN count(q_ytd_sbc) = 4 THEN sum(q_ytd_sbc) END, NULL, NULL, NULL, NULL FROM (SELECT *, row_number() OVER (PARTITION BY sym ORDER BY end_date DESC) AS r FROM alone) WHERE r <= 4 GROUP BY sym""", ("alone", "shown", "years", "latest2"))
+
+
+@query("visible_rows", "SELECT c.sym, count(q_ytd_sbc) > 0 AS has_sbc, any_value(two_fcf) AS two_fcf, count(est) > 0 AS has_est, count(nq) > 0 AS has_nq_guide, count(guide) > 0 AS has_fy_guide, count(shares_short) > 0 AS has_short FROM cells c JOIN (SELECT sym, count(ytd_software) > 0 AS two_fcf FROM alone GROUP BY 1) USING (sym) GROUP BY 1", "cells alone")
 def visible_rows(spark, sf_dir):
-    own = flows(spark, sf_dir)
-    return Q.visible_rows(own.join(Q.display_columns(quarters(spark, sf_dir)).where("is_fy = 0").select("sym", "fy", "qn"), ["sym", "fy", "qn"], "left_semi"))
+    own, shown = flows(spark, sf_dir), Q.display_columns(quarters(spark, sf_dir))
+    cells = own.join(shown.where("is_fy = 0").select("sym", "fy", "qn"), ["sym", "fy", "qn"], "left_semi")
+    years = Q.year_columns(Q.fiscal_years(records(spark, sf_dir))).join(shown.where("is_fy = 1").select("sym", "fy"), ["sym", "fy"], "left_semi")
+    return Q.visible_rows(cells.unionByName(years, allowMissingColumns=True), own, Q.latest_trailing(own, ["q_ytd_sbc"]))
 
 
 @query("label_parts", "SELECT o_orderkey, CAST((month(o_orderdate) - 1) // 3 + 1 AS INT) AS qn, CAST(year(o_orderdate) AS INT) AS fy FROM orders")
@@ -358,3 +367,20 @@ def source_jobs(spark, sf_dir):
     links = F.struct(F.when(F.col("c_custkey") % 5 > 0, "q1-2024").alias("quarter"), link("report"), F.when(F.col("c_custkey") % 2 == 0, link("letter")).alias("letter"), link("transcript"))
     own = read(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("ticker"), F.col("c_custkey").cast("string").alias("day"), links.alias("links"))
     return I.source_jobs(own)
+
+
+view("vendors", "SELECT c_nationkey AS sym, avg(c_acctbal) AS price, sum(c_acctbal) AS market_cap, CAST(count(*) AS DOUBLE) AS revenue, min(c_acctbal) AS free_cash_flow FROM customer GROUP BY 1")
+
+
+@query("valuation_united", """SELECT sym, origin, id, round(CASE WHEN origin = 'official' THEN t.cap WHEN origin = 'vendor' THEN v.market_cap END, 4) AS cap, round(CASE WHEN origin = 'official' THEN t.ps WHEN origin = 'vendor' THEN v.market_cap / v.revenue END, 4) AS ps,
+ round(CASE WHEN origin = 'official' THEN t.pfcf WHEN origin = 'vendor' AND v.free_cash_flow > 0 THEN v.market_cap / v.free_cash_flow END, 4) AS pfcf FROM (SELECT n_nationkey AS sym,
+ CASE WHEN n_nationkey % 2 = 0 AND n_nationkey IN (SELECT sym FROM quarters) THEN CASE WHEN n_nationkey % 3 > 0 AND n_nationkey IN (SELECT sym FROM nbars) THEN 'official' ELSE 'skipped' END WHEN n_nationkey % 5 > 0 AND n_nationkey IN (SELECT sym FROM vendors) THEN 'vendor' ELSE 'none' END AS origin FROM nation)
+ LEFT JOIN (SELECT sym AS k, id, cap, """ + MULTIPLES + """ FROM today) t ON t.k = sym AND origin = 'official' LEFT JOIN (SELECT sym AS k, * EXCLUDE (sym) FROM vendors) v ON v.k = sym AND origin = 'vendor'""", "today vendors quarters nbars")
+def valuation_united(spark, sf_dir):
+    """Nations with even keys have figures, a third of them no price; a vendor knows most."""
+    prices = nation_bars(spark, sf_dir).groupBy("sym").agg(F.max_by("c", "d").alias("price")).withColumn("price", F.when(F.col("sym") % 3 > 0, F.col("price")))
+    official = Q.priced_today(with_fx(records(spark, sf_dir)).where("sym % 2 = 0"), prices)
+    vendor = read(spark, sf_dir, "customer").where("c_nationkey % 5 > 0").groupBy(F.col("c_nationkey").alias("sym")).agg(F.avg("c_acctbal").alias("price"), F.sum("c_acctbal").alias("market_cap"), F.count("*").cast("double").alias("revenue"), F.min("c_acctbal").alias("free_cash_flow"))
+    tickers = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("sym"))
+    got = I.united_valuations(tickers, official, I.vendor_row(vendor), prices)
+    return got.select("sym", "origin", "id", *(F.round(c, 4).alias(c) for c in ("cap", "ps", "pfcf")))

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import re
 import time
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from marketloom.operators.ingest import tails_differ, upsert_bars
 
@@ -76,31 +79,106 @@ def append_ledger(records: DataFrame, path: str) -> None:
     records.write.mode("append").json(path)
 
 
+class DocumentWriter(DataSourceArrowWriter):
+    """Rows (name, page) as files of these names: each is written beside its place and renamed, by the task that has it."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        store, path = fs.FileSystem.from_uri(self.path)
+        for batch in iterator:
+            for name, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if name is None or ".." in name.split("/") or name.startswith("/"):
+                    raise ValueError(f"{name!r} is no name of a document")
+                where = f"{path}/{name}"
+                store.create_dir(where.rpartition("/")[0], recursive=True)
+                staged = f"{where}.{uuid.uuid4().hex}.tmp"
+                with store.open_output_stream(staged) as f:
+                    f.write((page or "").encode())
+                store.move(staged, where)
+        return WriterCommitMessage()
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        pass
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        pass
+
+
+class DocumentFiles(DataSource):
+    """Format document_files, for writing; path is a folder in a store that pyarrow and all executors reach."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "document_files"
+
+    def schema(self) -> str:
+        return "name string, page string"
+
+    def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
+        return DocumentWriter(self.options["path"])
+
+
 def write_documents(docs: DataFrame, path: str) -> None:
-    """docs has name and page (text.letter_file, report_file, transcript_file): one Markdown text a document, in a folder of its name."""
-    docs.select("name", F.regexp_replace("page", "\n$", "").alias("value")).write.mode("overwrite").partitionBy("name").option("lineSep", "\n").text(path)
+    """docs has name and page (text.letter_file, report_file, transcript_file): one file a document, by its name, which may lie in subfolders.
+
+    Files of other names stay; of rows of one name one stays. A null page is an empty file, a null name an error.
+    """
+    docs.sparkSession.dataSource.register(DocumentFiles)
+    docs.select("name", "page").write.format("document_files").mode("append").save(path)
+
+
+def publish(df: DataFrame, where: str, keep: int = 2) -> str:
+    """Write df beside the entry where and rename it into place as its newest version; the keep newest ones stay, for those who still read them."""
+    spark = df.sparkSession
+    parent, _, name = where.rstrip("/").rpartition("/")
+    staged, version = f"{parent}/_staged-{uuid.uuid4().hex}", f"{where}/v-{time.time_ns():020d}"
+    df.write.parquet(staged)
+    fs_, entry = _file_system(spark, where)
+    fs_.mkdirs(entry)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    if not fs_.rename(path(staged), path(version)):
+        raise OSError(f"{version} couldn't be published")
+    for old in versions(spark, where)[:-keep]:
+        remove(spark, old)
+    return version
+
+
+def versions(spark: SparkSession, where: str) -> list[str]:
+    """The published versions of an entry, oldest first."""
+    fs_, entry = _file_system(spark, where)
+    return sorted(str(s.getPath()) for s in fs_.listStatus(entry) if s.getPath().getName().startswith("v-")) if fs_.exists(entry) else []
 
 
 def cached(spark: SparkSession, path: str, key: str, make: Callable[[], DataFrame], ttl: float | None = 3600, refresh: bool = False, now: float | None = None) -> DataFrame:
-    """The result stored under key, or make()'s, which is then stored there; entries older than ttl seconds (None: for ever) are removed first."""
+    """The result stored under key, or make()'s, which is then published there; entries older than ttl seconds (None: for ever) are removed first.
+
+    A reader sees a whole version or none: a new one takes its place by a rename, and the one before stays until the next.
+    """
     where = f"{path.rstrip('/')}/{key}"
     prune(spark, path, ttl, now)
-    if refresh or age(spark, f"{where}/_SUCCESS", now) is None:
-        make().write.mode("overwrite").parquet(where)
-    return spark.read.parquet(where)
+    found = versions(spark, where)
+    return spark.read.parquet(found[-1] if found and not refresh else publish(make(), where))
 
 
 def prune(spark: SparkSession, path: str, ttl: float | None, now: float | None = None) -> int:
-    """Remove the entries of a cache that are older than ttl seconds; returns how many."""
-    fs, where = _file_system(spark, path)
-    if ttl is None or not fs.exists(where):
+    """Remove the entries of a cache whose newest version is older than ttl seconds; returns how many."""
+    fs_, where = _file_system(spark, path)
+    if ttl is None or not fs_.exists(where):
         return 0
-    stale = [str(s.getPath()) for s in fs.listStatus(where) if (age(spark, str(s.getPath()), now) or 0) > ttl]
+    entries = [str(s.getPath()) for s in fs_.listStatus(where) if not s.getPath().getName().startswith("_staged-")]
+    stale = [p for p in entries if (found := versions(spark, p)) and (age(spark, found[-1], now) or 0) > ttl]
     for p in stale:
         remove(spark, p)
     return len(stale)
 
 
+def points_of_control(spark: SparkSession, path: str, mode: str, day: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The points of control of a mode (week or month) as of a day, from the store, or make()'s, published there under both."""
+    return cached(spark, path, f"poc-{mode}-{day}", make, None)
+
+
 def write_yaml(path: str, value: dict) -> None:
     """A mapping as block YAML, keys in their order; a small file of the driver."""
     import yaml

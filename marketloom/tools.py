@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +22,20 @@ def _long(df: DataFrame, keys: list[str], values: list[str], column: Column) ->
     return cast.unpivot([*keys, "column_label"], values, "row_label", "value")
 
 
-def price(bars: DataFrame, bridge: DataFrame | None = None, unit: str = "week", as_of: str | None = None, live: DataFrame | None = None, columns: int = 4) -> DataFrame:
-    """Price, return, moving averages and relative volume of the current period and those before, for symbols and their benchmarks."""
+def points_of_control(candles: DataFrame, unit: str, today: Column) -> DataFrame:
+    """(sym, days, poc): the price of the most volume over the trailing days of each of the unit's windows; candles has sym, ts, h, l, v."""
+    own = candles.withColumn("d", F.col("ts").cast("date"))
+    found = [S.point_of_control(own, today, days).withColumn("days", F.lit(days)) for days in PERIODS[unit]]
+    return reduce(DataFrame.unionByName, found)
+
+
+def price(bars: DataFrame, bridge: DataFrame | None = None, unit: str = "week", as_of: str | None = None, live: DataFrame | None = None, columns: int = 4, candles: DataFrame | None = None, iv: DataFrame | None = None, short: DataFrame | None = None, tags: DataFrame | None = None, market=None, today: str | None = None) -> DataFrame:
+    """Price, return, moving averages and relative volume of the current period and those before, for symbols and their benchmarks.
+
+    The current period has more: points of control from hourly candles (sym, ts, h, l, v), the move that volatilities (sym, iv) imply, short
+    interest (sym, pct_float, days_to_cover, as_of) with its age, and the flags of a stock whose tags (sym, small_cap) are known, against the symbol
+    market. All but the flags are as of today, so a report as of another day lacks them.
+    """
     own = bars if as_of is None else bars.where(F.col("d") <= F.lit(as_of).cast("date"))
     periods = PERIODS[unit]
     volume = S.relative_volume(own, unit, periods).withColumnRenamed("trend", "rvol_trend").drop(*(f"mean_{p}" for p in periods))
@@ -30,23 +44,57 @@ def price(bars: DataFrame, bridge: DataFrame | None = None, unit: str = "week",
     day = F.lit(as_of).cast("date") if as_of else F.lit(None).cast("date")
     last = own.groupBy("sym").agg(F.coalesce(day, F.max("d")).alias("day")).select("sym", F.explode(S.recent_periods(F.col("day"), unit, columns)).alias("start"))
     got = got.join(last, ["sym", "start"])
+    current = last.groupBy("sym").agg(F.max("start").alias("start"))
     if live is not None:
-        got = S.with_live(got, last.groupBy("sym").agg(F.max("start").alias("start")).join(live, "sym"))
+        got = S.with_live(got, current.join(live, "sym"))
+    values = ["last_close", "ret", "sma_trend", "rvol_trend", *(f"mean_{p}" for p in periods), *(f"rvol_{p}" for p in periods)]
+    more: dict[str, DataFrame] = {}
+    now = F.lit(today).cast("date") if today else F.current_date()
+    if as_of is None and candles is not None:
+        poc = points_of_control(candles, unit, now).groupBy("sym").pivot("days", periods).agg(F.first("poc"))
+        more["poc"] = poc.select("sym", *(F.col(f"`{p}`").alias(f"poc_{p}") for p in periods))
+    if as_of is None and iv is not None:
+        more["iv"] = iv.select("sym", C.implied_move(F.col("iv"), unit == "month").alias("implied_move"))
+    if as_of is None and short is not None:
+        more["short"] = short.select("sym", (F.col("pct_float") * 100).alias("short_pct"), "days_to_cover", F.date_diff(now, "as_of").alias("short_age"))
+    if market is not None:
+        of_market = got.where(F.col("sym") == market).select("start", F.col("ret").alias("market_ret"))
+        small = F.coalesce("small_cap", F.lit(False)) if tags is not None else F.lit(False)
+        told = got.join(current, ["sym", "start"]).join(of_market, "start", "left")
+        told = told if tags is None else told.join(tags.select("sym", "small_cap"), "sym", "left")
+        told = S.heuristic_flags(told.withColumns({"small_cap": small, "price_trend": F.col("sma_trend"), "volume_trend": F.col("rvol_trend")}))
+        more["flags"] = told.select("sym", F.nullif(F.array_join("flags", "; "), F.lit("")).alias("flags"))
+    for part in more.values():
+        new = [c for c in part.columns if c != "sym"]
+        got = got.join(part.join(current, "sym"), ["sym", "start"], "left")
+        values += new
     if bridge is not None:
         listed = bridge.select(F.col("sym").alias("stock"), F.posexplode(F.concat(F.array("sym"), "benchmarks")).alias("place", "sym")).groupBy("stock", "sym").agg(F.min("place").alias("place"))
         got = got.join(listed, "sym")
     else:
         got = got.withColumns({"stock": F.col("sym"), "place": F.lit(0)})
-    return _long(got, ["stock", "place", "sym"], ["last_close", "ret", "sma_trend", "rvol_trend", *(f"mean_{p}" for p in periods), *(f"rvol_{p}" for p in periods)], F.col("start"))
+    return _long(got, ["stock", "place", "sym"], values, F.col("start"))
+
 
+def flow(grid: DataFrame, row: str, slots: list[str], show: int = 4, now: Column | None = None, bars: DataFrame | None = None) -> DataFrame:
+    """Volumes, changes against the row before and running fill of the newest rows; the baseline takes twice as many full ones.
 
-def flow(grid: DataFrame, row: str, slots: list[str], show: int = 4, now: Column | None = None) -> DataFrame:
-    """Volumes, changes against the row before and running fill of the newest rows; the baseline takes twice as many full ones."""
+    While the market is open at now (a UTC timestamp without zone), provisional marks the cell that still grows: of a grid of days the newest day's
+    last present slot, of a grid of weeks (row is week) today's weekday in the newest week, whether it has a bar yet or not. With daily
+    bars (sym, d, o, c) the cells of a week grid also have close and move, close less open.
+    """
     changes, fill = S.grid_changes(grid, row, slots), S.grid_fill(grid, row, slots, 2 * show)
     cells = changes.join(fill.select("sym", row, "slot", "fill"), ["sym", row, "slot"])
-    cells = S.provisional(cells, row, S.market_open(now) if now is not None else F.lit(False))
+    if now is None:
+        cells = cells.withColumn("provisional", F.lit(False))
+    else:
+        cells = S.provisional_day(cells, row, now) if row == "week" else S.provisional(cells, row, S.market_open(now))
+    values = ["v", "change", "fill", "provisional"]
+    if bars is not None:
+        daily = bars.select("sym", F.trunc("d", "week").alias(row), F.weekday("d").alias("slot"), F.col("c").alias("close"), (F.col("c") - F.col("o")).alias("move"))
+        cells, values = cells.join(daily, ["sym", row, "slot"], "left"), [*values, "close", "move"]
     newest = grid.select("sym", row).withColumn("n", F.row_number().over(S.Window.partitionBy("sym").orderBy(F.desc(row)))).where(F.col("n") <= show).drop("n")
-    return _long(cells.join(newest, ["sym", row]), ["sym", row], ["v", "change", "fill", "provisional"], F.col("slot"))
+    return _long(cells.join(newest, ["sym", row]), ["sym", row], values, F.col("slot"))
 
 
 def reaction(bars: DataFrame, announcements: DataFrame, before: int = 4, after: int = 5, show: int = 10) -> DataFrame:
@@ -88,8 +136,8 @@ def valuation_columns(quarters: DataFrame, closes: DataFrame, years: int = 2) ->
     before = flows.where("complete").select("sym", (F.col("fy") + 1).alias("fy"), F.col("revenue").alias("__r"), F.col("fcf").alias("__f"))
     flows = flows.join(before, ["sym", "fy"], "left").withColumns({"revenue_yoy": C.growth(F.col("revenue"), F.col("__r")), "fcf_yoy": C.growth(F.col("fcf"), F.col("__f"))})
     units = quarters.groupBy("sym").agg(F.first("fx").alias("fx"), F.first("mult").alias("mult"))
-    annual = flows.join(units, "sym").join(shown.where("is_fy = 1"), ["sym", "fy"]).withColumnsRenamed({"ocf": "q_ytd_ocf", "ppe": "q_ytd_ppe", "sbc": "q_ytd_sbc"})
-    annual = annual.select("sym", "fy", "qn", "is_fy", "position", "fx", "mult", F.concat(F.lit("FY-"), F.col("fy").cast("string")).alias("id"), "revenue", "q_ytd_ocf", "q_ytd_ppe", "q_ytd_sbc", "capex_total", F.col("lines").alias("q_ytd_capex"), "fcf", "fcf_strict", "fcf_ex_sbc", "fcf_strict_ex_sbc", "fcf_margin", "revenue_yoy", "fcf_yoy")
+    annual = flows.join(units, "sym").join(shown.where("is_fy = 1"), ["sym", "fy"]).withColumnsRenamed({"ocf": "q_ytd_ocf", "ppe": "q_ytd_ppe", "sbc": "q_ytd_sbc", "guide_low": "fy_low", "guide_high": "fy_high"})
+    annual = annual.select("sym", "fy", "qn", "is_fy", "position", "fx", "mult", F.concat(F.lit("FY-"), F.col("fy").cast("string")).alias("id"), "revenue", "q_ytd_ocf", "q_ytd_ppe", "q_ytd_sbc", "capex_total", F.col("lines").alias("q_ytd_capex"), "fcf", "fcf_strict", "fcf_ex_sbc", "fcf_strict_ex_sbc", "fcf_margin", "revenue_yoy", "fcf_yoy", *(c for c in ("est_low", "est_high", "fy_low", "fy_high", "shares_short") if c in annual.columns))
     return own.unionByName(annual, allowMissingColumns=True)
 
 
@@ -99,7 +147,7 @@ def valuation(quarters: DataFrame, closes: DataFrame, prices: DataFrame | None =
     row orders the rows. Rows that no column has anything for are left out, and so are a year's point-in-time and valuation cells.
     """
     own = valuation_columns(quarters, closes, years)
-    seen = Q.visible_rows(own.where("is_fy = 0"))
+    seen = Q.visible_rows(own, quarters, Q.latest_trailing(Q.quarter_flows(quarters), ["q_ytd_sbc"]))
     factor, alone = F.col("mult") / F.col("fx"), F.col("is_fy") == 0
     strict = F.col("has_sbc") | F.col("two_fcf")
     flow = F.when(F.col("has_sbc"), F.col("fcf_strict_ex_sbc")).otherwise(F.col("fcf_strict"))
