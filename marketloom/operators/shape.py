@@ -62,19 +62,24 @@ def with_stats(bars: DataFrame, channel: str, m: int, by: str = "sym", at: str =
     return bars.withColumns({f"mean_{channel}": F.when(full, mean), f"std_{channel}": F.when(full, snapped)} | more)
 
 
-def distance(channel: str, scale: str, query: Query, min_cv: float = 0.0) -> Column:
+def distance(channel: str, scale: str, query: Query, min_cv: float = 0.0, folded: bool = False) -> Column:
     """Weighted distance of the window that ends here to the query's channel; both sides are normalised by channel scale.
 
     Zero everywhere for a flat query; null for a flat window (or one under min_cv of its level) and for too few bars. One
-    SQL text, as building a sum of many terms from columns takes longer than running it.
+    SQL text, as building a sum of many terms from columns takes longer than running it. Folded, the sum is a fold over arrays: slower, but
+    little code, where it is needed more than once in a stage.
     """
     m, own, base = query.size, query.values[channel], query.values[scale]
     mean, std = fmean(base), pstdev(base)
     if std < 1e-10:
         return F.when(F.col(f"mean_{scale}").isNotNull(), F.lit(0.0))
     weights = query.weights or [1.0] * m
-    terms = (f"{weights[j]!r}D * pow({(own[j] - mean) / std!r}D - (get(window, {j}).{channel} - mean_{scale}) / nullif(std_{scale}, 0D), 2D)" for j in range(m))
-    return F.expr(f"CASE WHEN NOT std_{scale} < greatest(1e-10D, {min_cv!r}D * abs(mean_{scale})) THEN sqrt({' + '.join(terms)}) END")
+    term = f"pow({{q}} - (get(window, {{j}}).{channel} - mean_{scale}) / nullif(std_{scale}, 0D), 2D)"
+    total = " + ".join(f"{weights[j]!r}D * {term.format(q=f'{(own[j] - mean) / std!r}D', j=j)}" for j in range(m))
+    if folded:
+        listed = lambda x: f"array({', '.join(f'{v!r}D' for v in x)})"
+        total = f"aggregate(sequence(0, {m - 1}), 0D, (s, j) -> s + get({listed(weights)}, j) * {term.format(q=f'get({listed((v - mean) / std for v in own)}, j)', j='j')})"
+    return F.expr(f"CASE WHEN NOT std_{scale} < greatest(1e-10D, {min_cv!r}D * abs(mean_{scale})) THEN sqrt({total}) END")
 
 
 def scale_rejected(channel: str, query: Query, ratio: float) -> Column:
@@ -153,8 +158,8 @@ def scored(windows: DataFrame, bars: DataFrame, query: Query, price_weight: floa
     own = bars.select(by, F.col("bar_no").alias("__pos"), F.struct(*CHANNELS).alias("__bar"))
     keys = [by, at, "bar_no", "mean_c", "std_c", "mean_v", "std_v"]
     whole = spread.join(own, [by, "__pos"]).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("__pos", "__bar"))), lambda x: x["__bar"]).alias("window"))
-    price = [distance(c, "c", query, min_cv if c == "c" else 0.0) for c in "ohlc"]
-    return whole.withColumn("score", price_weight * (price[0] + price[1] + price[2] + price[3]) / 4.0 + (1.0 - price_weight) * distance("v", "v", query)).drop("window")
+    price = [distance(c, "c", query, min_cv if c == "c" else 0.0, True) for c in "ohlc"]
+    return whole.withColumn("score", price_weight * (price[0] + price[1] + price[2] + price[3]) / 4.0 + (1.0 - price_weight) * distance("v", "v", query, folded=True)).drop("window")
 
 
 def search_indexed(bars: DataFrame, index: DataFrame, query: Query, k: int = 30, forward: int = 5, min_distance: float = 0.05, any_weekday: bool = False, price_weight: float = 0.6, min_cv: float = 0.005, max_scale_ratio: float = 100.0, by: str = "sym", at: str = "d") -> tuple[DataFrame, DataFrame]:
