@@ -40,10 +40,9 @@ def daily_bars(spark: SparkSession, path: str) -> DataFrame:
 def hourly_bars(spark: SparkSession, path: str) -> DataFrame:
     """The same with Datetime in UTC in place of Date: (sym, ts, o, h, l, c, v)."""
     raw = spark.read.csv(path, header=True, schema="Datetime string, Open string, High string, Low string, Close string, Volume string").select("*", _file_symbol().alias("sym"), *_place())
-    stamp = F.try_to_timestamp(F.concat(F.regexp_replace(F.substring("Datetime", 1, 19), "T", " "), F.lit(" UTC")), F.lit("yyyy-MM-dd HH:mm:ss z"))
-    utc = F.convert_timezone(F.lit("UTC"), F.to_timestamp_ntz(F.regexp_replace(F.substring("Datetime", 1, 19), "T", " ")))
+    utc = F.regexp_replace(F.substring("Datetime", 1, 19), "T", " ").try_cast("timestamp_ntz")
     number = lambda c: F.col(c).try_cast("double")
-    rows = raw.where(stamp.isNotNull()).select("__file", "__block", "__row", "sym", utc.alias("ts"), *(number(a).alias(b) for a, b in zip(("Open", "High", "Low", "Close", "Volume"), "ohlcv")))
+    rows = raw.where(utc.isNotNull()).select("__file", "__block", "__row", "sym", utc.alias("ts"), *(number(a).alias(b) for a, b in zip(("Open", "High", "Low", "Close", "Volume"), "ohlcv")))
     return _last_row(rows.where("c IS NOT NULL AND v IS NOT NULL"), ["sym", "ts"])
 
 
