@@ -205,6 +205,8 @@ def word_replies(messages: DataFrame, buckets: int) -> DataFrame:
         rank = np.empty(len(words), np.int64)
         rank[np.lexsort((words, -count))] = np.arange(len(words))
         number = rank * buckets + bucket + 1  # 0 is BEGIN
+        if len(number) and number.max() >> 32:
+            raise OverflowError("words are numbered in 32 bits; there are too many distinct ones")
         bounds = np.cumsum([len(p) for p in parts])[:-1]
         rows = [("word", bucket, c, pack(number[i].astype(np.uint32)), pack(count[i]), None, None, None) for c, i in zip(chunk, np.split(at, bounds))]
         return reply_table([*rows, ("counts", bucket, None, None, None, [*counts_of_counts(count), int(count.sum()), int((count > 0).sum())], None, None)])

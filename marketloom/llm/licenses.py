@@ -1,7 +1,8 @@
 """License scans: cosine of sparse TF-IDF vectors to templates, and inheritance from the nearest directory above.
 
 A file's headers are its lines that name a license cue, each alone and joined over gaps of GAP lines at most; a license
-file is a file whose whole text is close to a template. A license has several templates: its text (license_texts/, where we
+file is a file of LEAST_WORDS words or a license file's name whose whole text is close to a template. A tag's expression of several
+licenses is given as such, and names and years beside a reservation of all rights don't count. A license has several templates: its text (license_texts/, where we
 have it), its standard header, its name and notices of one line. Terms are words but STOP and pairs of them in lower case,
 weighted by log inverse frequency over the templates. The template with the best cosine wins where it reaches LEAST; equal
 cosines go to the first name, and Proprietary gives way to any license that reaches LEAST. A file without a header
@@ -38,13 +39,23 @@ GAP = 8
 TAILS = (0, 3, 16)
 STOP = frozenset("a an and any are as at be been for from has have if in is it its not of on or such that the their this to was were which will with you your".split())
 SPDX = re.compile(r"spdx-license-identifier:")
+#: A tag's expression of several licenses, and its parts.
+EXPRESSION = re.compile(r"spdx-license-identifier:[ \t]*([\w.+() -]*\b(?:or|and|with)\b[\w.+() -]*)", re.IGNORECASE)
+PART = re.compile(r"[()]|[\w.+-]+")
+#: Who holds the rights, and since when, in a notice that reserves them all.
+HOLDER = re.compile(r"(copyright|©|\(c\))[^\n;]*?(?=[.,\s]*all rights reserved)", re.IGNORECASE)
+#: A text without a license file's name is one only with so many words.
+LEAST_WORDS = 20
+FILE_NAME = re.compile(r"^(un)?licen[cs]e|^copying|^copyright|^notice", re.IGNORECASE)
 #: Templates by license and, after a #, which of its templates it is.
 TEMPLATES = {
     "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
+    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD 2-Clause License.",
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD 3-Clause License.",
     "CC-BY-4.0": "Licensed under Creative Commons Attribution CC BY 4.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    "CC-BY-NC-SA-4.0": "Licensed under CC BY-NC-SA 4.0.",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
     "CC0-1.0": "Dedicated to the public domain under CC0 1.0.",
     "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
@@ -60,9 +71,11 @@ TEMPLATES = {
 NAMES = {
     "AGPL-3.0": "GNU Affero General Public License, version 3",
     "Apache-2.0": "Apache License, Version 2.0",
+    "BSD-2-Clause": "BSD 2-Clause License",
     "BSD-3-Clause": "BSD 3-Clause License",
     "CC-BY-4.0": "Creative Commons Attribution 4.0 International License",
     "CC-BY-NC-4.0": "Creative Commons Attribution-NonCommercial 4.0 International License",
+    "CC-BY-NC-SA-4.0": "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License",
     "CC-BY-SA-4.0": "Creative Commons Attribution-ShareAlike 4.0 International License",
     "CC0-1.0": "Creative Commons Zero 1.0 Universal, CC0, public domain dedication",
     "GPL-2.0": "GNU General Public License, version 2",
@@ -121,8 +134,25 @@ class Templates:
         return name, dots[name] / norm
 
 
-def scan_text(text: str, templates: Templates) -> tuple[str | None, float, bool]:
-    """License, cosine, and whether the text is a license file."""
+def expression(tag: str, templates: Templates) -> tuple[str | None, float]:
+    """A tag's expression with the licenses' names as we have them, and the least of their cosines; None if none is known."""
+    out, known = [], []
+    for part in PART.findall(tag):
+        name, cosine = (None, 0.0) if part.lower() in ("or", "and", "with", "(", ")") else templates.best(part)
+        if name and cosine >= LEAST and (not out or out[-1] != "WITH"):
+            known.append(cosine)
+            out.append(name.partition("#")[0])
+        else:
+            out.append(part.upper() if part.lower() in ("or", "and", "with") else part)
+    return (" ".join(out).replace("( ", "(").replace(" )", ")"), min(known)) if known else (None, 0.0)
+
+
+def scan_text(text: str, templates: Templates, name: str = "") -> tuple[str | None, float, bool]:
+    """License, cosine, and whether the text is a license file: close to a license as a whole, and as long as one or of a license file's name."""
+    tag = EXPRESSION.search(text)
+    if tag is not None and (told := expression(tag[1], templates))[0]:
+        return *told, False
+    text = HOLDER.sub(r"copyright (c)", text)
     low = text.lower()
     cues = [c for c in CUES if c in low]
     split = low.split("\n") if cues else []
@@ -138,25 +168,27 @@ def scan_text(text: str, templates: Templates) -> tuple[str | None, float, bool]
     joined = [" ".join(split[i : min(j + 1 + tail, len(split))]) for i, j in runs for tail in TAILS if j > i]
     found = [templates.best(SPDX.sub("", header)) for header in dict.fromkeys(lines + joined)]
     found = [((x or "").partition("#")[0] or None, y) for x, y in found]
-    name, cosine = max(found, key=lambda x: (x[1] >= LEAST and x[0] != "Proprietary", x[1], [-ord(c) for c in x[0] or ""]))
-    whole, close = templates.best(text)
-    if close >= LEAST_FILE:
+    given, cosine = max(found, key=lambda x: (x[1] >= LEAST and x[0] != "Proprietary", x[1], [-ord(c) for c in x[0] or ""]))
+    whole, close = templates.best(SPDX.sub("", low))
+    if close >= LEAST_FILE and (FILE_NAME.match(name) or len(text.split(None, LEAST_WORDS)) >= LEAST_WORDS):
         whole = whole.partition("#")[0]
-        if whole == "Proprietary" != name and cosine >= LEAST:
-            whole, close = name, cosine
-        return whole, max(close, cosine if name == whole else close), True
-    return (name, cosine, False) if cosine >= LEAST else (None, cosine, False)
+        if whole == "Proprietary" != given and cosine >= LEAST:
+            whole, close = given, cosine
+        return whole, max(close, cosine if given == whole else close), True
+    return (given, cosine, False) if cosine >= LEAST else (None, cosine, False)
 
 
-def scan(files: DataFrame, keys: list[str], texts: dict[str, str] | None = None) -> DataFrame:
-    """keys, license, cosine and is_license_file for each row of files, whose text is in column text."""
+def scan(files: DataFrame, keys: list[str], texts: dict[str, str] | None = None, path: str | None = None) -> DataFrame:
+    """keys, license, cosine and is_license_file for each row of files, whose text is in column text; path is the key that names a file, if one does."""
+    at = keys.index(path) if path is not None else None
     kept = files.select(*keys, F.col("text").alias("__text"))
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema[:-1]) + ", license string, cosine double, is_license_file boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Templates(texts or TEMPLATES)
         for batch in batches:
-            rows = [scan_text(t or "", own) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            named = [""] * batch.num_rows if at is None else [(p or "").rpartition("/")[2] for p in batch.column(at).to_pylist()]
+            rows = [scan_text(t or "", own, n) for t, n in zip(batch.column(batch.num_columns - 1).to_pylist(), named)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.float64(), pa.bool_())))], [*keys, "license", "cosine", "is_license_file"])
 
     return kept.mapInArrow(run, out)
@@ -164,7 +196,7 @@ def scan(files: DataFrame, keys: list[str], texts: dict[str, str] | None = None)
 
 def licenses(files: DataFrame, key: str, path: str = "path", texts: dict[str, str] | None = None) -> DataFrame:
     """Rows (key, path, license, cosine, is_license_file, origin, from_directory): origin is header, file, inherited or none."""
-    found = scan(files, [key, path], texts)
+    found = scan(files, [key, path], texts, path)
     parts = F.split(F.regexp_replace(F.col(path), "/[^/]*$", ""), "/")
     directory = F.when(F.instr(path, "/") > 0, F.regexp_replace(F.col(path), "/[^/]*$", "")).when(F.col(path).isNotNull(), F.lit(""))
     found = table(found.withColumn("__dir", directory), "scanned")

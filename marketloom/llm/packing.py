@@ -33,7 +33,7 @@ CAPACITY = 2048
 CACHED = 350_000
 LONGEST_CACHED = 64
 #: One text in so many, by its CRC-32, is also given to the library whole, and the ids compared.
-WHOLE = 256
+WHOLE = 64
 #: White space but the space and the line feed.
 OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 

@@ -32,17 +32,26 @@ MAX_LABELLED = 20_000
 MIN_SUPPORT = 4
 MIN_WEIGHT = 1.5
 SCOPE = 3
+#: Words that a negation reaches over: one more, as in "no one is an ..." and "don't call him an ...".
+NEGATION_SCOPE = 4
 STEMS = range(3, 9)
 #: Words and beginnings that a task counts before it hands the counts on.
 ENTRIES_HELD = 200_000
 WORD = re.compile(r"[^\W\d_]+")
 CLAUSE = re.compile(r"[.!?;:\n|]+")
 SEEDS = "idiot idiots moron morons stupid dumb scum trash loser losers pathetic worthless disgusting clown clowns imbecile cretin vermin filth dummkopf trottel abschaum arschloch ordure connard imbécile crétin raclure idiota estúpido escoria imbécil".split()
-THREATS = frozenset("kill hurt destroy punch beat stab shoot töten umbringen schlagen tuer frapper détruire matar golpear destruir".split())
-TARGETS = frozenset("you your he him she her they them this these those people du dich dein ihr euch sie tu te toi vous vos ils elles tú ti usted ustedes ellos ellas".split())
-NEGATIONS = frozenset("not no never nobody isn't nicht kein keine nie niemals pas jamais aucun nunca jamás ningún".split())
-REPORTS = frozenset("said says called quoted reported wrote claimed sagte sagt nannte schrieb dit disait appelé écrit dijo dice llamó escribió".split())
-TOKEN = re.compile(r'[^\W\d_]+|["“”«»„]')
+THREATS = frozenset("""kill hurt destroy punch beat stab shoot strangle choke smash crush murder slaughter burn hang
+töten umbringen umbringe schlagen schlage verprügeln erschießen erstechen erwürgen tuer tuerai frapper frapperai détruire étrangler massacrer brûler
+matar mataré golpear golpearé destruir destruiré quemar estrangular""".split())
+TARGETS = frozenset("""you your yours yourself yourselves ya u he him his she her hers they them their this these those people everyone everybody
+du dich dir dein deine ihr euch euer sie ihn ihm tu te toi ton vous vos votre ils elles lui leur eux tú ti usted ustedes ellos ellas él vosotros os""".split())
+NEGATIONS = frozenset("""not no never nobody none neither nor cannot without hardly nicht kein keine keinen keiner keinem nie niemals niemand weder noch ohne
+ne pas jamais aucun aucune ni sans personne nunca jamás nadie ningún ninguna tampoco sin""".split())
+REPORTS = frozenset("""said says saying tells told telling called calls calling quoted quotes quoting reported reports reporting wrote writes written claimed claims stated states
+sagte sagt sagen nannte nennt nennen schrieb schreibt meinte behauptet behauptete dit disait dire appelé appelle écrit écrivait déclare déclaré affirme
+dijo dice dicen llamó llama escribió escribe afirma afirmó""".split())
+#: Contractions that negate (isn't, don't), words, and marks: a single one opens before a word that it doesn't join to another, and closes after one.
+TOKEN = re.compile(r"[^\W\d_]*n['’]t(?![^\W\d_])|[^\W\d_]+|[\"“”«»„]|(?<![^\W\d_])['‘‚](?=[^\W\d_])|(?<=[^\W\d_])['’](?![^\W\d_])")
 FEATURES = ["plain", "aimed", "negated", "reported", "threat", "best", "density"]
 
 
@@ -132,7 +141,7 @@ def threats() -> Transducer:
 @lru_cache
 def grammar() -> Transducer:
     """The composed machine."""
-    return quotes().compose(scope(REPORT, "r", 2 * SCOPE, "ONTHr")).compose(scope(NEGATION, "n", SCOPE, "OTHr")).compose(targets()).compose(threats())
+    return quotes().compose(scope(REPORT, "r", 2 * SCOPE, "ONTHr")).compose(scope(NEGATION, "n", NEGATION_SCOPE, "OTHr")).compose(targets()).compose(threats())
 
 
 #: All scopes have ended after so many other symbols.
@@ -146,7 +155,12 @@ def rewritten(symbols: str) -> str:
     return grammar().best(symbols)[1].replace(OTHER, "")
 
 
-ROLES = {w: x for x, own in ((REPORT, REPORTS), (NEGATION, NEGATIONS), (THREAT, THREATS), (TARGET, TARGETS)) for w in own} | dict.fromkeys('"“”«»„', QUOTE)
+ROLES = {w: x for x, own in ((REPORT, REPORTS), (NEGATION, NEGATIONS), (THREAT, THREATS), (TARGET, TARGETS)) for w in own} | dict.fromkeys("\"“”«»„'‘’‚", QUOTE)
+
+
+def role(token: str) -> str:
+    """The symbol of a token that is no insult."""
+    return ROLES.get(token) or (NEGATION if len(token) > 3 and token[-1] == "t" and token[-2] in "'’" else OTHER)
 
 
 def clause_matches(clause: str, lexicon: Lexicon) -> list[tuple[str, float]]:
@@ -156,7 +170,7 @@ def clause_matches(clause: str, lexicon: Lexicon) -> list[tuple[str, float]]:
     if not weights and THREATS.isdisjoint(words):
         return []
     tokens = TOKEN.findall(clause)
-    symbols = "".join([INSULT if t in weights else ROLES.get(t, OTHER) for t in tokens])
+    symbols = "".join([INSULT if t in weights else role(t) for t in tokens])
     own = iter([weights[t] for t in tokens if t in weights])
     return [(KINDS[x], 1.0 if x == "h" else next(own)) for x in rewritten(RUN.sub(OTHER * LONGEST_RUN, symbols))]
 

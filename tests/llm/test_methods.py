@@ -524,3 +524,48 @@ def test_related_fingerprints_meet(spark):
         (a, x), (b, y) = simhash.block_keys(raw, picks), simhash.block_keys(other, picks)
         near = np.bitwise_count(x.view(np.uint64) ^ y.view(np.uint64)) <= simhash.differing(0.8, simhash.WORD_DEVIATIONS, 64)
         assert ((a == b) & near).any(axis=0).mean() >= share
+
+
+def test_contractions_quotes_and_far_negations():
+    from marketloom.llm import toxicity
+
+    lexicon = toxicity.Lexicon({"idiot": 4.0, "idiota": 4.0}, {})
+    kinds = lambda s: [k for k, _ in toxicity.clause_matches(s, lexicon)]
+    for text, want in {
+        "he isn't an idiot": "negated", "you aren't an idiot": "negated", "you aren’t an idiot": "negated", "they don't call him an idiot": "negated", "no one is an idiot": "negated",
+        "you cannot be an idiot": "negated", "'you are an idiot' she said": "reported", "‘an idiot’ was the word": "reported", "she tells everyone what an idiot": "reported",
+        "l'idiot": "plain", "you're an idiot": "aimed", "the boys' idiot": "plain", "du bist kein idiot": "negated", "nadie es un idiota": "negated", "vous êtes un idiot": "aimed", "what an idiot he is": "aimed",
+    }.items():
+        assert kinds(text) == [want], text
+    assert kinds("i will strangle them") == ["threat"] and kinds("te mataré a ti") == ["threat"] and kinds("don't") == []
+
+
+def test_license_notices_and_expressions():
+    from marketloom.llm import licenses
+
+    own = licenses.Templates(licenses.TEMPLATES)
+    scan = lambda text, name="": licenses.scan_text(text, own, name)
+    code = "\nx = compute(y)" * 300
+    for holder in ("Jane Doe", "2019-2024 Example Widgets GmbH & Co.", "(c) 2020, the authors,"):
+        assert scan(f"// Copyright {holder}. All rights reserved.{code}")[0] == "Proprietary"
+    assert scan("Copyright (c) 2020 Jane Doe. All rights reserved.")[0] == "Proprietary"
+    assert scan(f"Copyright (c) 2020 Jane Doe{code}")[0] is None
+    for tag, want in {"Apache-2.0 OR MIT": "Apache-2.0 OR MIT", "(MIT AND BSD-2-Clause)": "(MIT AND BSD-2-Clause)", "GPL-2.0-only WITH Classpath-exception-2.0": "GPL-2.0 WITH Classpath-exception-2.0", "MIT or Unlicense": "MIT OR Unlicense"}.items():
+        assert scan(f"# SPDX-License-Identifier: {tag}{code}")[::2] == (want, False)
+    assert scan(f"# SPDX-License-Identifier: Unlicense OR WTFPL{code}")[0] is None
+    for known in ("GPL-2.0-only", "MIT", "BSD-2-Clause", "CC-BY-NC-SA-4.0"):
+        assert scan(f"# SPDX-License-Identifier: {known}") [2] is False  # a tag alone is no license file
+        assert scan(f"SPDX-License-Identifier: {known}", "LICENSE.txt")[2] is True
+    assert scan("license: mit")[::2] in (("MIT", False), (None, False))
+
+
+def test_words_beyond_their_numbers_are_an_error(spark, monkeypatch):
+    """Numbers of 32 bits would mix words up; a bucket number of that size stands for as many words."""
+    import numpy as np
+
+    from marketloom.llm import katz
+
+    row = (1 << 33, 0, bytes(katz.pack(np.array([5, 9], np.uint64))), bytes(katz.pack(np.array([1, 2], np.uint32))))
+    messages = spark.createDataFrame([row], "bucket long, chunk long, a binary, b binary")
+    with pytest.raises(Exception, match="32 bits"):
+        katz.word_replies(messages, 4).collect()
