@@ -149,11 +149,12 @@ def expression(tag: str, templates: Templates) -> tuple[str | None, float]:
 
 def scan_text(text: str, templates: Templates, name: str = "") -> tuple[str | None, float, bool]:
     """License, cosine, and whether the text is a license file: close to a license as a whole, and as long as one or of a license file's name."""
-    tag = EXPRESSION.search(text)
+    low = text.lower()
+    tag = EXPRESSION.search(text) if "spdx-license-identifier" in low else None
     if tag is not None and (told := expression(tag[1], templates))[0]:
         return *told, False
-    text = HOLDER.sub(r"copyright (c)", text)
-    low = text.lower()
+    if "all rights reserved" in low:
+        low = HOLDER.sub("copyright (c)", low)
     cues = [c for c in CUES if c in low]
     split = low.split("\n") if cues else []
     at = [i for i, line in enumerate(split) if any(c in line for c in cues)]

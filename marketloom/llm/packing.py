@@ -16,7 +16,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,9 +29,11 @@ from marketloom.llm.common import table
 from marketloom.llm.sentencepieces import grouped
 
 CAPACITY = 2048
-#: Pieces of texts in the younger generation of one worker's cache at which it becomes the older; it costs time only.
+#: Pieces of texts in the younger generation of one worker's cache at which, before a batch, it becomes the older; it costs time only.
 CACHED = 350_000
 LONGEST_CACHED = 64
+#: Marks that often end a word.
+STOPS = frozenset(".,;:!?")
 #: One text in so many, by its CRC-32, is also given to the library whole, and the ids compared.
 WHOLE = 64
 #: White space but the space and the line feed.
@@ -45,6 +47,20 @@ def byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class Pieces(dict):
+    """Ids by piece: one that isn't here is taken from the older generation or made, and stays unless it is long."""
+
+    def __init__(self, make: Callable[[str], bytes], older: dict[str, bytes]):
+        super().__init__()
+        self.make, self.older = make, older
+
+    def __missing__(self, piece: str) -> bytes:
+        got = self.older.get(piece) or self.make(piece)
+        if len(piece) <= LONGEST_CACHED:
+            self[piece] = got
+        return got
+
+
 class ByteEncoder:
     """Ids by a tokenizers file of byte-level merges; pieces that recur are encoded once while they stay in a bounded cache.
 
@@ -65,8 +81,7 @@ class ByteEncoder:
         self.model, self.characters = self.library.model, byte_characters()
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.special = sorted(t.content for t in self.library.get_added_tokens_decoder().values())
-        self.ids: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.ids = Pieces(self.make, {})
 
     def pieces(self, text: str) -> list[str] | None:
         """The text cut before its spaces; None where that may cut a word or a special token."""
@@ -78,44 +93,32 @@ class ByteEncoder:
         tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.characters))
         return array("I", [t.id for t in tokens]).tobytes()
 
-    def fetch(self, wanted: set[str]) -> None:
-        """Have all wanted pieces in the younger generation."""
-        if len(self.ids) > CACHED:
-            self.older, self.ids = self.ids, {}
-        ids, older, merge = self.ids, self.older, self.merge
-        missing = wanted - ids.keys()
-        known = missing & older.keys()
-        for p in known:
-            ids[p] = older[p]
-        for p in missing - known:
-            if (p[1:] if p[:1] == " " else p).isalpha():  # letters, after a space or not, are one word of the pattern
-                ids[p] = merge(p)
-                continue
-            words = self.split(p)
-            for w in words:
-                if w not in ids:
-                    ids[w] = older[w] if w in older else merge(w)
-            ids[p] = b"".join([ids[w] for w in words])
+    def make(self, piece: str) -> bytes:
+        letters = piece[1:] if piece[:1] == " " else piece
+        if letters.isalpha():  # letters, after a space or not, are one word of the pattern
+            return self.merge(piece)
+        if piece[-1:] in STOPS and letters[:-1].isalpha():  # and a mark after them is another
+            return self.ids[piece[:-1]] + self.ids[piece[-1]]
+        words = self.split(piece)
+        return self.merge(piece) if len(words) == 1 else b"".join([self.ids[w] for w in words])
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        parts = [self.pieces(t) for t in texts]
-        wanted = set().union(*(p for p in parts if p is not None))
-        self.fetch(wanted)
+        if len(self.ids) > CACHED:
+            self.ids.older = {}  # the generation before goes
+            self.ids = Pieces(self.make, self.ids)
         get, out = self.ids.__getitem__, []
-        for text, own in zip(texts, parts):
+        for text in texts:
+            own = self.pieces(text)
             if own is None:
                 out.append(self.whole(text))
                 continue
             out.append(b"".join(map(get, own)))
             if zlib.crc32(text.encode()) % WHOLE == 0 and out[-1] != self.whole(text):
                 raise ValueError("a text's ids differ from the tokenizers library's")
-        for p in wanted:
-            if len(p) > LONGEST_CACHED:
-                self.ids.pop(p, None)
         return out
 
 
