@@ -1,6 +1,6 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Each word or quotation mark of a clause is read by a lexicon and becomes a symbol: an insult, a threat verb, a target, a
+Each word but articles, and each quotation mark, of a clause is read by a lexicon and becomes a symbol: an insult, a threat verb, a target, a
 negation, a reporting verb, a mark or other. Five small transducers rewrite the symbols: quotes (a mark opens one only where
 another closes it in the clause), reports, negations (SCOPE words), targets (before an insult, or guessed and then required after
 it) and threats (a threat verb and a target). They are composed into one machine, whose best path gives the clause's matches: plain,
@@ -32,8 +32,6 @@ MAX_LABELLED = 20_000
 MIN_SUPPORT = 4
 MIN_WEIGHT = 1.5
 SCOPE = 3
-#: Words that a negation reaches over: one more, as in "no one is an ..." and "don't call him an ...".
-NEGATION_SCOPE = 4
 STEMS = range(3, 9)
 #: Words and beginnings that a task counts before it hands the counts on.
 ENTRIES_HELD = 200_000
@@ -50,6 +48,8 @@ ne pas jamais aucun aucune ni sans personne nunca jamás nadie ningún ninguna t
 REPORTS = frozenset("""said says saying tells told telling called calls calling quoted quotes quoting reported reports reporting wrote writes written claimed claims stated states
 sagte sagt sagen nannte nennt nennen schrieb schreibt meinte behauptet behauptete dit disait dire appelé appelle écrit écrivait déclare déclaré affirme
 dijo dice dicen llamó llama escribió escribe afirma afirmó""".split())
+#: Articles are no symbols, so that "don't call him an ..." is as near as without one.
+ARTICLES = frozenset("a an the ein eine einen einem einer der die das den dem un une le la les el los las una unos unas".split())
 #: Contractions that negate (isn't, don't), words, and marks: a single one opens before a word that it doesn't join to another, and closes after one.
 TOKEN = re.compile(r"[^\W\d_]*n['’]t(?![^\W\d_])|[^\W\d_]+|[\"“”«»„]|(?<![^\W\d_])['‘‚](?=[^\W\d_])|(?<=[^\W\d_])['’](?![^\W\d_])")
 FEATURES = ["plain", "aimed", "negated", "reported", "threat", "best", "density"]
@@ -141,7 +141,7 @@ def threats() -> Transducer:
 @lru_cache
 def grammar() -> Transducer:
     """The composed machine."""
-    return quotes().compose(scope(REPORT, "r", 2 * SCOPE, "ONTHr")).compose(scope(NEGATION, "n", NEGATION_SCOPE, "OTHr")).compose(targets()).compose(threats())
+    return quotes().compose(scope(REPORT, "r", 2 * SCOPE, "ONTHr")).compose(scope(NEGATION, "n", SCOPE, "OTHr")).compose(targets()).compose(threats())
 
 
 #: All scopes have ended after so many other symbols.
@@ -169,7 +169,7 @@ def clause_matches(clause: str, lexicon: Lexicon) -> list[tuple[str, float]]:
     weights = {w: x for w in set(words) if w[:3] in lexicon.first3 and (x := lexicon.weight(w))}
     if not weights and THREATS.isdisjoint(words):
         return []
-    tokens = TOKEN.findall(clause)
+    tokens = [t for t in TOKEN.findall(clause) if t not in ARTICLES or t in weights]
     symbols = "".join([INSULT if t in weights else role(t) for t in tokens])
     own = iter([weights[t] for t in tokens if t in weights])
     return [(KINDS[x], 1.0 if x == "h" else next(own)) for x in rewritten(RUN.sub(OTHER * LONGEST_RUN, symbols))]
