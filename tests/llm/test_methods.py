@@ -85,7 +85,7 @@ def test_clashing_columns_and_empty_tables(spark, tmp_path, tables):
     names = [n for n in queries.QUERIES if n not in ("op7_caps", "op13_negatives")]  # those of vectors have tests of their own
     for k, own in enumerate((rows, [])):
         folder = str(tmp_path / str(k))
-        spark.createDataFrame(own, CLASH).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame(own, CLASH).withColumn("n_chars", F.length("text").cast("long")).write.parquet(f"{folder}/documents.parquet")
         labels.where(F.lit(bool(own))).write.parquet(f"{folder}/labels.parquet")
         spark.createDataFrame(pages if own else [], "page_id long, url string, html string, row int, first int, capture string, same int").write.parquet(f"{folder}/pages.parquet")
         for n in names:
