@@ -35,11 +35,12 @@ def merge_existing(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame
     return both.select(*keys, *(F.coalesce(c, f"__{c}").alias(c) if f"__{c}" in both.columns else F.col(c) for c in rest))
 
 
-def unseen(new: DataFrame, ledger: DataFrame, key: str, order: list[Column]) -> DataFrame:
-    """New records whose key is not in the ledger, the first by order of each key."""
+def unseen(new: DataFrame, ledger: DataFrame, key: str | list[str], order: list[Column]) -> DataFrame:
+    """New records whose key (one column or several) is not in the ledger, the first by order of each key."""
     from marketloom.operators.series import keep_last
 
-    return keep_last(new.join(ledger.select(key).distinct(), key, "left_anti"), [key], order)
+    keys = [key] if isinstance(key, str) else key
+    return keep_last(new.join(ledger.select(*keys).distinct(), keys, "left_anti"), keys, order)
 
 
 def rows_of_arrays(feed: DataFrame, arrays: list[str], keep: list[str]) -> DataFrame:
@@ -92,12 +93,16 @@ def ordered_distinct(rows: DataFrame, by: list[str], value: str, order: str) ->
     return first.withColumn("position", F.row_number().over(Window.partitionBy(*by).orderBy("__first", value))).drop("__first")
 
 
+def open_tail(bars: DataFrame, by: str = "sym", at: str = "d") -> DataFrame:
+    """(by, at): the days after a symbol's last bar with a close that came without one."""
+    last = bars.where("c IS NOT NULL AND NOT isnan(c)").groupBy(by).agg(F.max(at).alias("__last"))
+    return bars.where("c IS NULL OR isnan(c)").select(by, at).distinct().join(last, by).where(F.col(at) > F.col("__last")).select(by, at)
+
+
 def heal_tail(bars: DataFrame, probes: DataFrame, by: str = "sym", at: str = "d") -> DataFrame:
-    """Bars with a close, and for each day after a symbol's last of these that came without one the bar that a probe of that day alone gave."""
+    """Bars with a close, and for each day of open_tail the bar that a probe of that day alone gave."""
     kept = bars.where("c IS NOT NULL AND NOT isnan(c)")
-    last = kept.groupBy(by).agg(F.max(at).alias("__last"))
-    open_days = bars.where("c IS NULL OR isnan(c)").select(by, at).distinct().join(last, by).where(F.col(at) > F.col("__last")).select(by, at)
-    healed = probes.where("c IS NOT NULL AND NOT isnan(c)").join(open_days, [by, at], "left_semi").dropDuplicates([by, at])
+    healed = probes.where("c IS NOT NULL AND NOT isnan(c)").join(open_tail(bars, by, at), [by, at], "left_semi").dropDuplicates([by, at])
     return kept.unionByName(healed.select(*bars.columns))
 
 

@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from marketloom.plans import company, documents, files, long_series, price, shapes, streams  # noqa: F401
+from marketloom.plans import company, documents, files, long_series, price, refreshes, shapes, streams  # noqa: F401

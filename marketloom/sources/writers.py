@@ -46,30 +46,37 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(where, True)
 
 
-def write_bars(bars: DataFrame, path: str) -> None:
+def write_bars(bars: DataFrame, path: str, at: str = "d") -> None:
     """Bars in one folder a symbol; only the symbols that are written are replaced."""
-    bars.repartition("sym").sortWithinPartitions("sym", "d").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sym").parquet(path)
+    bars.repartition("sym").sortWithinPartitions("sym", at).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sym").parquet(path)
 
 
-def refresh_bars(spark: SparkSession, new: DataFrame, path: str, splits: DataFrame | None = None) -> int:
-    """Upsert new bars into a store; symbols whose tail is the same at six digits aren't written. Returns how many were."""
+def stored_bars(spark: SparkSession, path: str, schema) -> DataFrame | None:
+    """The bars of a store, None where there is none; schema gives the symbols' type, as folder names don't tell 0005 from 5."""
     try:
-        old = spark.read.parquet(path)
+        return spark.read.schema(schema).parquet(path)
     except Exception as e:  # the store isn't there yet
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        write_bars(new, path)
+        return None
+
+
+def refresh_bars(spark: SparkSession, new: DataFrame, path: str, splits: DataFrame | None = None, at: str = "d") -> int:
+    """Upsert new bars into a store; symbols whose tail is the same at six digits aren't written. Returns how many were."""
+    old = stored_bars(spark, path, new.schema)
+    if old is None:
+        write_bars(new, path, at)
         return new.select("sym").distinct().count()
-    changed = tails_differ(old, new, ["o", "h", "l", "c", "v"]).where("differences > 0").select("sym")
+    changed = tails_differ(old, new, ["o", "h", "l", "c", "v"], at=at).where("differences > 0").select("sym")
     listed = f"{path.rstrip('/')}_changed"
     changed.write.mode("overwrite").parquet(listed)
     changed = spark.read.parquet(listed)
     count = changed.count()
     if count:
-        merged = upsert_bars(old.join(changed, "sym", "left_semi").select(*new.columns), new.join(changed, "sym", "left_semi"), splits)
+        merged = upsert_bars(old.join(changed, "sym", "left_semi").select(*new.columns), new.join(changed, "sym", "left_semi"), splits, at=at)
         staged = f"{path.rstrip('/')}_next"
         merged.write.mode("overwrite").parquet(staged)
-        write_bars(spark.read.parquet(staged), path)
+        write_bars(spark.read.parquet(staged), path, at)
         remove(spark, staged)
     remove(spark, listed)
     return count
