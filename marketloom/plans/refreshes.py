@@ -93,7 +93,8 @@ def short_refresh(spark, sf_dir):
     sheets = settlements(spark, sf_dir).groupBy("sym").agg(text.alias("page"))
     writers.write_documents(sheets.select(F.concat(F.col("sym").cast("string"), F.lit(".csv")).alias("name"), "page"), vendor)
     splits = spark.createDataFrame(SPLITS, "sym int, effective string, split double").withColumn("effective", F.to_date("effective"))
-    vendor_charts(nation_bars(spark, sf_dir), split_maps(splits), vendor)
+    traded = settlements(spark, sf_dir).select("sym", F.col("day").alias("d"), *(F.col("qty").cast("double").alias(k) for k in "ohlcv"))
+    vendor_charts(traded, split_maps(splits), vendor)
     refresh.refresh_shorts(spark, files, "FINANCIALS.yml", lambda s: F.concat(F.lit("files://vendor/"), s, F.lit(".csv")), chart_address, served(vendor), 0.0)
     return readers.quarter_table(spark, f"{files}/*/FINANCIALS.yml").select("sym", "id", "shares_short", "settled")
 
