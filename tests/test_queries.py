@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from marketloom.plans import registry
+from marketloom.plans.views import quarters
 
 registry.load()
 
@@ -37,3 +38,10 @@ def test_query_equals_sql(spark, db, tables, name):
     a = sorted(repr([plain(r[columns.index(c)]) for c in order]) for r in rows)
     b = sorted(repr([plain(r[names.index(c)]) for c in order]) for r in want)
     assert a == b
+
+
+def test_guidance_of_every_quarter(spark, tables):
+    """Quarters that no report shows are judged too."""
+    keys = registry.QUERIES["guidance_nq_accuracy"](spark, tables).select("sym", "fy", "qn")
+    own = quarters(spark, tables).select("sym", "fy", "qn")
+    assert keys.exceptAll(own).count() == own.exceptAll(keys).count() == 0
