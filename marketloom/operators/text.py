@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +28,11 @@ SPACE = r"(?U)[\s\x1c-\x1f]+"
 EDGE = "\uffff"
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once a row however often it stands in use; Spark shares no expressions within lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def gone(text: Column, pattern: str, by: str = "") -> Column:
     return F.regexp_replace(text, pattern, by)
 
@@ -81,10 +88,13 @@ def table_rows(html: Column) -> Column:
 
 def markdown(rows: Column) -> Column:
     """Rows as a table padded to the widest, with the rule after the first; empty without rows."""
-    width = F.array_max(F.transform(rows, lambda r: F.size(r)))
-    line = lambda r: F.concat(F.lit("| "), F.array_join(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))), " | "), F.lit(" |"))
-    rule = F.concat(F.lit("|"), F.array_join(F.array_repeat(F.lit("---"), width), "|"), F.lit("|"))
-    return F.when(F.size(rows) > 0, F.array_join(F.concat(F.array(line(rows[0]), rule), F.transform(F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0))), line)), "\n")).when(rows.isNotNull(), "")
+
+    def padded(rows: Column, width: Column) -> Column:
+        line = lambda r: F.concat(F.lit("| "), F.array_join(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))), " | "), F.lit(" |"))
+        rule = F.concat(F.lit("|"), F.array_join(F.array_repeat(F.lit("---"), width), "|"), F.lit("|"))
+        return F.when(F.size(rows) > 0, F.array_join(F.concat(F.array(line(rows[0]), rule), F.transform(F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0))), line)), "\n")).when(rows.isNotNull(), "")
+
+    return once(rows, lambda own: once(F.array_max(F.transform(own, lambda r: F.size(r))), lambda width: padded(own, width)))
 
 
 def report_table(html: Column) -> Column:
@@ -122,11 +132,15 @@ def press_statements(html: Column) -> Column:
     A table is named by the last 500 characters of text before it; one without a name is left out, and parts what stands on either
     side. Neighbouring tables of one type are joined by a blank line; a later separate one takes the place of an earlier.
     """
-    pieces = around_tables(strip_code(html))
-    name = lambda t: first_type(F.right(F.lower(gone(gone(t, r"<[^>]+>", " "), SPACE, " ")), F.lit(500)), PRESS_WORDS)
-    places = F.sequence(F.lit(1), F.size(pieces) - 1, F.lit(2))
-    named = F.transform(places, lambda i: F.struct(name(F.get(pieces, i - 1)).alias("kind"), markdown(table_rows(F.get(pieces, i))).alias("body")))
-    named = F.when(F.size(pieces) > 1, named).when(pieces.isNotNull(), F.array().cast("array<struct<kind:string,body:string>>"))
+    last = lambda t: once(F.lower(gone(gone(t, r"<[^>]+>", " "), SPACE, " ")), lambda own: F.right(own, F.lit(500)))
+    name = lambda t: once(last(t), lambda own: first_type(own, PRESS_WORDS))
+
+    def tables(pieces: Column) -> Column:
+        places = F.sequence(F.lit(1), F.size(pieces) - 1, F.lit(2))
+        named = F.transform(places, lambda i: F.struct(name(F.get(pieces, i - 1)).alias("kind"), markdown(table_rows(F.get(pieces, i))).alias("body")))
+        return F.when(F.size(pieces) > 1, named).when(pieces.isNotNull(), F.array().cast("array<struct<kind:string,body:string>>"))
+
+    named = once(around_tables(strip_code(html)), tables)
     empty = F.struct(F.lit(None).cast("string").alias("last"), F.create_map().cast("map<string,string>").alias("found"))
 
     def step(a: Column, p: Column) -> Column:

@@ -74,7 +74,9 @@ def press_classify(spark, sf_dir):
     far = F.concat(F.lit("<p>Balance sheet</p>"), F.repeat(F.lit("word "), 120))
     page = F.concat(F.lit("<p>Condensed Statement of\nIncome</p>"), table(F.col("p_name")), F.lit("<p>Income statement</p><table><tr><td> </td></tr></table><b>Income statement</b>, continued"), table(F.col("p_brand")), F.lit("<p>Financial position</p>"), table(F.col("p_type")),
         far, table(F.lit("none")), F.lit("Cash flows from operations"), table(F.col("p_type")), unnamed, F.lit("Statements of Cash Flow"), table(F.col("p_brand")))
-    return read(spark, sf_dir, "part").select("p_partkey", F.explode(X.press_statements(page)).alias("kind", "body"))
+    parts = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
+    dealt = parts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")  # a small file makes many pages, which one task would parse
+    return dealt.select("p_partkey", F.explode(X.press_statements(page)).alias("kind", "body"))
 
 
 @query("xml_report_index", """SELECT p_partkey, kind, short_name, file FROM part, (VALUES ('income', 'Earnings', 'R2.htm'), ('balance', 'A & B', 'R5.htm'), ('cashflow', 'C', 'R7.htm')) t(kind, short_name, file) WHERE kind <> 'cashflow' OR p_partkey % 2 = 0""")

@@ -179,3 +179,14 @@ def test_summaries_with_sections_and_entities(spark):
     got = spark.createDataFrame([(p,) for p in pages], "x string").select(X.report_index(F.col("x")).alias("i")).collect()
     report = ("2 - Statement - Balance Sheet <audited>", "A & B€", "R2.htm")
     assert [[tuple(x) for x in r.i] for r in got] == [[report, ("", "", "")], [report], [], [], [], []]
+
+
+def test_press_release_is_cut_once(spark):
+    """A page's cut, a table's rows and the text before it are computed once, however many tables a page has."""
+    page = "".join(f"<p>Balance sheet</p><table><tr><td>{i}</td></tr><tr><td>a</td><td>b</td></tr></table>" for i in range(3))
+    rows = spark.createDataFrame([(page,), (page * 20,), ("no table",), (None,)], "html string").select(X.press_statements(F.col("html")).alias("found"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert [plan.count(x) for x in ("<table[^>]*>", "<tr[^>]*>", "(?U)")] == [1, 1, 2]
+    one = lambda i: f"| {i} |  |\n|---|---|\n| a | b |"
+    want = "\n\n".join(map(one, range(3)))
+    assert [r.found for r in rows.collect()] == [{"balance": want}, {"balance": "\n\n".join([want] * 20)}, {}, None]
