@@ -11,6 +11,10 @@ from marketloom.sources import readers, refresh, writers
 from marketloom.streaming.stores import shared_dir
 
 
+#: Ids of events whose posts stand on one page of a search: on a symbol's page there are at most so many, and no page grows with the table.
+PAGED = 100_000
+
+
 def served(where: str):
     """A fetch function for file addresses: what follows ? names a first day, before which a chart's bars are left out; a last bar with a hole is whole on its own day."""
 
@@ -101,13 +105,13 @@ def short_refresh(spark, sf_dir):
 
 @query("post_refresh", "SELECT event_type || '-' || user_id % 20 AS sym, CAST(event_id AS VARCHAR) AS tweet_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS timestamp, 'u' || user_id AS screen_name, user_id AS likes FROM events")
 def post_refresh(spark, sf_dir):
-    """Events as posts of their type's and user's group: the older half is found by a first search, which a second one finds again."""
+    """Events as posts of their type's and user's group, a search's results in pages: the older half is found by a first search, which a second one finds again."""
     where = shared_dir(spark)
     own = read(spark, sf_dir, "events").withColumn("sym", F.concat_ws("-", "event_type", (F.col("user_id") % 20).cast("string")))
+    own = own.withColumn("name", F.concat("sym", F.lit("."), F.coalesce(F.floor(F.col("event_id") / PAGED), F.lit(0)).cast("string"), F.lit(".json")))
     post = F.struct(F.col("event_id").cast("string").alias("tweet_id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), F.struct(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("screen_name")).alias("user"), F.lit("  a text ").alias("text"), F.col("user_id").alias("likes"))
     for name, rows in (("first", own.where(F.col("ts") < F.lit("2024-01-15").cast("timestamp_ntz"))), ("second", own)):
-        pages = rows.groupBy("sym").agg(F.to_json(F.collect_list(post)).alias("page"))
-        writers.write_documents(pages.select(F.concat("sym", F.lit(".json")).alias("name"), "page"), f"{where}/{name}")
-        searches = own.select("sym").distinct().withColumn("url", F.concat(F.lit("files://posts/"), "sym", F.lit(".json")))
+        writers.write_documents(rows.groupBy("name").agg(F.to_json(F.collect_list(post)).alias("page")), f"{where}/{name}")
+        searches = own.select("sym", F.concat(F.lit("files://"), F.substring_index("sym", "-", 1), F.lit("/"), "name").alias("url")).distinct()
         refresh.refresh_posts(searches, f"{where}/ledger", served(f"{where}/{name}"), cooldown=0, pause=0.0)
     return refresh.posts_ledger(spark, f"{where}/ledger").select("sym", "tweet_id", "timestamp", "screen_name", "likes")

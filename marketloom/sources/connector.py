@@ -4,7 +4,7 @@ add_urls() appends URLs that the table doesn't have yet, numbered on from its en
 started again goes on where the last one's checkpoint stopped, and asks for no URL of a finished batch twice. A batch's partitions are its
 hosts: a host's URLs are requested by one task, one after another with a pause before each, whatever the number of tasks. What comes back is appended
 to a store with Spark's own record of finished batches. There is no client for any service here: fetch takes a URL and returns text, or
-None where there is nothing; an OSError leaves a null payload with its text as error.
+None where there is nothing; an OSError leaves a null payload with its text as error. A task holds HELD bytes of payloads and one more at a time.
 
 Null URLs are left out; repeated ones are asked for once. An address without a host counts as the host ''. The URL table is read by pyarrow,
 in whatever store it and all executors reach.
@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from urllib.parse import urlsplit
 
+import pyarrow as pa
 import pyarrow.dataset as ds
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -29,7 +30,12 @@ FILINGS_PAUSE, TRANSCRIPTS_PAUSE = 0.6, 1.5
 BATCH = 1000
 FORMAT = "paced_urls"
 SCHEMA = "n long, url string, host string, payload string, error string, asked timestamp"
+ARROW = pa.schema([("n", pa.int64()), *((c, pa.string()) for c in ("url", "host", "payload", "error")), ("asked", pa.timestamp("us", "UTC"))])
 URLS = "n long, url string"
+#: Bytes of payloads after which a task hands on what it has fetched.
+HELD = 4 << 20
+#: Rows after which the store's writer looks how much it holds (by default at least 100, whatever their size).
+LOOKS = {"parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 10, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 10}
 #: Ranges of a hash over which new URLs are numbered.
 RANGES = 64
 
@@ -87,10 +93,11 @@ class Paced(DataSourceStreamReader):
             hosts.setdefault(urlsplit(url).netloc.lower(), []).append((n, url))
         return [Host(h, tuple(x)) for h, x in hosts.items()] or [Host("", ())]
 
-    def read(self, partition: Host) -> Iterator[tuple]:
+    def read(self, partition: Host) -> Iterator[pa.RecordBatch]:
         from datetime import datetime, timezone
 
         pause = self.pause.get(partition.host, FILINGS_PAUSE) if isinstance(self.pause, dict) else self.pause
+        rows, held = [], 0
         for n, url in partition.urls:
             time.sleep(pause)
             asked, payload, error = datetime.now(timezone.utc), None, None
@@ -98,7 +105,13 @@ class Paced(DataSourceStreamReader):
                 payload = self.fetch(url)
             except OSError as e:
                 error = str(e)
-            yield n, url, partition.host, payload, error, asked
+            rows.append((n, url, partition.host, payload, error, asked))
+            held += len(payload or "")
+            if held >= HELD:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), ARROW)], schema=ARROW)
+                rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), ARROW)], schema=ARROW)
 
 
 def source(fetch: Callable[[str], str | None], pause: float | dict[str, float] = FILINGS_PAUSE) -> type[DataSource]:
@@ -132,7 +145,7 @@ def crawl(spark: SparkSession, urls: str, store: str, fetch: Callable[[str], str
     left = range(done, total, batch)
     for at in left if batches is None else left[:batches]:
         rows = spark.readStream.format(FORMAT).option("path", urls).option("upto", min(at + batch, total)).load()
-        rows.writeStream.format("parquet").option("path", f"{store}/pages").option("checkpointLocation", f"{store}/state").trigger(availableNow=True).start().awaitTermination()
+        rows.writeStream.format("parquet").options(**LOOKS).option("path", f"{store}/pages").option("checkpointLocation", f"{store}/state").trigger(availableNow=True).start().awaitTermination()
     return results(spark, store)
 
 

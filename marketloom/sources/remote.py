@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.operators.text import post_record
+from marketloom.operators.text import once, post_record
 from marketloom.sources.connector import FILINGS_PAUSE
 
 #: Days of hourly bars that the vendor keeps (fixed value).
@@ -43,11 +43,6 @@ def payloads(urls: DataFrame, fetch: Callable[[str], str | None], pause: float =
     return urls.join(told, urls[url] == told["__u"], "left").drop("__u")
 
 
-def _once(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f of a value that is worked out once a row, however often f names it: within lambdas a payload would be parsed for each element and each mention."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def _zipped(arrays: list[Column], fields: str) -> Column:
     """Arrays side by side, as long as the first; null where that is."""
     types = [f.rpartition(" ")[2] for f in fields.split(", ")]
@@ -76,7 +71,7 @@ def chart_bars(payload: Column, hourly: bool = False, holes: bool = False) -> Co
         bars = F.transform(told, bar)
         return bars if holes else F.filter(bars, lambda b: b.c.isNotNull() & ~F.isnan(b.c))
 
-    return _once(parsed, of)
+    return once(parsed, of)
 
 
 def split_events(payload: Column) -> Column:
@@ -124,7 +119,7 @@ def filings_feed(payload: Column) -> Column:
         rows = F.transform(told, lambda x, i: F.struct(i.alias("pos"), x["form"].alias("form"), x["accession"].alias("accession"), day(x["filed"]).alias("filed"), day(F.nullif(x["period"], F.lit(""))).alias("period")))
         return F.struct(F.coalesce(F.nullif(j.fiscalYearEnd, F.lit("")), F.lit("1231")).alias("fiscal_year_end"), rows.alias("rows"), F.transform(j.filings.files, lambda f: f["name"]).alias("older"))
 
-    return _once(parsed, of)
+    return once(parsed, of)
 
 
 def company_tickers(payload: Column) -> Column:

@@ -95,7 +95,7 @@ class DocumentWriter(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         store, path = fs.FileSystem.from_uri(self.path)
         for batch in iterator:
-            for name, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for name, page in ((n.as_py(), p.as_py()) for n, p in zip(batch.column(0), batch.column(1))):
                 if name is None or ".." in name.split("/") or name.startswith("/"):
                     raise ValueError(f"{name!r} is no name of a document")
                 where = f"{path}/{name}"

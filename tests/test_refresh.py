@@ -3,7 +3,8 @@
 import datetime as dt
 import json
 
-from marketloom.sources import readers, refresh, writers
+from marketloom.plans import refreshes
+from marketloom.sources import connector, readers, refresh, writers
 
 D = dt.date
 
@@ -106,3 +107,22 @@ def test_posts(spark, tmp_path):
     asked = open(log).read().split()
     assert asked.count("x://a") == 3 and asked.count("x://none") == 4
     assert refresh.posts_ledger(spark, str(tmp_path / "never")).columns == ["sym", *(c.split()[0] for c in readers.LEDGER.split(", "))]
+
+
+def test_fetched_payloads_are_handed_on(tmp_path):
+    """A task holds few payloads at once, however many a host has."""
+    paced = connector.Paced({"path": str(tmp_path), "upto": "9"}, lambda url: None if url == "x://h/4" else "p" * (connector.HELD // 2), 0.0)
+    batches = list(paced.read(connector.Host("h", tuple((n, f"x://h/{n}") for n in range(9)))))
+    assert [b.num_rows for b in batches] == [2, 2, 3, 2]
+    assert [n for b in batches for n in b.column(0).to_pylist()] == list(range(9)) and batches[2].column(3)[0].as_py() is None
+
+
+def test_posts_stand_on_many_pages(spark, tables, tmp_path, monkeypatch):
+    """A symbol's posts come in pages whose size is bounded, and all of them are found."""
+    monkeypatch.setattr(refreshes, "PAGED", 300)
+    monkeypatch.setattr(refreshes, "shared_dir", lambda spark: str(tmp_path))
+    got = refreshes.post_refresh(spark, tables).select("tweet_id").collect()
+    own = spark.read.parquet(f"{tables}/events.parquet").select("event_id").collect()
+    assert sorted(r.tweet_id for r in got) == sorted(str(r.event_id) for r in own)
+    sizes = [(p.name.split(".")[0], len(json.loads(p.read_text()))) for p in (tmp_path / "second").glob("*.json")]
+    assert len(sizes) > len(set(s for s, _ in sizes)) and sum(n for _, n in sizes) == len(own)
