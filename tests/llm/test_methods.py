@@ -125,6 +125,25 @@ def test_quality_verdicts_by_brute_force(spark, tables):
     assert kept
 
 
+def test_limits_come_from_every_label(spark, monkeypatch):
+    """More good texts than any sample would hold: limits are numpy's over all of them, and a document's repeats count once."""
+    rng, rows = random.Random(5), []
+    for i in range(24_000):
+        n = rng.choice([9, 14, 20, 29]) if i else 3000
+        rows.append((i, " ".join(rng.choice(("alpha", "beta", "gamma", "delta", "epsilon")) for _ in range(n))))
+    docs = spark.createDataFrame([*rows, rows[7], (None, "x " * 50)], "doc_id long, text string").repartition(4)
+    labels = docs.selectExpr("doc_id", "int(doc_id % 10 <> 3) AS quality")
+    compress = zstandard.ZstdCompressor(level=quality.LEVEL).compress
+    told = [quality.measure(t, compress) for i, t in rows if i % 10 != 3]
+    monkeypatch.setattr(quality, "MIN_IN_BAND", 2)
+    got = quality.learn_limits(docs, labels.union(labels))
+    texts = quality.Lines.fit(np.array([m[0] for m in told]), np.array([m[6] for m in told]))
+    chunks = quality.Lines.fit(np.array([n for m in told for n in m[8]]), np.array([x for m in told for x in m[7]]))
+    for a, b in ((got.texts, texts), (got.chunks, chunks)):
+        assert a.first == b.first and np.allclose(a.low, b.low, 1e-12, 0) and np.allclose(a.high, b.high, 1e-12, 0) and b.low
+    assert quality.learn_limits(docs, labels.where("quality = 2")) == quality.NO_LABELS
+
+
 def test_limits_tell_symbols_from_prose():
     """Of held-out labelled texts at most 1 % of the good ones lie beyond the limits, and most bad ones of 1 KB or more do."""
     import duckdb
