@@ -99,7 +99,7 @@ def measures(docs: DataFrame, keys: list[str]) -> DataFrame:
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         kinds = [pa.int64()] * 6 + [pa.float64(), pa.list_(pa.float64()), pa.list_(pa.int32())]
         for batch in batches:
-            rows = [measure(t or "", compress) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            rows = [measure(t.as_py() or "", compress) for t in batch.column(batch.num_columns - 1)]
             columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [*keys, *names])
 
@@ -212,8 +212,8 @@ def labelled_ratios(docs: DataFrame, labels: DataFrame) -> DataFrame:
         compress = zstandard.ZstdCompressor(level=LEVEL).compress
         kinds = {"n_bytes": pa.int64(), "ratio": pa.float64(), "chunk_ratios": pa.list_(pa.float64()), "chunk_bytes": pa.list_(pa.int32())}
         for batch in batches:
-            told = [(t or "").encode() for t in batch.column(1).to_pylist()]
-            columns = list(zip(*((len(d), *ratios(d, compress)) for d in told), strict=True)) if told else [[] for _ in kinds]
+            told = [(len(d), *ratios(d, compress)) for d in ((t.as_py() or "").encode() for t in batch.column(1))]
+            columns = list(zip(*told, strict=True)) if told else [[] for _ in kinds]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True))], ["doc_id", *kinds])
 
     good = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
