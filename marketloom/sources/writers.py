@@ -86,6 +86,10 @@ def append_ledger(records: DataFrame, path: str) -> None:
     records.write.mode("append").json(path)
 
 
+#: Bytes of documents that a writing task gets at once.
+BATCH_BYTES = 4 << 20
+
+
 class DocumentWriter(DataSourceArrowWriter):
     """Rows (name, page) as files of these names: each is written beside its place and renamed, by the task that has it."""
 
@@ -132,8 +136,14 @@ def write_documents(docs: DataFrame, path: str) -> None:
 
     Files of other names stay; of rows of one name one stays. A null page is an empty file, a null name an error.
     """
-    docs.sparkSession.dataSource.register(DocumentFiles)
-    docs.select("name", "page").write.format("document_files").mode("append").save(path)
+    spark, name = docs.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.dataSource.register(DocumentFiles)
+    before = spark.conf.get(name)
+    spark.conf.set(name, BATCH_BYTES)
+    try:
+        docs.select("name", "page").write.format("document_files").mode("append").save(path)
+    finally:
+        spark.conf.set(name, before)
 
 
 def publish(df: DataFrame, where: str, keep: int = 2) -> str:
